@@ -31,7 +31,8 @@ WINDOW = 10
 #: Characters of benchmark text in one automaton, and so in one broadcast.
 BLOCK_CHARS = 16_000_000
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in the original text, where A-Z are still capital.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _NORMAL = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
