@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Where the package lies, for Python workers on machines that share it; clusters ship it with --py-files.
+ROOT = str(Path(__file__).resolve().parents[2])
+
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker; whole texts can be long.
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
@@ -18,7 +23,10 @@ BROADCAST_ROWS = 2_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, whatever the length of the texts."""
+    """Keep Arrow batches small, whatever the length of the texts, and let workers import this package."""
+    environment = spark.sparkContext.environment
+    if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (environment.get("PYTHONPATH"), ROOT)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -84,3 +92,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
             or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         )
     return df.checkpoint(eager=True)
+
+
+def labelled_sample(
+    docs: DataFrame, known: DataFrame, most: dict[int, int], max_chars: int, columns: list[Column] | None = None
+) -> tuple[list[tuple], dict[int, int]]:
+    """A bounded sample of labelled rows, and the number of labels of each kind.
+
+    ``known`` has doc_id and label. Of each label in ``most`` about that many rows at most are picked by a hash
+    of doc_id. Only the picked ids (a few thousand at most) are broadcast to the scan of ``docs``;
+    rows of over ``max_chars`` characters are left out. Returns (label, *columns) rows, by default the text.
+    """
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
+    limit = F.lit(0)
+    for label, n in most.items():
+        limit = F.when(F.col("label") == label, int(min(1.0, n / max(counts.get(label, 0), 1)) * (1 << 30))).otherwise(limit)
+    ids = known.filter(place < limit).groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    picked = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "label", *(columns or [F.col("text")]))
+    rows = sorted((tuple(r) for r in picked.collect()), key=repr)
+    return [r[1:] for r in rows], counts
