@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -79,21 +80,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder.
-
-    The folder is ``spark.checkpoint.dir``; where the session has none (tests, single machines),
-    a folder under the warehouse is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None)
-            or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        )
-    return df.checkpoint(eager=True)
-
-
 def labelled_sample(
     docs: DataFrame, known: DataFrame, most: dict[int, int], max_chars: int, columns: list[Column] | None = None
 ) -> tuple[list[tuple], dict[int, int]]:
@@ -113,3 +99,18 @@ def labelled_sample(
     picked = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "label", *(columns or [F.col("text")]))
     rows = sorted((tuple(r) for r in picked.collect()), key=repr)
     return [r[1:] for r in rows], counts
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``, or one under the warehouse where it is unset."""
+    return (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    )
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage is cut, and a lost executor loses none of it."""
+    path = f"{shared_folder(df.sparkSession)}/quillspan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

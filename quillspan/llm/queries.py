@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import bpe, chat, decontaminate, html_text, language_id, media, quality, token_counts, toxicity
+from quillspan.llm import bpe, chat, decontaminate, html_text, language_id, media, quality, similarity, token_counts, toxicity
 from quillspan.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.linked(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -58,10 +62,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_media_columns,
         op8_language_id,
         op9_quality,
+        op10_ngram_jaccard_join,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
     "op4_chat_formatting": chat.ORACLE_SQL,
+    "op10_ngram_jaccard_join": similarity.ORACLE_SQL,
 }
