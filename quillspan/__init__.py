@@ -1,0 +1 @@
+"""quillspan: timed-text and interval analytics as Spark DataFrame operators."""
