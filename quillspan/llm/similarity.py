@@ -11,11 +11,11 @@ share a shingle. The steps:
 1. One pass over the texts: each set's fingerprint and size; also shingles that repeat within some
    millions of shingles, with counts. The latter are a hint for the order and never drop anything.
 2. A second pass emits the prefixes (one row per shingle), shuffled once by shingle; shingles of one set go.
-3. Likely pairs: every set of a shingle with the smallest one there. Verified pairs give first classes.
-4. Exact pairs: for shingles whose sets are still in different classes, all pairs across classes, but
-   those of similar size; within a class nothing is paired, so a large group of near copies
-   costs no more than its members. The pairs' overlaps in the prefix fragment are counted; with the most
-   that the rest can add, most pairs go here.
+3. Likely pairs, two for each set at most: its prefix shingles offer it the set with the fewest rarer shingles and
+   the next smaller one. Verified pairs give first classes.
+4. Exact pairs: for shingles whose sets are still in different classes, pairs across classes of similar size, as far
+   as sizes and positions in the order leave room for the overlap that a link needs; within a class nothing is paired.
+   The pairs' overlaps in the prefix fragment are counted, and most pairs have too little in common there.
 5. Verification: the sets of the pairs are cut into fragments of the global order; overlaps are counted
    fragment by fragment and summed per pair.
 6. Components over all verified pairs, by rounds of star contraction.
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import bounded_batches, small_side, written
@@ -48,6 +48,8 @@ PERCENT = 80
 FRAGMENTS = 8
 #: Shingles that a task counts at once, the least repeats it reports, and the most hints that are broadcast (16 bytes each).
 COUNTED, REPEATS, HINTS = 3_000_000, 3, 500_000
+#: Shared prefix shingles beyond the first that an exact pair must show.
+MORE = 4
 #: Words whose hashes a worker keeps, and sets that a task remembers as emitted.
 KEPT_WORDS, KEPT_SETS = 500_000, 500_000
 
@@ -96,7 +98,7 @@ def _columns(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("token", pa.int64()), ("seen", pa.int32())])
-_PREFIX = pa.schema([("token", pa.int64()), ("fp", pa.int64()), ("n", pa.int32())])
+_PREFIX = pa.schema([("token", pa.int64()), ("fp", pa.int64()), ("place", pa.int64())])
 _PARTS = pa.schema([("fp", pa.int64()), ("fragment", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
 
@@ -149,7 +151,7 @@ def _prefixes(hint):
                 first = _ordered(s, hint.value)[0][: prefix_size(len(s))]
                 tokens.append(first)
                 prints.append(np.full(len(first), fp))
-                sizes.append(np.full(len(first), len(s), np.int32))
+                sizes.append((len(s) << 32) + np.arange(len(first)))  # size and position in one number
             if tokens:
                 yield _columns(_PREFIX, np.concatenate(tokens), np.concatenate(prints), np.concatenate(sizes))
 
@@ -211,6 +213,40 @@ def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, hint) -> Dat
     return total.filter(F.expr(f"100L * both >= {PERCENT}L * (na + nb - both)")).select("a", "b")
 
 
+def _offers(shared: DataFrame) -> DataFrame:
+    """(fp, n, kind, other): of each shingle the set with fewest rarer shingles before it, and the next smaller set."""
+    by_size = Window.partitionBy("token").orderBy("n", "fp")
+    first = F.min(F.struct("pos", "fp")).over(Window.partitionBy("token"))["fp"]
+    seen = shared.select("fp", "n", first.alias("hub"), F.lag("fp").over(by_size).alias("next"))
+    return seen.select("fp", "n", F.expr("stack(2, 0, hub, 1, next) as (kind, other)")).filter("other != fp")
+
+
+def _likely(offers: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b, na, nb): of each kind, the set that most of a set's shingles offer, if enough of them do."""
+    best = (
+        offers.groupBy("fp", "n", "kind", "other").agg(F.count("*").alias("c")).filter("50 * c >= n")
+        .groupBy("fp", "kind").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+    )
+    return (
+        best.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+        .join(sizes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a")
+        .join(sizes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
+        .filter(_similar_size("na", "nb"))
+    )
+
+
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, fp, n, pos, root, major) of the shingles whose sets are in several classes; major is the largest."""
+    root = small_side(roots.select(F.col("node").alias("fp"), "root"))
+    classed = shared.join(root, "fp", "left").select("token", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    mixed = (
+        classed.groupBy("token", "root").agg(F.count("*").alias("c"))
+        .groupBy("token").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("c", "root")).alias("major"))
+        .filter("classes > 1")
+    )
+    return classed.join(mixed.select("token", "major"), "token")
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -222,46 +258,40 @@ def linked(docs: DataFrame) -> DataFrame:
     named = sets.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"))
 
     # Sets by shared prefix shingle; shingles of one set only are gone.
-    prefix = texts.select("text").mapInArrow(_prefixes(hint), "token long, fp long, n int")
-    by = prefix.withColumn("low", F.expr("min(struct(n, fp)) over (partition by token)")).withColumn(
-        "high", F.expr("max(struct(n, fp)) over (partition by token)")
-    )
-    shared = written(by.filter("low != high").select("token", "fp", "n", F.col("low.fp").alias("centre"), F.col("low.n").alias("nc")).dropDuplicates(["token", "fp"]))
-
-    # Likely pairs: many prefix shingles in common with the smallest set.
-    likely = (
-        shared.filter("fp != centre").filter(_similar_size("n", "nc"))
-        .groupBy(F.col("centre").alias("a"), F.col("fp").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb"))
-        .agg(F.count("*").alias("c"))
-        .filter("50 * c >= na")
-        .drop("c")
+    prefix = texts.select("text").mapInArrow(_prefixes(hint), "token long, fp long, place long")
+    by = prefix.withColumn("low", F.expr("min(fp) over (partition by token)")).withColumn("high", F.expr("max(fp) over (partition by token)"))
+    shared = written(
+        by.filter("low != high").select(
+            "token", "fp", F.expr("cast(shiftright(place, 32) as int)").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("pos")
+        ).dropDuplicates(["token", "fp"])
     )
-    linked_1 = written(_verified(texts, named, written(likely), hint))
-    roots_1 = components(linked_1)
+
+    sizes = sets.filter("fp is not null").groupBy("fp").agg(F.first("n").alias("n"))
+    likely = written(_likely(_offers(shared), sizes))
+    linked_1 = written(_verified(texts, named, likely, hint))
+    rows = written(_mixed(shared, components(linked_1)))
 
     # Exact pairs across the classes found so far.
-    root = small_side(roots_1.select(F.col("node").alias("fp"), "root"))
-    classed = shared.join(root, "fp", "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    mixed = (
-        classed.groupBy("token", "root").agg(F.count("*").alias("c"))
-        .groupBy("token").agg(F.count("*").alias("classes"), F.max_by("root", "c").alias("major"))
-        .filter("classes > 1")
-    )
-    rows = classed.join(mixed.select("token", "major"), "token")
-    minor = rows.filter("root != major").select("token", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
+    # Of a linked pair, the first shingles up to the overlap it needs (and a few more) have at least as many in common
+    # as there are more; rows further on in either set are of no use.
+    minor = rows.filter("root != major").select(
+        "token", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), F.col("root").alias("root_x")
+    )
+    need = F.expr(f"cast(ceil({PERCENT} * (cast(n as long) + n_x) / {100 + PERCENT}) as int)")
+    more = F.least(F.lit(MORE), need - F.expr(f"cast(ceil({PERCENT} * cast(greatest(n, n_x) as long) / 100) as int)") + 1)
     crossed = minor.join(rows, "token").filter(
         (F.col("root_x") != F.col("root"))
         & ((F.col("root") == F.col("major")) | (F.col("fp_x") < F.col("fp")))
         & _similar_size("n", "n_x")
+        & (F.col("pos") < F.col("n") - need + more)
+        & (F.col("pos_x") < F.col("n_x") - need + more)
     )
     ordered = F.col("fp_x") < F.col("fp")
     pick = lambda x, y: F.when(ordered, F.col(x)).otherwise(F.col(y))
     counted = crossed.groupBy(
-        pick("fp_x", "fp").alias("a"), pick("fp", "fp_x").alias("b"), pick("n_x", "n").alias("na"), pick("n", "n_x").alias("nb")
+        pick("fp_x", "fp").alias("a"), pick("fp", "fp_x").alias("b"), pick("n_x", "n").alias("na"), pick("n", "n_x").alias("nb"), more.alias("more")
     ).agg(F.count("*").alias("c"))
-    # What the fragments after the prefix can add at most, against the overlap that a link needs.
-    rest = lambda n: f"ceil({PERCENT} * {n} / 100) - 1"
-    exact = counted.filter(F.expr(f"180L * (c + greatest({rest('na')}, {rest('nb')})) >= {PERCENT}L * (na + nb)")).drop("c")
+    exact = counted.filter("c >= more").drop("c", "more")
     linked_2 = _verified(texts, named, written(exact), hint)
     roots = components(linked_1.unionByName(linked_2))
 
