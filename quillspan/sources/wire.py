@@ -12,8 +12,8 @@ def event_lines(chunks: DataFrame, key: str, prefix: str = "data:") -> DataFrame
     A stream is put together once per key and split again; what follows its last newline is incomplete.
     """
     ordered = F.array_sort(F.collect_list(F.struct("seq", "body")))
-    whole = chunks.groupBy(key).agg(F.array_join(F.transform(ordered, lambda c: c["body"]), "").alias("s"))
-    lines = F.split("s", "\r?\n")
+    whole = chunks.groupBy(key).agg(F.array_join(F.transform(ordered, lambda c: c["body"]), "").alias("_whole"))
+    lines = F.split("_whole", "\r?\n")
     done = F.slice(lines, F.lit(1), F.size(lines) - 1)
     each = whole.select(key, F.posexplode(F.filter(done, lambda x: x.startswith(prefix))).alias("line", "text"))
     return each.select(key, "line", F.trim(F.substring("text", len(prefix) + 1, 1 << 30)).alias("payload"))
