@@ -203,13 +203,16 @@ def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, hint) -> Dat
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     ids = named.join(nodes, "fp", "left_semi").select(F.col("doc").alias("doc_id"))
     chosen = texts.join(small_side(ids), "doc_id", "left_semi")
-    parts = written(chosen.select("text").mapInArrow(_parts(hint), "fp long, fragment int, tokens array<long>").dropDuplicates(["fp", "fragment"]))
+    # Written without a shuffle; a repeated doc_id may give a set's parts twice, which the maximum evens out.
+    parts = written(chosen.select("text").mapInArrow(_parts(hint), "fp long, fragment int, tokens array<long>"))
+    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = parts.select(F.col("fp").alias("a"), "fragment", F.col("tokens").alias("x"))
     right = parts.select(F.col("fp").alias("b"), "fragment", F.col("tokens").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("both")
+    partial = each.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select(
+        "a", "b", "na", "nb", "fragment", F.size(F.array_intersect("x", "y")).cast("long").alias("both")
     )
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
+    once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("both").alias("both"))
+    total = once.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
     return total.filter(F.expr(f"100L * both >= {PERCENT}L * (na + nb - both)")).select("a", "b")
 
 
