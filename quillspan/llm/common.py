@@ -95,7 +95,7 @@ def labelled_sample(
     for label, n in most.items():
         limit = F.when(F.col("label") == label, int(min(1.0, n / max(counts.get(label, 0), 1)) * (1 << 30))).otherwise(limit)
     ids = known.filter(place < limit).groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    texts = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     picked = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "label", *(columns or [F.col("text")]))
     rows = sorted((tuple(r) for r in picked.collect()), key=repr)
     return [r[1:] for r in rows], counts

@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.numbers import let
 from quillspan.llm.common import crc_mod, labelled_sample
 
 ROWS, FIT_CHARS = 4000, 100_000
@@ -28,26 +29,31 @@ TREES, DEPTH, CUTS, LEAST = 40, 3, 24, 8
 PENALTY = 0.002
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Named statistics of a text as column expressions."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    n_chars = F.length(text).cast("double")
-    n_words = F.size(words).cast("double")
-    n_lines = F.size(lines).cast("double")
+def statistics(text: Column) -> Column:
+    """Statistics of a text as one struct column of doubles, with the fields ``NAMES``.
+
+    Words and lines are bound once, so the cost is the same in a filter, where Spark shares no subexpressions.
+    """
     over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return {
-        "n_chars": n_chars,
-        "n_words": n_words,
-        "chars_per_word": over(n_chars, n_words),
-        "symbols": over(F.regexp_count(text, F.lit(r"[#$%&*|!@^~=<>{}\[\]\\_+]")).cast("double"), n_chars),
-        "capitals": over(F.regexp_count(text, F.lit(r"\p{Lu}")).cast("double"), n_chars),
-        "stops": over(F.regexp_count(text, F.lit(r"[.,;:?]")).cast("double"), n_words),
-        "distinct_words": over(F.size(F.array_distinct(words)).cast("double"), n_words),
-        "distinct_lines": over(F.size(F.array_distinct(lines)).cast("double"), n_lines),
-        "words_per_line": over(n_words, n_lines),
-    }
+    count = lambda t, p: F.regexp_count(t, F.lit(p)).cast("double")
+
+    def of(p: Column) -> Column:
+        n_chars, n_words, n_lines = F.length(p["text"]).cast("double"), F.size(p["words"]).cast("double"), F.size(p["lines"]).cast("double")
+        values = [
+            n_chars,
+            n_words,
+            over(n_chars, n_words),
+            over(count(p["text"], r"[#$%&*|!@^~=<>{}\[\]\\_+]"), n_chars),
+            over(count(p["text"], r"\p{Lu}"), n_chars),
+            over(count(p["text"], r"[.,;:?]"), n_words),
+            over(F.size(F.array_distinct(p["words"])).cast("double"), n_words),
+            over(F.size(F.array_distinct(p["lines"])).cast("double"), n_lines),
+            over(n_words, n_lines),
+        ]
+        return F.struct(*(v.alias(n) for v, n in zip(values, NAMES, strict=True)))
+
+    parts = lambda pattern: F.filter(F.split(F.coalesce(text, F.lit("")), pattern), lambda w: w != "")
+    return let(F.struct(F.coalesce(text, F.lit("")).alias("text"), parts(r"\s+").alias("words"), parts("\n").alias("lines")), of)
 
 
 #: The statistics in the order of the model.
@@ -119,6 +125,9 @@ def fit(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, list[tuple[f
     for rule in sorted(rules, key=lambda p: (len(p), p)):
         distinct.setdefault(holds(x, rule).tobytes(), rule)
     rules = list(distinct.values())
+    if not rules:
+        p = min(max(share, 1e-12), 1 - 1e-12)
+        return float(np.log(p / (1 - p))), []
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     start, w = lasso(np.array([holds(x, r) for r in rules], dtype=float).T, y, weight, PENALTY)
     return start, [(float(a), r) for a, r in zip(w, rules, strict=True) if abs(a) > 1e-6]
@@ -138,18 +147,15 @@ def compiled(model: tuple[float, list[tuple[float, tuple[Test, ...]]]], columns:
 
 def fit_from(docs: DataFrame, labels: DataFrame) -> tuple[float, list]:
     known = labels.filter((crc_mod("doc_id", FOLDS) != HELD_OUT) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
-    stats = list(statistics(F.col("text")).values())
-    rows, counts = labelled_sample(docs, known, {1: ROWS // 2, 0: ROWS // 2}, FIT_CHARS, stats)
+    rows, counts = labelled_sample(docs, known, {1: ROWS // 2, 0: ROWS // 2}, FIT_CHARS, [statistics(F.col("text"))])
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
-    return fit(np.array([r[1:] for r in rows], dtype=float).reshape(len(rows), len(NAMES)), np.array([r[0] for r in rows], dtype=float), share)
+    return fit(np.array([tuple(r[1]) for r in rows], dtype=float).reshape(len(rows), len(NAMES)), np.array([r[0] for r in rows], dtype=float), share)
 
 
 def with_score(docs: DataFrame, model: tuple, out: str) -> DataFrame:
     """``docs`` with a column of scores."""
-    stats = statistics(F.col("text"))
-    held = out + "_stats"
-    rows = docs.withColumn(held, F.struct(*(c.alias(n) for n, c in stats.items())))
-    return rows.withColumn(out, compiled(model, [F.col(f"{held}.{n}") for n in NAMES])).drop(held)
+    score = let(statistics(F.col("text")), lambda s: compiled(model, [s[n] for n in NAMES]))
+    return docs.withColumn(out, score)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -163,6 +169,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents of predicted quality 1, with all their columns."""
     mark = "_quality"
-    while mark in docs.columns or mark + "_stats" in docs.columns:
+    while mark in docs.columns:
         mark += "_"
     return with_score(docs, fit_from(docs, labels), mark).filter(F.col(mark) >= THRESHOLD).drop(mark)
