@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.common import bounded_batches, crc_mod, labelled_sample, text_struct
 
-ROWS, LANGUAGES, FIT_CHARS = 2000, 64, 20_000
-BITS = 13  # of the n-gram hash
+ROWS, LANGUAGES, FIT_CHARS = 2000, 64, 10_000
+BITS = 12  # of the n-gram hash
 FOLDS = 5
 #: Scores of the two best codewords that are no further apart leave a text ambiguous.
 AMBIGUOUS = 0.02
@@ -79,14 +79,18 @@ def fit(rows: list[tuple[str, str]]) -> dict | None:
         return None
     if len(names) == 1:
         return {"names": names}
-    x = np.array([profile(t) for _, t in rows], dtype=np.float32)
+    c = np.empty((len(rows), 1 << BITS), dtype=np.float32)  # the one large array: 32 MB for 2000 rows
+    for k, (_, t) in enumerate(rows):
+        c[k] = profile(t)
     place = {y: k for k, y in enumerate(names)}
     code = codewords(len(names))
     side = code[[place[y] for y, _ in rows]].astype(np.float32)
     # Ridge classifiers of all bits at once, in the dual; the same system gives leave-one-out margins.
-    mean = x.mean(0)
-    c = x - mean
-    inverse = np.linalg.inv(c @ c.T + 0.5 * np.eye(len(x), dtype=np.float32))
+    mean = c.mean(0)
+    c -= mean
+    kernel = c @ c.T
+    kernel[np.diag_indices(len(c))] += 0.5
+    inverse = np.linalg.inv(kernel)
     centre = side.mean(0)
     alpha = inverse @ (side - centre)
     weights = c.T @ alpha
