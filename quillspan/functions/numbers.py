@@ -13,6 +13,17 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def count_upto(values: Column, t: Column) -> Column:
+    """How many of rising ``values`` are at most ``t``: a binary search over powers of two."""
+    steps = F.array(*(F.lit(1 << k) for k in range(24, -1, -1)))
+
+    def step(at: Column, size: Column) -> Column:
+        inside = (at + size <= F.size(values)) & F.coalesce(F.get(values, at + size - 1) <= t, F.lit(False))
+        return F.when(inside, at + size).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def half_up(value: Column, digits: int = 0) -> Column:
     """Halves go up, also below zero."""
     f = 10.0**digits

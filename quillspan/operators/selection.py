@@ -149,3 +149,18 @@ def select(pool: DataFrame, keys: list[str], n: int) -> DataFrame:
     rows = each.withColumn("final", final)
     w = Window.partitionBy(*keys).orderBy(F.desc("final"), "start_s", "id")
     return rows.select(*keys, "id", "start_s", "end_s", "quality", "tier", "final", F.row_number().over(w).alias("rank"))
+
+
+def best_boxes(boxes: DataFrame, keys: list[str], limit: float = 0.5) -> DataFrame:
+    """Per frame, boxes by score; one goes if a kept one covers more than ``limit`` of the smaller of both."""
+    row = F.struct((-F.col("score")).alias("order"), "x", "y", "w", "h")
+    groups = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def covers(k: Column, c: Column) -> Column:
+        across = F.greatest(F.lit(0.0), F.least(k["x"] + k["w"], c["x"] + c["w"]) - F.greatest(k["x"], c["x"]))
+        down = F.greatest(F.lit(0.0), F.least(k["y"] + k["h"], c["y"] + c["h"]) - F.greatest(k["y"], c["y"]))
+        return across * down > limit * F.least(k["w"] * k["h"], c["w"] * c["h"])
+
+    step = lambda kept, c: F.when(F.exists(kept, lambda k: covers(k, c)), kept).otherwise(F.array_append(kept, c))
+    kept = groups.select(*keys, F.explode(F.aggregate("rows", F.slice("rows", F.lit(1), F.lit(0)), step)).alias("k"))
+    return kept.select(*keys, "k.x", "k.y", "k.w", "k.h", (-F.col("k.order")).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.numbers import clamp, let, millis
+from quillspan.functions.numbers import clamp, count_upto, let, millis
 from quillspan.functions.text import clock_srt, ends_clause, ends_sentence
 
 SOFT_WORDS, HARD_WORDS = 20, 35
@@ -84,29 +84,29 @@ def transcript_windows(lists: DataFrame, window_s: float, overlap_s: float) -> D
 
     ``lists`` has doc_id and the arrays starts and ends. A fold inside the row over as many steps as windows.
     """
-    n = F.size("ends")
-    steps = F.sequence(F.lit(0), F.ceil(F.element_at("ends", -1) / (window_s - overlap_s)).cast("int") * 2 + 1)
-    none = F.expr("cast(array() as array<struct<first: int, last: int>>)")
+    none = F.expr("cast(array() as array<struct<first: int, last: int, duration_s: double>>)")
 
-    def step(s: Column, _: Column) -> Column:
-        cursor = s["cursor"]
+    def windows(t: Column) -> Column:
+        starts, ends, n = t["starts"], t["ends"], F.size(t["ends"])
 
-        def window(last: Column) -> Column:
-            seen = let(F.get("ends", last) - overlap_s, lambda back: F.size(F.filter("starts", lambda x: x <= back)) - 1)
-            after = F.when(last >= n - 1, n).otherwise(F.greatest(cursor + 1, F.greatest(F.lit(0), seen)))
-            out = F.array_append(s["out"], F.struct(cursor.alias("first"), last.alias("last")))
-            return F.struct(after.alias("cursor"), out.alias("out"))
+        def step(s: Column, _: Column) -> Column:
+            cursor = s["cursor"]
 
-        # Ends rise, so those in the window are the first so many.
-        ends = let(F.get("starts", cursor) + window_s, lambda limit: F.size(F.filter("ends", lambda e: e <= limit)) - 1)
-        return F.when(cursor >= n, s).otherwise(let(F.greatest(cursor, ends), window))
+            def window(last: Column) -> Column:
+                seen = count_upto(starts, F.get(ends, last) - overlap_s) - 1
+                after = F.when(last >= n - 1, n).otherwise(F.greatest(cursor + 1, F.greatest(F.lit(0), seen)))
+                one = F.struct(cursor.alias("first"), last.alias("last"), (F.get(ends, last) - F.get(starts, cursor)).alias("duration_s"))
+                return F.struct(after.alias("cursor"), F.array_append(s["out"], one).alias("out"))
 
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("cursor"), none.alias("out")), step, lambda s: s["out"])
-    each = lists.select("doc_id", "starts", "ends", F.posexplode(found).alias("win", "w"))
-    return each.select(
-        "doc_id", "win", "w.first", "w.last",
-        (F.get("ends", F.col("w.last")) - F.get("starts", F.col("w.first"))).alias("duration_s"),
-    )
+            # Ends rise, so those in the window are the first so many.
+            fit = count_upto(ends, F.get(starts, cursor) + window_s) - 1
+            return F.when(cursor >= n, s).otherwise(let(F.greatest(cursor, fit), window))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.element_at(ends, -1) / (window_s - overlap_s)).cast("int") * 2 + 1)
+        return F.aggregate(steps, F.struct(F.lit(0).alias("cursor"), none.alias("out")), step, lambda s: s["out"])
+
+    found = let(F.struct("starts", "ends"), windows)
+    return lists.select("doc_id", F.posexplode(found).alias("win", "w")).select("doc_id", "win", "w.first", "w.last", "w.duration_s")
 
 
 def caption_groups(words: DataFrame, most: int, gap_s: float = GAP_S) -> DataFrame:

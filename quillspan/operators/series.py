@@ -68,10 +68,9 @@ def shots(edges: Column, duration: Column, least: float = 0.8) -> Column:
     none = F.expr("cast(array() as array<struct<start: double, end: double>>)")
 
     def step(s: Column, edge: Column) -> Column:
-        n, last = F.size(s["out"]), F.element_at(s["out"], -1)
+        n = F.size(s["out"])
         longer = F.array_append(F.slice(s["out"], F.lit(1), n - 1), F.struct(F.try_element_at(s["out"], F.lit(-1))["start"].alias("start"), edge.alias("end")))
         new = F.array_append(s["out"], F.struct(s["at"].alias("start"), edge.alias("end")))
-        del last
         return F.struct(edge.alias("at"), F.when((n > 0) & (edge - s["at"] < least), longer).otherwise(new).alias("out"))
 
     return F.aggregate(all_edges, F.struct(F.lit(0.0).alias("at"), none.alias("out")), step, lambda s: s["out"])
@@ -98,3 +97,48 @@ def interpolate(frames: Column, t: Column) -> Column:
     a, b = F.try_element_at(before, F.lit(-1)), F.try_element_at(after, F.lit(1))
     part = F.when(b["t"] > a["t"], (t - a["t"]) / (b["t"] - a["t"])).otherwise(F.lit(1.0))
     return F.coalesce(a["v"] + (b["v"] - a["v"]) * part, a["v"], b["v"])
+
+
+def speaker_turns(mouths: DataFrame, clips: DataFrame, least_s: float = 1.6, still: float = 0.0005) -> DataFrame:
+    """Who speaks when: clip, turn, person, start_s, end_s.
+
+    ``mouths``: clip, person, t, mouth; ``clips``: clip, duration_s. Per second, the person whose mouth moves most within
+    half a second around it; quiet seconds keep the speaker before (the first, the one after); turns under
+    ``least_s`` join the turn before, a short first one the second.
+    """
+    seconds = clips.select("clip", "duration_s", F.explode(F.sequence(F.lit(0), F.ceil("duration_s").cast("int") - 1)).alias("sec"))
+    # A reading counts for its own second and, near an edge, for the neighbour's.
+    spread = mouths.select("clip", "person", "mouth", F.explode(F.array_distinct(F.array(F.floor(F.col("t") - 0.5), F.floor("t"), F.floor(F.col("t") + 0.5)))).alias("sec"))
+    moves = spread.groupBy("clip", "sec", "person").agg(F.var_pop("mouth").alias("v"), F.count("mouth").alias("n")).filter((F.col("n") >= 2) & (F.col("v") > still))
+    best = moves.groupBy("clip", "sec").agg(F.max_by("person", F.struct("v", -F.col("person"))).alias("best"))
+    w = Window.partitionBy("clip").orderBy("sec")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    filled = seconds.join(best, ["clip", "sec"], "left").withColumn(
+        "person", F.coalesce(F.last("best", ignorenulls=True).over(back), F.first("best", ignorenulls=True).over(ahead))
+    )
+    turns = runs(filled.filter("person is not null"), ["clip"], "sec", "person").join(clips, "clip")
+    timed = F.struct(F.col("first").cast("double").alias("a"), F.least(F.col("last") + 1.0, "duration_s").alias("b"), "person")
+    lists = turns.groupBy("clip").agg(F.array_sort(F.collect_list(timed)).alias("t"))
+
+    def join_short(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.struct(last["a"].alias("a"), x["b"].alias("b"), last["person"].alias("person")))
+        return F.when((F.size(out) > 0) & ((x["b"] - x["a"] < least_s) | (last["person"] == x["person"])), longer).otherwise(F.array_append(out, x))
+
+    def open_long(out: Column) -> Column:  # a short first turn joins the second
+        first, second = F.get(out, F.lit(0)), F.get(out, F.lit(1))
+        joined = F.struct(first["a"].alias("a"), second["b"].alias("b"), second["person"].alias("person"))
+        short = (F.size(out) > 1) & (first["b"] - first["a"] < least_s)
+        return F.when(short, F.concat(F.array(joined), F.slice(out, F.lit(3), F.greatest(F.lit(0), F.size(out) - 2)))).otherwise(out)
+
+    each = lists.select("clip", F.posexplode(F.aggregate("t", F.slice("t", F.lit(1), F.lit(0)), join_short, open_long)).alias("turn", "x"))
+    return each.select("clip", "turn", F.col("x.person").alias("person"), F.col("x.a").alias("start_s"), F.col("x.b").alias("end_s"))
+
+
+def tiled(segments: DataFrame, keys: list[str], duration: str) -> DataFrame:
+    """Segments (keys, start, end, duration) made to cover 0 to the duration: each ends where the next begins."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    first = F.row_number().over(w) == 1
+    kept = segments.filter(F.col("end") - F.col("start") > 0.01)
+    begun = kept.withColumn("_next", F.lead("start").over(w)).withColumn("start", F.when(first, 0.0).otherwise(F.col("start")))
+    return begun.withColumn("end", F.coalesce("_next", duration)).drop("_next")

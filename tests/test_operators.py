@@ -220,3 +220,106 @@ def test_layouts(spark):
     assert plan(faces(spark, (900.0, 100.0), (1050.0, 100.0))).layout == "together"
     assert plan(faces(spark, (1750.0, 120.0)), allow_split=True).layout == "split"
     assert plan(faces(spark, (1750.0, 120.0)).filter("false")).layout == "centre"
+
+
+def refined_by_hand(starts, ends, stops, first, last, least, most):
+    """The boundary rules as plain loops, without silences."""
+    n = len(stops)
+    a = max(0, min(first, n - 1))
+    b = max(a, min(last, n - 1))
+
+    def snap(index, tries, edge, stop_at, is_edge):
+        if is_edge(index):
+            return edge
+        for off in range(13):
+            for c in tries(index, off):
+                if is_edge(c):
+                    return edge
+                if 0 <= c < n and stop_at(c):
+                    return c
+        return index
+
+    a = snap(a, lambda i, o: (i - o, i + o), 0, lambda c: stops[c - 1], lambda c: c <= 0)
+    b = snap(b, lambda i, o: (i + o, i - o), n - 1, lambda c: stops[c], lambda c: c >= n - 1)
+    if b <= a:
+        return None
+    lasts = lambda k: ends[k] - starts[a]
+    if lasts(b) > most:
+        fits = [k for k in range(a + 1, b + 1) if lasts(k) <= most]
+        at_stop = [k for k in fits if stops[k]]
+        if not fits:
+            return None
+        b = max(at_stop or fits)
+    if lasts(b) < least:
+        for k in range(b + 1, n):
+            if lasts(k) > most:
+                break
+            if stops[k]:
+                b = k
+                if lasts(b) >= least:
+                    break
+    if not least <= lasts(b) <= most:
+        return None
+    start = max(0.0, starts[a] - 0.25)
+    return a, b, round(start, 6), round(min(ends[b] + 0.35, start + most), 6)
+
+
+def test_refined_boundaries_equal_loops(spark):
+    from quillspan.operators import boundaries
+
+    rng, rows, want = random.Random(7), [], {}
+    for d in range(12):
+        n = rng.randint(1, 120)
+        starts = [0.4 * k for k in range(n)]
+        ends = [s + 0.35 for s in starts]
+        stops = [rng.random() < (0.15 if d % 3 else 0.02) for _ in range(n)]
+        for _ in range(25):
+            first, last = rng.randint(-3, n + 2), rng.randint(-3, n + 5)
+            key = len(rows)
+            rows.append((key, first, last, starts, ends, stops))
+            want[key] = refined_by_hand(starts, ends, stops, first, last, 5.0, 12.0)
+    df = spark.createDataFrame(rows, "k int, first int, last int, starts array<double>, ends array<double>, stops array<boolean>")
+    none = F.expr("cast(array() as array<struct<start_s: double, end_s: double>>)")
+    c = boundaries.refine(F.col("first"), F.col("last"), F.col("starts"), F.col("ends"), F.col("stops"), none, 5.0, 12.0)
+    got = {r.k: r.c and (r.c["first"], r.c["last"], round(r.c.start_s, 6), round(r.c.end_s, 6)) for r in df.select("k", c.alias("c")).collect()}
+    assert got == want and any(want.values())
+
+
+def test_silences_pull_edges(spark):
+    from quillspan.operators import boundaries
+
+    quiet = F.array(*(F.struct(F.lit(a).alias("start_s"), F.lit(b).alias("end_s")) for a, b in ((1.0, 2.0), (5.0, 5.6))))
+    assert one(spark, boundaries.align_start(F.lit(2.1), quiet)) == pytest.approx(1.88)
+    assert one(spark, boundaries.align_end(F.lit(5.1), quiet)) == pytest.approx(5.28)
+    assert one(spark, boundaries.align_start(F.lit(9.0), quiet)) == 8.75 and one(spark, boundaries.align_end(F.lit(9.0), quiet)) == 9.35
+
+
+def test_filler_windows(spark):
+    from quillspan.operators import boundaries
+
+    rows = boundaries.filler_windows(boundaries.transcripts(talk(spark, 120)), 15.0, 40.0).orderBy("win").collect()
+    assert len(rows) > 5 and all(r.score <= 0.45 for r in rows)
+    assert all(a.end_s <= b.start_s for a, b in zip(rows, rows[1:]))  # noqa: B905
+
+
+def test_presentation(spark):
+    from quillspan.functions import presentation as p
+
+    dims = F.create_map(F.lit("hook"), F.lit(9.0), F.lit("payoff"), F.lit(8.0), F.lit("emotion"), F.lit(4.0))
+    assert one(spark, p.reasons(F.lit(0.9), dims, F.lit("ai"))) == [p.LOUD_REASON, p.REASONS["hook"], p.REASONS["payoff"]]
+    assert one(spark, p.hashtags(F.lit("clutch play"), F.lit("x"), F.lit("gaming"))) == ["#clutch", "#play", "#gaming", "#streamer", "#shorts"]
+    costs = F.create_map(F.lit("topic"), F.lit(0.1), F.lit("crowding"), F.lit(0.0))
+    assert one(spark, p.explain(F.lit(0.5), F.lit("scored"), costs)) == "quality 0.50 (scored), -0.10 topic"
+    assert one(spark, p.tagged(F.lit(3), F.lit("hi"), "s")) == "[s3] hi" and one(spark, p.tagged(F.lit(3), F.lit("hi"))) == "[3]hi"
+
+
+def test_speaker_turns(spark):
+    rows = []
+    for k in range(200):
+        t = k / 10
+        for person in (0, 1):
+            speaks = (t < 10) == (person == 0)
+            rows.append((1, person, t, 0.5 + (0.2 if k % 2 else -0.2) * speaks))
+    mouths = spark.createDataFrame(rows, "clip int, person int, t double, mouth double")
+    turns = series.speaker_turns(mouths, spark.createDataFrame([(1, 20.0)], "clip int, duration_s double")).orderBy("turn").collect()
+    assert [r.person for r in turns] == [0, 1] and turns[0].start_s == 0 and turns[-1].end_s == 20.0
