@@ -1,7 +1,8 @@
 """HTML extraction (operator 5): composite text density.
 
 A page becomes a small DOM. Elements that are never part of an article (menus, forms, scripts, notices,
-adverts, comments of readers; by tag, role, class or id) leave the tree first. For every other node the
+adverts, comments of readers; by tag, role, or a whole token of class or id) leave the tree first. One that
+holds a ``main`` or an ``article`` stays, but comments and asides only if the page has no other ``article``. For every other node the
 composite density is characters per tag, adjusted by how much of it is links; the density sum of a node
 is the sum over its children. From the node with the largest sum, the smallest density on its path to
 the body is the threshold; of the nodes under the body that reach it, the one with the largest sum is
@@ -46,6 +47,7 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
+    "body": ({"head"}, {"html"}),
 }
 # What an article never holds.
 DROPPED = frozenset(
@@ -53,46 +55,75 @@ DROPPED = frozenset(
     "textarea menu dialog title".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
-DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscri\w*|"
-    r"popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|widget|footer|comments?|comment-?list|"
-    r"disqus|replies|respond|related|recommended|share|sharing|social|toolbar|pagination|pager|skip-link)(?:$|[\s_-])",
-    re.I,
+#: Whole class tokens or ids: a name, or names, with usual parts before and after it. Words of a layout (has-sidebar,
+#: content-sidebar-wrap, page--no-nav) are none.
+_NAME = (
+    r"(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscri\w*|popup|modal|nav|navbar|"
+    r"navigation|menu|breadcrumbs?|sidebar|side-bar|widget|footer|comments?|disqus|replies|respond|related|recommended|"
+    r"share|sharing|social|toolbar|pagination|pager|skip-link)"
 )
+_BEFORE = (
+    r"(?:\w+(?:-\w+)*__|(?:site|page|main|top|bottom|header|global|primary|secondary|mobile|desktop|sticky|fixed|post|posts|entry|"
+    r"article|user|reader|wp|google|display|blog|sub)[-_])?"
+)
+_AFTER = (
+    r"(?:--\w[\w-]*|[-_](?:list|area|section|box|block|bar|links?|buttons?|icons?|posts?|articles?|stories|items?|form|slot|unit|"
+    r"message|signup|label|placeholder|feed|thread|reply|top|bottom|left|right|main|primary|secondary|\d\w*))*"
+)
+DROPPED_NAMES = re.compile(rf"{_BEFORE}{_NAME}(?:[-_]{_NAME})*{_AFTER}", re.I)
+#: Of these, what has articles of others: readers' comments and links to more.
+CARDS = frozenset("aside noscript template".split())
+CARD_NAMES = re.compile(r"(?:^|[-_])(?:comments?|disqus|replies|respond|related|recommended)(?:$|[-_])", re.I)
+MAIN = ("article", "main")
+#: An element that would leave but for the article in it.
+KEPT = -1
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S
 )
-_NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_ROLE = re.compile(r"\brole\s*=\s*[\"']?([\w-]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "leaves", "holds", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, leaves: int = 0):
+        self.tag, self.parent, self.items, self.leaves = tag, parent, [], leaves
 
 
-def dropped(tag: str, attrs: str, inside_article: bool) -> bool:
+def dropped(tag: str, attrs: str, inside_article: bool) -> int:
+    """0: stays; 1: leaves, unless it holds an article; 2: leaves, unless it holds the only ones."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    if any(DROPPED_NAMES.search(" ".join(m.groups(""))) for m in _NAMES.finditer(attrs)):
-        return True
-    role = _ROLE.search(attrs)
-    return bool(role and role[1].lower() in DROPPED_ROLES or _HIDDEN.search(attrs))
+        return 1 + (tag in CARDS)
+    if not attrs or tag in ("html", "body", *MAIN):
+        return 0
+    named: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        named.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    names = [n for n in (*named.get("class", "").split(), *named.get("id", "").split()) if DROPPED_NAMES.fullmatch(n)]
+    role = named.get("role", "").lower().split()[:1]
+    if role == ["complementary"] or any(CARD_NAMES.search(n) for n in names):
+        return 2
+    hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or _NOT_SHOWN.search(named.get("style", ""))
+    return int(bool(names or hidden or role and role[0] in DROPPED_ROLES))
 
 
 def parse(page: str) -> Node:
     """The tree of a page without the elements that an article never holds."""
-    root = Node("#root", None)
-    node, skip, skipped_tag = root, 0, ""  # skip: open elements of skipped_tag below a dropped one
+    root = node = Node("#root", None)
     stack: list[str] = []
+    leaving: list[int] = []  # places in the stack of open elements that may leave
     at, articles = 0, 0
+
+    def close() -> None:
+        nonlocal node, articles
+        articles -= stack.pop() in MAIN
+        if leaving and leaving[-1] == len(stack):
+            leaving.pop()
+        node = node.parent
+
     for m in iter(lambda: _TAG.search(page, at), None):
-        if m.start() > at and not skip:
+        if m.start() > at:
             node.items.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -101,25 +132,14 @@ def parse(page: str) -> Node:
         if not closing and tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if tag in DROPPED or skip:
+            if tag in DROPPED:
                 continue
-        if skip:
-            if tag == skipped_tag and tag not in VOID:
-                skip += -1 if closing else 1
-                if skip:
-                    continue
-                continue
-            if not (closing and tag in ("body", "html", "article", "main") and tag in stack):
-                continue
-            skip = 0
         if closing:
-            if tag in stack:
+            # What opened around an element that may leave is not closed inside it.
+            if tag in (stack[leaving[-1] :] if leaving and tag not in ("body", "html", *MAIN) else stack):
                 while node.tag != tag:
-                    stack.pop()
-                    node = node.parent
-                stack.pop()
-                articles -= tag in ("article", "main")
-                node = node.parent
+                    close()
+                close()
             elif tag == "p":
                 node.items.append(Node("p", node))
             continue
@@ -129,24 +149,58 @@ def parse(page: str) -> Node:
             kinds, limits = CLOSES.get(tag, ((), ()))
         if kinds:
             up = node
-            while up.parent is not None and up.tag not in kinds and up.tag not in limits:
+            while up.parent is not None and up.tag not in kinds and up.tag not in limits and not up.leaves:
                 up = up.parent
             if up.tag in kinds:
                 while node is not up.parent:
-                    stack.pop()
-                    node = node.parent
-        if dropped(tag, m[3], articles > 0):
-            if tag not in VOID and tag not in RAW and not m[3].endswith("/"):
-                skip, skipped_tag = 1, tag
+                    close()
+        leaves = dropped(tag, m[3], articles > 0)
+        if leaves and (tag in VOID or tag in RAW or m[3].endswith("/")):
             continue
-        child = Node(tag, node)
+        child = Node(tag, node, leaves)
         node.items.append(child)
         if tag not in VOID and tag not in RAW:
+            if leaves:
+                leaving.append(len(stack))
             stack.append(tag)
             node = child
-            articles += tag in ("article", "main")
-    if at < len(page) and not skip:
+            articles += tag in MAIN
+    if at < len(page):
         node.items.append(page[at:])
+    return without_dropped(root)
+
+
+def without_dropped(root: Node) -> Node:
+    """What leaves is taken out; an element that holds a main or an article stays, or leaves if it holds others' articles."""
+    nodes = in_order(root)
+    text: set[Node] = set()
+    for n in reversed(nodes):
+        if any(c in text if isinstance(c, Node) else c.strip() for c in n.items):
+            text.add(n)
+        kinds = [c.holds for c in n.items if isinstance(c, Node)]
+        n.holds = max(2 * (n.tag == "main" and n in text), n.tag == "article" and n in text, *kinds, 0)
+    for n in nodes:
+        if n.leaves and n.holds >= n.leaves:
+            n.leaves = KEPT
+    cards = [n for n in nodes if n.leaves > 0 and n.holds]
+    while cards:
+        outside, todo = False, [root]
+        while todo and not outside:
+            n = todo.pop()
+            outside = n.tag == "article" and n in text
+            todo.extend(c for c in n.items if isinstance(c, Node) and c.leaves <= 0)
+        if outside:
+            break
+        seen: set[Node] = set()  # the only articles: the outermost of their holders stay
+        for n in nodes:
+            if n.parent in seen:
+                seen.add(n)
+            elif n.leaves > 0 and n.holds:
+                seen.add(n)
+                n.leaves = KEPT
+        cards = [n for n in cards if n.leaves > 0]
+    for n in nodes:
+        n.items = [c for c in n.items if isinstance(c, str) or c.leaves <= 0]
     return root
 
 
@@ -182,6 +236,18 @@ def measure(body: Node) -> list[Node]:
     return nodes
 
 
+def named(top: Node, *tags: str) -> list[Node]:
+    """The elements of these tags that hold text; those in an element kept for them only count with half of all text."""
+    found, todo = [], [(top, False)]
+    while todo:
+        n, kept = todo.pop()
+        kept = kept or n.leaves == KEPT
+        if n.tag in tags and n.chars and (not kept or 2 * n.chars >= top.chars):
+            found.append(n)
+        todo.extend((c, kept) for c in reversed(n.items) if isinstance(c, Node))
+    return found
+
+
 def main_subtree(root: Node) -> Node:
     nodes = in_order(root)
     body = next((n for n in nodes if n.tag == "body"), root)
@@ -198,10 +264,9 @@ def main_subtree(root: Node) -> Node:
         outer = up if up.tag in ("article", "main") else outer
         up = up.parent
     if outer is not None:
-        inner = [n for n in in_order(outer) if n.tag == "article"] if outer.tag == "main" else []
+        inner = named(outer, "article") if outer.tag == "main" else []
         return inner[0] if len(inner) == 1 else outer
-    named = [n for n in in_order(best) if n.tag in ("article", "main") and n.chars]
-    return max(named, key=lambda n: n.chars) if named else best
+    return max(named(best, *MAIN), key=lambda n: n.chars, default=best)
 
 
 def blocks(top: Node) -> list[str]:

@@ -74,3 +74,34 @@ def test_pages(spark):
     assert len(out) == 5 and all(r.n_chars == len(r.text) for r in out)
     assert [r.text for r in out if r.page_id in (1, 2)] == ["", ""]
     assert html_text.extract(df.filter("false")).count() == 0
+
+
+def test_layout_names_do_not_drop_a_page():
+    text = "Some words of the article go here, and on and on."
+    for wrap in (
+        'class="content-sidebar-wrap"', 'class="layout has-sidebar"', 'class="col-md-8 no-sidebar"', 'class="page-with-nav"', 'id="nav-wrapper"',
+        'class="page--no-ads"', 'data-id="social"', 'title="the hidden cost of ads"', "data-class='ad' data-role='dialog'", 'class="sidebar"', "hidden",
+    ):
+        for tag in ("article", "main"):
+            assert html_text.main_text(f"<body><div {wrap}><{tag}><p>{text}</p></{tag}></div></body>") == text, (wrap, tag)
+        if wrap not in ('class="sidebar"', "hidden"):  # inside the article as well
+            assert html_text.main_text(f"<body><article><p {wrap}>{text}</p></article></body>") == text, wrap
+    for tag in ("form", "header", "aside", "nav"):
+        assert html_text.main_text(f"<body><{tag}><div><article><p>{text}</p></article></div></{tag}></body>") == text, tag
+    assert html_text.main_text(f"<html><head><meta charset=utf-8><body><p>{text}</p></body></html>") == text
+
+
+def test_dropped_names():
+    text = "Some words of the article go here, and on and on."
+    for junk in (
+        'class="ad"', 'class="x cookie-notice"', 'id="ad-300x250"', 'class="post__share"', 'class="site-footer"', 'class="sidebar--left"', "hidden",
+        'class="comment-list"', 'id="comments"', 'class="related-posts"', 'role="navigation"', 'style="color:red; display : none"', "aria-hidden=true",
+        "class=social-share-buttons", "class=newsletter-signup", 'class="nav-menu"',
+    ):
+        assert html_text.main_text(f"<body><article><p>{text}</p><div {junk}><p>Junk</p></div></article></body>") == text, junk
+    card = "<article><p>Another one, of some reader or a link to more, that may be longer than all</p></article>"
+    for more in (f"<div id=comments>{card}{card}</div>", f"<aside>{card}</aside>", f'<div class="related-posts">{card}</div>'):
+        assert html_text.main_text(f"<body><main><article><p>{text}</p></article>{more}</main></body>") == text, more
+        for around in ("main", "div"):
+            page = f"<body><{around}><div>{f"<p>{text}</p>" * 8}</div>{more}</{around}></body>"
+            assert text in html_text.main_text(page), page
