@@ -4,12 +4,15 @@ A page becomes a small DOM. Elements that are never part of an article (menus, f
 adverts, comments of readers; by tag, role, or a whole token of class or id) leave the tree first. One that
 holds a ``main`` or an ``article`` stays, but comments and asides only if the page has no other ``article``. For every other node the
 composite density is characters per tag, adjusted by how much of it is links; the density sum of a node
-is the sum over its children. From the node with the largest sum, the smallest density on its path to
-the body is the threshold; of the nodes under the body that reach it, the one with the largest sum is
-the main subtree. If it lies inside an ``article`` or ``main`` element, or holds just such elements
-among other things, that element is taken, so the heading stays with its text.
-
-All blocks of the subtree are returned in page order: character references decoded, white space in
+is the sum over its children that are blocks. From the node with the largest sum, the smallest density on its path to
+the body is the threshold; in every node under the body that reaches it, the subtree with the largest sum
+is content, and all of them are the text. As the density of a node without links grows with its size, nodes
+are also compared as if they had the size of the body, so a short section is not below a long one of the
+same make. What lies between content of one parent stays unless it is mostly links, and headings stay with
+what follows. If the node with the largest sum lies inside an ``article`` or ``main`` element, or holds just
+such elements among other things, that element is taken instead, so the heading stays with its text.
+
+All blocks of the text are returned in page order: character references decoded, white space in
 a block turned into one blank, blocks joined by a newline.
 
 Defined results: null or empty html gives an empty text; a page without a body is its own body; repeated
@@ -75,6 +78,7 @@ DROPPED_NAMES = re.compile(rf"{_BEFORE}{_NAME}(?:[-_]{_NAME})*{_AFTER}", re.I)
 CARDS = frozenset("aside noscript template".split())
 CARD_NAMES = re.compile(r"(?:^|[-_])(?:comments?|disqus|replies|respond|related|recommended)(?:$|[-_])", re.I)
 MAIN = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 #: An element that would leave but for the article in it.
 KEPT = -1
 _TAG = re.compile(
@@ -85,7 +89,7 @@ _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "leaves", "holds", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "leaves", "holds", "block", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, leaves: int = 0):
         self.tag, self.parent, self.items, self.leaves = tag, parent, [], leaves
@@ -212,30 +216,92 @@ def in_order(root: Node) -> list[Node]:
     return nodes
 
 
+def count(n: Node) -> None:
+    kids = [c for c in n.items if isinstance(c, Node)]
+    n.block = n.tag not in INLINE or any(c.block for c in kids)
+    n.chars = sum(len("".join(c.split())) for c in n.items if isinstance(c, str)) + sum(c.chars for c in kids)
+    n.tags = len(kids) + sum(c.tags for c in kids)
+    link = n.tag == "a"
+    n.link_chars = n.chars if link else sum(c.link_chars for c in kids)
+    n.link_tags = (n.tags if link else sum(c.link_tags for c in kids)) + sum(c.tag == "a" for c in kids)
+
+
+def composite(n: Node, share: float, size: int = 0) -> float:
+    """The density of a node, or of one of the same make with so many characters."""
+    if not n.chars:
+        return 0.0
+    k = size / n.chars if size else 1
+    chars, link_chars, tags, link_tags = k * n.chars, k * n.link_chars, k * max(n.tags, 1), k * n.link_tags
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    ratio = chars / max(link_chars, 1) * tags / max(link_tags, 1)
+    # A page without links has base 1, for which the formula has no value; e stands in.
+    return chars / tags * math.log(max(ratio, 1.0)) / math.log(max(base, math.e) if base <= 1.001 else base)
+
+
 def measure(body: Node) -> list[Node]:
     """Densities and density sums of all nodes under the body."""
     nodes = in_order(body)
     for n in reversed(nodes):
-        kids = [c for c in n.items if isinstance(c, Node)]
-        n.chars = sum(len("".join(c.split())) for c in n.items if isinstance(c, str)) + sum(c.chars for c in kids)
-        n.tags = len(kids) + sum(c.tags for c in kids)
-        link = n.tag == "a"
-        n.link_chars = n.chars if link else sum(c.link_chars for c in kids)
-        n.link_tags = (n.tags if link else sum(c.link_tags for c in kids)) + sum(c.tag == "a" for c in kids)
+        count(n)
     share = body.link_chars / max(body.chars, 1)
     for n in nodes:
-        if not n.chars:
-            n.density = 0.0
-            continue
-        base = math.log(n.chars / max(n.chars - n.link_chars, 1) * n.link_chars + share * n.chars + math.e)
-        ratio = n.chars / max(n.link_chars, 1) * max(n.tags, 1) / max(n.link_tags, 1)
-        # A page without links has base 1, for which the formula has no value; e stands in.
-        n.density = n.chars / max(n.tags, 1) * math.log(max(ratio, 1.0)) / math.log(max(base, math.e) if base <= 1.001 else base)
+        n.density = composite(n, share)
     for n in nodes:
-        n.total = sum(c.density for c in n.items if isinstance(c, Node))
+        n.total = sum(c.density for c in n.items if isinstance(c, Node) and c.block)
     return nodes
 
 
+def pieces(n: Node) -> list[Node]:
+    """The blocks of a node; text and inline elements between two are one."""
+    out: list[Node] = []
+    for c in n.items:
+        if isinstance(c, Node) and c.block:
+            out.append(c)
+            continue
+        if not out or out[-1].tag != "#run":
+            out.append(Node("#run", n))
+        out[-1].items.append(c)
+    for c in out:
+        if c.tag == "#run":
+            count(c)
+    return [c for c in out if c.chars]
+
+
+def content(body: Node, nodes: list[Node], best: dict[Node, Node]) -> Node:
+    """The marked subtrees in page order, under one node."""
+    share = body.link_chars / max(body.chars, 1)
+    path, up = [], best[body]
+    while up is not None and up is not body.parent:
+        path.append(up)
+        up = up.parent
+    least, least_sized = (min(composite(n, share, size) for n in path) * (1 - 1e-9) for size in (0, body.chars))
+
+    def reaches(n: Node) -> bool:
+        return n.chars > 0 and (composite(n, share) >= least or composite(n, share, body.chars) >= least_sized)
+
+    whole = {best[n] for n in nodes if n.block and reaches(n)}
+    parts: dict[Node, list[Node]] = {}
+    for n in reversed(nodes):
+        if n in whole:
+            parts[n] = [n]
+        elif n.block:
+            of = pieces(n)
+            for c in of:
+                if c.tag == "#run" and reaches(c):
+                    parts[c] = [c]
+            given = [k for k, c in enumerate(of) if c in parts]
+            if not given:
+                continue
+            start = given[0]
+            while start and of[start - 1].tag in HEADINGS:
+                start -= 1
+            chosen = [parts.get(c, [c]) for c in of[start : given[-1] + 1] if c in parts or 2 * c.link_chars <= c.chars]
+            parts[n] = chosen[0] if len(chosen) == 1 else [x for p in chosen for x in p]
+    union = Node("#content", None)
+    union.items.extend(parts.get(body, ()))
+    return union
+
+
 def named(top: Node, *tags: str) -> list[Node]:
     """The elements of these tags that hold text; those in an element kept for them only count with half of all text."""
     found, todo = [], [(top, False)]
@@ -252,21 +318,20 @@ def main_subtree(root: Node) -> Node:
     nodes = in_order(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     nodes = measure(body)
-    top = max(nodes, key=lambda n: n.total)
-    path, up = [], top
-    while up is not None and up is not body.parent:
-        path.append(up)
-        up = up.parent
-    threshold = min(n.density for n in path)
-    best = max((n for n in nodes if n.density >= threshold), key=lambda n: n.total, default=body)
-    up, outer = best, None
+    best: dict[Node, Node] = {}  # of each block, the block in it with the largest sum
+    for n in reversed(nodes):
+        if n.block:
+            kids = [best[c] for c in n.items if isinstance(c, Node) and c.block]
+            best[n] = max([n, *kids], key=lambda c: c.total)
+    up, outer = best[body], None
     while up is not None:
-        outer = up if up.tag in ("article", "main") else outer
+        outer = up if up.tag in MAIN else outer
         up = up.parent
     if outer is not None:
         inner = named(outer, "article") if outer.tag == "main" else []
         return inner[0] if len(inner) == 1 else outer
-    return max(named(best, *MAIN), key=lambda n: n.chars, default=best)
+    articles = named(best[body], *MAIN)
+    return max(articles, key=lambda n: n.chars) if articles else content(body, nodes, best)
 
 
 def blocks(top: Node) -> list[str]:

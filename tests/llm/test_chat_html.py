@@ -105,3 +105,20 @@ def test_dropped_names():
         for around in ("main", "div"):
             page = f"<body><{around}><div>{f"<p>{text}</p>" * 8}</div>{more}</{around}></body>"
             assert text in html_text.main_text(page), page
+
+
+def test_all_sections_of_a_page_without_article():
+    groups = [[f"group {g} paragraph {k} " + "with some words of the text " * 7 for k in range(n)] for g, n in enumerate((10, 8, 5))]
+    lines = [" ".join(p.split()) for g in groups for p in g]
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Link number {k}</a></li>" for k in range(12)) + "</ul>"
+    for tag in ("section", "div"):
+        body = "".join(f"<{tag}>{''.join(f'<p>{p}</p>' for p in g)}</{tag}>" for g in groups)
+        for page in (f"<body>{body}</body>", f"<body><div>{body}</div></body>", f"<body>{links}<div>{body}</div>{links}</body>"):
+            assert html_text.main_text(page).split("\n") == lines, page[:60]
+    flat = [f"<h2>Head {k}</h2><div>{''.join(f'<p>{p}</p>' for p in g)}</div>{links}" for k, g in enumerate(groups)]
+    got = html_text.main_text(f"<body>{links}{''.join(flat)}</body>").split("\n")
+    assert [x for x in got if not x.startswith("Head")] == lines and [x for x in got if x.startswith("Head")] == ["Head 0", "Head 1", "Head 2"]
+    loose = "Text of its own, not in a paragraph but of the same length as these are, " * 3
+    assert loose.strip() in html_text.main_text(f"<body>{loose}{''.join(flat)}</body>")
+    bold = "A start in plain words and <b>bold <i>one</i> <i>two</i> <i>three</i></b> with an end"
+    assert html_text.main_text(f"<body><div><p>{bold}</p></div></body>") == "A start in plain words and bold one two three with an end"
