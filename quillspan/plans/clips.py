@@ -48,16 +48,20 @@ def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pick_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explanations, reasons and hashtags for labelled documents."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    """Explanations, reasons and hashtags for documents; those without a label are fallbacks."""
+    # The reference opens a caption with the first 15 words, the hook of a clip without one.
+    opening = F.regexp_replace(F.regexp_extract("text", r"^\s*((?:\S+\s+){0,14}\S+)", 1), r"\s+", " ")
+    written = table(spark, sf_dir, "documents").select(
+        "doc_id", "n_chars", F.array_join(presentation.hashtags(F.lit(None).cast("string"), F.col("text"), F.col("source")), " ").alias("tags"),
+        presentation.post_caption(opening, F.col("lang")).alias("caption"),
+    )
+    d = written.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     dims = F.create_map(F.lit("hook"), F.col("n_chars") % 11 * 1.0, F.lit("payoff"), F.col("n_chars") % 10 * 1.0, F.lit("emotion"), F.col("n_chars") % 9 * 1.0)
     penalties = F.create_map(F.lit("topic"), F.col("n_chars") % 4 / 20, F.lit("crowding"), F.col("n_chars") % 3 / 50)
     name = F.when(F.col("quality") == 1, "scored").otherwise("fallback")
     return d.select(
         "doc_id", presentation.explain(F.col("n_chars") % 100 / 100, name, penalties).alias("why"),
-        F.array_join(presentation.reasons(F.col("toxic") * 0.6, dims, name), "; ").alias("reasons"),
-        F.array_join(presentation.hashtags(F.lit(None).cast("string"), F.substring("text", 1, 60), F.col("source")), " ").alias("tags"),
-        presentation.post_caption(F.substring("text", 1, 80), F.col("lang")).alias("caption"),
+        F.array_join(presentation.reasons(F.col("toxic") * 0.6, dims, name), "; ").alias("reasons"), "tags", "caption",
     )
 
 

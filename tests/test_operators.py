@@ -323,3 +323,17 @@ def test_speaker_turns(spark):
     mouths = spark.createDataFrame(rows, "clip int, person int, t double, mouth double")
     turns = series.speaker_turns(mouths, spark.createDataFrame([(1, 20.0)], "clip int, duration_s double")).orderBy("turn").collect()
     assert [r.person for r in turns] == [0, 1] and turns[0].start_s == 0 and turns[-1].end_s == 20.0
+
+
+def test_pick_texts_of_whole_documents_with_and_without_labels(spark, tmp_path):
+    from quillspan.plans.clips import pick_texts
+
+    late = "and the " * 20 + "glacier"  # its only content word begins after 160 characters
+    docs = [(1, late, "en", "web", 10), (2, late, "de", "web", 20), (3, None, "en", "web", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in pick_texts(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1].tags.split()[0] == got[2].tags.split()[0] == "#glacier"
+    assert "(scored)" in got[1].why and "(fallback)" in got[2].why
+    assert got[2].caption == '"' + ("and the " * 8)[:-5] + '" · de'
