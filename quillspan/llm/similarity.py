@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bounded_batches, small_side, written
+from quillspan.llm.common import bounded_batches, small_side, text_struct, written
 from quillspan.llm.graph import components
 
 SHINGLE = 5
@@ -198,13 +198,19 @@ def _similar_size(a: str, b: str):
     return F.expr(f"100L * least({a}, {b}) >= {PERCENT}L * greatest({a}, {b})")
 
 
-def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, hint) -> DataFrame:
-    """The (a, b, na, nb) pairs that link: partial overlaps by fragment, summed."""
+def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, hint, nulls: bool) -> DataFrame:
+    """The (a, b, na, nb) pairs that link: partial overlaps by fragment, summed. ``nulls``: there are null doc_ids."""
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    ids = named.join(nodes, "fp", "left_semi").select(F.col("doc").alias("doc_id"))
+    sought = named.join(nodes, "fp", "left_semi")
+    ids = sought.filter("doc is not null").select(F.col("doc").alias("doc_id"))
     chosen = texts.join(small_side(ids), "doc_id", "left_semi")
     # Written without a shuffle; a repeated doc_id may give a set's parts twice, which the maximum evens out.
-    parts = written(chosen.select("text").mapInArrow(_parts(hint), "fp long, fragment int, tokens array<long>"))
+    cut = lambda rows: rows.select("text").mapInArrow(_parts(hint), "fp long, fragment int, tokens array<long>")
+    parts = cut(chosen)
+    if nulls:  # a set whose doc_ids are all null is found by its fingerprint
+        nameless = small_side(sought.filter("doc is null").select("fp"))
+        parts = parts.unionByName(cut(texts.filter("doc_id is null")).join(nameless, "fp", "left_semi").dropDuplicates(["fp", "fragment"]))
+    parts = written(parts)
     each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = parts.select(F.col("fp").alias("a"), "fragment", F.col("tokens").alias("x"))
     right = parts.select(F.col("fp").alias("b"), "fragment", F.col("tokens").alias("y"))
@@ -252,6 +258,11 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    return _classed(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """linked(), and each row's set and the root of its class; both are null where the set is empty."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -259,6 +270,7 @@ def linked(docs: DataFrame) -> DataFrame:
     sets = first.filter("n is not null").select("doc_id", "n", "fp")
     hint = spark.sparkContext.broadcast(_hint(first.filter("token is not null")))
     named = sets.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    nulls = not sets.filter("doc_id is null and fp is not null").isEmpty()
 
     # Sets by shared prefix shingle; shingles of one set only are gone.
     prefix = texts.select("text").mapInArrow(_prefixes(hint), "token long, fp long, place long")
@@ -271,7 +283,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
     sizes = sets.filter("fp is not null").groupBy("fp").agg(F.first("n").alias("n"))
     likely = written(_likely(_offers(shared), sizes))
-    linked_1 = written(_verified(texts, named, likely, hint))
+    linked_1 = written(_verified(texts, named, likely, hint, nulls))
     rows = written(_mixed(shared, components(linked_1)))
 
     # Exact pairs across the classes found so far.
@@ -295,7 +307,7 @@ def linked(docs: DataFrame) -> DataFrame:
         pick("fp_x", "fp").alias("a"), pick("fp", "fp_x").alias("b"), pick("n_x", "n").alias("na"), pick("n", "n_x").alias("nb"), more.alias("more")
     ).agg(F.count("*").alias("c"))
     exact = counted.filter("c >= more").drop("c", "more")
-    linked_2 = _verified(texts, named, written(exact), hint)
+    linked_2 = _verified(texts, named, written(exact), hint, nulls)
     roots = components(linked_1.unionByName(linked_2))
 
     # From sets to documents.
@@ -303,23 +315,42 @@ def linked(docs: DataFrame) -> DataFrame:
         "fp", "doc", F.coalesce("root", "fp").alias("root")
     )
     names = named_roots.groupBy("root").agg(F.min("doc").alias("component_id"))
-    by_set = named_roots.join(names, "root").select("fp", "component_id")
+    by_set = named_roots.join(names, "root").select("fp", "root", "component_id")
     return sets.join(by_set, "fp", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "fp", "root"
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies (the one with the least doc_id), with all its columns."""
-    found = written(linked(docs))
-    gone = found.filter("component_id != doc_id").select("doc_id").distinct()
-    left = docs.join(small_side(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    repeated = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
+    """One document of each group of near copies (the one with the least doc_id), with all its columns.
+
+    Rows of a null or repeated doc_id are told apart by their sets; of those with an empty set all stay.
+    """
+    found = written(_classed(docs))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    nulls, repeats = not found.filter("doc_id is null").isEmpty(), not repeated.isEmpty()
+    gone = found.filter("component_id != doc_id").select("doc_id")
+    gone = (gone.unionByName(repeated) if repeats else gone).distinct()
+    left = docs.filter("doc_id is not null").join(small_side(gone), "doc_id", "left_anti").select(*columns)
+    if not nulls and not repeats:
         return left
+
+    def prints():
+        def work(texts: list) -> list[list]:
+            return [[fingerprint(s) if len(s) else None for s in map(shingles, texts)]]
+
+        return work
+
     again = small_side(repeated)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    odd = lambda rows: rows.filter("doc_id is null").unionByName(rows.join(again, "doc_id", "left_semi").select(*rows.columns))
+    classes = odd(found).filter("fp is not null").select(
+        F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component")
+    ).distinct()
+    rows = odd(docs.select(*columns)).select(*columns, text_struct(prints, "fp long")(F.col("text"))["fp"].alias("_fp"))
+    of_classes = rows.join(small_side(classes), "_fp").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_component")))
+    first = of_classes.dropDuplicates(["_root"]).select(*columns)
+    return left.unionByName(first).unionByName(rows.filter("_fp is null").select(*columns))
 
 
 ORACLE_SQL = rf"""

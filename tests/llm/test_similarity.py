@@ -77,6 +77,26 @@ def test_odd_rows(odd, empty):
     assert len(ids) == len(set(ids)) and {8, 9, 10} <= set(ids)
 
 
+def test_repeated_and_null_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    rows = [
+        (3, a), (5, a), (5, b), (6, c), (6, d), (7, None), (7, ""),  # id 5 copies id 3 once; id 6 has two texts
+        (None, "x " + c), (None, e), (None, e), (None, None), (None, " "),
+    ]
+    p = " ".join(f"p{k}" for k in range(60))
+    rows += [(None, p), (None, p + " q"), (None, p + " q"), (9, "z " + b + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in similarity.linked(df.select("doc_id", "text")).collect()), key=repr)
+    assert got == brute(rows)
+    kept = similarity.deduplicated(df)
+    assert kept.columns == df.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    either = [r for r in left if r[1] in (p, p + " q")]
+    assert len(either) == 1  # near copies without any id are one group
+    want = [(3, a), (5, b), (6, c), (6, d), (7, None), (7, ""), (None, e), (None, None), (None, " ")]
+    assert sorted(set(left) - set(either), key=repr) == sorted(want, key=repr) and len(left) == len(want) + 1
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [tuple(rng.sample(range(200, 230), 2)) for _ in range(20)]
