@@ -1,21 +1,23 @@
 """Toxicity (operator 3): compression distance with zstandard dictionaries.
 
-Zstandard dictionaries are trained on ordinary and on toxic windows of text. A window is compressed
-twice: against the ordinary dictionary alone, and with the toxic ones in front of it. The bytes saved by the
-toxic matter are the window's evidence. Counts of windows over fixed savings, their sum and rate,
-and the length go into a calibrated logistic score.
+Two zstandard dictionaries are trained: one on the words of ordinary texts, one on those stretches of toxic texts that
+no ordinary text of the sample has. Every window of a text (``WINDOW`` words, one word further each time) is
+compressed with either; by how many bytes the toxic dictionary does better is the window's evidence. Counts
+and rates of windows at fixed thresholds of that difference, weighted by a calibrated logistic model, give the score.
 
-Windows are ``WINDOW`` words, lower-cased, in UTF-16: literals then cost two bytes a character while a
-match costs the same, so that even a short stem is worth a match. Few windows of a toxic text are toxic, so
-the toxic dictionary is trained again on the windows that it separates (each half of the texts judged
-by the dictionaries of the other), and further dictionaries on the texts that the first ones miss.
+A window is a few dozen bytes, so what a dictionary is worth lies in its matches alone: the dictionaries are used for
+their content, without their entropy tables, which would code the letters of either kind of text unequally; no match
+starts in the last bytes of an input, so a window ends with ``TAIL``. Training takes pieces of eight bytes, about a
+word's stem; the toxic dictionary is small, so only pieces that many toxic texts share get into it.
 
 Fitting: at most ``TOXIC_ROWS`` + ``ORDINARY_ROWS`` labelled texts of at most ``FIT_CHARS`` characters,
-picked by a hash of doc_id. Scoring: whole texts of all rows, with no shuffle.
+picked by a hash of doc_id; each half of the toxic texts is scored with dictionaries trained on the other half. What is held of them in
+the driver is 64-bit hashes of their stretches of ``STRETCH`` bytes. Scoring: whole texts of all rows, with no shuffle.
 
 Defined results: a null, empty or blank text has no windows and gets the score of no evidence; without
-labelled rows of both kinds every score is the share of toxic labels (0 without any). Repeated rows are
-scored each for itself; other columns play no part.
+labelled rows of both kinds every score is the share of toxic labels (0 without any). Of several labels of one
+doc_id the largest counts; equal texts get equal scores, so ties and repeated rows are scored each for itself. Very long texts are
+worked on window by window in slices. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,55 +32,79 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.common import bounded_batches, crc_mod, labelled_sample, text_struct
 
-WINDOW = 6
+WINDOW, STRETCH, SLICE = 3, 10, 4096
+TAIL = b"\n" * 10
 #: Rows and characters a row that fitting may take.
-TOXIC_ROWS, ORDINARY_ROWS, FIT_CHARS = 1000, 2000, 20_000
-#: Sizes of the dictionaries and samples for each.
-ORDINARY_BYTES, TOXIC_BYTES, SAMPLES = 112_000, 3000, 60_000
-BOOSTS, PASSES = 3, 3
-LEVEL, MIN_MATCH = 6, 7
+TOXIC_ROWS, ORDINARY_ROWS, FIT_CHARS = 1000, 2000, 10_000
+#: Sizes of the dictionaries, their pieces, and samples for each.
+ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_PIECE, PIECE, SAMPLES = 8000, 800, 16, 8, 200_000
+MIN_MATCH = 6
+#: Bytes by which the toxic dictionary must do better for a window to count.
+THRESHOLDS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 18])
 FOLDS = 5
+_MUL = np.uint64(0x100000001B3)
 
 
-def windows(text: str | None) -> list[bytes]:
-    words = (text or "").lower().split()
-    return [" ".join(words[k : k + WINDOW]).encode("utf-16-le") for k in range(0, len(words), WINDOW)]
+def padded(words: list[str]) -> bytes:
+    """Words between blanks, so that a short one fills a piece too."""
+    return f"  {'  '.join(words)}  ".encode()
+
+
+def windows(words: list[str]) -> list[bytes]:
+    last = max(1, len(words) - WINDOW + 1) if words else 0
+    return [f" {' '.join(words[k : k + WINDOW])} ".encode() + TAIL for k in range(last)]
+
+
+def stretch_hashes(line: bytes) -> np.ndarray:
+    """A hash of the ``STRETCH`` bytes from each place on."""
+    a = np.frombuffer(line, np.uint8).astype(np.uint64)
+    h = np.zeros(max(len(a) - STRETCH + 1, 0), np.uint64)
+    for k in range(STRETCH if len(h) else 0):
+        h = h * _MUL + a[k : len(h) + k]
+    return h
 
 
-def train(samples: list[bytes], size: int) -> bytes:
-    """The content of a zstandard dictionary, in UTF-16."""
-    rows = sorted({s.decode("utf-16-le").encode() for s in samples})
+def unseen(line: bytes, seen: np.ndarray) -> list[bytes]:
+    """The distinct parts of a line all of whose stretches are not among the sorted ``seen``."""
+    h = stretch_hashes(line)
+    if len(seen) and len(h):
+        new = seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h
+    else:
+        new = np.ones(len(h), bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], new.astype(np.int8), [0]])))
+    return list(dict.fromkeys(line[a : b + STRETCH - 1] for a, b in edges.reshape(-1, 2)))
+
+
+def train(samples: list[bytes], size: int, piece: int) -> bytes:
+    """A zstandard dictionary; with too little to train on, the samples themselves."""
+    rows = sorted(samples)
     random.Random(0).shuffle(rows)
     rows = rows[:SAMPLES]
-    if sum(map(len, rows)) < 2000:  # too little to train on: the text itself
-        return b" ".join(rows)[-size:].decode(errors="ignore").encode("utf-16-le")
-    rows *= -(-1000 // len(rows))
     try:
-        found = zstandard.train_dictionary(size, rows).as_bytes()[200:]
-    except zstandard.ZstdError:
-        found = b" ".join(rows)[-size:]
-    return found.decode(errors="ignore").encode("utf-16-le")
+        return zstandard.train_dictionary(size, rows * -(-50 // len(rows)), k=piece, d=8).as_bytes()
+    except (zstandard.ZstdError, ZeroDivisionError):
+        return b" ".join(rows)[-size:]
 
 
-def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    settings = zstandard.ZstdCompressionParameters.from_level(
-        LEVEL, source_size=64, dict_size=len(content), min_match=MIN_MATCH,
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    settings = zstandard.ZstdCompressionParameters(
+        window_log=18, hash_log=16, chain_log=16, search_log=4, strategy=zstandard.STRATEGY_GREEDY, min_match=MIN_MATCH,
         write_checksum=0, write_content_size=0, write_dict_id=0,
     )
-    known = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known = zstandard.ZstdCompressionDict(dictionary.ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(dict_data=known, compression_params=settings)
 
 
-def savings(with_toxic, ordinary, rows: list[bytes]) -> np.ndarray:
-    a, b = with_toxic.compress, ordinary.compress
-    return np.array([len(b(w)) - len(a(w)) for w in rows], dtype=np.float64)
-
-
-def evidence(saved: np.ndarray) -> list[float]:
-    n, over = max(len(saved), 1), np.clip(saved - 2, 0, None).sum()
-    counts = [np.log1p((saved >= k).sum()) for k in (2, 3, 4, 5, 6, 8)]
-    return [1.0, *counts, np.log1p(over), np.log(n), np.log1p(30 * over / n), saved.max(initial=0)]
+def evidence(toxic, ordinary, text: str | None) -> list[float]:
+    """Counts and rates of the windows that the toxic dictionary shortens by each threshold, and the length."""
+    words = (text or "").lower().split()
+    counts, n = np.zeros(len(THRESHOLDS)), max(1, len(words) - WINDOW + 1) if words else 0
+    a, b = toxic.compress, ordinary.compress
+    for at in range(0, n, SLICE):
+        better = np.array([len(b(w)) - len(a(w)) for w in windows(words[at : at + SLICE + WINDOW - 1])])
+        counts += (better[:, None] >= THRESHOLDS).sum(0)
+    return [1.0, *np.log1p(counts), *np.log1p(100 * counts / max(n, 1)), np.log(max(n, 1))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> np.ndarray:
@@ -92,61 +118,44 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def fit(toxic: list[str], ordinary: list[str], share: float) -> tuple:
-    """(toxic content, ordinary content, weights) from labelled texts; ``share``: of toxic labels."""
+    """(toxic dictionary, ordinary dictionary, weights) from labelled texts; ``share``: of toxic labels."""
     if len(toxic) < 4 or len(ordinary) < 4:
         return b"", b"", [share]
-    tox, plain = [windows(t) for t in toxic], [windows(t) for t in ordinary]
-    seen = {w for d in plain for w in d}
-    fresh = []  # windows that ordinary texts or other toxic texts have too tell nothing
-    for d in tox:
-        fresh.append([w for w in dict.fromkeys(d) if w not in seen])
-        seen.update(d)
-    half = lambda rows, k: [w for i, d in enumerate(rows) if i % 2 == k for w in d]
-    base = [train(half(plain, k), ORDINARY_BYTES) for k in (0, 1)]
-    plain_by = [compressor(b) for b in base]
-    content, parts = [b"", b""], []
-    missed = fresh
-    for _ in range(BOOSTS):
-        if sum(map(bool, missed)) < 4:
-            break
-        chosen = missed
-        for _ in range(PASSES):
-            more = [train(half(chosen, k), TOXIC_BYTES) for k in (0, 1)]
-            tox_by = [compressor(more[k] + content[k] + base[k]) for k in (0, 1)]
-            s_tox = [savings(tox_by[1 - i % 2], plain_by[1 - i % 2], d) for i, d in enumerate(fresh)]
-            s_plain = [savings(tox_by[1 - i % 2], plain_by[1 - i % 2], d) for i, d in enumerate(plain)]
-            least = max(2.0, np.percentile(np.concatenate(s_plain), 99) + 1)
-            found = [[w for w, v in zip(d, s, strict=True) if v >= least] for d, s in zip(fresh, s_tox, strict=True)]
-            chosen = [c if m else [] for c, m in zip(found, missed, strict=True)]
-            if not any(chosen):
-                break
-        if not any(chosen):
-            break
-        content = [more[k] + content[k] for k in (0, 1)]
-        parts.insert(0, train([w for d in chosen for w in d], TOXIC_BYTES))
-        missed = [d if (s >= least).sum() < 2 else [] for d, s in zip(fresh, s_tox, strict=True)]
-    tox_by = [compressor(content[k] + base[k]) for k in (0, 1)]
-    scored = [savings(tox_by[1 - i % 2], plain_by[1 - i % 2], d) for i, d in [*enumerate(tox), *enumerate(plain)]]
-    x = np.array([evidence(s) for s in scored])
-    y = np.array([1.0] * len(tox) + [0.0] * len(plain))
-    weight = np.where(y == 1, share / len(tox), (1 - share) / len(plain)) * len(y)
+    split = lambda texts: [(t or "").lower().split() for t in texts]
+
+    def dictionaries(tox: list[str], plain: list[str]) -> tuple[bytes, bytes]:
+        rows = split(plain)
+        hashes = [np.unique(stretch_hashes(padded(r))) for r in rows]
+        seen = np.unique(np.concatenate(hashes))
+        fresh = [part for r in split(tox) for part in unseen(padded(r), seen)]
+        words = [padded([w]) for r in rows for w in dict.fromkeys(r)]
+        return train(fresh, TOXIC_BYTES, PIECE), train(words, ORDINARY_BYTES, ORDINARY_PIECE)
+
+    x, y = [], []
+    for k in (0, 1):  # what one half of the texts teaches judges the other
+        pair = [compressor(d) for d in dictionaries(toxic[k::2], ordinary[k::2])]
+        for label, texts in ((1.0, toxic[1 - k :: 2]), (0.0, ordinary[1 - k :: 2])):
+            x += [evidence(*pair, t) for t in texts]
+            y += [label] * len(texts)
+    x, y = np.array(x), np.array(y)
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
     mean, sd = x.mean(0), x.std(0) + 1e-9
     mean[0], sd[0] = 0, 1
     w = logistic((x - mean) / sd, y, weight, 0.5) / sd
     w[0] -= float(mean[1:] @ w[1:])
-    return b"".join(parts), train([w for d in plain for w in d], ORDINARY_BYTES), w.tolist()
+    return *dictionaries(toxic, ordinary), w.tolist()
 
 
 @lru_cache(maxsize=2)
 def _compressors(toxic: bytes, ordinary: bytes):
-    return compressor(toxic + ordinary), compressor(ordinary)
+    return compressor(toxic), compressor(ordinary)
 
 
 def score(model: tuple, text: str | None) -> float:
     toxic, ordinary, w = model
     if len(w) == 1:
         return w[0]
-    z = float(np.dot(evidence(savings(*_compressors(toxic, ordinary), windows(text))), w))
+    z = float(np.dot(evidence(*_compressors(toxic, ordinary), text), w))
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
