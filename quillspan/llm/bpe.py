@@ -24,6 +24,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from quillspan.llm.common import apply_struct, bounded_batches, text_struct
 
@@ -34,6 +35,38 @@ NONE = 1 << 60
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+def every_character() -> str:
+    """All of the planes that have letters or digits."""
+    return "".join(map(chr, (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000))))
+
+
+def beyond(kind: str) -> str:
+    """Ranges of characters that ``regex`` counts as of a kind, L or N, but the tokenizers library does not.
+
+    Both have tables of their own version of Unicode; those of the library count, and it is asked for them.
+    """
+    asked = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(every_character())
+    known = set().union(*(part for part, _ in asked))
+    ranges: list[list[int]] = []
+    for c in regex.findall(rf"\p{{{kind}}}", every_character()):
+        if c not in known:
+            if ranges and ord(c) == ranges[-1][1] + 1:
+                ranges[-1][1] += 1
+            else:
+                ranges.append([ord(c), ord(c)])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) or r"\U0010ffff"
+
+
+def other_lower_case() -> dict[int, str]:
+    """Characters whose lower case is not the same for Python as for the tokenizers library."""
+    lower, found, every = normalizers.Lowercase(), {}, every_character()
+    for k in range(0, len(every), 4096):
+        part = every[k : k + 4096]
+        if lower.normalize_str(part) != "".join(map(str.lower, part)):
+            found |= {ord(c): low for c in part if (low := lower.normalize_str(c)) != c.lower()}
+    return found
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -101,7 +134,10 @@ class Codec(dict):
         self.symbols = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+        letter, digit = rf"[\p{{L}}--[{beyond('L')}]]", rf"[\p{{N}}--[{beyond('N')}]]"
+        self.words = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|[^{_SPACE}{letter}{digit}]+")
+        self.lower = other_lower_case()
+        self.lowered = regex.compile("[" + "".join(map(chr, self.lower or [0xFFFF])) + "]")
         self.odd = regex.compile(rf"[{_SPACE}]+")
 
     def pieces(self, word: str) -> tuple[list[int], list[int]]:
@@ -121,6 +157,8 @@ class Codec(dict):
     def normal(self, text: str) -> str:
         """NFC, white space to one blank, each character to lower case by itself."""
         text = self.odd.sub(" ", unicodedata.normalize("NFC", text))
+        if not text.isascii() and self.lowered.search(text):
+            text = text.translate(self.lower)
         return text.replace("Σ", "σ").lower()  # no final form of sigma
 
     def encode_text(self, text: str | None) -> str:
