@@ -3,11 +3,12 @@
 Bytes are stored as 8-bit telephony samples in a WAV file at 8 kHz: mu-law, A-law or IMA ADPCM (two
 4-bit samples a byte, in blocks of 192 bytes behind a block header). Reading back gives the same bytes.
 For use the samples are expanded (lookup tables for both laws; ADPCM with numpy across all blocks of
-a batch, one step for each place in a block), resampled to 16 kHz and kept as 16-bit PCM in a WAV file.
+a batch, one step for each place in a block), resampled to 16 kHz and kept in a column of WAV files of 16-bit PCM.
 
 Defined results: a null text counts as empty; a payload is padded with blanks to a positive multiple of
 192 bytes; the codec of a row follows from its payload alone (crc32 modulo 3) unless one is named, so
-equal texts have equal values; other columns play no part.
+equal texts and repeated rows have equal values; very long texts are stored whole, and a batch has a bounded number of
+bytes; an empty table gives an empty one; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def stored(codec: str | None = None):
 
 
 def read_features():
-    """UDF: telephony WAV file to what it holds and how it sounds."""
+    """UDF: telephony WAV file to what it holds, how it sounds, and a WAV file of 16-bit PCM at 16 kHz."""
 
     def setup():
         def work(files: list) -> list[list]:
@@ -171,6 +172,7 @@ def read_features():
                         hashlib.sha256(file).hexdigest(),
                         f"tag={read_wav(file)[0]};n={len(pcm)};peak={big.max()};mean_abs={int(big.sum()) // len(pcm)};"
                         f"crossings={int(np.count_nonzero(signs[1:] != signs[:-1]))};pcm_crc32={zlib.crc32(pcm.tobytes())}",
+                        pcm_file(pcm),
                     )
                 )
             return [list(c) for c in zip(*rows, strict=True)]
@@ -179,15 +181,19 @@ def read_features():
 
     return text_struct(
         setup,
-        "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary",
     )
 
 
+def pcm_file(pcm: np.ndarray) -> bytes:
+    return wav(1, OUT_RATE, 16, 2, pcm.astype("<i2").tobytes())
+
+
 def pcm_files():
     """UDF: telephony WAV file to a WAV file of 16-bit PCM at 16 kHz."""
 
     def setup():
-        return lambda files: [[wav(1, OUT_RATE, 16, 2, pcm.astype("<i2").tobytes()) for _, pcm in expand(files)]]
+        return lambda files: [[pcm_file(pcm) for _, pcm in expand(files)]]
 
     return text_struct(setup, "file binary")
 
@@ -198,11 +204,18 @@ def with_media(df: DataFrame, text: Column, out: str = "media", codec: str | Non
     return df.withColumn(out, stored(codec)(text)["file"])
 
 
-def media_features(docs: DataFrame, codec: str | None = None) -> DataFrame:
-    """One row per document: sizes, digests and features read from the stored media."""
+def with_pcm(docs: DataFrame, codec: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, what the stored telephony file holds, and the column ``pcm`` of resampled WAV files."""
     media = with_media(
         docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")),
         F.col("text"),
         codec=codec,
     )
     return media.select("doc_id", "n_bytes", read_features()(F.col("media")).alias("_r")).select("doc_id", "n_bytes", "_r.*")
+
+
+def media_features(docs: DataFrame, codec: str | None = None) -> DataFrame:
+    """One row per document: sizes, digests and features read from the stored media, and size and digest of its PCM."""
+    return with_pcm(docs, codec).select(
+        "*", F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256")
+    ).drop("pcm")
