@@ -9,8 +9,7 @@ the body is the threshold; in every node under the body that reaches it, the sub
 is content, and all of them are the text. As the density of a node without links grows with its size, nodes
 are also compared as if they had the size of the body, so a short section is not below a long one of the
 same make. What lies between content of one parent stays unless it is mostly links, and headings stay with
-what follows. If the node with the largest sum lies inside an ``article`` or ``main`` element, or holds just
-such elements among other things, that element is taken instead, so the heading stays with its text.
+what follows. Tags like ``article`` have no say in the choice.
 
 All blocks of the text are returned in page order: character references decoded, white space in
 a block turned into one blank, blocks joined by a newline.
@@ -85,7 +84,6 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Node:
@@ -108,8 +106,7 @@ def dropped(tag: str, attrs: str, inside_article: bool) -> int:
     role = named.get("role", "").lower().split()[:1]
     if role == ["complementary"] or any(CARD_NAMES.search(n) for n in names):
         return 2
-    hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or _NOT_SHOWN.search(named.get("style", ""))
-    return int(bool(names or hidden or role and role[0] in DROPPED_ROLES))
+    return int(bool(names or role and role[0] in DROPPED_ROLES))
 
 
 def parse(page: str) -> Node:
@@ -302,18 +299,6 @@ def content(body: Node, nodes: list[Node], best: dict[Node, Node]) -> Node:
     return union
 
 
-def named(top: Node, *tags: str) -> list[Node]:
-    """The elements of these tags that hold text; those in an element kept for them only count with half of all text."""
-    found, todo = [], [(top, False)]
-    while todo:
-        n, kept = todo.pop()
-        kept = kept or n.leaves == KEPT
-        if n.tag in tags and n.chars and (not kept or 2 * n.chars >= top.chars):
-            found.append(n)
-        todo.extend((c, kept) for c in reversed(n.items) if isinstance(c, Node))
-    return found
-
-
 def main_subtree(root: Node) -> Node:
     nodes = in_order(root)
     body = next((n for n in nodes if n.tag == "body"), root)
@@ -323,15 +308,7 @@ def main_subtree(root: Node) -> Node:
         if n.block:
             kids = [best[c] for c in n.items if isinstance(c, Node) and c.block]
             best[n] = max([n, *kids], key=lambda c: c.total)
-    up, outer = best[body], None
-    while up is not None:
-        outer = up if up.tag in MAIN else outer
-        up = up.parent
-    if outer is not None:
-        inner = named(outer, "article") if outer.tag == "main" else []
-        return inner[0] if len(inner) == 1 else outer
-    articles = named(best[body], *MAIN)
-    return max(articles, key=lambda n: n.chars) if articles else content(body, nodes, best)
+    return content(body, nodes, best)
 
 
 def blocks(top: Node) -> list[str]:
