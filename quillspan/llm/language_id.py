@@ -8,12 +8,14 @@ least loss; a text whose two best codewords are nearly as good is flagged as amb
 Codes: all distinct splits of the languages into two sides for up to five languages, else random codewords of
 ten bits for each doubling of the number of languages, from a fixed seed.
 
-Fitting: at most ``ROWS`` labelled texts of at most ``FIT_CHARS`` characters over the ``LANGUAGES`` most
-frequent languages, picked by a hash of doc_id. Predicting: whole texts of all rows, with no shuffle.
+Fitting: every language with a labelled row is learned, from about ``ROWS`` labelled texts in all and ``LEAST`` of each
+language at the least, picked by a hash of doc_id. Whole texts of any length count; their profiles are computed in the tasks, and only those
+(16 KB each) reach the driver. Predicting: whole texts of all rows, with no shuffle.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is any text where no
-language could be learned; with one language learned every other text is that one. Repeated rows are
-judged each for itself; other columns play no part.
+language could be learned; with one language learned every other text is that one; of equal losses the language that comes first by
+name is predicted, and the text is flagged. Of several labels of one doc_id the largest counts. Repeated rows are
+judged each for itself; very long texts are profiled in slices; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bounded_batches, crc_mod, labelled_sample, text_struct
+from quillspan.llm.common import MOST_CHARS, bounded_batches, crc_mod, free_name, labelled_sample, text_struct
 
-ROWS, LANGUAGES, FIT_CHARS = 2000, 64, 10_000
+ROWS, LEAST = 2000, 5
 BITS = 12  # of the n-gram hash
 FOLDS = 5
 #: Scores of the two best codewords that are no further apart leave a text ambiguous.
@@ -65,23 +67,23 @@ def codewords(n: int) -> np.ndarray:
     best = None
     for _ in range(50):
         code = rng.choice([-1, 1], size=(n, bits))
-        far = min((a != b).sum() for a, b in itertools.combinations(code, 2))
+        far = (bits - (code @ code.T - 2 * bits * np.eye(n, dtype=int)).max()) // 2  # least distance of two codewords
         ok = (np.abs(code.sum(0)) < n).all()
         if ok and (best is None or far > best[0]):
             best = (far, code)
     return best[1]
 
 
-def fit(rows: list[tuple[str, str]]) -> dict | None:
-    """From (language, text) rows: languages, code, weights of the bits' classifiers and of the bits."""
+def fit(rows: list[tuple[str, bytes]]) -> dict | None:
+    """From (language, profile) rows: languages, code, weights of the bits' classifiers and of the bits."""
     names = sorted({y for y, _ in rows})
     if not names:
         return None
     if len(names) == 1:
         return {"names": names}
     c = np.empty((len(rows), 1 << BITS), dtype=np.float32)  # the one large array: 32 MB for 2000 rows
-    for k, (_, t) in enumerate(rows):
-        c[k] = profile(t)
+    for k, (_, p) in enumerate(rows):
+        c[k] = np.frombuffer(p, np.float32)
     place = {y: k for k, y in enumerate(names)}
     code = codewords(len(names))
     side = code[[place[y] for y, _ in rows]].astype(np.float32)
@@ -124,15 +126,17 @@ def predict(model: dict | None, texts: list[str | None]) -> tuple[list[str], lis
     return named, scores, close
 
 
+def _profiles():
+    return lambda texts: [[profile(t).astype(np.float32).tobytes() for t in texts]]
+
+
 def fit_from(docs: DataFrame) -> dict | None:
-    known = docs.filter((crc_mod("doc_id", FOLDS) != 0) & F.col("lang").isNotNull()).select("doc_id", F.col("lang").alias("label"))
-    common = [
-        r.label for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
-    ]
-    if not common:
-        return None
-    most = {y: max(1, ROWS // len(common)) for y in common}
-    return fit(labelled_sample(docs, known.filter(F.col("label").isin(common)), most, FIT_CHARS)[0])
+    bounded_batches(docs.sparkSession)
+    known = docs.select("doc_id", F.col("lang").alias("label")).filter((crc_mod("doc_id", FOLDS) != 0) & F.col("label").isNotNull())
+    names = [r.label for r in known.select("label").distinct().collect()]
+    most = dict.fromkeys(names, max(LEAST, ROWS // max(len(names), 1)))
+    profiles = text_struct(_profiles, "p binary")(F.col("text"))["p"]
+    return fit([(y, bytes(p)) for y, p in labelled_sample(docs, known, most, MOST_CHARS, [profiles])[0]]) if names else None
 
 
 def with_language(docs: DataFrame, model: dict | None, out: str) -> DataFrame:
@@ -155,8 +159,6 @@ def languages(docs: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents in a language that was learned and not ambiguous, with all their columns."""
-    mark = "_lang"
-    while mark in docs.columns:
-        mark += "_"
+    mark = free_name("_lang", docs)
     r = with_language(docs, fit_from(docs), mark)
     return r.filter((F.col(f"{mark}.lang_pred") != UNKNOWN) & ~F.col(f"{mark}.ambiguous")).drop(mark)

@@ -5,12 +5,12 @@ grown over them; every path from a root to a node is a conjunctive rule. A logis
 penalty keeps few of the rules; those are compiled back into Spark column expressions, so scoring is one
 narrow projection over whole texts, with neither Python nor a shuffle.
 
-Fitting: at most ``ROWS`` labelled texts, half of each label as far as there are, of at most ``FIT_CHARS``
-characters, picked by a hash of doc_id; only their statistics reach the driver.
+Fitting: at most ``ROWS`` labelled texts, half of each label as far as there are, of any length, picked by a hash of
+doc_id; only their statistics reach the driver.
 
 Defined results: a null text counts as empty, whose statistics are all 0; without labelled rows of both
-kinds every score is the share of label 1 (0 without any). Repeated rows are scored each for itself;
-other columns play no part.
+kinds every score is the share of label 1 (0 without any); a score of just 0.7 is label 1. Of several labels of one doc_id the largest
+counts. Repeated rows are scored each for itself; very long texts are read whole; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.numbers import let
-from quillspan.llm.common import crc_mod, labelled_sample
+from quillspan.llm.common import MOST_CHARS, crc_mod, free_name, labelled_sample
 
-ROWS, FIT_CHARS = 4000, 100_000
+ROWS = 4000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 TREES, DEPTH, CUTS, LEAST = 40, 3, 24, 8
@@ -147,7 +147,7 @@ def compiled(model: tuple[float, list[tuple[float, tuple[Test, ...]]]], columns:
 
 def fit_from(docs: DataFrame, labels: DataFrame) -> tuple[float, list]:
     known = labels.filter((crc_mod("doc_id", FOLDS) != HELD_OUT) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
-    rows, counts = labelled_sample(docs, known, {1: ROWS // 2, 0: ROWS // 2}, FIT_CHARS, [statistics(F.col("text"))])
+    rows, counts = labelled_sample(docs, known, {1: ROWS // 2, 0: ROWS // 2}, MOST_CHARS, [statistics(F.col("text"))])
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     return fit(np.array([tuple(r[1]) for r in rows], dtype=float).reshape(len(rows), len(NAMES)), np.array([r[0] for r in rows], dtype=float), share)
 
@@ -168,7 +168,5 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents of predicted quality 1, with all their columns."""
-    mark = "_quality"
-    while mark in docs.columns:
-        mark += "_"
+    mark = free_name("_quality", docs)
     return with_score(docs, fit_from(docs, labels), mark).filter(F.col(mark) >= THRESHOLD).drop(mark)
