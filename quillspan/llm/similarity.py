@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bounded_batches, small_side, text_struct, written
+from quillspan.llm.common import bounded_batches, forget, free_name, small_side, text_struct, written
 from quillspan.llm.graph import components
 
 SHINGLE = 5
@@ -199,7 +199,10 @@ def _similar_size(a: str, b: str):
 
 
 def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, hint, nulls: bool) -> DataFrame:
-    """The (a, b, na, nb) pairs that link: partial overlaps by fragment, summed. ``nulls``: there are null doc_ids."""
+    """The pairs of a written table (a, b, na, nb) that link, written: partial overlaps by fragment, summed.
+
+    ``nulls``: there are null doc_ids. The table of pairs is deleted.
+    """
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     sought = named.join(nodes, "fp", "left_semi")
     ids = sought.filter("doc is not null").select(F.col("doc").alias("doc_id"))
@@ -219,7 +222,9 @@ def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, hint, nulls:
     )
     once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("both").alias("both"))
     total = once.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
-    return total.filter(F.expr(f"100L * both >= {PERCENT}L * (na + nb - both)")).select("a", "b")
+    links = written(total.filter(F.expr(f"100L * both >= {PERCENT}L * (na + nb - both)")).select("a", "b"))
+    forget(parts, pairs)
+    return links
 
 
 def _offers(shared: DataFrame) -> DataFrame:
@@ -283,8 +288,9 @@ def _classed(docs: DataFrame) -> DataFrame:
 
     sizes = sets.filter("fp is not null").groupBy("fp").agg(F.first("n").alias("n"))
     likely = written(_likely(_offers(shared), sizes))
-    linked_1 = written(_verified(texts, named, likely, hint, nulls))
+    linked_1 = _verified(texts, named, likely, hint, nulls)
     rows = written(_mixed(shared, components(linked_1)))
+    forget(shared)
 
     # Exact pairs across the classes found so far.
     # Of a linked pair, the first shingles up to the overlap it needs (and a few more) have at least as many in common
@@ -310,13 +316,16 @@ def _classed(docs: DataFrame) -> DataFrame:
     linked_2 = _verified(texts, named, written(exact), hint, nulls)
     roots = components(linked_1.unionByName(linked_2))
 
-    # From sets to documents.
-    named_roots = named.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "doc", F.coalesce("root", "fp").alias("root")
-    )
-    names = named_roots.groupBy("root").agg(F.min("doc").alias("component_id"))
-    by_set = named_roots.join(names, "root").select("fp", "root", "component_id")
-    return sets.join(by_set, "fp", "left").select(
+    # From sets to documents. Both sides of every join on a set or a class are tables, small or split by AQE where one is hot.
+    nodes = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    rooted = written(named.join(nodes, "fp"))
+    names = written(rooted.groupBy("root").agg(F.min("doc").alias("component_id")))
+    several = rooted.join(small_side(names), "root").select("fp", "root", "component_id")
+    by_set = written(
+        named.join(several, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+    )
+    forget(rows, linked_1, linked_2, rooted, names)
+    return sets.join(small_side(by_set), "fp", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "fp", "root"
     )
 
@@ -324,7 +333,8 @@ def _classed(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies (the one with the least doc_id), with all its columns.
 
-    Rows of a null or repeated doc_id are told apart by their sets; of those with an empty set all stay.
+    Rows of a null or repeated doc_id are told apart by their sets; of those with an empty set all stay. Of rows that are alike in
+    doc_id and set any one stays. Documents with unique ids are kept by an anti-join on the id, without reading their texts again.
     """
     found = written(_classed(docs))
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -342,15 +352,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
         return work
 
+    fp, root, component = (free_name(x, docs) for x in ("_fp", "_root", "_component"))
     again = small_side(repeated)
-    odd = lambda rows: rows.filter("doc_id is null").unionByName(rows.join(again, "doc_id", "left_semi").select(*rows.columns))
+    odd = lambda rows: rows.filter("doc_id is null").unionByName(rows.join(again, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in rows.columns)))
     classes = odd(found).filter("fp is not null").select(
-        F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component")
+        F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component)
     ).distinct()
-    rows = odd(docs.select(*columns)).select(*columns, text_struct(prints, "fp long")(F.col("text"))["fp"].alias("_fp"))
-    of_classes = rows.join(small_side(classes), "_fp").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_component")))
-    first = of_classes.dropDuplicates(["_root"]).select(*columns)
-    return left.unionByName(first).unionByName(rows.filter("_fp is null").select(*columns))
+    rows = odd(docs.select(*columns)).select(*columns, text_struct(prints, "fp long")(F.col("text"))["fp"].alias(fp))
+    of_classes = rows.join(small_side(classes), fp).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(component)))
+    first = of_classes.dropDuplicates([root]).select(*columns)
+    return left.unionByName(first).unionByName(rows.filter(F.col(fp).isNull()).select(*columns))
 
 
 ORACLE_SQL = rf"""
