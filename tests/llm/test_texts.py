@@ -51,7 +51,7 @@ def test_decontamination(spark, odd, empty):
 
 
 def test_spans_lead_back_to_the_original(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 20)  # several automata give the same
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 7)  # several automata give the same
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame([(1, "Ü! One, TWO three FOUR -- Six seven; eight nine Ten eleven.")], "doc_id long, text string")
     r = decontaminate.with_hits(docs, bench).first()
@@ -59,6 +59,34 @@ def test_spans_lead_back_to_the_original(spark, monkeypatch):
     assert r.hits["items"] == ["1"]
 
 
+def test_windows_of_long_and_repetitive_items(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda n, words: " ".join(rng.choice(words) for _ in range(n))
+    few, many = ["a", "b"], [f"w{k}" for k in range(50)]
+    items = [(k, text(rng.randint(1, 40), few if k % 2 else many)) for k in range(30)]
+    docs = [text(rng.randint(0, 120), few if k % 2 else many) + " " + items[k % 30][1] + " " + text(9, many) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for pieces, block in ((5000, 500_000), (4, 60)):
+        monkeypatch.setattr(decontaminate, "PIECE_WORDS", pieces)
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        for r in decontaminate.contamination(df, bench).collect():
+            n, hit, found = brute_hits(docs[r.doc_id], items)
+            assert (r.n_words, r.n_hit, r.items_sha256) == (n, hit, hashlib.sha256(",".join(found).encode()).hexdigest())
+
+
+def test_a_block_fits_a_worker():
+    """A million random words take some 250 MB, so a block of half a million fits beside all else in a worker."""
+    import resource
+
+    rng = random.Random(1)
+    pieces = [(str(k), " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(5000))) for k in range(20)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    finder = decontaminate.Finder(pieces)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 60  # MB for 100,000 words
+    assert finder.scan(pieces[3][1])[3] == ["3"]
+
+
 FUZZ = "abcdeé ßΣ'\n\t12!?<|>中▁😀́ İ\x1c "
 
 
@@ -83,6 +111,16 @@ def test_bpe_equals_the_library(odd, empty):
         assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_every_code_point_is_of_the_librarys_kind():
+    own, library = bpe.Codec(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    lines = [" ".join(f"a{c}1{c}!" for c in every[k : k + 2000]) for k in range(0, len(every), 2000)]
+    for line, found in zip(lines, library.encode_batch(lines, add_special_tokens=False), strict=True):
+        if own.encode_text(line) != " ".join(map(str, found.ids)):
+            wrong = [hex(ord(x[1])) for x in line.split(" ") if own.encode_text(x) != " ".join(map(str, library.encode(x, add_special_tokens=False).ids))]
+            raise AssertionError(wrong[:20])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abcdelnorst", min_size=1, max_size=120))
 def test_both_merge_loops_agree(word):
@@ -130,6 +168,8 @@ def test_media_round_trip(odd, empty):
             assert (r.n_bytes, r.payload_bytes) == (len(texts[r.doc_id]), len(payload))
             assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
             stored = media.store(payload, codec)
+            pcm = media.pcm_file(media.expand([stored])[0][1])
+            assert (r.pcm_bytes, r.pcm_sha256) == (len(pcm), hashlib.sha256(pcm).hexdigest())
             assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
