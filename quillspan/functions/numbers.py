@@ -69,6 +69,11 @@ def whole(value: Column) -> Column:
     )
 
 
+def text_of(value: Column, limit: int = 200) -> Column:
+    """A value as trimmed text of at most ``limit`` characters; null is empty."""
+    return F.substring(F.trim(F.coalesce(value.cast("string"), F.lit(""))), 1, limit)
+
+
 def proposals_per_window(duration_s: Column) -> Column:
     """About one a minute, 4 to 8."""
     return clamp(F.floor(duration_s / 60 + 0.5) + 2, F.lit(4).cast("long"), F.lit(8).cast("long"))
@@ -82,9 +87,3 @@ def filler_score(density: Column, silence: Column, text: Column) -> Column:
         - 0.1 * F.least(F.lit(1.0), silence * 2)
     )
     return half_up(clamp(score, 0.0, 0.45), 4)
-
-
-def remaining_s(elapsed: Column, gained: Column, progress: Column) -> Column:
-    """Seconds left at the pace so far; null until enough is known, and 60 at least."""
-    left = F.greatest(F.lit(60.0), elapsed / gained * (1 - progress))
-    return F.when((gained >= 0.03) & (elapsed >= 20), left)

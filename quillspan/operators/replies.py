@@ -1,12 +1,17 @@
-"""Model replies: first object, salvage of cut-off lists, and contracts over their items.
+"""Model replies: first object, salvage of cut-off lists, and what a list of items must keep to.
 
-Finding an object needs a scan that knows strings and escapes; that is one small Arrow function per text. All else is
-column expressions over maps of strings, so that odd types in a reply never fail a query.
+Finding an object needs a scan that knows strings and escapes; that is one small Arrow function, which reads a reply once
+and salvages only where the object lacks its list. All else is column expressions over maps of strings, so that odd
+types in a reply never fail a query.
+
+Deviations: reasoning blocks may also be tagged ``thinking``; trailing commas are forgiven in salvaged items too, and a comma
+inside a string stays unless the object is unreadable without the repair.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,91 +22,128 @@ from quillspan.functions.numbers import clamp, unit, whole
 from quillspan.functions.text import strip_reasoning
 from quillspan.session import importable
 
-ITEM = "array<map<string,string>>"
-
-
-def _objects(text: str) -> Iterator[str]:
-    """The balanced {...} parts of a text, outermost first, left to right."""
-    begin, depth, quoted, escaped = -1, 0, False, False
-    for at, c in enumerate(text):
-        if quoted:
-            quoted, escaped = not (c == '"' and not escaped), c == "\\" and not escaped
-        elif c == '"' and depth:
-            quoted = True
-        elif c == "{":
-            begin, depth = (at if not depth else begin), depth + 1
-        elif c == "}" and depth:
-            depth -= 1
+ITEM = "map<string,string>"
+PARSED = "struct<object: string, content_type: string, items: array<string>>"
+_MARK = re.compile(r'["{}]')
+_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+_TRAILING = re.compile(r",\s*([}\]])")
+
+
+def _balanced_end(text: str, begin: int) -> int:
+    """The place of the brace that closes the one at ``begin``, or -1."""
+    depth, at = 0, begin
+    while m := _MARK.search(text, at):
+        at = m.end()
+        if m[0] == '"':
+            quoted = _QUOTED.match(text, m.start())
+            if not quoted:
+                return -1
+            at = quoted.end()
+        else:
+            depth += 1 if m[0] == "{" else -1
             if not depth:
-                yield text[begin : at + 1]
+                return m.start()
+    return -1
 
 
-def _without_trailing_commas(text: str) -> str:
-    out: list[str] = []
-    quoted, escaped = False, False
-    for c in text:
-        if quoted:
-            quoted, escaped = not (c == '"' and not escaped), c == "\\" and not escaped
-        elif c == '"':
-            quoted = True
-        elif c in "]}":
-            kept = "".join(out).rstrip()
-            if kept.endswith(","):
-                out = [kept[:-1]]
-        out.append(c)
-    return "".join(out)
+def _no_constant(name: str):
+    raise ValueError(name)
 
 
 def _parsed(part: str) -> dict | None:
-    for text in (part, _without_trailing_commas(part)):
+    """A JSON object; where that is unreadable, without its trailing commas."""
+    for repair in (False, True):
         try:
-            found = json.loads(text)
-        except ValueError:
+            found = json.loads(_TRAILING.sub(r"\1", part) if repair else part, parse_constant=_no_constant)
+        except (ValueError, RecursionError):
             continue
         return found if isinstance(found, dict) else None
     return None
 
 
+def _first_object(text: str) -> dict | None:
+    """From every opening brace on: the balanced part, if it parses; else the next brace is tried."""
+    begin = text.find("{")
+    while begin >= 0:
+        end = _balanced_end(text, begin)
+        found = _parsed(text[begin : end + 1]) if end > begin else None
+        if found is not None:
+            return found
+        begin = text.find("{", begin + 1)
+    return None
+
+
 def first_object(text: str | None) -> str | None:
     """The first balanced object of a reply that parses, as JSON; trailing commas are forgiven."""
-    found = next((p for p in map(_parsed, _objects(text or "")) if p is not None), None)
+    found = _first_object(text or "")
     return None if found is None else json.dumps(found)
 
 
-def salvaged_items(text: str | None, keys: list[str]) -> str | None:
-    """The complete objects of the first list named by one of ``keys``, also where the reply breaks off."""
+def _salvaged(text: str, keys: list[str]) -> list[dict] | None:
+    """The complete objects of the first list named by one of ``keys``, up to its end, a broken item or the cut."""
     for key in keys:
-        at = (text or "").find(f'"{key}"')
-        opened = text.find("[", at) if at >= 0 else -1
-        if opened >= 0:
-            items = [p for p in map(_parsed, _objects(text[opened + 1 :])) if p is not None]
-            if items:
-                return json.dumps(items)
+        opened = re.search(rf'"{re.escape(key)}"\s*:\s*\[', text)
+        found, at = [], opened.end() if opened else -1
+        while at >= 0:
+            begin, closed = text.find("{", at), text.find("]", at)
+            if begin < 0 or 0 <= closed < begin:
+                break
+            end = _balanced_end(text, begin)
+            item = _parsed(text[begin : end + 1]) if end > 0 else None
+            if item is None:
+                break
+            found.append(item)
+            at = end + 1
+        if found:
+            return found
     return None
 
 
-def _arrow(f):
+def salvaged_items(text: str | None, keys: list[str]) -> str | None:
+    found = _salvaged(text or "", keys)
+    return None if found is None else json.dumps(found)
+
+
+def _read(text: str | None, keys: list[str]) -> dict | None:
+    """A reply's object with its list, else what can be salvaged, else its object without a list; null if malformed."""
+    text = text or ""
+    found = _first_object(text)
+    listed = next((k for k in keys if isinstance((found or {}).get(k), list)), None)
+    rows = found[listed] if listed else _salvaged(text, keys)
+    if rows is not None and not listed:
+        kind = re.search(r'"content_type"\s*:\s*"([^"]*)"', text)
+        found = {"content_type": kind and kind[1]}
+    if found is None:
+        return None
+    kind = found.get("content_type")
+    return {
+        "object": json.dumps(found), "content_type": None if kind is None else str(kind),
+        "items": None if rows is None else [json.dumps(x) for x in rows],
+    }
+
+
+def _arrow(f, kind: pa.DataType, sql: str):
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([f(v) for v in values.to_pylist()], pa.string())
+        return pa.array([f(v) for v in values.to_pylist()], kind)
 
     importable()
     run.__annotations__ = {"values": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "string")
+    return F.arrow_udf(run, sql)
 
 
 def object_of(reply: Column) -> Column:
-    return _arrow(first_object)(strip_reasoning(reply))
+    return _arrow(first_object, pa.string(), "string")(strip_reasoning(reply))
 
 
-def salvage(reply: Column, keys: list[str]) -> Column:
-    return _arrow(lambda t: salvaged_items(t, keys))(strip_reasoning(reply))
+def parsed(reply: Column, keys: list[str]) -> Column:
+    """object, content_type and items (JSON texts) of a reply, in one pass; null where it is malformed."""
+    kind = pa.struct([("object", pa.string()), ("content_type", pa.string()), ("items", pa.list_(pa.string()))])
+    return _arrow(lambda t: _read(t, keys), kind, PARSED)(strip_reasoning(reply))
 
 
 def items(reply: Column, keys: list[str]) -> Column:
     """The list of a reply as maps of strings: from its object, else from what can be salvaged; null if neither."""
-    whole_reply = object_of(reply)
-    of = lambda text, key: F.from_json(F.get_json_object(text, f"$.{key}"), ITEM)
-    return F.coalesce(*(of(whole_reply, k) for k in keys), F.from_json(salvage(reply, keys), ITEM))
+    return F.transform(parsed(reply, keys)["items"], lambda x: F.from_json(x, ITEM))
 
 
 def field(item: Column, *names: str) -> Column:
@@ -133,8 +175,9 @@ def known_only(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
 
 
 def coverage(got: Column, expected: Column, least: float) -> Column:
-    """ok, incomplete, or schema for nothing usable."""
-    return F.when(expected == 0, "ok").when(got == 0, "schema").when(got / expected < least, "incomplete").otherwise("ok")
+    """ok, incomplete, or schema for nothing usable (a null count is nothing)."""
+    n = F.coalesce(got, F.lit(0))
+    return F.when(expected == 0, "ok").when(n == 0, "schema").when(n / expected < least, "incomplete").otherwise("ok")
 
 
 def vote(rows: DataFrame, key: str, value: str, share: float, default: str) -> DataFrame:

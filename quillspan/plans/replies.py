@@ -45,7 +45,7 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reply_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _replies(spark, sf_dir).withColumn("object", replies.object_of(F.col("text")))
-    return r.select("user_id", "reply", F.get_json_object("object", "$.note").alias("note"), F.size(F.from_json(F.get_json_object("object", "$.candidates"), replies.ITEM)).alias("n"))
+    return r.select("user_id", "reply", F.get_json_object("object", "$.note").alias("note"), F.size(F.from_json(F.get_json_object("object", "$.candidates"), f"array<{replies.ITEM}>")).alias("n"))
 
 
 def reply_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +224,7 @@ QUERIES = {
         reply_salvage,
         f"""WITH {_ITEMS}, g AS (SELECT user_id, reply, max(asked) AS asked, count(*) FILTER (WHERE (user_id + reply) % 3 <> 0 OR pos < asked - 1) AS n
           FROM sized GROUP BY user_id, reply)
-        SELECT user_id, reply, CASE WHEN n > 0 THEN n END AS n, CASE WHEN n = 0 THEN NULL WHEN n / asked < 0.9 THEN 'incomplete' ELSE 'ok' END AS status FROM g""",
+        SELECT user_id, reply, CASE WHEN n > 0 THEN n END AS n, CASE WHEN n = 0 THEN 'schema' WHEN n / asked < 0.9 THEN 'incomplete' ELSE 'ok' END AS status FROM g""",
     ),
     "discovery_contract": (
         discovery_contract,

@@ -171,6 +171,27 @@ def test_replies():
     assert replies.first_object(cut) is None
     assert replies.salvaged_items(cut, ["clips", "candidates"]) == '[{"a": 1}, {"b": "]"}]'
     assert replies.first_object(None) is None and replies.salvaged_items(None, ["a"]) is None
+    assert replies.first_object('Use { to open. {"a": 1}') == '{"a": 1}'  # on to the next brace
+    beyond = '{"candidates": [{"a": 1}], "note": {"b": 2}, "c'
+    assert replies.salvaged_items(beyond, ["candidates"]) == '[{"a": 1}]'  # not past the end of the list
+    prose = 'the "candidates" list [{"x": 0}] is: "candidates": [{"a": 1}, {"b": }, {"c": 3}'
+    assert replies.salvaged_items(prose, ["candidates"]) == '[{"a": 1}]'  # a named list, up to a broken item
+    assert replies.first_object('{"a": NaN} {"b": 1}') == '{"b": 1}'
+    assert replies._read("nothing", ["a"]) is None and replies._read('{"b": 1}', ["a"])["items"] is None
+    cut_off = replies._read('{"content_type": "talk", "a": [{"x": 1}, {"y"', ["a"])
+    assert cut_off["items"] == ['{"x": 1}'] and cut_off["content_type"] == "talk"
+
+
+def test_reading_a_reply_takes_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        reply = '{"candidates": [' + '{"a": [1, 2,], "b": "x, ]"},' * n
+        began = time.perf_counter()
+        assert len(replies._salvaged(reply, ["candidates"])) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
 
 
 def test_wire(spark):
