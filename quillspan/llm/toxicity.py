@@ -1,7 +1,7 @@
 """Toxicity (operator 3): compression distance with zstandard dictionaries.
 
 Two zstandard dictionaries are trained: one on the words of ordinary texts, one on those stretches of toxic texts that
-no ordinary text of the sample has. Every window of a text (``WINDOW`` words, one word further each time) is
+no ordinary text of the sample has. Every window of a text (``WINDOW`` words, ``STEP`` words further each time, so that windows overlap) is
 compressed with either; by how many bytes the toxic dictionary does better is the window's evidence. Counts
 and rates of windows at fixed thresholds of that difference, weighted by a calibrated logistic model, give the score.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.common import bounded_batches, crc_mod, labelled_sample, text_struct
 
-WINDOW, STRETCH, SLICE = 3, 10, 4096
+WINDOW, STEP, STRETCH, SLICE = 3, 2, 10, 4096
 TAIL = b"\n" * 10
 #: Rows and characters a row that fitting may take.
 TOXIC_ROWS, ORDINARY_ROWS, FIT_CHARS = 1000, 2000, 10_000
@@ -51,8 +51,7 @@ def padded(words: list[str]) -> bytes:
 
 
 def windows(words: list[str]) -> list[bytes]:
-    last = max(1, len(words) - WINDOW + 1) if words else 0
-    return [f" {' '.join(words[k : k + WINDOW])} ".encode() + TAIL for k in range(last)]
+    return [f" {' '.join(words[k : k + WINDOW])} ".encode() + TAIL for k in range(0, max(1, len(words) - WINDOW + STEP) if words else 0, STEP)]
 
 
 def stretch_hashes(line: bytes) -> np.ndarray:
@@ -99,11 +98,12 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 def evidence(toxic, ordinary, text: str | None) -> list[float]:
     """Counts and rates of the windows that the toxic dictionary shortens by each threshold, and the length."""
     words = (text or "").lower().split()
-    counts, n = np.zeros(len(THRESHOLDS)), max(1, len(words) - WINDOW + 1) if words else 0
+    counts, n = np.zeros(len(THRESHOLDS)), 0
     a, b = toxic.compress, ordinary.compress
-    for at in range(0, n, SLICE):
-        better = np.array([len(b(w)) - len(a(w)) for w in windows(words[at : at + SLICE + WINDOW - 1])])
+    for at in range(0, len(words), SLICE):
+        better = np.array([len(b(w)) - len(a(w)) for w in windows(words[at : at + SLICE + WINDOW - STEP])])
         counts += (better[:, None] >= THRESHOLDS).sum(0)
+        n += len(better)
     return [1.0, *np.log1p(counts), *np.log1p(100 * counts / max(n, 1)), np.log(max(n, 1))]
 
 
