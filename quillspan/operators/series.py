@@ -3,55 +3,73 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.numbers import let
 from quillspan.functions.spans import mean_difference
+from quillspan.session import importable
 
 # Fixed values of the smoothing filter: cutoff (Hz), its slope, dead zone (px), speed (px/s).
 MIN_CUTOFF, BETA, DEAD_ZONE, MAX_SPEED = 0.6, 0.02, 12.0, 260.0
+#: Variance of a mouth's opening below which nobody speaks.
+STILL = 0.0005
+#: Least difference of two pictures for a cut.
+CUT = 0.3
 
 
-def _alpha(cutoff: Column, dt: Column) -> Column:
+def _alpha(cutoff: float, dt: float) -> float:
     return 1 / (1 + 1 / (2 * math.pi * cutoff) / dt)
 
 
-def smooth(samples: Column) -> Column:
-    """An array of (t, v) smoothed: a speed-adaptive low-pass, then a dead zone and a speed limit. A fold in the row."""
-    null = F.lit(None).cast("double")
-    names = ["t", "raw", "value", "slope", "held"]
-    none = F.expr("cast(array() as array<struct<t: double, v: double>>)")
-    start = F.struct(*(null.alias(x) for x in names), none.alias("out"))
+class Smoother:
+    """A speed-adaptive low-pass, then a dead zone and a speed limit, over one series; five numbers of state."""
 
-    def step(s: Column, x: Column) -> Column:
-        dt = x["t"] - s["t"]
-        fresh = s["t"].isNull() | (dt <= 0)
-        slope_now = (x["v"] - s["raw"]) / dt
-        slope = F.when(fresh, s["slope"]).when(s["slope"].isNull(), slope_now).otherwise(
-            _alpha(F.lit(1.0), dt) * slope_now + (1 - _alpha(F.lit(1.0), dt)) * s["slope"]
-        )
+    def __init__(self) -> None:
+        self.t = self.raw = self.value = self.slope = self.held = None
 
-        def with_slope(d: Column) -> Column:
-            a = _alpha(MIN_CUTOFF + BETA * F.abs(d), dt)
-            return let(F.when(fresh, x["v"]).otherwise(a * x["v"] + (1 - a) * s["value"]), lambda v: with_value(d, v))
+    def __call__(self, t: float, v: float) -> float:
+        dt = t - self.t if self.t is not None else 0.0
+        if dt <= 0:
+            value = v
+        else:
+            now = (v - self.raw) / dt
+            a = _alpha(1.0, dt)
+            self.slope = now if self.slope is None else a * now + (1 - a) * self.slope
+            a = _alpha(MIN_CUTOFF + BETA * abs(self.slope), dt)
+            value = a * v + (1 - a) * self.value
+        if self.held is None:
+            self.held = value
+        elif abs(far := value - self.held) >= DEAD_ZONE:
+            self.held += math.copysign(min(abs(far), MAX_SPEED * max(1e-6, dt)), far)
+        self.t, self.raw, self.value = t, v, value
+        return self.held
 
-        def with_value(d: Column, v: Column) -> Column:
-            far, most = v - s["held"], MAX_SPEED * F.greatest(F.lit(1e-6), dt)
-            moved = s["held"] + F.signum(far) * F.least(F.abs(far), most)
-            held = F.when(s["held"].isNull(), v).when(F.abs(far) >= DEAD_ZONE, moved).otherwise(s["held"])
-            return let(
-                held,
-                lambda h: F.struct(
-                    x["t"].alias("t"), x["v"].alias("raw"), v.alias("value"), d.alias("slope"), h.alias("held"),
-                    F.array_append(s["out"], F.struct(x["t"].alias("t"), h.alias("v"))).alias("out"),
-                ),
-            )
 
-        return let(slope, with_slope)
+def smoothed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, t, v, ...) with v smoothed along t within a key.
 
-    return F.aggregate(samples, start, step, lambda s: s["out"])
+    Sorted rows stream through the tasks and only a key's state is carried, so no key is held, however long it is.
+    """
+    importable(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, Smoother()
+        for batch in batches:
+            out = []
+            names = batch.schema.names
+            columns = [batch.column(c).to_pylist() for c in (*keys, "t", "v")]
+            for *mine, t, v in zip(*columns, strict=True):
+                if mine != key:
+                    key, step = mine, Smoother()
+                out.append(step(t, v))
+            at = names.index("v")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.float64()), *batch.columns[at + 1 :]], names=names)
+
+    typed = rows.withColumn("t", F.col("t").cast("double")).withColumn("v", F.col("v").cast("double"))
+    return typed.repartition(*keys).sortWithinPartitions(*keys, "t", "v").mapInArrow(run, typed.schema)
 
 
 def cuts(frames: DataFrame, key: str, order: str, picture: str, least: float, scale: float = 255.0) -> DataFrame:
@@ -62,6 +80,16 @@ def cuts(frames: DataFrame, key: str, order: str, picture: str, least: float, sc
     return both.filter((F.col("diff") >= least) & (F.col("diff") > F.col("before") * 2.5)).select(key, order, "diff")
 
 
+def cut_times(frames: DataFrame, key: str, t: str, picture: str, least: float = CUT, scale: float = 255.0) -> DataFrame:
+    """key, at_s: the middle between two frames where the picture changes abruptly."""
+    w = Window.partitionBy(key).orderBy(t)
+    diff = frames.select(
+        key, ((F.lag(t).over(w) + F.col(t)) / 2).alias("at_s"), F.col(t).alias("_t"), mean_difference(F.col(picture), F.lag(picture).over(w), scale).alias("diff")
+    )
+    both = diff.withColumn("before", F.coalesce(F.lag("diff").over(Window.partitionBy(key).orderBy("_t")), F.lit(0.0)))
+    return both.filter((F.col("diff") >= least) & (F.col("diff") > F.col("before") * 2.5)).select(key, "at_s")
+
+
 def shots(edges: Column, duration: Column, least: float = 0.8) -> Column:
     """Array of (start, end) between sorted cuts; a shot under ``least`` seconds lengthens the one before."""
     all_edges = F.concat(F.filter(edges, lambda c: (c > 0) & (c < duration)), F.array(duration))
@@ -99,7 +127,7 @@ def interpolate(frames: Column, t: Column) -> Column:
     return F.coalesce(a["v"] + (b["v"] - a["v"]) * part, a["v"], b["v"])
 
 
-def speaker_turns(mouths: DataFrame, clips: DataFrame, least_s: float = 1.6, still: float = 0.0005) -> DataFrame:
+def speaker_turns(mouths: DataFrame, clips: DataFrame, least_s: float = 1.6, still: float = STILL) -> DataFrame:
     """Who speaks when: clip, turn, person, start_s, end_s.
 
     ``mouths``: clip, person, t, mouth; ``clips``: clip, duration_s. Per second, the person whose mouth moves most within

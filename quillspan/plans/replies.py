@@ -140,21 +140,23 @@ def shot_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smooth_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = F.struct((F.col("frame") * FRAME_S).alias("t"), ((F.col("db") + 100) * 10).alias("v"))
-    rows = energy(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(each)).alias("s"))
-    out = rows.select("user_id", F.posexplode(series.smooth(F.col("s"))).alias("i", "p"))
-    return out.select("user_id", "i", half_up(F.col("p.v"), 3).alias("v"))
+    rows = energy(spark, sf_dir).select("user_id", (F.col("frame") * FRAME_S).alias("t"), ((F.col("db") + 100) * 10).alias("v"), F.col("frame").cast("int").alias("i"))
+    return series.smoothed(rows, ["user_id"]).select("user_id", "i", half_up(F.col("v"), 3).alias("v"))
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as detections: two faces a frame that drift, in clips of 64 frames; every ninth clip has one face."""
-    e = table(spark, sf_dir, "events").select("event_id", "value")
+    """Events as detections: two faces a frame that drift, in clips of 64 frames; every ninth clip has one face, and in some mouths are seen."""
+    e = table(spark, sf_dir, "events").select("event_id")
     frame, clip = F.floor(F.col("event_id") / 2), F.floor(F.col("event_id") / 128)
     left = F.col("event_id") % 2 == 0
     rows = e.withColumn("clip", clip).withColumn("f", frame % 64).filter((F.col("event_id") % 2 == 0) | (clip % 9 != 0))
     x = F.when(left, 300 + F.col("f") % 7).otherwise(F.when(clip % 2 == 0, 1500).otherwise(500) + F.col("f") % 5)
+    talks = left == (F.col("f") < 16)
+    mouth = F.when(clip % 6 == 2, F.when(talks, (F.col("f") % 2) * 0.2).otherwise(0.1))
     one = lambda v: F.lit(v).cast("double")
-    return rows.select("clip", (F.col("f") / 3).alias("t"), x.cast("double").alias("x"), one(400).alias("y"), one(120).alias("w"), one(150).alias("h"))
+    return rows.select(
+        "clip", (F.col("f") / 3).alias("t"), x.cast("double").alias("x"), one(400).alias("y"), one(120).alias("w"), one(150).alias("h"), mouth.alias("mouth")
+    )
 
 
 def face_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,14 +164,42 @@ def face_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("clip", "track", "n", millis(F.col("span_s")).alias("span_ms"))
 
 
+def _shots(boxes: DataFrame) -> DataFrame:
+    """Pictures get bright after ten seconds, so that is a cut; for one frame later on they flicker, which is another."""
+    frames = boxes.select("clip", "t").distinct()
+    f = F.floor(F.col("t") * 3 + 0.5)
+    light = F.when(f < 30, 20).when(f == 50, 120).otherwise(220) + f % 3
+    pictures = frames.withColumn("picture", F.array(*(light.cast("double") for _ in range(4))))
+    return layout.shots_of(pictures, boxes.groupBy("clip").agg((F.max("t") + 1 / 3).alias("duration_s")))
+
+
 def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir)
-    length = boxes.groupBy("clip").agg((F.max("t") + 1 / 3).alias("d"))
-    shots = length.select("clip", F.posexplode(series.shots(F.array(F.lit(10.0), F.lit(10.5)), F.col("d"))).alias("shot", "s")).select(
-        "clip", "shot", "s.start", "s.end", F.floor((F.col("s.end") - F.col("s.start")) * 3).alias("samples")
-    )
-    p = layout.plan(layout.tracks(boxes), shots, 1920, 1080)
-    return p.select("clip", "shot", "layout", "faces", "locked", millis(F.col("crop_x")).alias("crop_x_1e3"), millis(F.col("top.x")).alias("top_x_1e3"))
+    p = layout.plan(layout.tracks(boxes), _shots(boxes), 1920, 1080)
+    return p.select(
+        "clip", "shot", millis(F.col("start")).alias("start_ms"), millis(F.col("end")).alias("end_ms"), "layout", "faces", "locked",
+        millis(F.col("crop_x")).alias("crop_x_1e3"), millis(F.col("top.x")).alias("top_x_1e3"),
+    )
+
+
+def speaker_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of shots that follow the speaker."""
+    boxes = _boxes(spark, sf_dir)
+    tracked, shots = layout.tracks(boxes), _shots(boxes)
+    turns = layout.speaker_segments(tracked, layout.plan(tracked, shots, 1920, 1080), shots)
+    return turns.select("clip", "shot", "turn", "track", millis(F.col("start")).alias("start_ms"), millis(F.col("end")).alias("end_ms"))
+
+
+def crop_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key frames of the crops on the left faces, a segment of eight seconds each, drifting in half of the clips."""
+    boxes = _boxes(spark, sf_dir).filter("x < 400")
+    moved = boxes.withColumn("x", F.when(F.col("clip") % 2 == 0, F.col("x") + F.col("t") * 40).otherwise(F.col("x")))
+    tracked = layout.tracks(moved)
+    segments = tracked.groupBy("clip", "track").agg(F.max("t").alias("_end")).select(
+        "clip", F.posexplode(F.sequence(F.lit(0), F.floor(F.col("_end") / 8).cast("int"))).alias("segment", "k"), "track"
+    ).select("clip", "segment", "track", (F.col("k") * 8.0).alias("start"), (F.col("k") * 8.0 + 8).alias("end"))
+    k = layout.keyframes(tracked, segments, 1920, 1080)
+    return k.groupBy("clip", "segment").agg(F.count("*").alias("frames"), millis(F.min("x")).alias("least_x_1e3"), millis(F.max("x")).alias("most_x_1e3"))
 
 
 def crop_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +244,19 @@ _UNIT = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN {0} > 10 THEN {0} /
 _TEN = "greatest(0.0::DOUBLE, least(10.0::DOUBLE, CASE WHEN {0} > 10 THEN {0} / 10.0::DOUBLE WHEN {0} > 0 AND {0} <= 1 AND {0} <> floor({0}) THEN {0} * 10 ELSE {0} END))"
 _K = "CAST(floor(({0}) * 1000 + 0.5) AS BIGINT)"
 
+_ALPHA = "(1 / (1 + 1 / (2 * pi() * {0}) / dt))"
+_BOXES = """b AS (SELECT event_id // 128 AS clip, event_id // 2 % 64 AS f, event_id % 2 AS side, event_id // 2 % 64 / 3 AS t,
+          CASE WHEN event_id % 2 = 0 THEN 300 + event_id // 2 % 64 % 7 WHEN event_id // 128 % 2 = 0 THEN 1500 + event_id // 2 % 64 % 5 ELSE 500 + event_id // 2 % 64 % 5 END AS x
+          FROM events WHERE event_id % 2 = 0 OR event_id // 128 % 9 <> 0
+        ), named AS (SELECT clip, side, row_number() OVER (PARTITION BY clip ORDER BY min(f), side) - 1 AS track FROM b GROUP BY clip, side)"""
+_SHOTS = """edges AS (
+          SELECT clip, max(f) AS top, (max(f) + 1) / 3 AS d FROM b GROUP BY clip
+        ), shots AS (
+          SELECT clip, 0 AS shot, 0.0::DOUBLE AS s, CASE WHEN top >= 30 THEN 59 / 6 ELSE d END AS e FROM edges
+          UNION ALL SELECT clip, 1, 59 / 6, CASE WHEN top >= 50 AND d - 99 / 6 >= 0.8 THEN 99 / 6 ELSE d END FROM edges WHERE top >= 30
+          UNION ALL SELECT clip, 2, 99 / 6, d FROM edges WHERE top >= 50 AND d - 99 / 6 >= 0.8
+        )"""
+
 QUERIES = {
     "reply_objects": (
         reply_objects,
@@ -294,9 +337,41 @@ QUERIES = {
         y AS (SELECT *, coalesce(lag(diff) OVER (PARTITION BY clip ORDER BY vec_id), 0) AS before FROM x)
         SELECT clip, vec_id FROM y WHERE diff >= 0.05 AND diff > before * 2.5""",
     ),
-    "smooth_series": (smooth_series, None),
-    "face_tracks": (face_tracks, None),
-    "layout_plan": (layout_plan, None),
+    "smooth_series": (
+        smooth_series,
+        f"""WITH RECURSIVE {ENERGY_SQL}, r AS (SELECT user_id, frame, frame * {FRAME_S}::DOUBLE AS t, (db + 100) * 10 AS v FROM energy), sm AS (
+          SELECT user_id, frame, t, v AS raw, v AS value, NULL::DOUBLE AS slope, v AS held FROM r WHERE frame = 0
+          UNION ALL
+          SELECT user_id, frame, t, v, value, slope, CASE WHEN abs(value - held) >= 12 THEN held + sign(value - held) * least(abs(value - held), 260 * greatest(1e-6, dt)) ELSE held END
+          FROM (SELECT *, {_ALPHA.format('(0.6::DOUBLE + 0.02::DOUBLE * abs(slope))')} * v + (1 - {_ALPHA.format('(0.6::DOUBLE + 0.02::DOUBLE * abs(slope))')}) * old AS value
+            FROM (SELECT user_id, frame, t, v, dt, old, held, CASE WHEN sl IS NULL THEN (v - raw) / dt ELSE {_ALPHA.format('1.0::DOUBLE')} * ((v - raw) / dt) + (1 - {_ALPHA.format('1.0::DOUBLE')}) * sl END AS slope
+              FROM (SELECT r.user_id, r.frame, r.t, r.v, r.t - sm.t AS dt, sm.value AS old, sm.held, sm.slope AS sl, sm.raw FROM sm JOIN r ON r.user_id = sm.user_id AND r.frame = sm.frame + 1)))
+        ) SELECT user_id, CAST(frame AS INT) AS i, floor(held * 1000 + 0.5) / 1000 AS v FROM sm""",
+    ),
+    "face_tracks": (
+        face_tracks,
+        f"""WITH {_BOXES} SELECT clip, track, count(*) AS n, CAST(floor((max(f) - min(f)) / 3 * 1000 + 0.5) AS BIGINT) AS span_ms
+        FROM b JOIN named USING (clip, side) GROUP BY clip, track HAVING max(f) - min(f) >= 1.5 OR count(*) >= 3""",
+    ),
+    "layout_plan": (
+        layout_plan,
+        f"""WITH {_BOXES}, {_SHOTS}, sampled AS (
+          SELECT s.clip, shot, s, e, greatest(1, count(DISTINCT f)) AS samples FROM shots s LEFT JOIN b ON b.clip = s.clip AND t >= s AND t < e GROUP BY ALL
+        ), people AS (
+          SELECT p.clip, shot, side, s, e, count(*) AS n, avg(x + 60) AS mx, min(x) AS l, max(x + 120) AS r, max(x) - min(x) AS spread
+          FROM sampled p JOIN b ON b.clip = p.clip AND t >= s AND t < e GROUP BY p.clip, shot, side, s, e, samples HAVING count(*) >= greatest(2, samples * 0.25)
+        ), sh AS (
+          SELECT clip, shot, count(*) AS faces, min(l) AS l, max(r) AS r, min(mx) AS low, min(spread) AS spread, min(n) AS n, max(n) AS most FROM people GROUP BY ALL
+        ), lay AS (
+          SELECT p.clip, p.shot, s, e, coalesce(faces, 0) AS faces, l, r, low, spread, n, CASE WHEN faces IS NULL THEN 'centre' WHEN faces = 1 THEN 'face' WHEN r - l <= 608 * 0.95::DOUBLE THEN 'together'
+            WHEN p.clip % 6 = 2 AND n >= 3 THEN 'speaker' ELSE 'stack' END AS layout FROM sampled p LEFT JOIN sh USING (clip, shot))
+        SELECT clip, shot, {_K.format('s')} AS start_ms, {_K.format('e')} AS end_ms, layout, faces,
+          CASE layout WHEN 'face' THEN spread < 12 OR n < 3 WHEN 'stack' THEN false WHEN 'speaker' THEN false ELSE true END AS locked,
+          {_K.format("CASE layout WHEN 'centre' THEN (1920 - 608) / 2 WHEN 'face' THEN greatest(0, least(1920 - 608, low - 304)) WHEN 'together' THEN greatest(0, least(1920 - 608, (l + r) / 2 - 304)) END")} AS crop_x_1e3,
+          {_K.format("CASE WHEN layout = 'stack' THEN greatest(0, least(1920 - 384, low - 192)) END")} AS top_x_1e3 FROM lay""",
+    ),
+    "speaker_layout": (speaker_layout, None),
+    "crop_keyframes": (crop_keyframes, None),
     "crop_sizes": (
         crop_sizes,
         """WITH p AS (SELECT DISTINCT p_size * 40 + 100 AS w, p_size * 7 % 50 * 20 + 200 AS h FROM part),

@@ -168,7 +168,8 @@ def test_replies():
     reply = '<think>{"a": 1}</think>```json\n{"x": {"y": "} \\" ,"}, "z": [1, 2,],}\n``` {"later": 1}'
     assert replies.first_object(reply.split("</think>")[1]) == '{"x": {"y": "} \\" ,"}, "z": [1, 2]}'
     cut = 'text {"content_type": "talk", "candidates": [{"a": 1}, {"b": "]"}, {"c": '
-    assert replies.first_object(cut) is None
+    assert replies.first_object(cut) == '{"a": 1}'  # the outer one never ends, so the next brace counts; the list is salvaged
+    assert replies._read(cut, ["candidates"])["items"] == ['{"a": 1}', '{"b": "]"}']
     assert replies.salvaged_items(cut, ["clips", "candidates"]) == '[{"a": 1}, {"b": "]"}]'
     assert replies.first_object(None) is None and replies.salvaged_items(None, ["a"]) is None
     assert replies.first_object('Use { to open. {"a": 1}') == '{"a": 1}'  # on to the next brace
@@ -217,9 +218,11 @@ def test_store(spark, tmp_path):
 def test_smoothing_and_shots(spark):
     rng = random.Random(5)
     points = [(k / 5, 500 + rng.choice([-6, 6]) * 1.0) for k in range(50)]
-    df = spark.createDataFrame([(points,)], "s array<struct<t: double, v: double>>")
-    out = [p.v for p in df.select(series.smooth(F.col("s")).alias("o")).first().o]
+    df = spark.createDataFrame([(k, *p) for p in points for k in (1, 2)], "k int, t double, v double").repartition(3)
+    out = [r.v for r in series.smoothed(df, ["k"]).filter("k = 2").orderBy("t").collect()]
     assert max(out) - min(out) < 12 and len(out) == 50
+    step = series.Smoother()
+    assert out == [step(*p) for p in points]
     shots = one(spark, series.shots(F.array(F.lit(5.0), F.lit(5.3)), F.lit(10.0)))
     assert [(s.start, s.end) for s in shots] == [(0.0, 5.3), (5.3, 10.0)]
     keys = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(v).alias("v")) for t, v in ((0.0, 0.0), (2.0, 10.0))))
