@@ -65,8 +65,22 @@ def bytes_label(n: Column) -> Column:
 def style(preset: Column, override: Column) -> Column:
     """A caption style: the preset's fields unless overridden; the size factor is kept between 0.7 and 1.5.
 
-    Both are structs with font, color, accent, size and margin; override's size is a factor.
+    Both are structs with font, color, accent, size and margin; override's size is a factor and its position (top, middle) sets the margin.
+    A preset without an accent never gets one.
     """
     pick = lambda name: F.coalesce(override[name], preset[name]).alias(name)
     size = preset["size"] * clamp(F.coalesce(override["size"], F.lit(1.0)), 0.7, 1.5)
-    return F.struct(pick("font"), pick("color"), preset["accent"].alias("accent"), size.alias("size"), pick("margin"))
+    margin = F.when(override["position"] == "top", 0.8).when(override["position"] == "middle", 0.42).otherwise(preset["margin"])
+    accent = F.when(preset["accent"].isNotNull(), F.coalesce(override["accent"], preset["accent"]))
+    return F.struct(pick("font"), pick("color"), accent.alias("accent"), size.alias("size"), margin.alias("margin"))
+
+
+def ago(seconds: Column) -> Column:
+    """just now, 5 min ago, 3 h ago, 2 d ago."""
+    part = lambda unit, name: F.concat(F.floor(seconds / unit).cast("string"), F.lit(f" {name} ago"))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, part(60, "min")).when(seconds < 86_400, part(3600, "h")).otherwise(part(86_400, "d"))
+
+
+def notes(parts: Column) -> Column:
+    """Distinct notes in order, joined."""
+    return F.array_join(F.array_distinct(F.filter(parts, lambda n: n != "")), "; ")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,15 @@ STOPWORDS = (
 ).split()
 
 
+#: Lower-case letters with marks, by decomposition, and the letters without them.
+_MARKED = {
+    c: bare
+    for c in map(chr, range(0xE0, 0x1F00))
+    if (bare := unicodedata.normalize("NFKD", c)[0]) != c and bare.isascii() and bare.isalnum() and c.islower()
+}
+MARKED, BARE = "".join(_MARKED), "".join(_MARKED.values())
+
+
 def tokens(text: Column) -> Column:
     """The words of a text; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
@@ -79,8 +90,9 @@ def srt_to_vtt(srt: Column) -> Column:
 
 
 def slug(name: Column, fallback: str = "clip", limit: int = 40) -> Column:
-    """Lower-case letters and digits with dashes between, for file names."""
-    s = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "-")
+    """Lower-case letters and digits with dashes between, for file names; letters with marks count without them."""
+    plain = F.translate(F.lower(F.coalesce(name, F.lit(""))), MARKED, BARE)
+    s = F.regexp_replace(F.regexp_replace(plain, r"\p{M}+", ""), "[^a-z0-9]+", "-")
     s = F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, limit)
     return F.when(s == "", fallback).otherwise(s)
 

@@ -117,33 +117,90 @@ def bound(then) -> Column:
     return let(F.struct("starts", "ends", "stops"), then)
 
 
+def silence_in(silences: Column, a: Column, b: Column) -> Column:
+    """Seconds of a span that are silent."""
+    each = F.transform(silences, lambda s: F.greatest(F.lit(0.0), F.least(b, s["end_s"]) - F.greatest(a, s["start_s"])))
+    return F.aggregate(each, F.lit(0.0), lambda t, x: t + x)
+
+
 def filler_windows(rows: DataFrame, least_s: float, most_s: float) -> DataFrame:
     """Sentence-bounded windows one after the other, with a plain score: doc_id, win, first, last, start_s, end_s, score.
 
+    ``rows``: ``transcripts`` and, if there, silences and avoid (picks whose time a window must not touch), arrays of (start_s, end_s).
     Every sentence start is refined by itself; a fold then takes those that begin after the last one taken.
     """
     target = min(most_s, max(least_s * 1.5, (least_s + most_s) / 3))
     none = F.expr("cast(array() as array<struct<start_s: double, end_s: double>>)")
+    given = lambda name: (F.coalesce(name, none) if name in rows.columns else none).alias(name)
+    rows = rows.select(*(c for c in rows.columns if c not in ("silences", "avoid")), given("silences"), given("avoid"))
 
     def windows(t: Column) -> Column:
         def window(k: Column) -> Column:
             guess = F.greatest(k + 1, count_upto(t["starts"], F.get(t["starts"], k) + target) - 1)
-            at = lambda last: refine(k, last, t["starts"], t["ends"], t["stops"], none, least_s, most_s)
+            at = lambda last: refine(k, last, t["starts"], t["ends"], t["stops"], t["silences"], least_s, most_s)
             return let(let(guess, at), lambda c: F.struct(F.get(t["starts"], k).alias("open_s"), c.alias("clip")))
 
         opens = F.filter(F.sequence(F.lit(0), F.size(t["stops"]) - 1), lambda k: (k == 0) | F.coalesce(F.get(t["stops"], k - 1), F.lit(False)))
         return F.filter(F.transform(opens, window), lambda x: x["clip"].isNotNull())
 
-    found = bound(windows)
+    found = let(F.struct("starts", "ends", "stops", "silences"), windows)
     kept0 = F.struct(F.lit(-1.0).alias("upto"), F.slice("found", F.lit(1), F.lit(0)).alias("out"))
 
     def step(s: Column, c: Column) -> Column:
         clip = c["clip"]
-        free = (c["open_s"] >= s["upto"]) & (clip["start_s"] >= s["upto"])
+        touched = F.exists("avoid", lambda p: (p["start_s"] < clip["end_s"]) & (clip["start_s"] < p["end_s"]))
+        free = (c["open_s"] >= s["upto"]) & (clip["start_s"] >= s["upto"]) & ~touched
         return F.when(free, F.struct(clip["end_s"].alias("upto"), F.array_append(s["out"], c).alias("out"))).otherwise(s)
 
     taken = rows.withColumn("found", found).withColumn("taken", F.aggregate("found", kept0, step, lambda s: s["out"]))
-    each = taken.select("doc_id", "tokens", F.posexplode("taken").alias("win", "c")).select("doc_id", "tokens", "win", "c.clip.*")
+    each = taken.select("doc_id", "tokens", "silences", F.posexplode("taken").alias("win", "c")).select("doc_id", "tokens", "silences", "win", "c.clip.*")
     text = F.array_join(F.slice("tokens", F.col("first") + 1, F.col("last") - F.col("first") + 1), " ")
-    density = half_up((F.col("last") - F.col("first") + 1) / F.greatest(F.lit(0.001), F.col("end_s") - F.col("start_s")), 3)
-    return each.select("doc_id", "win", "first", "last", "start_s", "end_s", filler_score(density, F.lit(0.0), text).alias("score"))
+    length = F.greatest(F.lit(0.001), F.col("end_s") - F.col("start_s"))
+    density = half_up((F.col("last") - F.col("first") + 1) / length, 3)
+    quiet = half_up(silence_in(F.col("silences"), F.col("start_s"), F.col("end_s")) / length, 3)
+    return each.select("doc_id", "win", "first", "last", "start_s", "end_s", filler_score(density, quiet, text).alias("score"))
+
+
+def normalised(transcripts: DataFrame, proposals: DataFrame, least_s: float, most_s: float) -> tuple[DataFrame, DataFrame]:
+    """Proposals (doc_id, id, first, last, prior) with boundaries, and the counters (doc_id, proposed, no_boundary, refined).
+
+    ``transcripts`` as for ``filler_windows``. A transcript and its proposals meet in one row.
+    """
+    none = F.expr("cast(array() as array<struct<start_s: double, end_s: double>>)")
+    quiet = F.coalesce("silences", none) if "silences" in transcripts.columns else none
+    lists = proposals.groupBy("doc_id").agg(F.collect_list(F.struct("id", "first", "last", "prior")).alias("_p"))
+    rows = transcripts.withColumn("silences", quiet).join(lists, "doc_id")
+
+    def offers(t: Column) -> Column:
+        clip = lambda p: refine(p["first"], p["last"], t["starts"], t["ends"], t["stops"], t["silences"], least_s, most_s)
+        return F.transform("_p", lambda p: F.struct(p.alias("p"), F.when(p["last"] > p["first"], clip(p)).alias("c")))
+
+    each = rows.select("doc_id", F.explode(let(F.struct("starts", "ends", "stops", "silences"), offers)).alias("o"))
+    report = each.groupBy("doc_id").agg(
+        F.count("*").alias("proposed"), F.count_if(F.col("o.c").isNull()).alias("no_boundary"), F.count_if(F.col("o.c").isNotNull()).alias("refined")
+    )
+    good = each.filter("o.c is not null").select("doc_id", F.col("o.p.id").alias("id"), F.col("o.p.prior").alias("prior"), "o.c.*")
+    return good, report
+
+
+def candidate_id(first: Column, last: Column) -> Column:
+    return F.format_string("c%d_%d", first, last)
+
+
+def trimmed(sentences: Column, first: Column, last: Column, move_first: Column, move_last: Column, starts: Column, ends: Column, silences: Column) -> Column:
+    """A clip's sentences first..last with moved edges, kept in bounds and in order: a struct (first, last, start_s, end_s).
+
+    ``sentences``: array of (first, last) words. Edges are aligned with silences again, without a limit of length; a move that would cross
+    the other edge is not made.
+    """
+    top = F.size(sentences) - 1
+    a, b = clamp(first + move_first, F.lit(0), top), clamp(last + move_last, F.lit(0), top)
+
+    def placed(p: Column) -> Column:
+        words = F.struct(F.get(sentences, p["a"])["first"].alias("x"), F.get(sentences, p["b"])["last"].alias("y"))
+        return let(words, lambda w: F.struct(
+            p["a"].alias("first"), p["b"].alias("last"), align_start(F.get(starts, w["x"]), silences).alias("start_s"), align_end(F.get(ends, w["y"]), silences).alias("end_s"),
+        ))
+
+    kept = F.when(a <= b, F.struct(a.alias("a"), b.alias("b"))).otherwise(F.struct(first.alias("a"), last.alias("b")))
+    return let(kept, placed)

@@ -87,6 +87,20 @@ def complement(spans: DataFrame, keys: list[str], start: str, end: str) -> DataF
     )
 
 
-def owner(mid: Column, starts: Column) -> Column:
-    """Index of the last of sorted ``starts`` that is not after ``mid``, at least 0."""
-    return F.greatest(F.lit(0), F.size(F.filter(starts, lambda s: s <= mid)) - 1)
+def shown_at(points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: str, end: str, value: str) -> DataFrame:
+    """``points`` with the ``value`` of the span that holds them: the last begun, if it has not ended; null between spans."""
+    marks = spans.select(*keys, start, F.struct(F.col(value).alias("v"), F.col(end).alias("e")).alias("_span"))
+    seen = as_of(points, marks, keys, t, start, "_span")
+    return seen.withColumn(value, F.when(F.col(t) < F.col("_span.e"), F.col("_span.v"))).drop("_span")
+
+
+def segment_at(points: DataFrame, segments: DataFrame, keys: list[str], t: str, start: str, value: str) -> DataFrame:
+    """``points`` with the ``value`` of the last segment begun; before the first one, of the first."""
+    first = segments.groupBy(*keys).agg(F.min_by(value, start).alias("_first"))
+    return as_of(points, segments, keys, t, start, value).join(first, keys, "left").withColumn(value, F.coalesce(value, "_first")).drop("_first")
+
+
+def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in order."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).filter("_place = 1").drop("_place")

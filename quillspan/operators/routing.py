@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Seconds that a model rests after a failure.
 REST_S = {"rate_limit": 60.0, "timeout": 240.0}
 REST_OTHER_S = 45.0
+STRIKES, ROTATED, MOST_WAIT_S, HEDGE_S = 2, 3, 150.0, 20.0
+BACKOFF_S, FATAL = [3.0, 8.0, 20.0, 40.0], ["auth", "not_configured", "bad_request", "too_large"]
 
 
 def eligible(models: DataFrame, capability: str, providers: DataFrame) -> DataFrame:
@@ -41,3 +43,83 @@ def call_stats(log: DataFrame, key: str) -> DataFrame:
         F.count("*").alias("calls"), F.count_if("failed").alias("failures"),
         F.max_by("id", F.when(~F.col("failed"), F.struct("at_s", "id"))).alias("last_ok"),
     )
+
+
+def availability(log: DataFrame) -> DataFrame:
+    """Each call of a log with why its model could not be used then: provider, model, quality, resting, or null.
+
+    ``log``: provider, model, capability, id, at_s, category (null: a success), retry_after. A provider that refuses the key and a model that is
+    gone stay out from then on; two invalid answers end a model's use for that capability; a rest lasts until it is over or
+    a success comes. First times come from partial aggregations over few providers and models; one window a model.
+    """
+    when = F.struct("at_s", "id")
+    off = lambda keys, category, name: log.filter(F.col("category") == category).groupBy(*keys).agg(F.min(when).alias(name))
+    known = log.join(F.broadcast(off(["provider"], "provider_auth", "_provider")), "provider", "left").join(off(["model"], "model_unavailable", "_model"), "model", "left")
+    before = Window.partitionBy("model").orderBy("at_s", "id").rowsBetween(Window.unboundedPreceding, -1)
+    pair = Window.partitionBy("model", "capability").orderBy("at_s", "id").rowsBetween(Window.unboundedPreceding, -1)
+    category = F.col("category")
+    rest = (
+        F.when(category.isNull(), 0.0).when(category.isin("provider_auth", "model_unavailable", "invalid"), None)
+        .otherwise(F.col("at_s") + rest_s(category, F.when(category != "timeout", F.col("retry_after"))))
+    )
+    resting = F.col("at_s") < F.coalesce(F.last(rest, ignorenulls=True).over(before), F.lit(0.0))
+    strikes = F.coalesce(F.sum((category == "invalid").cast("int")).over(pair), F.lit(0))
+    why = (
+        F.when(F.col("_provider") < when, "provider").when(F.col("_model") < when, "model").when(strikes >= STRIKES, "quality").when(resting, "resting")
+    )
+    return known.withColumn("why_not", why).drop("_provider", "_model")
+
+
+def rotated(models: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:
+    """The order in which asks (keys, capability, rotate) try models (model, capability, rank from 0): the first three turn by ``rotate``.
+
+    Models are few; their side is broadcast with its size bounded by the caller's registry.
+    """
+    sized = models.withColumn("_n", F.least(F.lit(ROTATED), F.count("*").over(Window.partitionBy("capability"))))
+    both = asks.join(F.broadcast(sized), "capability")
+    turned = F.pmod(F.col("rank") - F.col("rotate"), F.col("_n"))
+    return both.select(*keys, "capability", "model", F.when(F.col("rank") < F.col("_n"), turned).otherwise(F.col("rank")).cast("int").alias("place"))
+
+
+def routed(order: DataFrame, rests: DataFrame, keys: list[str], most_s: float = MOST_WAIT_S) -> DataFrame:
+    """Of each ask (keys, model, place, at_s) the model that answers: the first that does not rest, else the first to recover in time.
+
+    ``rests``: model, until_s. keys, model, wait_s; no model where none recovers within ``most_s``.
+    """
+    timed = order.join(F.broadcast(rests), "model", "left").withColumn("until_s", F.coalesce("until_s", F.lit(0.0)))
+    free = F.col("until_s") <= F.col("at_s")
+    best = timed.groupBy(*keys).agg(
+        F.min_by("model", F.when(free, F.col("place"))).alias("_now"),
+        F.min(F.when(~free, F.struct("until_s", "place", "model", "at_s"))).alias("_later"),
+    )
+    wait = F.col("_later.until_s") - F.col("_later.at_s")
+    late = F.col("_now").isNull() & (wait <= most_s)
+    return best.select(*keys, F.coalesce("_now", F.when(late, F.col("_later.model"))).alias("model"), F.when(F.col("_now").isNotNull(), 0.0).when(late, F.greatest(F.lit(1.0), wait)).alias("wait_s"))
+
+
+def raced(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """The winner of two attempts a request (keys, place 0 or 1, model, free, took_s, ok): keys, model, finish_s.
+
+    The second begins when the first fails, or after 20 s beside it if it is free; the first valid answer wins.
+    """
+    pick = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    two = attempts.groupBy(*keys).agg(*(pick(k, c).alias(f"{c}{k}") for k in (0, 1) for c in ("model", "free", "took_s", "ok")))
+    begins = F.when(F.col("free1") & (F.col("took_s0") > HEDGE_S), F.lit(HEDGE_S)).when(~F.col("ok0"), F.col("took_s0"))
+    first = F.when(F.col("ok0"), F.struct(F.col("took_s0").alias("finish_s"), F.lit(0).alias("place"), F.col("model0").alias("model")))
+    second = F.when(F.col("ok1") & begins.isNotNull(), F.struct((begins + F.col("took_s1")).alias("finish_s"), F.lit(1).alias("place"), F.col("model1").alias("model")))
+    best = F.array_min(F.filter(F.array(first, second), lambda x: x.isNotNull()))
+    return two.select(*keys, best["model"].alias("model"), best["finish_s"].alias("finish_s"))
+
+
+def repaired_calls(calls: DataFrame, repairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls (keys, output, valid) with the output of their one repair where the first was invalid: keys, output, tries, valid."""
+    second = repairs.select(*keys, F.col("output").alias("_o"), F.col("valid").alias("_v"))
+    both = calls.join(second, keys, "left")
+    again = ~F.col("valid") & F.col("_v").isNotNull()
+    return both.select(*keys, F.when(again, F.col("_o")).otherwise(F.col("output")).alias("output"), F.when(again, 2).otherwise(1).alias("tries"), (F.col("valid") | F.coalesce("_v", F.lit(False))).alias("valid"))
+
+
+def next_try(attempt: Column, category: Column, at_s: Column) -> Column:
+    """When a failed try (numbered from 0) is tried again: after 3, 8, 20 and 40 s; null after the fifth or where trying is of no use."""
+    wait = F.get(F.array(*(F.lit(x) for x in BACKOFF_S)), attempt)
+    return F.when(~category.isin(FATAL), at_s + wait)

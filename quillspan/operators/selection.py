@@ -22,6 +22,10 @@ TIER_ADJUST = {"judged_keep": 0.12, "judged_reject": -0.3, "fallback": -0.25, "d
 MAX_OVERLAP, DUPLICATE_IOU = 0.15, 0.4
 AGREEMENT, AGREEMENT_CAP = 0.03, 0.09
 TOPIC, SAME_TYPE, SAME_TYPE_CAP, CROWDING, CROWDING_S, ENERGY = 0.2, 0.03, 0.09, 0.05, 45.0, 0.06
+SAME_STORY, SAME_STORY_RISK, SURE = 0.4, 0.5, 0.75
+#: Likeness between which a pair is asked about, and pairs asked about at once.
+LIKE_LOW, LIKE_HIGH, ASKED_PAIRS = 0.12, 0.5, 24
+LINKS = "array<struct<id: bigint, p: double, flagged: boolean>>"
 
 
 def dimension_score(dims: Column) -> Column:
@@ -104,27 +108,70 @@ def shortlist(spans: DataFrame, keys: list[str], n: int) -> DataFrame:
     return spans.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
+def ambiguous_pairs(pool: DataFrame, keys: list[str], n: int, most: int = ASKED_PAIRS) -> DataFrame:
+    """keys, a, b, likeness: pairs of the 2n best of a key that do not overlap and are neither clearly alike nor different.
+
+    ``pool``: as for ``select``. Flagged pairs are known already. Of a key the first ``most`` in order of rank. At most 2n rows of a key
+    meet, which Spark's rank limit picks before the shuffle.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.desc("quality"), "start_s", "id")
+    links = F.col("links") if "links" in pool.columns else F.lit(None).cast(LINKS)
+    top = pool.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= 2 * n).withColumn("links", links)
+    side = lambda x: top.select(*keys, *(F.col(c).alias(f"{x}_{c}") for c in ("id", "rk", "start_s", "end_s", "words", "links")))
+    both = side("a").join(side("b"), keys).filter("a_rk < b_rk")
+    flagged = F.exists("a_links", lambda k: k["flagged"] & (k["id"] == F.col("b_id"))) | F.exists("b_links", lambda k: k["flagged"] & (k["id"] == F.col("a_id")))
+    like = jaccard(F.col("a_words"), F.col("b_words"))
+    apart = overlap_of_shorter(F.col("a_start_s"), F.col("a_end_s"), F.col("b_start_s"), F.col("b_end_s")) <= MAX_OVERLAP
+    open_pairs = both.withColumn("likeness", like).filter(apart & (F.col("likeness") >= LIKE_LOW) & (F.col("likeness") < LIKE_HIGH) & ~F.coalesce(flagged, F.lit(False)))
+    order = Window.partitionBy(*keys).orderBy("a_rk", "b_rk")
+    return open_pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"), "likeness")
+
+
+def with_links(pool: DataFrame, keys: list[str], risks: DataFrame) -> DataFrame:
+    """``pool`` with ``links``: what is known of a row and others, from risks (keys, a, b, p, flagged) either way round."""
+    one = lambda x, y: risks.select(*keys, F.col(x).alias("id"), F.struct(F.col(y).cast("bigint").alias("id"), F.col("p").cast("double").alias("p"), F.coalesce("flagged", F.lit(False)).alias("flagged")).alias("_l"))
+    lists = one("a", "b").unionByName(one("b", "a")).groupBy(*keys, "id").agg(F.collect_list("_l").alias("links"))
+    return pool.join(lists, [*keys, "id"], "left").withColumn("links", F.coalesce("links", F.expr(f"cast(array() as {LINKS})")))
+
+
 def select(pool: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """``n`` distinct, diverse spans per key from a shortlisted pool.
+    """Up to ``n`` distinct, diverse spans per key from a shortlisted pool; ``exactly`` fills up.
 
-    ``pool``: keys, id, start_s, end_s, quality, tier, kind, words. A span that a chosen one covers by more than
-    0.15 of the shorter is out; likeness of words, equal kinds and nearness to chosen ones cost points. Of equal
+    ``pool``: keys, id, start_s, end_s, quality, tier, kind, words and, if there, topics (words of the topic) and links (what is known of
+    it and others: id, risk p, flagged). Of rows with one id the best counts. A span that a chosen one covers by more than 0.15 of the
+    shorter is out; the same story as a chosen one, likeness of words or topics, equal kinds and nearness cost points. Of equal
     points the earlier wins. Ranked by quality with the tier's adjustment, without the penalties.
     """
-    row = F.struct((-F.col("quality")).alias("order"), "start_s", "id", "end_s", "quality", "tier", "kind", "words")
-    groups = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    topics = F.col("topics") if "topics" in pool.columns else F.expr("cast(array() as array<string>)")
+    links = F.col("links") if "links" in pool.columns else F.expr(f"cast(array() as {LINKS})")
+    row = F.struct(
+        (-F.col("quality")).alias("order"), "start_s", "id", "end_s", "quality", "tier", "kind", "words", topics.alias("topics"), links.alias("links")
+    )
+    first = Window.partitionBy(*keys, "id").orderBy(F.desc("quality"), "start_s")
+    unique = pool.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1")
+    groups = unique.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     r4 = lambda x: F.floor(x * 10_000 + 0.5) / 10_000
 
     def points(c: Column, chosen: Column) -> Column:
         most = lambda f: F.aggregate(chosen, F.lit(0.0), lambda s, p: F.greatest(s, f(p)))
-        topic = most(lambda p: TOPIC * F.least(F.lit(1.0), jaccard(c["words"], p["words"]) * 2))
+
+        def story(p: Column) -> Column:
+            known = F.filter(F.concat(F.filter(c["links"], lambda k: k["id"] == p["id"]), F.filter(p["links"], lambda k: k["id"] == c["id"])), lambda k: k["p"].isNotNull() | k["flagged"])
+            risk = F.aggregate(known, F.lit(0.0), lambda s, k: F.greatest(s, F.coalesce(k["p"], F.lit(0.0))))
+            same = F.exists(known, lambda k: k["flagged"]) | (risk >= SAME_STORY_RISK)
+            return F.when(same, SAME_STORY * F.greatest(risk, F.lit(SURE))).otherwise(0.0)
+
+        def like(p: Column) -> Column:
+            alike = F.greatest(jaccard(c["words"], p["words"]), jaccard(c["topics"], p["topics"]))
+            return TOPIC * F.least(F.lit(1.0), alike * 2)
+
         alike = F.size(F.filter(chosen, lambda p: (p["kind"] == c["kind"]) & (c["kind"] != "other"))) * SAME_TYPE
 
         def near(p: Column) -> Column:
             gap = F.greatest(p["start_s"] - c["end_s"], c["start_s"] - p["end_s"], F.lit(0.0))
             return F.when(gap < CROWDING_S, CROWDING * (1 - gap / CROWDING_S)).otherwise(0.0)
 
-        cost = r4(topic) + r4(F.least(alike, F.lit(SAME_TYPE_CAP))) + r4(most(near))
+        cost = r4(most(story)) + r4(most(like)) + r4(F.least(alike, F.lit(SAME_TYPE_CAP))) + r4(most(near))
         return c["quality"] + tier_adjust(c["tier"]) - cost
 
     def step(chosen: Column, _: Column) -> Column:
@@ -151,6 +198,21 @@ def select(pool: DataFrame, keys: list[str], n: int) -> DataFrame:
     return rows.select(*keys, "id", "start_s", "end_s", "quality", "tier", "final", F.row_number().over(w).alias("rank"))
 
 
+def exactly(pool: DataFrame, filler: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``n`` picks a key wherever there is room: keys with fewer from the pool choose again among pool and filler.
+
+    ``filler``: columns as ``pool``; filler that overlaps a key's picks at all is no help and leaves before. Keys without a pool
+    count as short.
+    """
+    picks = select(pool, keys, n)
+    counts = picks.groupBy(*keys).agg(F.count("*").alias("_n"), F.collect_list(F.struct("start_s", "end_s")).alias("_taken"))
+    full = counts.filter(F.col("_n") >= n).select(*keys)
+    free = ~F.exists("_taken", lambda p: (p["start_s"] < F.col("end_s")) & (F.col("start_s") < p["end_s"]))
+    spare = filler.join(full, keys, "left_anti").join(counts, keys, "left").filter(F.coalesce(free, F.lit(True))).select(*filler.columns)
+    again = pool.join(full, keys, "left_anti").unionByName(spare, allowMissingColumns=True)
+    return picks.join(full, keys, "left_semi").unionByName(select(again, keys, n))
+
+
 def best_boxes(boxes: DataFrame, keys: list[str], limit: float = 0.5) -> DataFrame:
     """Per frame, boxes by score; one goes if a kept one covers more than ``limit`` of the smaller of both."""
     row = F.struct((-F.col("score")).alias("order"), "x", "y", "w", "h")
