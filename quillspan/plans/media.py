@@ -256,7 +256,7 @@ QUERIES = {
         g AS (SELECT doc_id, e, e - {BEGIN_S}::DOUBLE - quiet AS total FROM d JOIN q USING (doc_id)),
         o AS (SELECT doc_id, idx, text, total, e, (sum(w) OVER r - w) / sum(w) OVER (PARTITION BY doc_id) * total AS a, sum(w) OVER r / sum(w) OVER (PARTITION BY doc_id) * total AS b
           FROM tw JOIN g USING (doc_id) WINDOW r AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING))
-        SELECT doc_id, idx, text, {_MS.format(f'{BEGIN_S}::DOUBLE + a + greatest(0, ceil((a - (1.5::DOUBLE - {BEGIN_S}::DOUBLE)) / 3))')} AS start_ms, {_MS.format(f'least(e, {BEGIN_S}::DOUBLE + b + greatest(0, ceil((b - (1.5::DOUBLE - {BEGIN_S}::DOUBLE)) / 3)))')} AS end_ms FROM o""",
+        SELECT doc_id, idx, text, {_MS.format(f'{BEGIN_S}::DOUBLE + a + greatest(0, ceil((a - (1.5::DOUBLE - {BEGIN_S}::DOUBLE)) / 3 - 1e-9::DOUBLE))')} AS start_ms, {_MS.format(f'least(e, {BEGIN_S}::DOUBLE + b + greatest(0, ceil((b - (1.5::DOUBLE - {BEGIN_S}::DOUBLE)) / 3 - 1e-9::DOUBLE)))')} AS end_ms FROM o""",
     ),
     "chunk_words": (
         chunk_words,
