@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.numbers import ten, text_of, unit, whole
+from quillspan.functions.numbers import let, ten, text_of, unit, whole
 from quillspan.functions.text import sentence_ref
 from quillspan.operators.replies import ITEM, coverage, field, parsed
 
@@ -81,10 +81,11 @@ def scoring(replies: DataFrame, known: DataFrame, keys: list[str]) -> tuple[Data
     item = F.col("item")
     nested = F.from_json(item["scores"], ITEM)
     source = F.when(item["scores"].startswith("{"), nested).otherwise(item)
-    read = e.withColumn("_s", source)
-    each = F.array(*(F.struct(F.lit(d).alias("key"), ten(F.col("_s")[d]).alias("value")) for d in DIMENSIONS))
-    dims = F.map_from_entries(F.filter(each, lambda x: x["value"].isNotNull()))
-    rows = read.select(
+    names = F.array(*(F.lit(d) for d in DIMENSIONS))
+    each = lambda m: F.transform(names, lambda d: let(m[d], lambda v: F.struct(d.alias("key"), ten(v).alias("value"))))
+    # The map is made once a row: names and values are bound before they are used.
+    dims = let(source, lambda m: F.map_from_entries(F.filter(each(m), lambda x: x["value"].isNotNull())))
+    rows = e.select(
         *keys, "pos", item["candidate_id"].alias("candidate_id"), dims.alias("dims"), unit(item["overall"]).alias("overall"),
         moment_type(item["moment_type"]).alias("kind"), text_of(item["topic"], 60).alias("topic"), text_of(item["title"], 80).alias("title"),
         F.when(is_boolean(F.col("json"), "self_contained"), item["self_contained"] == "true").alias("contained"),

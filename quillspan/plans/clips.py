@@ -35,10 +35,15 @@ def fallback_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as numbered lines for a prompt, long turns cut in the middle."""
+    """Conversations as numbered lines for a prompt, with whole turns."""
     c = table(spark, sf_dir, "conversations")
-    line = presentation.tagged(F.col("turn"), head_and_tail(F.col("text"), 300, 200, 80), "t")
-    return c.select("conv_id", "turn", line.alias("line"))
+    return c.select("conv_id", "turn", presentation.tagged(F.col("turn"), F.col("text"), "t").alias("line"))
+
+
+def abridged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginning and end of long documents, as a judge of finalists reads them; digests, as texts are long."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(head_and_tail(F.col("text"))).alias("digest"))
 
 
 def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +93,10 @@ def speaker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "refined_clips": (refined_clips, None),
     "fallback_windows": (fallback_windows, None),
-    "tagged_turns": (
-        tagged_turns,
-        """SELECT conv_id, turn, '[t' || turn || '] ' || CASE WHEN length(text) > 300 THEN substr(text, 1, 200) || ' … ' || right(text, 80) ELSE text END AS line
-        FROM conversations""",
+    "tagged_turns": (tagged_turns, "SELECT conv_id, turn, '[t' || turn || '] ' || text AS line FROM conversations"),
+    "abridged_documents": (
+        abridged_documents,
+        "SELECT doc_id, md5(CASE WHEN length(text) > 1320 THEN substr(text, 1, 900) || ' … ' || right(text, 400) ELSE text END) AS digest FROM documents",
     ),
     "size_labels": (
         size_labels,
@@ -101,6 +106,19 @@ QUERIES = {
           CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock FROM d""",
     ),
     "pick_texts": (pick_texts, None),
-    "box_choice": (box_choice, None),
+    "box_choice": (
+        box_choice,
+        """WITH RECURSIVE b AS (
+          SELECT user_id, event_id % 8 AS frame, event_id * 37 % 1000 AS x, event_id * 53 % 600 AS y, value AS v,
+            row_number() OVER (PARTITION BY user_id, event_id % 8 ORDER BY value DESC, event_id * 37 % 1000, event_id * 53 % 600) AS k FROM events
+        ), g AS (
+          SELECT user_id, frame, k, [{'x': x, 'y': y, 'v': v}] AS kept FROM b WHERE k = 1
+          UNION ALL
+          SELECT g.user_id, g.frame, o.k, CASE WHEN len(list_filter(kept, lambda p: greatest(0, 120 - abs(p.x - o.x)) * greatest(0, 120 - abs(p.y - o.y)) > 7200)) > 0 THEN kept
+            ELSE list_append(kept, {'x': o.x, 'y': o.y, 'v': o.v}) END
+          FROM g JOIN b o ON o.user_id = g.user_id AND o.frame = g.frame AND o.k = g.k + 1
+        ), l AS (SELECT * FROM g QUALIFY k = max(k) OVER (PARTITION BY user_id, frame))
+        SELECT user_id, frame, len(kept) AS n, CAST(list_sum(list_transform(kept, lambda p: CAST(floor(p.v * 1000 + 0.5) AS BIGINT))) AS BIGINT) AS score_1e3 FROM l""",
+    ),
     "speaker_turns": (speaker_turns, None),
 }

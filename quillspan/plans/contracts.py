@@ -137,6 +137,11 @@ def _status(usable: str, least: float) -> str:
       FROM asked a LEFT JOIN (SELECT user_id, reply, count(*) AS got FROM u GROUP BY ALL) g USING (user_id, reply))"""
 
 
+def _score(value: str, there: str = "event_id") -> str:
+    """A value on the scale of 0 to 1 in thousandths; null for a reply without usable rows (greatest and least skip nulls)."""
+    return f"CASE WHEN {there} IS NOT NULL THEN {_K.format(_UNIT.format(value))} END"
+
+
 _KIND_SQL = "CASE event_id % 3 WHEN 0 THEN 'insight' WHEN 1 THEN 'punchline' END"
 _DIM = " + ".join(f"CASE WHEN event_id % 4 <> 0 OR {k} < 5 THEN {_TEN.format(f'((s + {k}) % 11)')} ELSE 0 END" for k in range(8))
 
@@ -144,14 +149,14 @@ QUERIES = {
     "triage_contract": (
         triage_contract,
         f"""WITH {_ITEMS}, {_status('event_id % 7 <> 0', contracts.TRIAGE)}
-        SELECT st.*, 'c' || event_id AS candidate_id, {_K.format(_UNIT.format('s'))} AS keep_1e3, {_K.format(_UNIT.format('(s % 11)'))} AS priority_1e3,
+        SELECT st.*, 'c' || event_id AS candidate_id, {_score('s')} AS keep_1e3, {_score('(s % 11)')} AS priority_1e3,
           CASE WHEN event_id IS NULL THEN NULL WHEN s % 2 = 0 THEN 1 ELSE 0 END AS deep, {_KIND_SQL} AS kind FROM st LEFT JOIN u USING (user_id, reply)""",
     ),
     "scoring_details": (
         scoring_details,
         f"""WITH {_ITEMS}, {_status('event_id % 4 <> 0', contracts.SCORING)}
         SELECT st.*, 'c' || event_id AS candidate_id, CASE WHEN event_id IS NOT NULL THEN 8 END AS n_dims,
-          {_K.format(_DIM)} + CASE WHEN event_id IS NULL THEN NULL ELSE 0 END AS dims_1e3, {_K.format(_UNIT.format('s'))} AS overall_1e3,
+          {_K.format(_DIM)} + CASE WHEN event_id IS NULL THEN NULL ELSE 0 END AS dims_1e3, {_score('s')} AS overall_1e3,
           CASE event_id % 3 WHEN 1 THEN true WHEN 2 THEN false END AS contained,
           CASE WHEN a >= 50 AND a < b AND b <= 380 THEN a END AS first, CASE WHEN a >= 50 AND a < b AND b <= 380 THEN b END AS last,
           CASE WHEN event_id IS NOT NULL THEN 7 END AS topic_chars FROM st LEFT JOIN u USING (user_id, reply)""",
@@ -159,7 +164,7 @@ QUERIES = {
     "judgment_contract": (
         judgment_contract,
         f"""WITH {_ITEMS}, {_status('event_id % 6 <> 0', contracts.JUDGMENT)}
-        SELECT st.*, 'c' || u.event_id AS candidate_id, u.s > 50 AS keep, {_K.format(_UNIT.format('u.s'))} AS score_1e3,
+        SELECT st.*, 'c' || u.event_id AS candidate_id, u.s > 50 AS keep, {_score('u.s', 'u.event_id')} AS score_1e3,
           CASE WHEN u.event_id IS NOT NULL THEN '#bignews #go' END AS tags,
           CASE WHEN u.event_id IS NOT NULL THEN CASE WHEN n.event_id IS NOT NULL THEN 'c' || n.event_id ELSE '' END END AS same_story_as
         FROM st LEFT JOIN u USING (user_id, reply)
@@ -168,7 +173,7 @@ QUERIES = {
     "pair_contract": (
         pair_contract,
         f"""WITH {_ITEMS}, {_status('event_id % 9 <> 0', contracts.PAIRS)}
-        SELECT st.*, 'c' || event_id AS a, 'c' || event_id * 2 AS b, {_K.format(_UNIT.format('s'))} AS risk_1e3 FROM st LEFT JOIN u USING (user_id, reply)""",
+        SELECT st.*, 'c' || event_id AS a, 'c' || event_id * 2 AS b, {_score('s')} AS risk_1e3 FROM st LEFT JOIN u USING (user_id, reply)""",
     ),
     "sentence_discovery": (
         sentence_discovery,

@@ -10,6 +10,7 @@ from quillspan.functions.spans import overlap_s, time_iou
 from quillspan.operators import energy as loud
 from quillspan.operators import intervals, selection
 from quillspan.plans.transcripts import ms
+from quillspan.sources import store
 from quillspan.sources.adapters import ENERGY_SQL, FRAME_S, SPANS_SQL, energy, spans, table
 
 _MS = "CAST(floor(({0}) * 1000 + 0.5) AS BIGINT)"
@@ -127,17 +128,36 @@ def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.shortlist(spans(spark, sf_dir).withColumnRenamed("event_id", "id"), ["user_id"], SHORTLIST).select("user_id", "id", "place")
 
 
-def top_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: per user, duplicates merged, greedy finalists, then the best distinct and diverse moments."""
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged, greedy finalists, as a pool for selection; of every third user only the four best, so filler is needed."""
     c = _candidates(spark, sf_dir)
     merged = selection.merge_duplicates(c, ["user_id"]).join(c.select("user_id", "id", "kind", "island"), ["user_id", "id"])
     finalists = selection.shortlist(selection.without_overlaps(merged.withColumn("score", F.col("prior")), ["user_id"]), ["user_id"], SHORTLIST)
-    pool = finalists.join(merged.select("user_id", "id", "kind", "proposals"), ["user_id", "id"])
-    picked = selection.select(
-        pool.withColumn("quality", F.col("score")).withColumn("tier", F.when(F.col("proposals") > 1, "triaged").otherwise("discovered"))
-        .withColumn("words", F.array("kind")),
-        ["user_id"], PICKS,
+    pool = finalists.filter("user_id % 3 != 0 or place <= 4").join(merged.select("user_id", "id", "kind", "proposals"), ["user_id", "id"])
+    return pool.select(
+        "user_id", "id", "start_s", "end_s", F.col("score").alias("quality"), F.when(F.col("proposals") > 1, "triaged").otherwise("discovered").alias("tier"), "kind",
+        F.array("kind", F.concat(F.lit("w"), (F.col("id") % 4).cast("string")), F.concat(F.lit("v"), (F.col("id") % 3).cast("string"))).alias("words"),
+        F.array(F.concat(F.lit("t"), (F.col("id") % 6).cast("string"))).alias("topics"),
     )
+
+
+def ambiguous_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = selection.ambiguous_pairs(_pool(spark, sf_dir), ["user_id"], PICKS)
+    return p.select("user_id", "a", "b", F.floor(F.col("likeness") * 10_000 + 0.5).cast("long").alias("likeness_1e4"))
+
+
+def top_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: per user, duplicates merged, greedy finalists, pairs of one story found, then the best distinct and diverse moments, filled up."""
+    pool = store.cut(_pool(spark, sf_dir))
+    pairs = selection.ambiguous_pairs(pool, ["user_id"], PICKS)
+    risks = pairs.select("user_id", "a", "b", ((F.col("a") + F.col("b")) % 10 / 10).alias("p"), F.lit(False).alias("flagged"))
+    linked = store.cut(selection.with_links(pool, ["user_id"], risks))
+    filler = pool.filter("id % 5 < 3").select(
+        "user_id", (F.col("id") + 1_000_000_000).alias("id"), (F.col("start_s") + 40).alias("start_s"), (F.col("end_s") + 40).alias("end_s"),
+        F.lit(0.3).alias("quality"), F.lit("fallback").alias("tier"), F.lit("other").alias("kind"), "words", "topics",
+        F.expr(f"cast(array() as {selection.LINKS})").alias("links"),
+    )
+    picked = selection.exactly(linked, filler, ["user_id"], PICKS)
     return ms(picked.select("user_id", "rank", "id", "start_s", "end_s", "tier", F.floor(F.col("final") * 10_000 + 0.5).cast("long").alias("final_1e4")), "start_s", "end_s")
 
 
@@ -184,6 +204,78 @@ _QUIET = f"""{_LEVELS}, q AS (
     SELECT user_id, min(frame) * {FRAME_S}::DOUBLE AS a, (max(frame) + 1) * {FRAME_S}::DOUBLE AS b FROM q GROUP BY user_id, run) WHERE b - a >= 0.25
 ), len AS (SELECT user_id, count(*) AS n, count(*) * {FRAME_S}::DOUBLE AS d FROM energy GROUP BY user_id)"""
 
+_IOU = "(greatest(0, least({0}.e, {1}.e) - greatest({0}.s, {1}.s)) / (({0}.e - {0}.s) + ({1}.e - {1}.s) - greatest(0, least({0}.e, {1}.e) - greatest({0}.s, {1}.s))))"
+_OVER = "(greatest(0, least({0}.e, {1}.e) - greatest({0}.s, {1}.s)) / least({0}.e - {0}.s, {1}.e - {1}.s))"
+_MERGED = f"""{SPANS_SQL}, cand AS (
+  SELECT user_id, event_id AS id, start_s AS s, start_s + score * 60 AS e, floor(score * 10) % 1000 / 1000 AS p, kind FROM spans
+), ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, s, id) AS k FROM cand
+), mg AS (
+  SELECT user_id, k, [{{'id': id, 's': s, 'e': e, 'p': p, 'n': 1}}] AS kept FROM ord WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, CASE WHEN hit IS NULL THEN list_append(kept, {{'id': o.id, 's': o.s, 'e': o.e, 'p': o.p, 'n': 1}})
+    ELSE list_transform(kept, lambda x, i: CASE WHEN i = hit THEN {{'id': x.id, 's': x.s, 'e': x.e, 'p': least(1.0::DOUBLE, greatest(x.p, o.p) + least(0.09::DOUBLE, 0.03::DOUBLE * x.n)), 'n': x.n + 1}} ELSE x END) END
+  FROM (SELECT m.user_id, o.k, kept, o, nullif(list_position(list_transform(kept, lambda x: {_IOU.format('x', 'o')} > 0.4::DOUBLE), true), 0) AS hit
+    FROM mg m JOIN ord o ON o.user_id = m.user_id AND o.k = m.k + 1)
+), merged AS (SELECT user_id, unnest(kept, recursive := true) FROM (SELECT * FROM mg QUALIFY k = max(k) OVER (PARTITION BY user_id)))"""
+
+
+def _greedy(name: str, rows: str) -> str:
+    """CTEs: ``name`` has the spans of ``rows`` (user_id, id, s, e, p) that no better kept one covers, with their place."""
+    return f"""{name}_o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, s, id) AS k FROM {rows}
+), {name}_g AS (
+  SELECT user_id, k, [{{'id': id, 's': s, 'e': e, 'p': p}}] AS kept FROM {name}_o WHERE k = 1
+  UNION ALL
+  SELECT m.user_id, o.k, CASE WHEN len(list_filter(kept, lambda x: {_OVER.format('x', 'o')} > 0.15::DOUBLE)) > 0 THEN kept ELSE list_append(kept, {{'id': o.id, 's': o.s, 'e': o.e, 'p': o.p}}) END
+  FROM {name}_g m JOIN {name}_o o ON o.user_id = m.user_id AND o.k = m.k + 1
+), {name}_l AS (SELECT user_id, unnest(kept, recursive := true) FROM (SELECT * FROM {name}_g QUALIFY k = max(k) OVER (PARTITION BY user_id))
+), {name} AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, s, id) AS place FROM {name}_l QUALIFY place <= {SHORTLIST})"""
+
+
+_POOL = f"""{_MERGED}, {_greedy('fin', 'merged')}, pool AS (
+  SELECT f.user_id, f.id, f.s, f.e, f.p AS q, CASE WHEN n > 1 THEN 'triaged' ELSE 'discovered' END AS tier, kind, [kind, 'w' || f.id % 4, 'v' || f.id % 3] AS words, f.id % 6 AS topic
+  FROM fin f JOIN merged m ON m.user_id = f.user_id AND m.id = f.id JOIN cand c ON c.user_id = f.user_id AND c.id = f.id WHERE f.user_id % 3 <> 0 OR place <= 4
+), rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY q DESC, s, id) AS rk FROM pool QUALIFY rk <= {2 * PICKS}
+), pairs AS (
+  SELECT x.user_id, x.id AS a, y.id AS b, len(list_intersect(x.words, y.words)) / len(list_distinct(list_concat(x.words, y.words))) AS likeness
+  FROM rk x JOIN rk y ON x.user_id = y.user_id AND x.rk < y.rk AND {_OVER.format('x', 'y')} <= 0.15::DOUBLE
+  WHERE likeness >= 0.12::DOUBLE AND likeness < 0.5 QUALIFY row_number() OVER (PARTITION BY x.user_id ORDER BY x.rk, y.rk) <= {selection.ASKED_PAIRS}
+), risks AS (SELECT user_id, list({{'a': a, 'b': b, 'p': (a + b) % 10 / 10}}) AS risks FROM pairs GROUP BY user_id)"""
+_ADJUST = "CASE {0}.tier WHEN 'triaged' THEN -0.05::DOUBLE WHEN 'discovered' THEN -0.1::DOUBLE ELSE -0.25::DOUBLE END"
+_R4 = "floor(({0}) * 10000 + 0.5) / 10000"
+_MOST = "coalesce(list_max(list_transform(chosen, lambda h: {0})), 0.0::DOUBLE)"
+_RISK = "coalesce(list_max(list_transform(list_filter(risks, lambda r: (r.a = c.id AND r.b = h.id) OR (r.a = h.id AND r.b = c.id)), lambda r: r.p)), 0.0::DOUBLE)"
+_LIKE = "greatest(len(list_intersect(c.words, h.words)) / len(list_distinct(list_concat(c.words, h.words))), CASE WHEN c.topic = h.topic THEN 1 ELSE 0 END)"
+_GAP = "greatest(h.s - c.e, c.s - h.e, 0.0::DOUBLE)"
+_POINTS = f"""c.q + {_ADJUST.format('c')} - ({_R4.format(_MOST.format(f'CASE WHEN {_RISK} >= 0.5 THEN 0.4::DOUBLE * greatest({_RISK}, 0.75::DOUBLE) ELSE 0.0::DOUBLE END'))}
+  + {_R4.format(_MOST.format(f'0.2::DOUBLE * least(1.0::DOUBLE, {_LIKE} * 2)'))}
+  + {_R4.format("least(len(list_filter(chosen, lambda h: h.kind = c.kind AND c.kind <> 'other')) * 0.03::DOUBLE, 0.09::DOUBLE)")}
+  + {_R4.format(_MOST.format(f'CASE WHEN {_GAP} < 45 THEN 0.05::DOUBLE * (1 - {_GAP} / 45) ELSE 0.0::DOUBLE END'))})"""
+
+
+def _chosen(name: str, rows: str) -> str:
+    """CTEs: ``name`` has up to PICKS rows of ``rows`` a user, chosen one after the other."""
+    one = "{'id': id, 's': s, 'e': e, 'q': q, 'tier': tier, 'kind': kind, 'words': words, 'topic': topic}"
+    return f"""{name}_r AS MATERIALIZED (SELECT user_id, list({one} ORDER BY q DESC, s, id) AS rows_ FROM {rows} GROUP BY user_id
+), {name}_s AS (
+  SELECT user_id, 0 AS n, list_filter(rows_, lambda c: false) AS chosen, false AS stuck FROM {name}_r
+  UNION ALL
+  SELECT user_id, n + 1, CASE WHEN best IS NULL THEN chosen ELSE list_append(chosen, best.c) END, best IS NULL FROM (
+    SELECT r.user_id, n, chosen, list_sort(list_transform(list_filter(rows_, lambda c: len(list_filter(chosen, lambda h: h.id = c.id OR {_OVER.format('c', 'h')} > 0.15::DOUBLE)) = 0),
+      lambda c: {{'points': {_POINTS}, 'early': -c.s, 'q': c.q, 'first': -c.id, 'c': c}}), 'DESC')[1] AS best
+    FROM {name}_s s JOIN {name}_r r ON r.user_id = s.user_id LEFT JOIN risks k ON k.user_id = s.user_id WHERE n < {PICKS} AND NOT stuck)
+), {name} AS (SELECT user_id, unnest(chosen, recursive := true) FROM (SELECT * FROM {name}_s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1))"""
+
+
+_TOP = f"""{_POOL}, {_chosen('first_', 'pool')}, short AS (
+  SELECT p.user_id FROM (SELECT DISTINCT user_id FROM pool) p LEFT JOIN first_ f USING (user_id) GROUP BY p.user_id HAVING count(f.id) < {PICKS}
+), spare AS (
+  SELECT p.user_id, p.id + 1000000000 AS id, p.s + 40 AS s, p.e + 40 AS e, 0.3::DOUBLE AS q, 'fallback' AS tier, 'other' AS kind, words, topic FROM pool p JOIN short USING (user_id)
+  WHERE p.id % 5 < 3 AND NOT EXISTS (SELECT 1 FROM first_ f WHERE f.user_id = p.user_id AND f.s < p.e + 40 AND p.s + 40 < f.e)
+), again AS (SELECT * FROM pool WHERE user_id IN (SELECT user_id FROM short) UNION ALL BY NAME SELECT * FROM spare
+), {_chosen('second_', 'again')}, picks AS (
+  SELECT * FROM first_ WHERE user_id NOT IN (SELECT user_id FROM short) UNION ALL BY NAME SELECT * FROM second_
+), fin_p AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, q + {_ADJUST.format('picks')})) AS final FROM picks)"""
+
 QUERIES = {
     "event_overlap_pairs": (event_overlap_pairs, f"{_PAIRS}{_MS.format(_BOTH)} AS overlap_ms{_FROM_PAIRS}"),
     "interval_iou_pairs": (
@@ -254,9 +346,20 @@ QUERIES = {
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM spans)
         SELECT user_id, {_MS.format('upto')} AS gap_start_ms, {_MS.format('start_s')} AS gap_end_ms FROM u WHERE upto < start_s""",
     ),
-    "merge_duplicates": (merge_duplicates, None),
-    "greedy_finalists": (greedy_finalists, None),
-    "top_moments": (top_moments, None),
+    "merge_duplicates": (
+        merge_duplicates,
+        f"WITH RECURSIVE {_MERGED} SELECT user_id, id, n AS proposals, CAST(floor(p * 10000 + 0.5) AS BIGINT) AS prior_1e4 FROM merged",
+    ),
+    "greedy_finalists": (greedy_finalists, f"WITH RECURSIVE {_MERGED}, {_greedy('fin', 'cand')} SELECT user_id, id, place FROM fin"),
+    "ambiguous_pairs": (
+        ambiguous_pairs,
+        f"WITH RECURSIVE {_POOL} SELECT user_id, a, b, CAST(floor(likeness * 10000 + 0.5) AS BIGINT) AS likeness_1e4 FROM pairs",
+    ),
+    "top_moments": (
+        top_moments,
+        f"""WITH RECURSIVE {_TOP} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, s, id) AS rank, id, tier,
+          CAST(floor(final * 10000 + 0.5) AS BIGINT) AS final_1e4, {_MS.format('s')} AS start_ms, {_MS.format('e')} AS end_ms FROM fin_p""",
+    ),
     "shortlist": (
         shortlist,
         f"""WITH {SPANS_SQL} SELECT user_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, start_s, event_id) AS place

@@ -159,5 +159,18 @@ QUERIES = {
         SELECT user_id, CAST(floor(edge * 1000 + 0.5::DOUBLE) AS BIGINT) AS from_ms, CAST(floor(till * 1000 + 0.5::DOUBLE) AS BIGINT) AS to_ms
         FROM p WHERE till IS NOT NULL""",
     ),
-    "wrapped_turns": (wrapped_turns, None),
+    "wrapped_turns": (
+        wrapped_turns,
+        f"""WITH RECURSIVE c AS (
+          SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS ws FROM conversations
+        ), w AS MATERIALIZED (SELECT conv_id, turn, k, ws[k] AS word FROM c, unnest(range(1, len(ws) + 1)) AS t(k)
+        ), l AS (
+          SELECT conv_id, turn, k, 1 AS line, length(word) AS used FROM w WHERE k = 1
+          UNION ALL SELECT w.conv_id, w.turn, w.k, CASE WHEN used + 1 + length(word) <= {WIDTH} THEN line ELSE line + 1 END,
+            CASE WHEN used + 1 + length(word) <= {WIDTH} THEN used + 1 + length(word) ELSE length(word) END
+          FROM l JOIN w ON w.conv_id = l.conv_id AND w.turn = l.turn AND w.k = l.k + 1
+        ), s AS (SELECT conv_id, turn, line, string_agg(word, ' ' ORDER BY k) AS text FROM l JOIN w USING (conv_id, turn, k) GROUP BY ALL
+        ), j AS (SELECT conv_id, turn, count(*) AS n, string_agg(text, chr(10) ORDER BY line) AS text FROM s GROUP BY ALL)
+        SELECT conv_id, turn, coalesce(n, 0) AS n_lines, coalesce(j.text, '') AS text FROM c LEFT JOIN j USING (conv_id, turn)""",
+    ),
 }

@@ -25,7 +25,27 @@ def remove(spark: SparkSession, paths: list[str], job_id: str, job: str = "job_i
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, into the folder of ``spark.checkpoint.dir``, for plans that read it several times.
+
+    Where the setting is absent, a local session uses a folder under its warehouse; on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
+def newest_first(rows: DataFrame, at: str, most: int | None = None) -> DataFrame:
+    """Rows by time, newest first; the newest ``most`` if given (a limit that Spark pushes into its tasks)."""
+    ordered = rows.orderBy(F.desc(at))
+    return ordered if most is None else ordered.limit(most)
+
+
 def append_log(rows: DataFrame, path: str, detail: str = "detail", limit: int = 300) -> None:
+    """Adds rows to a log, with details cut to ``limit`` characters; ``newest_first`` of 200 is what a screen shows."""
     rows.withColumn(detail, F.substring(detail, 1, limit)).write.mode("append").parquet(path)
 
 
