@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -136,6 +137,9 @@ class Codec(dict):
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         letter, digit = rf"[\p{{L}}--[{beyond('L')}]]", rf"[\p{{N}}--[{beyond('N')}]]"
         self.words = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|[^{_SPACE}{letter}{digit}]+")
+        # The same for texts of ASCII and of Latin letters, among which both tables agree.
+        self.words_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+")
+        self.words_latin = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
         self.lower = other_lower_case()
         self.lowered = regex.compile("[" + "".join(map(chr, self.lower or [0xFFFF])) + "]")
         self.odd = regex.compile(rf"[{_SPACE}]+")
@@ -157,19 +161,32 @@ class Codec(dict):
     def normal(self, text: str) -> str:
         """NFC, white space to one blank, each character to lower case by itself."""
         text = self.odd.sub(" ", unicodedata.normalize("NFC", text))
-        if not text.isascii() and self.lowered.search(text):
+        if text.isascii():
+            return text.lower()
+        if self.lowered.search(text):
             text = text.translate(self.lower)
         return text.replace("Σ", "σ").lower()  # no final form of sigma
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text, normalised."""
+        text = self.normal(text)
+        if text.isascii():
+            return self.words_ascii.findall(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.words.findall(text)
+        return self.words_latin.findall(text)
+
     def encode_text(self, text: str | None) -> str:
         """The ids of a whole text in decimal, joined by one blank."""
         out: list[str] = []
         at = 0
         for m in self.special_at.finditer(text or ""):
-            out += map(self.__getitem__, self.words.findall(self.normal(text[at : m.start()])))
+            out += map(self.__getitem__, self.split(text[at : m.start()]))
             out.append(str(self.special[m[0]]))
             at = m.end()
-        out += map(self.__getitem__, self.words.findall(self.normal((text or "")[at:])))
+        out += map(self.__getitem__, self.split((text or "")[at:]))
         return " ".join(out)
 
     def decode_text(self, ids: str) -> str:
