@@ -9,22 +9,30 @@ from pyspark.sql import functions as F
 def event_lines(chunks: DataFrame, key: str, prefix: str = "data:") -> DataFrame:
     """Payloads of complete prefixed lines: key, line, payload. ``chunks``: key, seq, body, cut anywhere.
 
-    A stream is put together once per key and split again; what follows its last newline is incomplete.
+    A piece of a chunk belongs to the line that so many newlines come before, so lines are put together each by itself and
+    a long stream is never one row; what follows its last newline is incomplete.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "body")))
-    whole = chunks.groupBy(key).agg(F.array_join(F.transform(ordered, lambda c: c["body"]), "").alias("_whole"))
-    lines = F.split("_whole", "\r?\n")
-    done = F.slice(lines, F.lit(1), F.size(lines) - 1)
-    each = whole.select(key, F.posexplode(F.filter(done, lambda x: x.startswith(prefix))).alias("line", "text"))
-    return each.select(key, "line", F.trim(F.substring("text", len(prefix) + 1, 1 << 30)).alias("payload"))
+    w = Window.partitionBy(key).orderBy("seq")
+    newlines = F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit("")))
+    counted = chunks.select(key, "seq", "body", newlines.alias("_n")).withColumn("_before", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    pieces = counted.select(key, "seq", "_before", "_n", F.posexplode(F.split("body", "\n")).alias("_pos", "_piece"))
+    # The last piece of a chunk is open; it only begins a line, which is complete if a later chunk ends it.
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "_piece")))
+    lines = pieces.groupBy(key, (F.col("_before") + F.col("_pos")).alias("_line")).agg(
+        F.array_join(F.transform(ordered, lambda c: c["_piece"]), "").alias("_text"), F.max((F.col("_pos") < F.col("_n"))).alias("_ended")
+    )
+    found = lines.filter("_ended").withColumn("_text", F.regexp_replace("_text", "\r$", "")).filter(F.col("_text").startswith(prefix))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_line")) - 1
+    return found.select(key, place.alias("line"), F.trim(F.substring("_text", len(prefix) + 1, 1 << 30)).alias("payload"))
 
 
 def deltas(events: DataFrame, key: str) -> DataFrame:
-    """Folds the events of a stream: key, text, finish. ``events``: key, line, content, finish."""
+    """Folds the events of a stream: key, text, finish and, if events have usage, the last of it. ``events``: key, line, content, finish."""
     ordered = F.array_sort(F.collect_list(F.struct("line", "content")))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line"))).alias(c)
     return events.groupBy(key).agg(
         F.array_join(F.transform(ordered, lambda x: F.coalesce(x["content"], F.lit(""))), "").alias("text"),
-        F.max_by("finish", F.when(F.col("finish").isNotNull(), F.col("line"))).alias("finish"),
+        *(last(c) for c in ("finish", "usage") if c in events.columns),
     )
 
 
