@@ -20,8 +20,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker; whole texts can be long.
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
-#: Rows that a lookup table may have to be broadcast (16 bytes a row or so: 32 MB).
-BROADCAST_ROWS = 2_000_000
+#: Rows that a lookup table may have to be broadcast (24 bytes a row or so: 24 MB).
+BROADCAST_ROWS = 1_000_000
 
 
 #: No bound on the length of a text.

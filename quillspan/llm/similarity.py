@@ -51,7 +51,7 @@ COUNTED, REPEATS, HINTS = 3_000_000, 3, 500_000
 #: Shared prefix shingles beyond the first that an exact pair must show.
 MORE = 4
 #: Words whose hashes a worker keeps, and sets that a task remembers as emitted.
-KEPT_WORDS, KEPT_SETS = 500_000, 500_000
+KEPT_WORDS, KEPT_SETS = 300_000, 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
