@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import presentation
 from quillspan.functions.numbers import millis
-from quillspan.functions.text import clock_label, head_and_tail
+from quillspan.functions.presentation import FILLER_REASON, LOUD_REASON, REASONS
+from quillspan.functions.text import STOPWORDS, clock_label, head_and_tail
 from quillspan.operators import boundaries, selection, series
 from quillspan.plans.transcripts import ms
-from quillspan.sources.adapters import table, words
+from quillspan.sources.adapters import ENERGY_SQL, FRAME_S, energy, table, words
 
 LEAST_S, MOST_S = 10.0, 20.0
 #: A proposal every so many words, of so many words.
@@ -82,8 +83,6 @@ def box_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def speaker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as mouth readings of two people, ten a second."""
-    from quillspan.sources.adapters import FRAME_S, energy
-
     e = energy(spark, sf_dir)
     mouths = e.select(F.col("user_id").alias("clip"), (F.col("frame") % 2).alias("person"), (F.col("frame") * FRAME_S).alias("t"), (F.abs("db") / 100).alias("mouth"))
     length = e.groupBy(F.col("user_id").alias("clip")).agg((F.count("*") * FRAME_S).alias("duration_s"))
@@ -105,7 +104,28 @@ QUERIES = {
             ELSE CAST(floor(n / 1e3::DOUBLE + 0.5) AS INT) || ' KB' END AS size,
           CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock FROM d""",
     ),
-    "pick_texts": (pick_texts, None),
+    "pick_texts": (
+        pick_texts,
+        f"""WITH d AS (
+          SELECT doc_id, n_chars AS n, lang, source, quality, toxic, text,
+            list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}'']+'), lambda w: length(w) > 2 AND NOT list_contains({STOPWORDS}, w)) AS ws,
+            array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')[1:15], ' ') AS hook
+          FROM documents LEFT JOIN labels USING (doc_id)
+        ), two AS (SELECT *, ws[1] AS w1, list_filter(ws, lambda w: w <> ws[1])[1] AS w2 FROM d
+        ), three AS (SELECT *, list_filter(ws, lambda w: w <> w1 AND w <> w2)[1] AS w3, CASE WHEN quality = 1 THEN 'scored' ELSE 'fallback' END AS name FROM two
+        ), parts AS (
+          SELECT *, list_filter([w1, w2, w3, CASE WHEN source IN ('gaming', 'stream') THEN 'gaming' ELSE 'podcast' END, CASE WHEN source IN ('gaming', 'stream') THEN 'streamer' ELSE 'clips' END, 'shorts'],
+              lambda w: w IS NOT NULL) AS tags0,
+            list_sort(list_filter([{{'v': -(n % 11), 'k': 1, 'r': '{REASONS['hook']}'}}, {{'v': -(n % 10), 'k': 2, 'r': '{REASONS['payoff']}'}}, {{'v': -(n % 9), 'k': 6, 'r': '{REASONS['emotion']}'}}], lambda r: r.v <= -7)) AS strong FROM three
+        ), clean AS (SELECT *, list_filter(list_transform(tags0, lambda w: '#' || regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda t: length(t) > 1) AS tags1,
+            list_concat(CASE WHEN toxic = 1 THEN ['{LOUD_REASON}'] ELSE [] END, list_transform(strong, lambda r: r.r))[1:4] AS why1 FROM parts)
+        SELECT doc_id,
+          'quality ' || printf('%.2f', n % 100 / 100) || ' (' || name || ')' || CASE WHEN n % 3 > 0 THEN ', -' || printf('%.2f', n % 3 / 50) || ' crowding' ELSE '' END
+            || CASE WHEN n % 4 > 0 THEN ', -' || printf('%.2f', n % 4 / 20) || ' topic' ELSE '' END AS why,
+          CASE WHEN len(why1) = 0 AND name = 'fallback' THEN '{FILLER_REASON}' ELSE array_to_string(why1, '; ') END AS reasons,
+          array_to_string(list_filter(tags1, lambda t, i: list_position(tags1, t) = i)[1:6], ' ') AS tags,
+          substr(concat_ws(' · ', '"' || trim(regexp_replace(hook, '["“”]', '', 'g')) || '"', CASE WHEN lang <> '' THEN lang END), 1, 200) AS caption FROM clean""",
+    ),
     "box_choice": (
         box_choice,
         """WITH RECURSIVE b AS (
@@ -120,5 +140,29 @@ QUERIES = {
         ), l AS (SELECT * FROM g QUALIFY k = max(k) OVER (PARTITION BY user_id, frame))
         SELECT user_id, frame, len(kept) AS n, CAST(list_sum(list_transform(kept, lambda p: CAST(floor(p.v * 1000 + 0.5) AS BIGINT))) AS BIGINT) AS score_1e3 FROM l""",
     ),
-    "speaker_turns": (speaker_turns, None),
+    "speaker_turns": (
+        speaker_turns,
+        f"""WITH RECURSIVE {ENERGY_SQL}, m AS (SELECT user_id AS clip, frame % 2 AS person, frame * {FRAME_S}::DOUBLE AS t, abs(db) / 100 AS mouth FROM energy
+        ), len AS (SELECT user_id AS clip, count(*) * {FRAME_S}::DOUBLE AS d FROM energy GROUP BY 1
+        ), sp AS (SELECT DISTINCT clip, person, t, mouth, unnest([floor(t - 0.5), floor(t), floor(t + 0.5)]) AS sec FROM m
+        ), v AS (SELECT clip, sec, person, var_pop(mouth) AS v FROM sp GROUP BY ALL HAVING count(*) >= 2 AND var_pop(mouth) > 0.0005::DOUBLE
+        ), best AS (SELECT clip, sec, arg_max(person, (v, -person)) AS best FROM v GROUP BY ALL
+        ), filled AS (
+          SELECT s.clip, s.sec, d, coalesce(last_value(best IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(best IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS person
+          FROM (SELECT clip, d, unnest(range(0, CAST(ceil(d) AS BIGINT))) AS sec FROM len) s LEFT JOIN best b ON b.clip = s.clip AND b.sec = s.sec WINDOW w AS (PARTITION BY s.clip ORDER BY s.sec)
+        ), marks AS (SELECT *, CASE WHEN person = lag(person) OVER (PARTITION BY clip ORDER BY sec) THEN 0 ELSE 1 END AS fresh FROM filled WHERE person IS NOT NULL
+        ), runs AS (SELECT *, sum(fresh) OVER (PARTITION BY clip ORDER BY sec) AS k FROM marks
+        ), t AS MATERIALIZED (SELECT clip, k, person, min(sec)::DOUBLE AS a, least(max(sec) + 1.0::DOUBLE, any_value(d)) AS b FROM runs GROUP BY clip, k, person
+        ), f AS (
+          SELECT clip, k, [{{'a': a, 'b': b, 'person': person}}] AS kept FROM t WHERE k = 1
+          UNION ALL
+          SELECT f.clip, t.k, CASE WHEN t.b - t.a < 1.6::DOUBLE OR kept[-1].person = t.person
+            THEN list_append(kept[:-2], {{'a': kept[-1].a, 'b': t.b, 'person': kept[-1].person}}) ELSE list_append(kept, {{'a': t.a, 'b': t.b, 'person': t.person}}) END
+          FROM f JOIN t ON t.clip = f.clip AND t.k = f.k + 1
+        ), l AS (SELECT clip, kept FROM f QUALIFY k = max(k) OVER (PARTITION BY clip)
+        ), o AS (SELECT clip, CASE WHEN len(kept) > 1 AND kept[1].b - kept[1].a < 1.6::DOUBLE
+          THEN list_concat([{{'a': kept[1].a, 'b': kept[2].b, 'person': kept[2].person}}], kept[3:]) ELSE kept END AS kept FROM l
+        ), e AS (SELECT clip, i - 1 AS turn, kept[i] AS x FROM o, unnest(range(1, len(kept) + 1)) AS r(i))
+        SELECT clip, turn, x.person AS person, CAST(floor(x.a * 1000 + 0.5) AS BIGINT) AS start_ms, CAST(floor(x.b * 1000 + 0.5) AS BIGINT) AS end_ms FROM e""",
+    ),
 }
