@@ -161,12 +161,3 @@ def speaker_turns(mouths: DataFrame, clips: DataFrame, least_s: float = 1.6, sti
 
     each = lists.select("clip", F.posexplode(F.aggregate("t", F.slice("t", F.lit(1), F.lit(0)), join_short, open_long)).alias("turn", "x"))
     return each.select("clip", "turn", F.col("x.person").alias("person"), F.col("x.a").alias("start_s"), F.col("x.b").alias("end_s"))
-
-
-def tiled(segments: DataFrame, keys: list[str], duration: str) -> DataFrame:
-    """Segments (keys, start, end, duration) made to cover 0 to the duration: each ends where the next begins."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    first = F.row_number().over(w) == 1
-    kept = segments.filter(F.col("end") - F.col("start") > 0.01)
-    begun = kept.withColumn("_next", F.lead("start").over(w)).withColumn("start", F.when(first, 0.0).otherwise(F.col("start")))
-    return begun.withColumn("end", F.coalesce("_next", duration)).drop("_next")

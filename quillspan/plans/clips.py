@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import presentation
 from quillspan.functions.numbers import millis
 from quillspan.functions.presentation import FILLER_REASON, LOUD_REASON, REASONS
+from quillspan.functions.spans import box_iou
 from quillspan.functions.text import STOPWORDS, clock_label, head_and_tail
 from quillspan.operators import boundaries, selection, series
 from quillspan.plans.transcripts import ms
@@ -81,6 +82,17 @@ def box_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("user_id", "frame").agg(F.count("*").alias("n"), F.sum(millis(F.col("score"))).alias("score_1e3"))
 
 
+def box_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness of the boxes of one frame; a frame is a user's events among two hundred."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 200).alias("frame"))
+    box = F.struct(
+        (F.col("event_id") * 37 % 1000 * 1.0).alias("x"), (F.col("event_id") * 53 % 600 * 1.0).alias("y"), (F.col("event_id") % 90 + 60.0).alias("w"), F.lit(120.0).alias("h")
+    )
+    side = lambda n: e.select("user_id", "frame", F.col("event_id").alias(n), box.alias(f"{n}_box"))
+    both = side("a").join(side("b"), ["user_id", "frame"]).filter("a < b")
+    return both.select("a", "b", F.floor(box_iou(F.col("a_box"), F.col("b_box")) * 1000 + 0.5).cast("long").alias("iou_1e3")).filter("iou_1e3 > 0")
+
+
 def speaker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as mouth readings of two people, ten a second."""
     e = energy(spark, sf_dir)
@@ -140,6 +152,13 @@ QUERIES = {
         ), l AS (SELECT * FROM g QUALIFY k = max(k) OVER (PARTITION BY user_id, frame))
         SELECT user_id, frame, len(kept) AS n, CAST(list_sum(list_transform(kept, lambda p: CAST(floor(p.v * 1000 + 0.5) AS BIGINT))) AS BIGINT) AS score_1e3 FROM l""",
     ),
+    "box_iou_pairs": (
+        box_iou_pairs,
+        """WITH b AS (SELECT user_id, event_id AS id, event_id // 200 AS frame, event_id * 37 % 1000 AS x, event_id * 53 % 600 AS y, event_id % 90 + 60 AS w FROM events),
+        p AS (SELECT a.id AS a, b.id AS b, a.w AS aw, b.w AS bw, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, 120 - abs(a.y - b.y)) AS common
+          FROM b a JOIN b ON a.user_id = b.user_id AND a.frame = b.frame AND a.id < b.id)
+        SELECT a, b, CAST(floor(common / (aw * 120 + bw * 120 - common) * 1000 + 0.5) AS BIGINT) AS iou_1e3 FROM p WHERE floor(common / (aw * 120 + bw * 120 - common) * 1000 + 0.5) > 0""",
+    ),
     "speaker_turns": (
         speaker_turns,
         f"""WITH RECURSIVE {ENERGY_SQL}, m AS (SELECT user_id AS clip, frame % 2 AS person, frame * {FRAME_S}::DOUBLE AS t, abs(db) / 100 AS mouth FROM energy

@@ -182,6 +182,14 @@ def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def layout_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shots' layouts as segments that cover their clip."""
+    boxes = _boxes(spark, sf_dir)
+    p = layout.plan(layout.tracks(boxes), _shots(boxes), 1920, 1080)
+    out = layout.tiled(p, boxes.groupBy("clip").agg((F.max("t") + 1 / 3).alias("duration_s")))
+    return out.select("clip", "segment", millis(F.col("start")).alias("start_ms"), millis(F.col("end")).alias("end_ms"), "layout", "locked")
+
+
 def speaker_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of shots that follow the speaker."""
     boxes = _boxes(spark, sf_dir)
@@ -257,6 +265,17 @@ _SHOTS = """edges AS (
           UNION ALL SELECT clip, 2, 99 / 6, d FROM edges WHERE top >= 50 AND d - 99 / 6 >= 0.8
         )"""
 
+_LAYOUTS = f"""{_BOXES}, {_SHOTS}, sampled AS (
+          SELECT s.clip, shot, s, e, greatest(1, count(DISTINCT f)) AS samples FROM shots s LEFT JOIN b ON b.clip = s.clip AND t >= s AND t < e GROUP BY ALL
+        ), people AS (
+          SELECT p.clip, shot, side, s, e, count(*) AS n, avg(x + 60) AS mx, min(x) AS l, max(x + 120) AS r, max(x) - min(x) AS spread
+          FROM sampled p JOIN b ON b.clip = p.clip AND t >= s AND t < e GROUP BY p.clip, shot, side, s, e, samples HAVING count(*) >= greatest(2, samples * 0.25)
+        ), sh AS (
+          SELECT clip, shot, count(*) AS faces, min(l) AS l, max(r) AS r, min(mx) AS low, min(spread) AS spread, min(n) AS n, max(n) AS most FROM people GROUP BY ALL
+        ), lay AS (
+          SELECT p.clip, p.shot, s, e, coalesce(faces, 0) AS faces, l, r, low, spread, n, CASE WHEN faces IS NULL THEN 'centre' WHEN faces = 1 THEN 'face' WHEN r - l <= 608 * 0.95::DOUBLE THEN 'together'
+            WHEN p.clip % 6 = 2 AND n >= 3 THEN 'speaker' ELSE 'stack' END AS layout FROM sampled p LEFT JOIN sh USING (clip, shot))"""
+
 QUERIES = {
     "reply_objects": (
         reply_objects,
@@ -355,21 +374,28 @@ QUERIES = {
     ),
     "layout_plan": (
         layout_plan,
-        f"""WITH {_BOXES}, {_SHOTS}, sampled AS (
-          SELECT s.clip, shot, s, e, greatest(1, count(DISTINCT f)) AS samples FROM shots s LEFT JOIN b ON b.clip = s.clip AND t >= s AND t < e GROUP BY ALL
-        ), people AS (
-          SELECT p.clip, shot, side, s, e, count(*) AS n, avg(x + 60) AS mx, min(x) AS l, max(x + 120) AS r, max(x) - min(x) AS spread
-          FROM sampled p JOIN b ON b.clip = p.clip AND t >= s AND t < e GROUP BY p.clip, shot, side, s, e, samples HAVING count(*) >= greatest(2, samples * 0.25)
-        ), sh AS (
-          SELECT clip, shot, count(*) AS faces, min(l) AS l, max(r) AS r, min(mx) AS low, min(spread) AS spread, min(n) AS n, max(n) AS most FROM people GROUP BY ALL
-        ), lay AS (
-          SELECT p.clip, p.shot, s, e, coalesce(faces, 0) AS faces, l, r, low, spread, n, CASE WHEN faces IS NULL THEN 'centre' WHEN faces = 1 THEN 'face' WHEN r - l <= 608 * 0.95::DOUBLE THEN 'together'
-            WHEN p.clip % 6 = 2 AND n >= 3 THEN 'speaker' ELSE 'stack' END AS layout FROM sampled p LEFT JOIN sh USING (clip, shot))
+        f"""WITH {_LAYOUTS}
         SELECT clip, shot, {_K.format('s')} AS start_ms, {_K.format('e')} AS end_ms, layout, faces,
           CASE layout WHEN 'face' THEN spread < 12 OR n < 3 WHEN 'stack' THEN false WHEN 'speaker' THEN false ELSE true END AS locked,
           {_K.format("CASE layout WHEN 'centre' THEN (1920 - 608) / 2 WHEN 'face' THEN greatest(0, least(1920 - 608, low - 304)) WHEN 'together' THEN greatest(0, least(1920 - 608, (l + r) / 2 - 304)) END")} AS crop_x_1e3,
           {_K.format("CASE WHEN layout = 'stack' THEN greatest(0, least(1920 - 384, low - 192)) END")} AS top_x_1e3 FROM lay""",
     ),
+    "layout_segments": (
+        layout_segments,
+        f"""WITH RECURSIVE {_LAYOUTS}, x AS (
+          SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY s) AS k, s, e, layout, CASE layout WHEN 'face' THEN spread < 12 OR n < 3 WHEN 'stack' THEN false WHEN 'speaker' THEN false ELSE true END AS locked,
+            CASE layout WHEN 'centre' THEN (1920 - 608) / 2 WHEN 'face' THEN greatest(0, least(1920 - 608, low - 304)) WHEN 'together' THEN greatest(0, least(1920 - 608, (l + r) / 2 - 304)) END AS cx
+          FROM lay WHERE e - s > 0.01::DOUBLE
+        ), m AS (
+          SELECT clip, k, [{{'s': s, 'layout': layout, 'locked': locked, 'cx': cx}}] AS kept FROM x WHERE k = 1
+          UNION ALL
+          SELECT m.clip, x.k, CASE WHEN coalesce(kept[-1].locked AND x.locked AND abs(kept[-1].cx - x.cx) < 12, false) THEN kept
+            ELSE list_append(kept, {{'s': x.s, 'layout': x.layout, 'locked': x.locked, 'cx': x.cx}}) END FROM m JOIN x ON x.clip = m.clip AND x.k = m.k + 1
+        ), o AS (SELECT clip, kept FROM m QUALIFY k = max(k) OVER (PARTITION BY clip)
+        ), g AS (SELECT clip, i, kept[i] AS p, kept[i + 1].s AS nxt FROM o, unnest(range(1, len(kept) + 1)) AS r(i))
+        SELECT clip, i - 1 AS segment, CASE WHEN i = 1 THEN 0 ELSE {_K.format('p.s')} END AS start_ms, {_K.format('coalesce(nxt, d)')} AS end_ms, p.layout AS layout, p.locked AS locked
+        FROM g JOIN edges USING (clip)""",
+    ),
     "speaker_layout": (speaker_layout, None),
     "crop_keyframes": (crop_keyframes, None),
     "crop_sizes": (

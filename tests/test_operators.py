@@ -215,6 +215,18 @@ def test_store(spark, tmp_path):
     assert [r.v for r in store.load(spark, path).collect()] == [2]
 
 
+def test_logs_texts_and_newest_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "x" * (400 if k == 2 else 3)) for k in range(5)], "at int, detail string")
+    store.append_log(rows, f"{tmp_path}/log")
+    store.append_log(rows.filter("at > 3"), f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    assert log.count() == 6 and log.agg(F.max(F.length("detail"))).first()[0] == 300
+    assert [r["at"] for r in store.newest_first(log, "at", 3).collect()] == [4, 4, 3]
+    store.write_text(rows.filter("at = 1"), "detail", f"{tmp_path}/text")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/text").collect()] == ["xxx"]
+    assert store.cut(rows).count() == 5
+
+
 def test_smoothing_and_shots(spark):
     rng = random.Random(5)
     points = [(k / 5, 500 + rng.choice([-6, 6]) * 1.0) for k in range(50)]
