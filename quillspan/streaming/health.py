@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillspan.operators.routing import REST_OTHER_S, REST_S
+from quillspan.operators.routing import REST_OTHER_S, REST_S, STRIKES
 from quillspan.session import importable
 
 OUT = "model string, at_s double, usable boolean, failures long, successes long"
@@ -35,6 +36,41 @@ def health_stream(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model").applyInPandasWithState(_update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _availability(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    until, gone, strikes = state.get if state.exists else (0.0, False, "{}")
+    strikes = json.loads(strikes)
+    calls = pd.concat(list(batches)).sort_values(["at_s", "id"])
+    rows = []
+    for call in calls.itertuples():
+        struck = strikes.get(str(call.capability), 0) >= STRIKES
+        rows.append((key[0], call.id, "model" if gone else "quality" if struck else "resting" if call.at_s < until else None))
+        category = call.category if isinstance(call.category, str) else None
+        if category is None:
+            until = 0.0
+        elif category == "model_unavailable":
+            gone = True
+        elif category == "invalid":
+            strikes[str(call.capability)] = strikes.get(str(call.capability), 0) + 1
+        elif category != "provider_auth":
+            usual = REST_S.get(category, REST_OTHER_S)
+            told = category != "timeout" and not pd.isna(call.retry_after)
+            until = call.at_s + max(1.0, call.retry_after if told else usual)
+    state.update((float(until), bool(gone), json.dumps(strikes)))
+    yield pd.DataFrame(rows, columns=["model", "id", "why_not"])
+
+
+def availability_stream(calls: DataFrame) -> DataFrame:
+    """``routing.availability`` for a stream of calls: model, id, why_not (model, quality, resting or null).
+
+    ``calls``: model, capability, id, at_s, category (null: a success), retry_after. State is kept per model, so what a provider refuses as a whole
+    is not seen here.
+    """
+    importable(calls.sparkSession)
+    return calls.groupBy("model").applyInPandasWithState(
+        _availability, "model string, id long, why_not string", "until_s double, gone boolean, strikes string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def tumbling_counts(events: DataFrame, at: str, kind: str, width: str, late: str) -> DataFrame:
     """Counts per kind and window of event time; rows later than ``late`` are dropped by the watermark."""
     from pyspark.sql import functions as F

@@ -22,3 +22,33 @@ def test_stream_equals_batch(spark, tmp_path):
     log = spark.createDataFrame(CALLS, SCHEMA)
     want = {(r.model, r.at_s, r.usable, r.failures, r.successes) for r in health(log, "model").join(log.select("id", "at_s"), "id").collect()}
     assert got == want
+
+
+def test_availability_of_a_stream_equals_the_batch(spark, tmp_path):
+    import random
+
+    from quillspan.operators import routing
+    from quillspan.streaming.health import availability_stream
+
+    rng = random.Random(3)
+    kinds = [None] * 6 + ["rate_limit", "timeout", "other", "invalid", "invalid", "model_unavailable"]
+    log = [("p", f"m{rng.randrange(6)}", rng.choice("xy"), k, 5.0 * k, rng.choice(kinds), rng.choice([None, 500.0])) for k in range(200)]
+    schema = "provider string, model string, capability string, id long, at_s double, category string, retry_after double"
+    for part in range(2):  # two files, two batches
+        spark.createDataFrame(log[part * 100 : part * 100 + 100], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = availability_stream(stream).writeStream.format("memory").queryName("availability").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r.id: r.why_not for r in spark.table("availability").collect()}
+    assert got == {r.id: r.why_not for r in routing.availability(spark.createDataFrame(log, schema)).collect()}
+
+
+def test_late_rows_leave_windows(spark, tmp_path):
+    from quillspan.streaming.health import tumbling_counts
+
+    for part, rows in enumerate(([("a", 0), ("a", 30), ("b", 500)], [("b", 505)], [("a", 10), ("b", 510)])):
+        spark.createDataFrame(rows, "kind string, s long").selectExpr("kind", "timestamp_seconds(s) as at").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    stream = spark.readStream.schema("kind string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = tumbling_counts(stream, "at", "kind", "1 minute", "2 minutes").writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r.kind, r["count"]) for r in spark.table("counts").collect()} == {("a", 2)}  # the late row is dropped, the open window waits
