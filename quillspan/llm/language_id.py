@@ -90,9 +90,11 @@ def fit(rows: list[tuple[str, bytes]]) -> dict | None:
     # Ridge classifiers of all bits at once, in the dual; the same system gives leave-one-out margins.
     mean = c.mean(0)
     c -= mean
+    rows.clear()  # the profiles are in the array now
     kernel = c @ c.T
     kernel[np.diag_indices(len(c))] += 0.5
     inverse = np.linalg.inv(kernel)
+    del kernel
     centre = side.mean(0)
     alpha = inverse @ (side - centre)
     weights = c.T @ alpha
@@ -136,7 +138,7 @@ def fit_from(docs: DataFrame) -> dict | None:
     names = [r.label for r in known.select("label").distinct().collect()]
     most = dict.fromkeys(names, max(LEAST, ROWS // max(len(names), 1)))
     profiles = text_struct(_profiles, "p binary")(F.col("text"))["p"]
-    return fit([(y, bytes(p)) for y, p in labelled_sample(docs, known, most, MOST_CHARS, [profiles])[0]]) if names else None
+    return fit(labelled_sample(docs, known, most, MOST_CHARS, [profiles])[0]) if names else None
 
 
 def with_language(docs: DataFrame, model: dict | None, out: str) -> DataFrame:
