@@ -9,7 +9,7 @@ The vocabulary file (tokenizers format, byte-level symbols, word-end suffix) is
 worker from ``path``. Words repeat, so each worker keeps the results of up to ``CACHE`` words.
 
 Defined results: a null text counts as empty: 0 tokens, empty decoded text. Repeated rows are encoded
-each for itself. Other columns play no part.
+each for itself; of equal ranks the leftmost pair merges; very long texts and words are encoded whole. Other columns play no part.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ what follows. Tags like ``article`` have no say in the choice.
 All blocks of the text are returned in page order: character references decoded, white space in
 a block turned into one blank, blocks joined by a newline.
 
-Defined results: null or empty html gives an empty text; a page without a body is its own body; repeated
-rows are extracted each for itself; other columns than page_id, url and html play no part.
+Defined results: null or empty html gives an empty text; a page without a body is its own body; of equal density sums the outer node
+counts; very long and very deep pages are read whole; repeated rows are extracted each for itself; other columns than page_id, url
+and html play no part.
 """
 
 from __future__ import annotations

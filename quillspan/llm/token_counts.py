@@ -7,7 +7,8 @@ longest first. Tie rules of the tokenizer: a later candidate wins only with a st
 candidates are tried by their beginning from left to right, and a character that is no piece itself
 costs the lowest score less 10 and comes last. Unknown characters count one token for each UTF-8 byte.
 
-Defined results: a null or empty text has 0 tokens. Other columns play no part.
+Defined results: a null or empty text has 0 tokens; very long texts are counted whole, word by word; repeated rows are counted each for
+itself; an empty table gives an empty one. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
