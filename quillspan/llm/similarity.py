@@ -68,15 +68,15 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles of ``size`` words."""
     words = (text or "").encode().translate(_LOWER).split()
-    if len(words) < SHINGLE:
+    if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)] if words else [], np.uint64).view(np.int64)
     h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    n = len(h) - SHINGLE + 1
+    n = len(h) - size + 1
     g = h[:n].copy()
-    for k in range(1, SHINGLE):
+    for k in range(1, size):
         g = g * _MUL + h[k : n + k]
     g ^= g >> np.uint64(29)
     g *= _MIX
