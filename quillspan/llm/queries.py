@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import bpe, chat, decontaminate, html_text, language_id, media, quality, similarity, token_counts, toxicity
+from quillspan.llm import bpe, chat, decontaminate, html_text, language_id, media, minhash, quality, similarity, token_counts, toxicity
 from quillspan.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.linked(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_quality,
         op10_ngram_jaccard_join,
+        op13_minhash_near_dedup,
     )
 }
 
@@ -70,4 +75,5 @@ ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op10_ngram_jaccard_join": similarity.ORACLE_SQL,
+    "op13_minhash_near_dedup": minhash.ORACLE_SQL,
 }
