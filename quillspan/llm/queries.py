@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import bpe, chat, decontaminate, html_text, language_id, media, minhash, quality, similarity, token_counts, toxicity
+from quillspan.llm import (
+    bpe, chat, decontaminate, html_text, interaction, language_id, media, minhash, periodic, quality, similarity, token_counts, toxicity,
+)
 from quillspan.llm.common import table
 
 
@@ -50,6 +52,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.query(spark, sf_dir)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.query(table(spark, sf_dir, "documents"))
+
+
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classed(table(spark, sf_dir, "documents"))
 
@@ -67,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_quality,
         op10_ngram_jaccard_join,
+        op11_filter_interaction,
+        op12_periodic_runs,
         op13_minhash_near_dedup,
     )
 }
@@ -75,5 +87,6 @@ ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op10_ngram_jaccard_join": similarity.ORACLE_SQL,
+    "op11_filter_interaction": interaction.ORACLE_SQL,
     "op13_minhash_near_dedup": minhash.ORACLE_SQL,
 }
