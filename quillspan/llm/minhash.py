@@ -11,9 +11,11 @@ allowed errors are enumerated as the keys that leave out one of its minima: 64 k
 
 1. One pass over the texts: fingerprint, size and signature of each set; sets are told apart by fingerprint from then on.
 2. Keys are counted; those of one set only go. A set is the more typical, the more sets share its keys.
-3. Rounds of hubs: in each key the most typical set is offered to the others, and a set keeps the nearest offer within the distance. Verified
-   pairs give classes. The second round takes the hubs from what is not in the key's largest class.
+3. Hubs: in each key the most typical set is offered to the others, and a set keeps the nearest offer within the distance. Verified
+   pairs give classes.
 4. Exact pairs: in keys whose sets are still in several classes, pairs across classes, by bands of size. Within a class nothing is paired.
+   Of each such set the shingles that sets of other classes have, too, are counted first: no link across classes has more in common, so copies
+   with much of their own are not paired with their whole group.
 5. Every pair within the distance is verified on its full sets; components go by rounds of star contraction.
 
 Texts never shuffle. 64-bit hashes stand for shingles and sets: two different ones collide with a chance of about 5e-20.
@@ -42,8 +44,6 @@ SHINGLE, PERCENT = 3, 85
 #: Minima of a signature, chunks it is cut into, and the distance up to which no pair is lost (one error in some chunk).
 MINIMA, CHUNKS = 64, 14
 DISTANCE = 2 * CHUNKS - 1
-#: Rounds in which keys offer their hub before pairs are listed.
-ROUNDS = 2
 #: Shingles hashed at once, so that the 64 rows stay in a core's cache.
 SLICE = 1024
 
@@ -128,8 +128,8 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def _nearest_offers(rows: DataFrame, hubs: DataFrame, named: DataFrame) -> DataFrame:
-    """The nearest of a set's hubs of another class, as (a, b, na, nb): one pair a set at most."""
-    offers = rows.join(hubs, "key").filter("root != hub_root").select("fp", "hub").distinct()
+    """The nearest of a set's hubs, as (a, b, na, nb): one pair a set at most."""
+    offers = rows.join(hubs, "key").filter("fp != hub").select("fp", "hub").distinct()
     pairs = _near(offers.select(F.col("fp").alias("a"), F.col("hub").alias("b")), named)
     best = pairs.groupBy("a", "na").agg(F.min_by(F.struct("b", "nb"), F.struct("distance", "b")).alias("to"))
     return best.select(F.col("a").alias("fp"), "na", "to.*").select(
@@ -148,15 +148,27 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return classed.join(mixed.select("key", "major"), "key")
 
 
-def _crossed(rows: DataFrame) -> DataFrame:
+def _common(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(fp, common): how many shingles of a set sets of other classes have, too; without sets that then have too little for any link."""
+    each = tokens.join(rows.select("fp", "root", "n").distinct(), "fp").select("fp", "root", "n", F.explode("tokens").alias("token"))
+    several = each.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
+    counted = each.join(several, "token").groupBy("fp", "n").agg(F.count("*").alias("common"))
+    return counted.filter(F.expr(f"100L * common >= {PERCENT}L * n")).select("fp", "common")
+
+
+def _crossed(rows: DataFrame, common: DataFrame) -> DataFrame:
     """Distinct (a, b) across the classes of a key, of sizes that can link: sets meet in bands of size, so a hot key is dealt by band."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
-    rows = rows.withColumn("band", band)
+    rows = rows.join(small_side(common), "fp").select("key", "fp", "n", "root", "major", "common", band.alias("band"))
     minor = rows.filter("root != major").select(
-        "key", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band")
-    )
+        "key", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.col("common").alias("common_x"),
+        F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"),
+    )
     crossed = minor.join(rows, ["key", "band"]).filter(
-        (F.col("root_x") != F.col("root")) & ((F.col("root") == F.col("major")) | (F.col("fp_x") < F.col("fp"))) & _similar_size("n", "n_x")
+        (F.col("root_x") != F.col("root"))
+        & ((F.col("root") == F.col("major")) | (F.col("fp_x") < F.col("fp")))
+        & _similar_size("n", "n_x")
+        & F.expr(f"{100 + PERCENT}L * least(common, common_x) >= {PERCENT}L * (n + n_x)")
     )
     return crossed.select(*_ordered("fp_x", "fp")).distinct()
 
@@ -171,11 +183,11 @@ def classed(docs: DataFrame) -> DataFrame:
     )
 
     # Keys of at least two sets, and how typical a set is.
-    keys = named.select("fp", "n", F.explode(_keys()).alias("key"))
+    keys = named.select("fp", F.explode(_keys()).alias("key"))
     several = keys.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1")
     found = written(keys.join(several, "key"))
-    typical = found.groupBy("fp").agg(F.sum("sets").alias("typical"))
-    shared = written(found.select("key", "fp", "n").join(typical, "fp"))
+    typical = written(found.groupBy("fp").agg(F.sum("sets").alias("typical")).join(named.select("fp", "n"), "fp"))
+    shared = written(found.select("key", "fp").join(small_side(typical), "fp"))
 
     # Full sets of what shares a key, cut from the texts once.
     sought = written(named.select("fp", "doc").join(typical, "fp", "left_semi"))
@@ -186,18 +198,12 @@ def classed(docs: DataFrame) -> DataFrame:
         tokens = tokens.unionByName(without.join(small_side(nameless), "fp", "left_semi").dropDuplicates(["fp"]))
     tokens = written(tokens)
 
-    links, rows = None, shared.withColumn("root", F.col("fp")).withColumn("major", F.lit(None).cast("long"))
-    spent = [named, found, shared, sought, tokens]
-    for _ in range(ROUNDS):
-        hubs = rows.filter("major is null or root != major").groupBy("key").agg(F.max_by(F.struct("fp", "root"), F.struct("typical", "fp")).alias("hub"))
-        likely = written(_nearest_offers(rows, hubs.select("key", "hub.fp", "hub.root").toDF("key", "hub", "hub_root"), named))
-        more = _verified(likely, tokens)
-        links = more if links is None else links.unionByName(more)
-        roots = components(links)
-        rows = written(_mixed(shared, roots))
-        spent += [likely, more, rows]
-
-    exact = written(_near(_crossed(rows), named))
+    hubs = shared.groupBy("key").agg(F.max_by("fp", F.struct("typical", "fp")).alias("hub"))
+    likely = written(_nearest_offers(shared, hubs, named))
+    links = _verified(likely, tokens)
+    rows = written(_mixed(shared, components(links)))
+    common = written(_common(rows, tokens))
+    exact = written(_near(_crossed(rows, common), named))
     last = _verified(exact, tokens)
     roots = components(links.unionByName(last))
 
@@ -209,7 +215,7 @@ def classed(docs: DataFrame) -> DataFrame:
     by_set = written(
         named.select("fp", "doc").join(linked.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.expr("if(linked, name, doc)").alias("component_id"))
     )
-    forget(*spent, exact, last, rooted, names)
+    forget(named, found, typical, shared, sought, tokens, likely, links, rows, common, exact, last, rooted, names)
     return sets.join(small_side(by_set), "fp", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
