@@ -25,6 +25,16 @@ def remove(spark: SparkSession, paths: list[str], job_id: str, job: str = "job_i
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``; a local session may do without and has one under its warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, into the folder of ``spark.checkpoint.dir``, for plans that read it several times.
 
