@@ -11,11 +11,13 @@ from quillspan.functions.text import content_words, jaccard, slug
 from quillspan.operators import layout, replies, routing, series
 from quillspan.plans.transcripts import _CONTENT
 from quillspan.sources import store, wire
-from quillspan.sources.adapters import ENERGY_SQL, FRAME_S, SPANS_SQL, energy, spans, table
+from quillspan.sources.adapters import ENERGY_SQL, FRAME_S, SPANS_SQL, WORDS_SQL, energy, spans, table, word_lists
 
 KINDS = ["view", "click", "signup"]
 #: Calls of a window: events of a user, twenty to a reply.
 PER_REPLY, CHUNK = 20, 37
+#: Words of an event of a streamed completion.
+EVENT_WORDS = 9
 
 
 def _item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +127,25 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wire.event_lines(chunks, "doc_id").select("doc_id", "line", F.md5("payload").alias("digest"))
 
 
+def sse_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as streamed completions of nine words an event, with unreadable events, usage, an end mark and more after it, put together again."""
+    d = word_lists(spark, sf_dir)
+    starts = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / EVENT_WORDS).cast("int"))
+    said = lambda k: F.array_join(F.slice("tokens", k * EVENT_WORDS + 1, F.lit(EVENT_WORDS)), " ")
+    quoted = lambda text: F.regexp_extract(F.to_json(F.struct(text.alias("c"))), r"(?s)^\{\"c\":(.*)\}$", 1)
+    content = lambda text: F.concat(F.lit('data: {"choices": [{"delta": {"content": '), quoted(text), F.lit("}}]}\r\n"))
+    event = lambda k: F.concat(F.when(k % 4 == 2, "data: {broken\n: a remark\n").otherwise(""), content(said(k)))
+    usage = F.concat(
+        F.lit('data: {"choices": [{"delta": {}, "finish_reason": "'), F.when(F.col("doc_id") % 3 == 0, "length").otherwise("stop"),
+        F.lit('"}], "usage": {"prompt_tokens": '), F.size("tokens").cast("string"), F.lit(', "completion_tokens": 7}}\n'),
+    )
+    body = F.concat(F.array_join(F.transform(starts, event), ""), usage, F.lit("data: [DONE]\n"), content(F.lit("too late")), F.lit("data: open"))
+    chunks = d.select("doc_id", body.alias("s")).select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / CHUNK).cast("int"))).alias("seq"))
+    lines = wire.event_lines(chunks.select("doc_id", "seq", F.expr(f"substring(s, seq * {CHUNK} + 1, {CHUNK})").alias("body")), "doc_id", complete=True)
+    found = wire.deltas(wire.completion_events(lines, "doc_id"), "doc_id")
+    return found.select("doc_id", F.md5("text").alias("digest"), "finish", F.col("usage.prompt_tokens").alias("prompt_tokens"), F.col("usage.completion_tokens").alias("completion_tokens"))
+
+
 def multipart_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as one body with lengths; every fifth body is one character short."""
     c = table(spark, sf_dir, "conversations").filter("length(text) > 0")
@@ -345,6 +366,12 @@ QUERIES = {
         sse_lines,
         "SELECT doc_id, i - 1 AS line, md5(trim(l[i])) AS digest FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i)",
     ),
+    "sse_deltas": (
+        sse_deltas,
+        f"""WITH {WORDS_SQL}, e AS (SELECT doc_id, idx // {EVENT_WORDS} AS k, string_agg(text, ' ' ORDER BY idx) AS t, max(n) AS n FROM tw GROUP BY ALL)
+        SELECT doc_id, md5(string_agg(t, '' ORDER BY k)) AS digest, CASE WHEN doc_id % 3 = 0 THEN 'length' ELSE 'stop' END AS finish, max(n)::BIGINT AS prompt_tokens, 7::BIGINT AS completion_tokens
+        FROM e GROUP BY doc_id""",
+    ),
     "multipart_frames": (
         multipart_frames,
         """SELECT conv_id, turn AS part, CASE WHEN conv_id % 5 <> 0 THEN md5(text) END AS digest, conv_id % 5 <> 0 AS ok FROM conversations WHERE length(text) > 0""",
