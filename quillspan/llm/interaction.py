@@ -8,6 +8,8 @@ with a smaller doc_id anywhere in the table, is kept by a stream over all files:
    put together first (the least doc_id and counts), so a text of a third of all rows is a row a task.
 2. The state of a text, keyed by its digest, is the least doc_id so far and who has it. A smaller one takes its place: the earlier holders' masks
    are retracted from the counters and come back with the copy's bit. The output of a batch is changes of counters, appended to a table.
+   The state store keeps the texts of a shard (a range of digests, one for every megabyte of files) in one row, as a call for each text costs
+   milliseconds.
 3. When no files are left, the changes add up to the counters, whatever the order of the files and the cut into micro-batches.
 4. From at most 32 masks a part come the 80 pairs of a filter and the set of filters before it, and from them 120 orders of 5 steps.
 
@@ -21,6 +23,7 @@ are read whole; an empty table gives no rows; other columns play no part. Texts
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 from itertools import combinations, permutations
@@ -39,6 +42,8 @@ COPY = 1 << FILTERS.index("E")
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts that a task holds while it puts copies together.
 HELD = 100_000
+#: Bytes of files for a shard of the state.
+SHARD_BYTES = 1 << 20
 #: A micro-batch has at least so many bytes of files, and there are at most so many micro-batches (and one).
 BATCH_BYTES, BATCHES = 64 << 20, 64
 
@@ -48,7 +53,7 @@ _PARTIAL = pa.schema([
 ])
 PARTIAL = "digest binary, mask int, part string, flags int, least long, n_least long, n_more long, n_null long"
 CHANGES = "part string, mask int, flags int, change long"
-STATE = "least long, parts array<string>, flags array<int>, counts array<long>"
+STATE = "texts binary"
 
 
 def text_mask(text: Column, words: Column) -> Column:
@@ -83,7 +88,8 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple, list] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(*key, *counts) for key, counts in held.items()]
+        # Without any doc_id the least one is 0, held by none: a column without nulls keeps its integers in pandas.
+        rows = [(*key, counts[0] or 0, *counts[1:]) for key, counts in held.items()]
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PARTIAL.types, strict=True)], schema=_PARTIAL)
 
@@ -102,69 +108,72 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One text in one micro-batch: its state, and the changes of counters."""
-    least, holders = None, {}
-    if state.exists:
-        least, parts, flags, counts = state.get
-        holders = dict(zip(zip(parts, flags, strict=True), counts, strict=True))
+def fold(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One shard in one micro-batch: the states of its texts, and the changes of counters."""
+    texts: dict[bytes, tuple] = pickle.loads(state.get[0]) if state.exists else {}
     changes: dict[tuple, int] = {}
 
-    def count(part: str, flags: int, copy: int, n: int) -> None:
-        at = (part, key[1] | copy, flags)
-        changes[at] = changes.get(at, 0) + n
+    def count(part: str, mask: int, flags: int, n: int) -> None:
+        changes[part, mask, flags] = changes.get((part, mask, flags), 0) + n
 
     for frame in frames:
-        none = frame["least"].isna().tolist()
-        columns = (frame[c].tolist() for c in ("part", "flags", "least", "n_least", "n_more", "n_null"))
-        for missing, (part, flags, low, n_least, n_more, n_null) in zip(none, zip(*columns, strict=True), strict=True):
-            count(part, flags, 0, n_null)
-            count(part, flags, COPY, n_more)
-            if missing:
+        for digest, mask, part, flags, low, n_least, n_more, n_null in zip(*(frame[c].tolist() for c in _PARTIAL.names), strict=True):
+            count(part, mask, flags, n_null)
+            count(part, mask | COPY, flags, n_more)
+            if not n_least:
                 continue
+            least, holders = texts.get(digest, (None, {}))
             if least is None or low < least:
                 for (p, f), n in holders.items():
-                    count(p, f, 0, -n)
-                    count(p, f, COPY, n)
+                    count(p, mask, f, -n)
+                    count(p, mask | COPY, f, n)
                 least, holders = int(low), {}
+                texts[digest] = least, holders
             if low == least:
                 holders[part, flags] = holders.get((part, flags), 0) + n_least
-                count(part, flags, 0, n_least)
+                count(part, mask, flags, n_least)
             else:
-                count(part, flags, COPY, n_least)
-    if least is not None:
-        state.update((least, [p for p, _ in holders], [int(f) for _, f in holders], [int(n) for n in holders.values()]))
-    rows = [(*at, n) for at, n in changes.items() if n]
-    yield pd.DataFrame(rows, columns=["part", "mask", "flags", "change"])
+                count(part, mask | COPY, flags, n_least)
+    state.update((pickle.dumps(texts),))
+    yield pd.DataFrame([(*at, n) for at, n in changes.items() if n], columns=["part", "mask", "flags", "change"])
 
 
-def changes(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def changes(docs: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
     """Of a stream of documents, the stream of changes of the counters (part, mask, flags)."""
-    partial = _masked(docs, labels).mapInArrow(_partial, PARTIAL)
-    return partial.groupBy("digest", "mask").applyInPandasWithState(fold, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    partial = _masked(docs, labels).mapInArrow(_partial, PARTIAL).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
+    return partial.groupBy("shard").applyInPandasWithState(fold, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def _source(spark: SparkSession, path: str) -> tuple[str, int]:
-    """The path as a stream reads it (a single file is given as a pattern, as a plain path must be a folder), and bytes for a micro-batch."""
+    """The path as a stream reads it (a single file is given as a pattern, as a plain path must be a folder), and its bytes."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     total = files.getContentSummary(at).getLength()
     if files.getFileStatus(at).isFile():
         path = f"{path[:-1]}[{path[-1]}]"
-    return path, max(BATCH_BYTES, -(-total // BATCHES))
+    return path, total
+
+
+def _shards(spark: SparkSession, home: str, total: int) -> int:
+    """How many shards the state has: as many as it began with."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/shards")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        spark.range(1).select(F.lit(max(1, total // SHARD_BYTES)).alias("n")).coalesce(1).write.parquet(f"{home}/shards")
+    return spark.read.parquet(f"{home}/shards").first()[0]
 
 
 def counters(spark: SparkSession, path: str, labels: DataFrame, folder: str | None = None, files: int | None = None) -> DataFrame:
     """(part, mask, flags, n) over all files at ``path``, streamed in micro-batches of ``files`` files, by default of a share of their bytes.
 
-    ``folder`` keeps the checkpoint and the changes for a later call over more files; without one, they are deleted.
+    ``folder`` keeps the checkpoint and the changes for a later call over more files; without one, they are deleted. The state has as many shards as its first
+    call's bytes ask for.
     """
     bounded_batches(spark)
     home = folder or f"{shared_folder(spark)}/quillspan-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(spark.read.parquet(path).schema)
-    source, share = _source(spark, path)
-    stream = stream.option("maxFilesPerTrigger", files) if files else stream.option("maxBytesPerTrigger", share)
-    out = changes(stream.parquet(source), labels).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    source, total = _source(spark, path)
+    stream = stream.option("maxFilesPerTrigger", files) if files else stream.option("maxBytesPerTrigger", max(BATCH_BYTES, -(-total // BATCHES)))
+    out = changes(stream.parquet(source), labels, _shards(spark, home, total)).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     out.option("path", f"{home}/changes").option("checkpointLocation", f"{home}/checkpoint").start().awaitTermination()
     found = spark.read.schema(CHANGES).parquet(f"{home}/changes").groupBy("part", "mask", "flags").agg(F.sum("change").alias("n"))
     kept = written(found.filter("n != 0"))

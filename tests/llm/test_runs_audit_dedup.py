@@ -161,8 +161,9 @@ def expected_audit(docs, labels):
 def corpus(seed=1, n=60):
     rng = random.Random(seed)
     texts = [None, "", "a b c", "UPPER case", "cash $ here", "word " * 250, " ".join(f"w{k}" for k in range(220)), " ".join(f"w{k}" for k in range(220)) + " #"]
-    docs = [(rng.randrange(200) if rng.random() < 0.9 else None, rng.choice(texts), rng.choice(["s", "t", None, ""])) for _ in range(n)]
-    labels = [(rng.choice([*range(200), None]), rng.choice([0, 1, None]), rng.choice([0, 1, None])) for _ in range(150)]
+    large = (1 << 60) + 1  # ids beyond what a double tells apart
+    docs = [(rng.choice([rng.randrange(200), large, large + 1]) if rng.random() < 0.9 else None, rng.choice(texts), rng.choice(["s", "t", None, ""])) for _ in range(n)]
+    labels = [(rng.choice([*range(200), large, None]), rng.choice([0, 1, None]), rng.choice([0, 1, None])) for _ in range(150)]
     return docs, labels
 
 
