@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Seconds that a model rests after a failure.
 REST_S = {"rate_limit": 60.0, "timeout": 240.0}
 REST_OTHER_S = 45.0
+# Errors after which a model rests its 45 s whatever is asked for, and those that end a job.
+REFUSED, ENDING = ["bad_request", "too_large"], ["auth", "not_configured"]
 STRIKES, ROTATED, MOST_WAIT_S, HEDGE_S = 2, 3, 150.0, 20.0
 BACKOFF_S, FATAL = [3.0, 8.0, 20.0, 40.0], ["auth", "not_configured", "bad_request", "too_large"]
 
@@ -45,29 +47,33 @@ def call_stats(log: DataFrame, key: str) -> DataFrame:
     )
 
 
-def availability(log: DataFrame) -> DataFrame:
-    """Each call of a log with why its model could not be used then: provider, model, quality, resting, or null.
+def availability(log: DataFrame, job: str | None = None) -> DataFrame:
+    """Each call of a log with why its model could not be used then: ended, provider, model, quality, resting, or null.
 
     ``log``: provider, model, capability, id, at_s, category (null: a success), retry_after. A provider that refuses the key and a model that is
     gone stay out from then on; two invalid answers end a model's use for that capability; a rest lasts until it is over or
-    a success comes. First times come from partial aggregations over few providers and models; one window a model.
+    a success comes. With ``job``, a column, nothing outlives its job, and the first error that no model can help (no login, no key) ends it:
+    that relation is one row a job. First times come from partial aggregations; rests and strikes from one window a model.
     """
+    own = [job] if job else []
     when = F.struct("at_s", "id")
-    off = lambda keys, category, name: log.filter(F.col("category") == category).groupBy(*keys).agg(F.min(when).alias(name))
-    known = log.join(F.broadcast(off(["provider"], "provider_auth", "_provider")), "provider", "left").join(off(["model"], "model_unavailable", "_model"), "model", "left")
-    before = Window.partitionBy("model").orderBy("at_s", "id").rowsBetween(Window.unboundedPreceding, -1)
-    pair = Window.partitionBy("model", "capability").orderBy("at_s", "id").rowsBetween(Window.unboundedPreceding, -1)
+    off = lambda keys, categories, name: log.filter(F.col("category").isin(categories)).groupBy(*own, *keys).agg(F.min(when).alias(name))
+    known = log.join(off(["provider"], ["provider_auth"], "_provider"), [*own, "provider"], "left").join(off(["model"], ["model_unavailable"], "_model"), [*own, "model"], "left")
+    known = known.join(off([], ENDING, "_end"), own, "left") if job else known.withColumn("_end", F.lit(None).cast("struct<at_s: double, id: long>"))
+    before = Window.partitionBy(*own, "model").orderBy("at_s", "id").rowsBetween(Window.unboundedPreceding, -1)
+    pair = Window.partitionBy(*own, "model", "capability").orderBy("at_s", "id").rowsBetween(Window.unboundedPreceding, -1)
     category = F.col("category")
     rest = (
-        F.when(category.isNull(), 0.0).when(category.isin("provider_auth", "model_unavailable", "invalid"), None)
-        .otherwise(F.col("at_s") + rest_s(category, F.when(category != "timeout", F.col("retry_after"))))
+        F.when(category.isNull(), 0.0).when(category.isin("provider_auth", "model_unavailable", "invalid", *ENDING), None)
+        .otherwise(F.col("at_s") + rest_s(category, F.when(~category.isin("timeout", *REFUSED), F.col("retry_after"))))
     )
     resting = F.col("at_s") < F.coalesce(F.last(rest, ignorenulls=True).over(before), F.lit(0.0))
     strikes = F.coalesce(F.sum((category == "invalid").cast("int")).over(pair), F.lit(0))
     why = (
-        F.when(F.col("_provider") < when, "provider").when(F.col("_model") < when, "model").when(strikes >= STRIKES, "quality").when(resting, "resting")
+        F.when(F.col("_end") < when, "ended").when(F.col("_provider") < when, "provider").when(F.col("_model") < when, "model")
+        .when(strikes >= STRIKES, "quality").when(resting, "resting")
     )
-    return known.withColumn("why_not", why).drop("_provider", "_model")
+    return known.withColumn("why_not", why).drop("_provider", "_model", "_end")
 
 
 def rotated(models: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:

@@ -118,7 +118,8 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
     k = F.col("event_id")
     category = (
-        F.when(F.col("kind") != "error", None).when(k % 97 == 0, "provider_auth").when(k % 41 == 0, "model_unavailable").when(k % 3 == 0, "rate_limit")
+        F.when(F.col("kind") != "error", None).when(k % 97 == 0, "provider_auth").when(k % 41 == 0, "model_unavailable").when(k % 31 == 0, "bad_request")
+        .when(k % 29 == 0, "too_large").when(k % 23 == 0, "auth").when(k % 37 == 0, "not_configured").when(k % 3 == 0, "rate_limit")
         .when(k % 3 == 1, "timeout").when(k % 2 == 0, "invalid").otherwise("other")
     )
     return s.select(
@@ -131,6 +132,12 @@ def call_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.availability(_calls(spark, sf_dir)).select("model", "id", "why_not")
 
 
+def job_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of jobs of forty events each on four models of two providers; nothing outlives a job, and some errors end it."""
+    calls = _calls(spark, sf_dir).withColumn("job", F.floor(F.col("id") / 40)).withColumn("model", F.col("id") % 4).withColumn("provider", F.col("id") % 2)
+    return routing.availability(calls, "job").select("job", "id", "why_not")
+
+
 def model_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as models of the capability of their region, customers as asks."""
     n = table(spark, sf_dir, "nation")
@@ -165,7 +172,7 @@ def repaired_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retry_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _calls(spark, sf_dir).filter("category is not null")
     kind = F.when(F.col("category") == "provider_auth", "auth").otherwise(F.col("category"))
-    return c.select("id", millis(routing.next_try((F.col("id") % 6).cast("int"), kind, F.col("id") * 1.0)).alias("next_ms"))
+    return c.select("id", "category", millis(routing.next_try((F.col("id") % 6).cast("int"), kind, F.col("id") * 1.0)).alias("next_ms"))
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +215,8 @@ def labels_and_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOG = f"""{SPANS_SQL}, log AS (
   SELECT user_id % 3 AS provider, user_id AS model, event_id % 2 AS capability, event_id AS id, start_s AS at_s, CASE WHEN event_id % 6 = 0 THEN event_id % 1000 END AS retry_after,
-    CASE WHEN kind <> 'error' THEN NULL WHEN event_id % 97 = 0 THEN 'provider_auth' WHEN event_id % 41 = 0 THEN 'model_unavailable' WHEN event_id % 3 = 0 THEN 'rate_limit'
+    CASE WHEN kind <> 'error' THEN NULL WHEN event_id % 97 = 0 THEN 'provider_auth' WHEN event_id % 41 = 0 THEN 'model_unavailable' WHEN event_id % 31 = 0 THEN 'bad_request'
+      WHEN event_id % 29 = 0 THEN 'too_large' WHEN event_id % 23 = 0 THEN 'auth' WHEN event_id % 37 = 0 THEN 'not_configured' WHEN event_id % 3 = 0 THEN 'rate_limit'
       WHEN event_id % 3 = 1 THEN 'timeout' WHEN event_id % 2 = 0 THEN 'invalid' ELSE 'other' END AS category FROM spans)"""
 _PROBES = "probes AS (SELECT doc_id, k, k * 10.0::DOUBLE + 0.05::DOUBLE AS t FROM toks, unnest(range(0, len(ts) * 4 // 100 + 1)) AS u(k) WHERE len(ts) > 0)"
 
@@ -279,13 +287,25 @@ QUERIES = {
         call_availability,
         f"""WITH {_LOG}, r AS (
           SELECT *, CASE WHEN category IS NULL THEN 0 WHEN category = 'rate_limit' THEN at_s + greatest(1, coalesce(retry_after, 60)) WHEN category = 'timeout' THEN at_s + 240
-            WHEN category = 'other' THEN at_s + greatest(1, coalesce(retry_after, 45)) END AS until FROM log)
+            WHEN category IN ('bad_request', 'too_large') THEN at_s + 45 WHEN category = 'other' THEN at_s + greatest(1, coalesce(retry_after, 45)) END AS until FROM log)
         SELECT model, id, CASE WHEN count(*) FILTER (WHERE category = 'provider_auth') OVER (PARTITION BY provider ORDER BY at_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'provider'
           WHEN count(*) FILTER (WHERE category = 'model_unavailable') OVER m > 0 THEN 'model'
           WHEN count(*) FILTER (WHERE category = 'invalid') OVER (PARTITION BY model, capability ORDER BY at_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 2 THEN 'quality'
           WHEN at_s < coalesce(last_value(until IGNORE NULLS) OVER m, 0) THEN 'resting' END AS why_not
         FROM r WINDOW m AS (PARTITION BY model ORDER BY at_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     ),
+    "job_calls": (
+        job_calls,
+        f"""WITH {_LOG}, j AS (SELECT id // 40 AS job, id % 4 AS model, id % 2 AS provider, capability, id, at_s, category, retry_after FROM log), r AS (
+          SELECT *, CASE WHEN category IS NULL THEN 0 WHEN category = 'rate_limit' THEN at_s + greatest(1, coalesce(retry_after, 60)) WHEN category = 'timeout' THEN at_s + 240
+            WHEN category IN ('bad_request', 'too_large') THEN at_s + 45 WHEN category = 'other' THEN at_s + greatest(1, coalesce(retry_after, 45)) END AS until FROM j)
+        SELECT job, id, CASE WHEN count(*) FILTER (WHERE category IN ('auth', 'not_configured')) OVER (PARTITION BY job ORDER BY at_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'ended'
+          WHEN count(*) FILTER (WHERE category = 'provider_auth') OVER (PARTITION BY job, provider ORDER BY at_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'provider'
+          WHEN count(*) FILTER (WHERE category = 'model_unavailable') OVER m > 0 THEN 'model'
+          WHEN count(*) FILTER (WHERE category = 'invalid') OVER (PARTITION BY job, model, capability ORDER BY at_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 2 THEN 'quality'
+          WHEN at_s < coalesce(last_value(until IGNORE NULLS) OVER m, 0) THEN 'resting' END AS why_not
+        FROM r WINDOW m AS (PARTITION BY job, model ORDER BY at_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    ),
     "model_order": (
         model_order,
         """WITH m AS (SELECT n_regionkey AS cap, n_nationkey AS model, n_nationkey * 37 % 400 AS until, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey * 7 % 11, n_nationkey) - 1 AS rk,
@@ -310,7 +330,7 @@ QUERIES = {
     ),
     "retry_times": (
         retry_times,
-        f"""WITH {_LOG} SELECT id, CASE WHEN category <> 'provider_auth' THEN CAST((id + [3, 8, 20, 40][id % 6 + 1]) * 1000 AS BIGINT) END AS next_ms FROM log WHERE category IS NOT NULL""",
+        f"""WITH {_LOG} SELECT id, category, CASE WHEN category NOT IN ('provider_auth', 'auth', 'not_configured', 'bad_request', 'too_large') THEN CAST((id + [3, 8, 20, 40][id % 6 + 1]) * 1000 AS BIGINT) END AS next_ms FROM log WHERE category IS NOT NULL""",
     ),
     "caption_at": (
         caption_at,
