@@ -37,16 +37,60 @@ def overlap_join(
     return left.join(hits, "_row", how)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str, value: str) -> DataFrame:
+#: Seconds of a slice in which a running value is read by one window.
+SLICE_S = 600.0
+
+
+def running(
+    rows: DataFrame, keys: list[str], t: str, order: list[Column], last: dict[str, Column] | None = None, sums: dict[str, Column] | None = None,
+    before: bool = False, backward: bool = False, slice_s: float = SLICE_S,
+) -> DataFrame:
+    """``rows`` with the last value that is not null (``last``) and the running sums (``sums``) of each, by ``order`` within the keys.
+
+    ``order`` begins with ``t``. ``before`` leaves a row's own value out; ``backward`` looks from the end (the next value that is not null). A scan of two levels:
+    each slice of time is summed up (with partial aggregates), a window goes over the slices only, and one over
+    the rows of each slice, so a key with all rows is dealt over as many tasks as it has slices. A null time is a slice of its own, the first.
+    """
+    last, sums = last or {}, sums or {}
+    where = F.coalesce(F.floor(F.col(t) / slice_s), F.lit(-(1 << 62)))
+    cut = rows.select("*", where.alias("_slice"), F.struct(*(o.alias(f"_{k}") for k, o in enumerate(order))).alias("_place"), *(c.alias(f"_v_{n}") for n, c in {**last, **sums}.items()))
+    pick = F.min_by if backward else F.max_by
+    ends = cut.groupBy(*keys, "_slice").agg(
+        *(pick(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.col("_place"))).alias(f"_c_{n}") for n in last),
+        *(F.sum(f"_v_{n}").alias(f"_c_{n}") for n in sums),
+    )
+    by_slice = Window.partitionBy(*keys).orderBy(F.desc("_slice") if backward else F.asc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(
+        *keys, "_slice", *(F.last(f"_c_{n}", ignorenulls=True).over(by_slice).alias(f"_c_{n}") for n in last), *(F.sum(f"_c_{n}").over(by_slice).alias(f"_c_{n}") for n in sums)
+    )
+    inside = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_place") if backward else F.asc("_place")).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    both = _null_safe(cut, carry, [*keys, "_slice"])
+    found = both.select(
+        *rows.columns,
+        *(F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")).alias(n) for n in last),
+        *((F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in sums),
+    )
+    return found
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the one row of ``right`` that has its keys, of which some may be null."""
+    named = right.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(named, same, "left").drop(*(f"_k_{k}" for k in keys))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str, value: str, slice_s: float = SLICE_S) -> DataFrame:
     """``left`` with the ``value`` of the last ``right`` row with ``at`` <= ``t``; null before the first.
 
-    One shuffle of both sides; of equal times the largest value counts.
+    Both sides as one relation, scanned on two levels (``running``); of equal times the largest value counts.
     """
     marks = right.select(*keys, F.col(at).alias(t), F.col(value).alias("_v"), F.lit(0).alias("_side"))
     rows = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1))
-    w = Window.partitionBy(*keys).orderBy(t, "_side", F.col("_v").asc_nulls_last())
     both = rows.unionByName(marks, allowMissingColumns=True)
-    seen = both.withColumn(value, F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = running(both, keys, t, [F.col(t), F.col("_side"), F.col("_v")], last={value: F.col("_v")}, slice_s=slice_s)
     return seen.filter("_side = 1").drop("_v", "_side")
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.numbers import clamp
 from quillspan.functions.spans import overlap_of_shorter
+from quillspan.operators import intervals
 
 #: Overlap of the shorter clip beyond which a runner-up is the same moment as a pick.
 SAME_MOMENT = 0.15
-#: Share of the whole job at which a stage begins and ends.
+# Share of the whole job at which a stage begins and ends.
 STAGES = {"prepare": (0.0, 0.12), "listen": (0.12, 0.35), "choose": (0.35, 0.55), "make": (0.55, 1.0)}
 
 
@@ -63,21 +64,20 @@ def position_at(points: DataFrame, keyframes: DataFrame, keys: list[str]) -> Dat
     """``points`` (keys, t, ...) with ``x`` read from ``keyframes`` (keys, t, x) by linear interpolation.
 
     Before the first and after the last keyframe its value holds; without keyframes x is 0. Keyframes at one time:
-    the largest counts. One shuffle of both sides, windows over the sorted rows.
+    the largest counts. Both sides as one relation, scanned once forward and once backward on two levels (``intervals.running``).
     """
     frames = keyframes.groupBy(*keys, "t").agg(F.max("x").alias("x"))
-    rows = points.withColumn("_k", F.lit(None).cast("struct<t: double, x: double>")).unionByName(
+    rows = points.withColumn("_k", F.lit(None).cast("struct<t: double, x: double>")).withColumn("_frame", F.lit(False)).unionByName(
         frames.select(*keys, "t", F.struct(F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x")).alias("_k"), F.lit(True).alias("_frame")),
         allowMissingColumns=True,
     )
-    by_time = Window.partitionBy(*keys).orderBy("t")
-    near = rows.withColumn("_a", F.last("_k", True).over(by_time.rangeBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_b", F.first("_k", True).over(by_time.rangeBetween(0, Window.unboundedFollowing))
-    )
+    # Of one time, the frame is before the points for what lies behind, and behind them for what lies ahead.
+    behind = intervals.running(rows, keys, "t", [F.col("t"), ~F.col("_frame")], last={"_a": F.col("_k")})
+    near = intervals.running(behind, keys, "t", [F.col("t"), F.col("_frame")], last={"_b": F.col("_k")}, backward=True)
     a, b = F.col("_a"), F.col("_b")
     between = F.when(b["t"] > a["t"], a["x"] + (b["x"] - a["x"]) * ((F.col("t") - a["t"]) / (b["t"] - a["t"]))).otherwise(b["x"])
     x = F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull(), b["x"]).when(b.isNull(), a["x"]).otherwise(between)
-    return near.filter("_frame is null").withColumn("x", x).drop("_k", "_a", "_b", "_frame")
+    return near.filter("not _frame").withColumn("x", x).drop("_k", "_a", "_b", "_frame")
 
 
 def wrapped(words: Column, width: int) -> Column:

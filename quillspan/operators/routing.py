@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators import intervals
+
+#: Seconds of a slice of a log that one window goes over.
+SLICE_S = 86_400.0
 # Seconds that a model rests after a failure.
 REST_S = {"rate_limit": 60.0, "timeout": 240.0}
 REST_OTHER_S = 45.0
@@ -53,27 +57,27 @@ def availability(log: DataFrame, job: str | None = None) -> DataFrame:
     ``log``: provider, model, capability, id, at_s, category (null: a success), retry_after. A provider that refuses the key and a model that is
     gone stay out from then on; two invalid answers end a model's use for that capability; a rest lasts until it is over or
     a success comes. With ``job``, a column, nothing outlives its job, and the first error that no model can help (no login, no key) ends it:
-    that relation is one row a job. First times come from partial aggregations; rests and strikes from one window a model.
+    that relation is one row a job. First times come from partial aggregations, rests and strikes from scans of two levels (``intervals.running``).
     """
     own = [job] if job else []
     when = F.struct("at_s", "id")
     off = lambda keys, categories, name: log.filter(F.col("category").isin(categories)).groupBy(*own, *keys).agg(F.min(when).alias(name))
     known = log.join(off(["provider"], ["provider_auth"], "_provider"), [*own, "provider"], "left").join(off(["model"], ["model_unavailable"], "_model"), [*own, "model"], "left")
     known = known.join(off([], ENDING, "_end"), own, "left") if job else known.withColumn("_end", F.lit(None).cast("struct<at_s: double, id: long>"))
-    before = Window.partitionBy(*own, "model").orderBy("at_s", "id").rowsBetween(Window.unboundedPreceding, -1)
-    pair = Window.partitionBy(*own, "model", "capability").orderBy("at_s", "id").rowsBetween(Window.unboundedPreceding, -1)
     category = F.col("category")
     rest = (
         F.when(category.isNull(), 0.0).when(category.isin("provider_auth", "model_unavailable", "invalid", *ENDING), None)
         .otherwise(F.col("at_s") + rest_s(category, F.when(~category.isin("timeout", *REFUSED), F.col("retry_after"))))
     )
-    resting = F.col("at_s") < F.coalesce(F.last(rest, ignorenulls=True).over(before), F.lit(0.0))
-    strikes = F.coalesce(F.sum((category == "invalid").cast("int")).over(pair), F.lit(0))
+    order = [F.col("at_s"), F.col("id")]
+    known = intervals.running(known, [*own, "model"], "at_s", order, last={"_until": rest}, before=True, slice_s=SLICE_S)
+    known = intervals.running(known, [*own, "model", "capability"], "at_s", order, sums={"_strikes": (category == "invalid").cast("int")}, before=True, slice_s=SLICE_S)
+    resting = F.col("at_s") < F.coalesce("_until", F.lit(0.0))
     why = (
         F.when(F.col("_end") < when, "ended").when(F.col("_provider") < when, "provider").when(F.col("_model") < when, "model")
-        .when(strikes >= STRIKES, "quality").when(resting, "resting")
+        .when(F.col("_strikes") >= STRIKES, "quality").when(resting, "resting")
     )
-    return known.withColumn("why_not", why).drop("_provider", "_model", "_end")
+    return known.withColumn("why_not", why).drop("_provider", "_model", "_end", "_until", "_strikes")
 
 
 def rotated(models: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:

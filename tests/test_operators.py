@@ -373,3 +373,30 @@ def test_pick_texts_of_whole_documents_with_and_without_labels(spark, tmp_path):
     assert got[1].tags.split()[0] == got[2].tags.split()[0] == "#glacier"
     assert "(scored)" in got[1].why and "(fallback)" in got[2].why
     assert got[2].caption == '"' + ("and the " * 8)[:-5] + '" · de'
+
+
+def test_scan_of_two_levels_equals_a_loop_and_deals_a_hot_key(spark):
+    import random
+
+    from quillspan.operators import intervals
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 8 + ["cold", None]), None if rng.random() < 0.03 else rng.choice([rng.uniform(-50, 50), float(rng.randrange(5))]), k, rng.choice([None, None, k]), rng.randrange(3)) for k in range(500)]
+    df = spark.createDataFrame(rows, "key string, t double, id int, v int, s int")
+    place = lambda r: (r[1] is not None, r[1] or 0.0, r[2])
+    for before in (False, True):
+        for backward in (False, True):
+            out = intervals.running(df, ["key"], "t", [F.col("t"), F.col("id")], {"last": F.col("v")}, {"sum": F.col("s")}, before, backward, 7.0)
+            got = {r.id: (r["last"], r["sum"]) for r in out.collect()}
+            for key in ("hot", "cold", None):
+                last, total = None, 0
+                for r in sorted((r for r in rows if r[0] == key), key=place, reverse=backward):
+                    seen = (last, total)
+                    last, total = (last if r[3] is None else r[3]), total + r[4]
+                    assert got[r[2]] == (seen if before else (last, total))
+    # All rows of one key: the windows over rows are dealt by slice, so no task has them all.
+    one = spark.range(20_000).selectExpr("'hot' as key", "cast(id as double) as t", "cast(id as int) as id", "id as v")
+    dealt = intervals.running(one, ["key"], "t", [F.col("t")], {"last": F.col("v")}, slice_s=500.0)
+    assert "_slice" in dealt._jdf.queryExecution().executedPlan().toString().split("Window")[1]
+    sizes = [len(p) for p in dealt.select("id").rdd.glom().collect()]
+    assert max(sizes) < 20_000 * 0.75 and sum(sizes) == 20_000
