@@ -13,9 +13,9 @@ allowed errors are enumerated as the keys that leave out one of its minima: 64 k
 2. Keys are counted; those of one set only go. A set is the more typical, the more sets share its keys.
 3. Hubs: in each key the most typical set is offered to the others, and a set keeps the nearest offer within the distance. Verified
    pairs give classes.
-4. Exact pairs: in keys whose sets are still in several classes, pairs across classes, by bands of size. Within a class nothing is paired.
-   Of each such set the shingles that sets of other classes have, too, are counted first: no link across classes has more in common, so copies
-   with much of their own are not paired with their whole group.
+4. Exact pairs: keys whose sets are still in several classes give the sets that may have links across classes. Pairs of them are listed where they
+   share one of the shingles that fewest of these sets have, as near the front of both sets' orders as the overlap of a link
+   needs; so copies with much of their own are not paired with their whole group. Within a class nothing is paired.
 5. Every pair within the distance is verified on its full sets; components go by rounds of star contraction.
 
 Texts never shuffle. 64-bit hashes stand for shingles and sets: two different ones collide with a chance of about 5e-20.
@@ -148,27 +148,41 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return classed.join(mixed.select("key", "major"), "key")
 
 
-def _common(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(fp, common): how many shingles of a set sets of other classes have, too; without sets that then have too little for any link."""
+def _rarest(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, fp, n, root, pos) of the sets of mixed keys: shingles that sets of other classes have, too, the rarest first.
+
+    A set's own shingles, which no other class has, come before them in the order and need no rows. Two sets that link have one in common
+    among the first so many of each; a set with too many of its own has no rows at all.
+    """
     each = tokens.join(rows.select("fp", "root", "n").distinct(), "fp").select("fp", "root", "n", F.explode("tokens").alias("token"))
-    several = each.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
-    counted = each.join(several, "token").groupBy("fp", "n").agg(F.count("*").alias("common"))
-    return counted.filter(F.expr(f"100L * common >= {PERCENT}L * n")).select("fp", "common")
+    several = each.groupBy("token").agg(F.count("*").alias("sets"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    ordered = each.join(several.select("token", "sets"), "token").groupBy("fp", "n", "root").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("s"))
+    own = F.col("n") - F.size("s")
+    first = F.col("n") - F.expr(f"cast(ceil({PERCENT} * n / 100) as int)") + 1 - own
+    return ordered.filter(first > 0).select("fp", "n", "root", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "t")).select(
+        F.col("t.token").alias("token"), "fp", "n", "root", (F.col("own") + F.col("at")).alias("pos")
+    )
+
 
+def _crossed(rarest: DataFrame) -> DataFrame:
+    """Distinct (a, b) across classes: sets that share one of their rarest shingles early enough for the overlap of a link.
 
-def _crossed(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """Distinct (a, b) across the classes of a key, of sizes that can link: sets meet in bands of size, so a hot key is dealt by band."""
+    Sets meet in bands of size, so a hot shingle is dealt by band; within a class nothing is paired.
+    """
+    classes = rarest.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("c", "root")).alias("major"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
-    rows = rows.join(small_side(common), "fp").select("key", "fp", "n", "root", "major", "common", band.alias("band"))
+    rows = rarest.join(classes.filter("classes > 1").select("token", "major"), "token").withColumn("band", band)
     minor = rows.filter("root != major").select(
-        "key", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.col("common").alias("common_x"),
+        "token", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.col("pos").alias("pos_x"),
         F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"),
     )
-    crossed = minor.join(rows, ["key", "band"]).filter(
+    need = F.expr(f"cast(ceil({PERCENT} * (cast(n as long) + n_x) / {100 + PERCENT}) as int)")
+    crossed = minor.join(rows, ["token", "band"]).filter(
         (F.col("root_x") != F.col("root"))
         & ((F.col("root") == F.col("major")) | (F.col("fp_x") < F.col("fp")))
         & _similar_size("n", "n_x")
-        & F.expr(f"{100 + PERCENT}L * least(common, common_x) >= {PERCENT}L * (n + n_x)")
+        & (F.col("pos") <= F.col("n") - need)
+        & (F.col("pos_x") <= F.col("n_x") - need)
     )
     return crossed.select(*_ordered("fp_x", "fp")).distinct()
 
@@ -202,8 +216,8 @@ def classed(docs: DataFrame) -> DataFrame:
     likely = written(_nearest_offers(shared, hubs, named))
     links = _verified(likely, tokens)
     rows = written(_mixed(shared, components(links)))
-    common = written(_common(rows, tokens))
-    exact = written(_near(_crossed(rows, common), named))
+    rarest = written(_rarest(rows, tokens))
+    exact = written(_near(_crossed(rarest), named))
     last = _verified(exact, tokens)
     roots = components(links.unionByName(last))
 
@@ -215,7 +229,7 @@ def classed(docs: DataFrame) -> DataFrame:
     by_set = written(
         named.select("fp", "doc").join(linked.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.expr("if(linked, name, doc)").alias("component_id"))
     )
-    forget(named, found, typical, shared, sought, tokens, likely, links, rows, common, exact, last, rooted, names)
+    forget(named, found, typical, shared, sought, tokens, likely, links, rows, rarest, exact, last, rooted, names)
     return sets.join(small_side(by_set), "fp", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
