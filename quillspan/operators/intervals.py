@@ -64,7 +64,7 @@ def running(
         *keys, "_slice", *(F.last(f"_c_{n}", ignorenulls=True).over(by_slice).alias(f"_c_{n}") for n in last), *(F.sum(f"_c_{n}").over(by_slice).alias(f"_c_{n}") for n in sums)
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_place") if backward else F.asc("_place")).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    both = _null_safe(cut, carry, [*keys, "_slice"])
+    both = with_row_of(cut, carry, [*keys, "_slice"])
     found = both.select(
         *rows.columns,
         *(F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")).alias(n) for n in last),
@@ -73,7 +73,7 @@ def running(
     return found
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def with_row_of(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """``left`` with the one row of ``right`` that has its keys, of which some may be null."""
     named = right.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c for c in right.columns if c not in keys))
     same = F.lit(True)

@@ -5,59 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.numbers import count_upto, let
 from quillspan.operators import intervals
 
 # Least speech that counts, overlap of two halves, a range that is never split.
 LEAST_SPEECH_S, SEAM_S, SMALLEST_S = 0.05, 0.5, 20.0
 #: Share of failed parts that a whole still bears.
 TOLERATED = 0.34
-SPANS = "array<struct<start_s: double, end_s: double>>"
+def speech_spans(rows: DataFrame) -> DataFrame:
+    """doc_id, start_s, end_s, upto_s (speech before it), total_s: what lies between the silences of each row; the whole span if hardly anything does.
 
-
-def speech_spans(start: Column, end: Column, silences: Column) -> Column:
-    """What lies between sorted silences from start to end; the whole span if hardly anything does."""
-    inside = F.filter(silences, lambda s: (s["end_s"] > start) & (s["start_s"] < end))
-
-    def spans(quiet: Column) -> Column:
-        edge = lambda k: F.greatest(start, F.coalesce(F.array_max(F.transform(F.slice(quiet, F.lit(1), k), lambda s: s["end_s"])), start))
-        gaps = F.transform(quiet, lambda s, k: F.struct(edge(k).alias("start_s"), F.least(s["start_s"], end).alias("end_s")))
-        last = F.array(F.struct(edge(F.size(quiet)).alias("start_s"), end.alias("end_s")))
-        return F.filter(F.concat(gaps, last), lambda g: g["end_s"] > g["start_s"])
-
-    def checked(found: Column) -> Column:
-        total = F.aggregate(found, F.lit(0.0), lambda t, g: t + g["end_s"] - g["start_s"])
-        return F.when(total <= LEAST_SPEECH_S, F.array(F.struct(start.alias("start_s"), end.alias("end_s")))).otherwise(found)
-
-    return let(let(inside, spans), checked)
+    ``rows``: doc_id, start_s, end_s, silences. Silences become rows, and running maxima and sums over a document's rows give the gaps between
+    them, so the work is linear in their number.
+    """
+    ends = rows.select("doc_id", F.col("start_s").alias("_from"), F.col("end_s").alias("_to"), F.explode_outer("silences").alias("q"))
+    inside = (F.col("q.end_s") > F.col("_from")) & (F.col("q.start_s") < F.col("_to"))
+    quiet = ends.filter(inside).select("doc_id", "_from", "_to", F.col("q.start_s").alias("_at"), F.col("q.end_s").alias("_until"))
+    # A silence of no length at the end closes the last gap.
+    closed = quiet.unionByName(rows.select("doc_id", F.col("start_s").alias("_from"), F.col("end_s").alias("_to"), F.col("end_s").alias("_at"), F.col("end_s").alias("_until")))
+    w = Window.partitionBy("doc_id").orderBy("_at", "_until")
+    begun = F.greatest("_from", F.coalesce(F.max("_until").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_from"))
+    gaps = closed.select("doc_id", "_from", "_to", begun.alias("start_s"), F.least("_at", "_to").alias("end_s"))
+    length = F.when(F.col("end_s") > F.col("start_s"), F.col("end_s") - F.col("start_s")).otherwise(0.0)
+    by_start = Window.partitionBy("doc_id").orderBy("start_s", "end_s")
+    summed = gaps.withColumn("total_s", F.sum(length).over(Window.partitionBy("doc_id"))).withColumn("upto_s", F.sum(length).over(by_start) - length)
+    hardly = F.col("total_s") <= LEAST_SPEECH_S
+    whole = summed.withColumn("_first", F.row_number().over(by_start) == 1).filter(F.when(hardly, F.col("_first")).otherwise(F.col("end_s") > F.col("start_s")))
+    pick = lambda c, other: F.when(hardly, other).otherwise(F.col(c)).alias(c)
+    return whole.select("doc_id", pick("start_s", F.col("_from")), pick("end_s", F.col("_to")), pick("upto_s", F.lit(0.0)), pick("total_s", F.col("_to") - F.col("_from")))
 
 
 def estimated_words(rows: DataFrame) -> DataFrame:
     """doc_id, idx, text, start_s, end_s: tokens spread over the speech of a span by their length, leaving out its silences.
 
-    ``rows``: doc_id, tokens, start_s, end_s, silences (sorted). Spans' running lengths are made once a row; a place is found in them by
-    binary search.
+    ``rows``: doc_id (unique), tokens, start_s, end_s, silences. Words and spans of speech are rows of one relation, ordered by how much speech comes before
+    them, so a word's span is the last one before it; no word carries more than its own. An offset on a border belongs
+    to the earlier span. A word ends where the next begins.
     """
     usable = rows.filter((F.col("end_s") > F.col("start_s")) & (F.size("tokens") > 0))
-    speech = speech_spans(F.col("start_s"), F.col("end_s"), F.coalesce("silences", F.expr(f"cast(array() as {SPANS})")))
-    spans = usable.withColumn("_g", speech)
-    upto = F.transform("_g", lambda g, k: F.aggregate(F.slice("_g", F.lit(1), k), F.lit(0.0), lambda t, x: t + x["end_s"] - x["start_s"]))
-    timed = spans.withColumn("_upto", upto).withColumn(
-        "_total", F.aggregate("_g", F.lit(0.0), lambda t, g: t + g["end_s"] - g["start_s"])
-    )
-    each = timed.select("doc_id", "_g", "_upto", "_total", F.posexplode("tokens").alias("idx", "text"))
+    spans = speech_spans(usable)
+    totals = spans.groupBy("doc_id").agg(F.first("total_s").alias("_total"))
+    # One word more, of no weight, marks the end of the last.
+    each = usable.select("doc_id", F.size("tokens").alias("_n"), F.posexplode(F.array_append("tokens", F.lit(""))).alias("idx", "text"))
     w = Window.partitionBy("doc_id")
-    weight = F.greatest(F.lit(1), F.length("text")) + 1
+    weight = F.when(F.col("idx") < F.col("_n"), F.greatest(F.lit(1), F.length("text")) + 1).otherwise(0)
     acc = F.sum(weight).over(w.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(weight).over(w)
-
-    def at(offset: Column, ends: bool) -> Column:  # an offset on a border belongs to the earlier span
-        k = F.greatest(F.lit(1), count_upto(F.col("_upto"), offset))
-        earlier = (k > 1) & (F.get("_upto", k - 1) >= offset)
-        return let(F.when(earlier, k - 1).otherwise(k), lambda n: F.least(F.get("_g", n - 1)["end_s"], F.get("_g", n - 1)["start_s"] + offset - F.get("_upto", n - 1)))
-
-    placed = each.withColumn("_a", (acc - weight) / total * F.col("_total")).withColumn("_b", acc / total * F.col("_total"))
-    return placed.select("doc_id", "idx", "text", at(F.col("_a"), False).alias("start_s"), at(F.col("_b"), True).alias("end_s"))
+    placed = each.select("doc_id", "_n", "idx", "text", ((acc - weight) / F.sum(weight).over(w)).alias("_share"))
+    words = intervals.with_row_of(placed, totals, ["doc_id"]).select("doc_id", "_n", "idx", "text", (F.col("_share") * F.col("_total")).alias("_off"))
+    # The first span comes before every word; others come after the words on their border.
+    first = F.col("upto_s") == F.min("upto_s").over(w)
+    marks = spans.select("doc_id", F.when(first, -1.0).otherwise(F.col("upto_s")).alias("_off"), F.struct("upto_s", "start_s", "end_s").alias("_span"))
+    by_offset = w.orderBy("_off", F.col("_span").isNotNull(), "idx")
+    seen = words.unionByName(marks, allowMissingColumns=True).withColumn("_in", F.last("_span", ignorenulls=True).over(by_offset.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.least("_in.end_s", F.col("_in.start_s") + F.col("_off") - F.col("_in.upto_s"))
+    timed = seen.filter("_span is null").select("doc_id", "_n", "idx", "text", at.alias("start_s"))
+    return timed.withColumn("end_s", F.lead("start_s").over(w.orderBy("idx"))).filter("idx < _n").drop("_n")
 
 
 def owned(words: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
