@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.numbers import let, ten, text_of, unit, whole
 from quillspan.functions.text import sentence_ref
 from quillspan.operators.replies import ITEM, coverage, field, parsed
+from quillspan.sources import store
 
 # Kinds of moments and content, and the dimensions of a score.
 MOMENT_TYPES = (
@@ -28,16 +29,20 @@ MOST_TAGS = 8
 
 
 def entries(replies: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """The items of a reply's list: keys, pos, json, item (null where the item is no object)."""
+    """The items of a reply's list: keys, pos, item (null where the item is no object) and the item as a variant, for the kinds of its fields."""
     read = replies.select(*keys, parsed(F.col("text"), names).alias("_p"))
     each = read.select(*keys, F.posexplode("_p.items").alias("pos", "json"))
-    return each.withColumn("item", F.when(F.col("json").startswith("{"), F.from_json("json", ITEM)))
+    return each.select(*keys, "pos", F.when(F.col("json").startswith("{"), F.from_json("json", ITEM)).alias("item"), F.try_parse_json("json").alias("variant"))
 
 
-def is_boolean(json: Column, name: str) -> Column:
-    """Whether a field of a JSON object is true or false, not a text that says so."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant"))
-    return F.coalesce(kind == "BOOLEAN", F.lit(False))
+def is_kind(variant: Column, name: str, kind: str) -> Column:
+    """Whether a field of an item is a BOOLEAN or a STRING, not something that can be read as one."""
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant")) == kind, F.lit(False))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Items whose candidate_id is a text; a number that looks like an id is none."""
+    return rows.filter(is_kind(F.col("variant"), "candidate_id", "STRING"))
 
 
 def moment_type(value: Column, kinds: list[str] = MOMENT_TYPES) -> Column:
@@ -48,12 +53,14 @@ def moment_type(value: Column, kinds: list[str] = MOMENT_TYPES) -> Column:
 def covered(rows: DataFrame, known: DataFrame, keys: list[str], ids: list[str], least: float) -> tuple[DataFrame, DataFrame]:
     """The last usable row of every id that was asked for, and (keys, got, expected, status) for every reply.
 
-    ``rows``: keys, ids, pos and values; ``known``: keys, ids. Partial aggregations on both sides of one join.
+    ``rows``: keys, ids, pos and values; ``known``: keys, ids. Partial aggregations on both sides of one join. The usable rows are
+    written once (``store.cut``), as both results read them and replies are dear to parse.
     """
     on = [*keys, *ids]
     values = [c for c in rows.columns if c not in (*on, "pos")]
     asked = known.select(*on).distinct()
-    last = rows.join(asked, on, "left_semi").groupBy(*on).agg(F.max_by(F.struct(*values), "pos").alias("_v")).select(*on, "_v.*")
+    last = rows.join(asked, on, "left_semi").groupBy(*on).agg(F.max_by(F.struct(*values), "pos").alias("_v"))
+    last = store.cut(last).select(*on, "_v.*")
     expected = asked.groupBy(*keys).agg(F.count("*").alias("expected"))
     got = expected.join(last.groupBy(*keys).agg(F.count("*").alias("got")), keys, "left")
     status = got.select(*keys, F.coalesce("got", F.lit(0)).alias("got"), "expected", coverage(F.col("got"), F.col("expected"), least).alias("status"))
@@ -62,7 +69,7 @@ def covered(rows: DataFrame, known: DataFrame, keys: list[str], ids: list[str],
 
 def triage(replies: DataFrame, known: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """keys, candidate_id, keep, priority, deep, kind."""
-    e = entries(replies, keys, ["decisions", "candidates", "clips"])
+    e = named(entries(replies, keys, ["decisions", "candidates", "clips"]))
     item = F.col("item")
     rows = e.select(
         *keys, "pos", item["candidate_id"].alias("candidate_id"), unit(item["keep"]).alias("keep"), unit(item["priority"]).alias("priority"),
@@ -71,13 +78,14 @@ def triage(replies: DataFrame, known: DataFrame, keys: list[str]) -> tuple[DataF
     return covered(rows.filter("keep is not null and priority is not null"), known, keys, ["candidate_id"], TRIAGE)
 
 
-def scoring(replies: DataFrame, known: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def scoring(replies: DataFrame, known: DataFrame, keys: list[str], sentences: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """keys, candidate_id, dims, overall, kind, topic, title, contained, first, last.
 
     At least half of the dimensions (rounded down) and the overall score must be readable. Suggested edges count if they lie in
-    the context that was shown; ``known`` has context_first and context_last besides the ids.
+    the context that was shown; ``known`` has context_first and context_last besides the ids. With ``sentences`` (keys, sid, first, last) context and
+    edges are numbers of sentences, a span may be one sentence, and the result has the words it begins and ends with.
     """
-    e = entries(replies, keys, ["scores", "candidates"])
+    e = named(entries(replies, keys, ["scores", "candidates"]))
     item = F.col("item")
     nested = F.from_json(item["scores"], ITEM)
     source = F.when(item["scores"].startswith("{"), nested).otherwise(item)
@@ -88,15 +96,26 @@ def scoring(replies: DataFrame, known: DataFrame, keys: list[str]) -> tuple[Data
     rows = e.select(
         *keys, "pos", item["candidate_id"].alias("candidate_id"), dims.alias("dims"), unit(item["overall"]).alias("overall"),
         moment_type(item["moment_type"]).alias("kind"), text_of(item["topic"], 60).alias("topic"), text_of(item["title"], 80).alias("title"),
-        F.when(is_boolean(F.col("json"), "self_contained"), item["self_contained"] == "true").alias("contained"),
-        whole(item["start_word_index"]).alias("_first"), whole(item["end_word_index"]).alias("_last"),
+        F.when(is_kind(F.col("variant"), "self_contained", "BOOLEAN"), item["self_contained"] == "true").alias("contained"),
+        *((whole(item[f"{side}_word_index"]) if sentences is None else sentence_ref(item[f"{side}_sentence"]).cast("long")).alias(to) for side, to in (("start", "_first"), ("end", "_last"))),
     )
     usable = rows.filter(F.col("overall").isNotNull() & (F.size("dims") >= len(DIMENSIONS) // 2))
     last, status = covered(usable, known, keys, ["candidate_id"], SCORING)
     shown = last.join(known.select(*keys, "candidate_id", "context_first", "context_last"), [*keys, "candidate_id"])
-    inside = (F.col("context_first") <= F.col("_first")) & (F.col("_first") < F.col("_last")) & (F.col("_last") <= F.col("context_last"))
+    span = F.col("_first") < F.col("_last") if sentences is None else F.col("_first") <= F.col("_last")
+    inside = (F.col("context_first") <= F.col("_first")) & span & (F.col("_last") <= F.col("context_last"))
     edge = lambda name: F.when(inside, F.col(f"_{name}")).alias(name)
-    return shown.select("*", edge("first"), edge("last")).drop("_first", "_last", "context_first", "context_last"), status
+    found = shown.select("*", edge("first"), edge("last")).drop("_first", "_last", "context_first", "context_last")
+    return (found if sentences is None else _words_of(found, sentences, keys)), status
+
+
+def _words_of(found: DataFrame, sentences: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, candidate_id, first, last as sentences) with the words they begin and end with: both edges as rows, one join, one aggregation."""
+    both = F.explode(F.array(F.struct(F.lit(True).alias("begins"), F.col("first").alias("sid")), F.struct(F.lit(False).alias("begins"), F.col("last").alias("sid"))))
+    edges = found.filter("first is not null").select(*keys, "candidate_id", both.alias("e")).select(*keys, "candidate_id", "e.*")
+    words = edges.join(sentences.select(*keys, "sid", F.col("first").alias("_a"), F.col("last").alias("_b")), [*keys, "sid"])
+    spans = words.groupBy(*keys, "candidate_id").agg(F.max(F.when(F.col("begins"), F.col("_a"))).alias("first"), F.max(F.when(~F.col("begins"), F.col("_b"))).alias("last"))
+    return found.drop("first", "last").join(spans, [*keys, "candidate_id"], "left")
 
 
 def hashtags(value: Column) -> Column:
@@ -111,11 +130,11 @@ def judgment(replies: DataFrame, known: DataFrame, keys: list[str]) -> tuple[Dat
 
     ``keep`` must be a boolean. Links to the same story count only to other finalists of the same reply.
     """
-    e = entries(replies, keys, ["verdicts", "candidates", "clips"])
+    e = named(entries(replies, keys, ["verdicts", "candidates", "clips"]))
     item = F.col("item")
     finalists = known.groupBy(*keys).agg(F.collect_set("candidate_id").alias("_known"))
     same = F.coalesce(F.from_json(item["same_story_as"], "array<string>"), F.expr("cast(array() as array<string>)"))
-    rows = e.filter(is_boolean(F.col("json"), "keep")).select(
+    rows = e.filter(is_kind(F.col("variant"), "keep", "BOOLEAN")).select(
         *keys, "pos", item["candidate_id"].alias("candidate_id"), (item["keep"] == "true").alias("keep"), unit(item["score"]).alias("score"),
         text_of(item["title"], 80).alias("title"), text_of(item["reason"], 300).alias("reason"),
         F.nullif(text_of(item["post_caption"], 300), F.lit("")).alias("caption"), hashtags(item["hashtags"]).alias("tags"), same.alias("_same"),
@@ -137,7 +156,7 @@ def pairs(replies: DataFrame, asked: DataFrame, keys: list[str]) -> tuple[DataFr
 
 
 def discovery(replies: DataFrame, sentences: DataFrame | None, keys: list[str], most: int, kinds: list[str] = MOMENT_TYPES) -> tuple[DataFrame, DataFrame]:
-    """Proposals (keys, place, first, last, kind, score, title) and (keys, content_type, found, invalid, status).
+    """Proposals (keys, place, first, last, kind, score, title, hook, reason) and (keys, content_type, found, invalid, status).
 
     ``replies``: keys, text, window_first, window_last (words) and, with ``sentences`` (keys, sid, first, last), first_sid and last_sid:
     items then name sentences, cut to the window's. Items without a readable range in the window are invalid; a
@@ -163,6 +182,7 @@ def discovery(replies: DataFrame, sentences: DataFrame | None, keys: list[str],
         *keys, "pos", valid.alias("valid"), first.alias("first"), last.alias("last"),
         F.coalesce(moment_type(field(F.col("item"), "type", "moment_type"), kinds), F.lit("other")).alias("kind"),
         F.coalesce(unit(field(F.col("item"), "initial_score", "score")), F.lit(0.5)).alias("score"), text_of(F.col("item")["title"], 80).alias("title"),
+        text_of(F.col("item")["hook"], 200).alias("hook"), text_of(F.col("item")["reason"], 300).alias("reason"),
     )
     counts = rows.groupBy(*keys).agg(F.count_if("valid").alias("found"), F.count_if(~F.col("valid")).alias("invalid"))
     kind = F.lower(text_of(F.col("_p.content_type"), 30))

@@ -66,6 +66,26 @@ def scoring_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.join(each, KEYS, "left")
 
 
+def scoring_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with edges by sentence, written as 12, "12" or "s12"; every eleventh item has a number for an id, which is none. Sentences are ten words."""
+    rows = _item_rows(spark, sf_dir)
+    dims = [((F.col("s") + k) % 11).alias(d) for k, d in enumerate(contracts.DIMENSIONS[:6])]
+    sid = lambda c: F.floor(F.col(c) / 10).cast("string")
+    edge = lambda c: F.when(F.col("event_id") % 3 == 0, sid(c)).when(F.col("event_id") % 3 == 1, F.concat(F.lit('"'), sid(c), F.lit('"'))).otherwise(F.concat(F.lit('"s'), sid(c), F.lit('"')))
+    name = F.when(F.col("event_id") % 11 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit('"'), _id(), F.lit('"')))
+    rest = F.to_json(F.struct(*dims, (F.col("s") / 100).alias("overall")))
+    text = F.concat(F.lit('{"candidate_id": '), name, F.lit(', "start_sentence": '), edge("a"), F.lit(', "end_sentence": '), edge("b"), F.lit(", "), F.substring(rest, 2, 10_000))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", text.alias("j"))))
+    lists = rows.groupBy(*KEYS).agg(F.array_join(F.transform(ordered, lambda x: x["j"]), ", ").alias("l"))
+    replies = lists.select(*KEYS, F.concat(F.lit('{"scores": ['), F.col("l"), F.lit("]}")).alias("text"))
+    known = _known(rows, F.lit(8).cast("long").alias("context_first"), F.lit(38).cast("long").alias("context_last"))
+    known = known.withColumn("candidate_id", F.when(F.substring("candidate_id", 2, 20).cast("long") % 11 == 0, F.substring("candidate_id", 2, 20)).otherwise(F.col("candidate_id")))
+    sentences = lists.select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(50))).alias("sid"))
+    sentences = sentences.select(*KEYS, "sid", (F.col("sid") * 10).cast("long").alias("first"), (F.col("sid") * 10 + 9).cast("long").alias("last"))
+    last, status = contracts.scoring(replies, known, KEYS, sentences)
+    return status.join(last.select(*KEYS, "candidate_id", "first", "last", millis(F.col("overall")).alias("overall_1e3")), KEYS, "left")
+
+
 def judgment_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sixth verdict says keep as a text, which is no boolean; links go to the next event and to itself."""
     rows = _item_rows(spark, sf_dir)
@@ -106,6 +126,7 @@ def sentence_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("s"), F.floor(F.col("a") / 10).cast("string"))).otherwise(F.floor(F.col("a") / 10).cast("string")).alias("start_sentence"),
         F.floor(F.col("b") / 10).alias("end_sentence"), _kind().alias("type"), F.when(F.col("event_id") % 8 != 0, F.col("s")).alias("initial_score"),
+        F.concat(F.lit(" hook "), F.col("event_id").cast("string"), F.lit(" ")).alias("hook"), F.repeat(F.lit("r"), (F.col("event_id") % 40 + 280).cast("int")).alias("reason"),
     )
     replies = _replies(rows, "clips", item, '"content_type": "Podcast", ').select(
         "*", F.lit(100).cast("long").alias("window_first"), F.lit(400).cast("long").alias("window_last"), F.lit(10).alias("first_sid"), F.lit(40).alias("last_sid")
@@ -113,7 +134,7 @@ def sentence_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentences = replies.select(*KEYS, F.explode(F.sequence(F.lit(10), F.lit(40))).alias("sid"))
     sentences = sentences.select(*KEYS, "sid", (F.col("sid") * 10).cast("long").alias("first"), (F.col("sid") * 10 + 9).cast("long").alias("last"))
     kept, heads = contracts.discovery(replies, sentences, KEYS, 5)
-    each = kept.select(*KEYS, F.col("place").cast("long").alias("place"), "first", "last", "kind", millis(F.col("score")).alias("score_1e3"))
+    each = kept.select(*KEYS, F.col("place").cast("long").alias("place"), "first", "last", "kind", millis(F.col("score")).alias("score_1e3"), "hook", F.length("reason").alias("reason_chars"))
     return heads.join(each, KEYS, "left")
 
 
@@ -161,6 +182,13 @@ QUERIES = {
           CASE WHEN a >= 50 AND a < b AND b <= 380 THEN a END AS first, CASE WHEN a >= 50 AND a < b AND b <= 380 THEN b END AS last,
           CASE WHEN event_id IS NOT NULL THEN 7 END AS topic_chars FROM st LEFT JOIN u USING (user_id, reply)""",
     ),
+    "scoring_sentences": (
+        scoring_sentences,
+        f"""WITH {_ITEMS}, {_status('event_id % 11 <> 0', contracts.SCORING)}, x AS (SELECT *, CAST(floor(a / 10) AS BIGINT) AS sa, CAST(floor(b / 10) AS BIGINT) AS sb FROM u)
+        SELECT st.*, 'c' || event_id AS candidate_id, CASE WHEN sa >= 8 AND sa <= sb AND sb <= 38 THEN sa * 10 END AS first,
+          CASE WHEN sa >= 8 AND sa <= sb AND sb <= 38 THEN sb * 10 + 9 END AS last, CASE WHEN event_id IS NOT NULL THEN {_K.format(_UNIT.format('(s / 100)'))} END AS overall_1e3
+        FROM st LEFT JOIN x USING (user_id, reply)""",
+    ),
     "judgment_contract": (
         judgment_contract,
         f"""WITH {_ITEMS}, {_status('event_id % 6 <> 0', contracts.JUDGMENT)}
@@ -184,7 +212,8 @@ QUERIES = {
         ), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, reply ORDER BY pos) AS place FROM w WHERE ok)
         SELECT h.*, CASE WHEN found = 0 AND invalid > 0 THEN 'invalid_references' ELSE 'ok' END AS status, place, CAST(f AS BIGINT) AS first, CAST(l AS BIGINT) AS last,
           CASE WHEN place IS NOT NULL THEN coalesce({_KIND_SQL}, 'other') END AS kind,
-          CASE WHEN place IS NULL THEN NULL WHEN event_id % 8 = 0 THEN 500 ELSE {_K.format(_UNIT.format('s'))} END AS score_1e3
+          CASE WHEN place IS NULL THEN NULL WHEN event_id % 8 = 0 THEN 500 ELSE {_K.format(_UNIT.format('s'))} END AS score_1e3,
+          CASE WHEN place IS NOT NULL THEN 'hook ' || event_id END AS hook, CASE WHEN place IS NOT NULL THEN CAST(least(300, event_id % 40 + 280) AS INT) END AS reason_chars
         FROM h LEFT JOIN (SELECT * FROM p WHERE place <= 5) USING (user_id, reply)""",
     ),
     "request_limits": (
