@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillspan.functions.numbers import clamp, let
 from quillspan.functions.spans import overlap_of_shorter, time_iou
 from quillspan.functions.text import jaccard
+from quillspan.operators import dominance
+from quillspan.sources import store
 
 # Fixed values of the scoring rules.
 WEIGHTS = {
@@ -59,11 +61,36 @@ def tier_adjust(name: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in TIER_ADJUST.items() for x in kv))[name]
 
 
-def merge_duplicates(spans: DataFrame, keys: list[str]) -> DataFrame:
+def _by_size(spans: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of islands of up to ``most`` spans, and of larger ones, written once."""
+    spans = store.cut(spans)
+    large = spans.groupBy(*keys, "island").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys, "island")
+    return spans.join(large, [*keys, "island"], "left_anti"), spans.join(large, [*keys, "island"], "left_semi")
+
+
+def _merged_in_rounds(spans: DataFrame, keys: list[str], width_s: float) -> DataFrame:
+    ranked = spans.select(*keys, "id", "start_s", "end_s", "prior", F.struct((-F.col("prior")).alias("order"), "start_s", "id").alias("rank"))
+    same = lambda a, b, c, d: time_iou(a, b, c, d) > DUPLICATE_IOU
+    pairs = store.cut(dominance.conflicts(ranked, keys, same, width_s))
+    gone = dominance.dropped(pairs, keys)
+    absorbed = dominance.first_kept(pairs, gone, keys).groupBy(*keys, F.col("by").alias("id")).agg(F.count("*").alias("_more"))
+    kept = ranked.join(gone, [*keys, "id"], "left_anti").join(absorbed, [*keys, "id"], "left")
+    more = F.coalesce("_more", F.lit(0))
+    # What is absorbed is never stronger, so only the bonuses count; after forty of them the prior is 1.
+    steps = F.when(more > 0, F.sequence(F.lit(1), F.least(more.cast("int"), F.lit(40)))).otherwise(F.expr("cast(array() as array<int>)"))
+    prior = F.aggregate(steps, F.col("prior"), lambda p, n: F.least(F.lit(1.0), p + F.least(F.lit(AGREEMENT_CAP), AGREEMENT * n)))
+    return kept.select(*keys, "id", "start_s", "end_s", prior.alias("prior"), (more + 1).cast("int").alias("proposals"))
+
+
+def merge_duplicates(spans: DataFrame, keys: list[str], most: int | None = None, width_s: float = 600.0) -> DataFrame:
     """Collapses spans with an IoU above 0.4, strongest first; agreement raises the prior step by step.
 
-    ``spans``: keys, island, id, start_s, end_s, prior. Returns keys, id, start_s, end_s, prior, proposals.
+    ``spans``: keys, island, id, start_s, end_s, prior. Returns keys, id, start_s, end_s, prior, proposals. Islands are folded in one row each;
+    those of over ``most`` spans, if given, go by rounds (``dominance``), in buckets of ``width_s`` seconds.
     """
+    if most is not None:
+        small, large = _by_size(spans, keys, most)
+        return merge_duplicates(small, keys).unionByName(_merged_in_rounds(large, keys, width_s))
     row = F.struct((-F.col("prior")).alias("order"), "start_s", "id", "end_s", "prior", F.lit(1).alias("proposals"))
     groups = spans.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     none = F.slice("rows", F.lit(1), F.lit(0))
@@ -89,8 +116,17 @@ def merge_duplicates(spans: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, "k.id", "k.start_s", "k.end_s", "k.prior", "k.proposals")
 
 
-def without_overlaps(spans: DataFrame, keys: list[str], limit: float = MAX_OVERLAP) -> DataFrame:
-    """Greedy by score (ties: start, id): a span goes if a kept one covers more than ``limit`` of the shorter."""
+def without_overlaps(spans: DataFrame, keys: list[str], limit: float = MAX_OVERLAP, most: int | None = None, width_s: float = 600.0) -> DataFrame:
+    """Greedy by score (ties: start, id): a span goes if a kept one covers more than ``limit`` of the shorter.
+
+    Islands of over ``most`` spans, if given, go by rounds, as in ``merge_duplicates``.
+    """
+    if most is not None:
+        small, large = _by_size(spans, keys, most)
+        ranked = large.select(*keys, "id", "start_s", "end_s", "score", F.struct((-F.col("score")).alias("order"), "start_s", "id").alias("rank"))
+        over = lambda a, b, c, d: overlap_of_shorter(a, b, c, d) > limit
+        gone = dominance.dropped(store.cut(dominance.conflicts(ranked, keys, over, width_s)), keys)
+        return without_overlaps(small, keys, limit).unionByName(ranked.join(gone, [*keys, "id"], "left_anti").select(*keys, "id", "start_s", "end_s", "score"))
     row = F.struct((-F.col("score")).alias("order"), "start_s", "id", "end_s")
     groups = spans.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 

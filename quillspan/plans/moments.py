@@ -119,6 +119,18 @@ def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("user_id", "id", "proposals", F.floor(F.col("prior") * 10_000 + 0.5).cast("long").alias("prior_1e4"))
 
 
+def merge_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``merge_duplicates``, with every island of more than three spans by rounds."""
+    m = selection.merge_duplicates(_candidates(spark, sf_dir), ["user_id"], most=3, width_s=3600.0)
+    return m.select("user_id", "id", "proposals", F.floor(F.col("prior") * 10_000 + 0.5).cast("long").alias("prior_1e4"))
+
+
+def finalists_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``greedy_finalists``, by rounds."""
+    kept = selection.without_overlaps(_candidates(spark, sf_dir).withColumn("score", F.col("prior")), ["user_id"], most=3, width_s=3600.0)
+    return selection.shortlist(kept, ["user_id"], SHORTLIST).select("user_id", "id", "place")
+
+
 def greedy_finalists(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = selection.without_overlaps(_candidates(spark, sf_dir).withColumn("score", F.col("prior")), ["user_id"])
     return selection.shortlist(kept, ["user_id"], SHORTLIST).select("user_id", "id", "place")
@@ -351,6 +363,11 @@ QUERIES = {
         f"WITH RECURSIVE {_MERGED} SELECT user_id, id, n AS proposals, CAST(floor(p * 10000 + 0.5) AS BIGINT) AS prior_1e4 FROM merged",
     ),
     "greedy_finalists": (greedy_finalists, f"WITH RECURSIVE {_MERGED}, {_greedy('fin', 'cand')} SELECT user_id, id, place FROM fin"),
+    "merge_in_rounds": (
+        merge_in_rounds,
+        f"WITH RECURSIVE {_MERGED} SELECT user_id, id, n AS proposals, CAST(floor(p * 10000 + 0.5) AS BIGINT) AS prior_1e4 FROM merged",
+    ),
+    "finalists_in_rounds": (finalists_in_rounds, f"WITH RECURSIVE {_MERGED}, {_greedy('fin', 'cand')} SELECT user_id, id, place FROM fin"),
     "ambiguous_pairs": (
         ambiguous_pairs,
         f"WITH RECURSIVE {_POOL} SELECT user_id, a, b, CAST(floor(likeness * 10000 + 0.5) AS BIGINT) AS likeness_1e4 FROM pairs",

@@ -400,3 +400,32 @@ def test_scan_of_two_levels_equals_a_loop_and_deals_a_hot_key(spark):
     assert "_slice" in dealt._jdf.queryExecution().executedPlan().toString().split("Window")[1]
     sizes = [len(p) for p in dealt.select("id").rdd.glom().collect()]
     assert max(sizes) < 20_000 * 0.75 and sum(sizes) == 20_000
+
+
+def test_rounds_of_dominance_equal_the_fold(spark):
+    from quillspan.operators import selection
+
+    rng = random.Random(11)
+    rows = []
+    for job in range(4):
+        for k in range(60):
+            start = rng.choice([rng.uniform(0, 60), float(rng.randrange(60))])
+            rows.append((job, k, start, start + rng.choice([1.0, 5.0, 20.0]), rng.choice([0.0, 0.3, rng.random(), 1.0])))
+    rows += [(9, k, 1.0 * k, 1.0 * k + 1.9, 1.0 - k / 100) for k in range(40)]  # every span beats the next
+    df = intervals.islands(spark.createDataFrame(rows, "job int, id int, start_s double, end_s double, prior double"), ["job"], "start_s", "end_s", ["id"])
+    tidy = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
+    for most in (0, 5):
+        assert tidy(selection.merge_duplicates(df, ["job"], most=most, width_s=7.0)) == tidy(selection.merge_duplicates(df, ["job"]))
+        scored = df.withColumnRenamed("prior", "score")
+        assert tidy(selection.without_overlaps(scored, ["job"], most=most, width_s=7.0)) == tidy(selection.without_overlaps(scored, ["job"]))
+
+
+def test_one_island_of_many_spans_goes_by_rounds(spark):
+    from quillspan.operators import selection
+
+    n = 100_000  # spans of three seconds, one a second: one island, and no row may hold it
+    df = spark.range(n).selectExpr("1 as job", "id", "cast(id as double) as start_s", "id + 3.0D as end_s", "pmod(xxhash64(id), 100003) / 100003.0D as score", "1 as island")
+    kept = selection.without_overlaps(df, ["job"], most=1000, width_s=100.0)
+    starts = sorted(r.start_s for r in kept.select("start_s").collect())
+    gaps = {int(b - a) for a, b in zip(starts, starts[1:], strict=False)}
+    assert min(gaps) >= 3 and max(gaps) <= 5  # apart, and no room for one more
