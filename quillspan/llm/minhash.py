@@ -11,7 +11,7 @@ allowed errors are enumerated as the keys that leave out one of its minima: 64 k
 
 1. One pass over the texts: fingerprint, size and signature of each set; sets are told apart by fingerprint from then on.
 2. Keys are counted; those of one set only go. A set is the more typical, the more sets share its keys.
-3. Hubs: in each key the most typical set is offered to the others, and a set keeps the nearest offer within the distance. Verified
+3. Hubs: in each key the most typical set is offered to the others, and a set keeps the one that most of its keys offer, within the distance. Verified
    pairs give classes.
 4. Exact pairs: keys whose sets are still in several classes give the sets that may have links across classes. Pairs of them are listed where they
    share one of the shingles that fewest of these sets have, as near the front of both sets' orders as the overlap of a link
@@ -44,6 +44,8 @@ SHINGLE, PERCENT = 3, 85
 #: Minima of a signature, chunks it is cut into, and the distance up to which no pair is lost (one error in some chunk).
 MINIMA, CHUNKS = 64, 14
 DISTANCE = 2 * CHUNKS - 1
+#: Rarest shingles that a pair across classes must share, where sizes leave room for so many.
+MORE = 4
 #: Shingles hashed at once, so that the 64 rows stay in a core's cache.
 SLICE = 1024
 
@@ -127,14 +129,11 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _nearest_offers(rows: DataFrame, hubs: DataFrame, named: DataFrame) -> DataFrame:
-    """The nearest of a set's hubs, as (a, b, na, nb): one pair a set at most."""
-    offers = rows.join(hubs, "key").filter("fp != hub").select("fp", "hub").distinct()
-    pairs = _near(offers.select(F.col("fp").alias("a"), F.col("hub").alias("b")), named)
-    best = pairs.groupBy("a", "na").agg(F.min_by(F.struct("b", "nb"), F.struct("distance", "b")).alias("to"))
-    return best.select(F.col("a").alias("fp"), "na", "to.*").select(
-        *_ordered("fp", "b"), F.expr("if(fp < b, na, nb)").alias("na"), F.expr("if(fp < b, nb, na)").alias("nb")
-    ).distinct()
+def _offers(rows: DataFrame, hubs: DataFrame, named: DataFrame) -> DataFrame:
+    """The hub that most of a set's keys offer, if it is within the distance, as (a, b, na, nb): one pair a set at most."""
+    counted = rows.join(hubs, "key").filter("fp != hub").groupBy("fp", "hub").agg(F.count("*").alias("c"))
+    best = counted.groupBy("fp").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    return _near(best.select(*_ordered("fp", "hub")).distinct(), named).drop("distance")
 
 
 def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -165,7 +164,7 @@ def _rarest(rows: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def _crossed(rarest: DataFrame) -> DataFrame:
-    """Distinct (a, b) across classes: sets that share one of their rarest shingles early enough for the overlap of a link.
+    """Distinct (a, b) across classes: sets that share some of their rarest shingles early enough for the overlap of a link.
 
     Sets meet in bands of size, so a hot shingle is dealt by band; within a class nothing is paired.
     """
@@ -176,15 +175,18 @@ def _crossed(rarest: DataFrame) -> DataFrame:
         "token", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.col("pos").alias("pos_x"),
         F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"),
     )
+    # Of a linked pair, the first shingles up to the overlap it needs and a few more have at least as many in common as there are more.
     need = F.expr(f"cast(ceil({PERCENT} * (cast(n as long) + n_x) / {100 + PERCENT}) as int)")
+    more = F.least(F.lit(MORE), need - F.expr(f"cast(ceil({PERCENT} * cast(greatest(n, n_x) as long) / 100) as int)") + 1)
     crossed = minor.join(rows, ["token", "band"]).filter(
         (F.col("root_x") != F.col("root"))
         & ((F.col("root") == F.col("major")) | (F.col("fp_x") < F.col("fp")))
         & _similar_size("n", "n_x")
-        & (F.col("pos") <= F.col("n") - need)
-        & (F.col("pos_x") <= F.col("n_x") - need)
+        & (F.col("pos") < F.col("n") - need + more)
+        & (F.col("pos_x") < F.col("n_x") - need + more)
     )
-    return crossed.select(*_ordered("fp_x", "fp")).distinct()
+    counted = crossed.groupBy(*_ordered("fp_x", "fp"), more.alias("more")).agg(F.count("*").alias("c"))
+    return counted.filter("c >= more").select("a", "b")
 
 
 def classed(docs: DataFrame) -> DataFrame:
@@ -213,7 +215,7 @@ def classed(docs: DataFrame) -> DataFrame:
     tokens = written(tokens)
 
     hubs = shared.groupBy("key").agg(F.max_by("fp", F.struct("typical", "fp")).alias("hub"))
-    likely = written(_nearest_offers(shared, hubs, named))
+    likely = written(_offers(shared, hubs, named))
     links = _verified(likely, tokens)
     rows = written(_mixed(shared, components(links)))
     rarest = written(_rarest(rows, tokens))
