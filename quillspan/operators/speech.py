@@ -11,6 +11,10 @@ from quillspan.operators import intervals
 LEAST_SPEECH_S, SEAM_S, SMALLEST_S = 0.05, 0.5, 20.0
 #: Share of failed parts that a whole still bears.
 TOLERATED = 0.34
+#: The type of a list of silences.
+SPANS = "array<struct<start_s: double, end_s: double>>"
+
+
 def speech_spans(rows: DataFrame) -> DataFrame:
     """doc_id, start_s, end_s, upto_s (speech before it), total_s: what lies between the silences of each row; the whole span if hardly anything does.
 

@@ -8,27 +8,71 @@ from pyspark.sql import functions as F
 from quillspan.functions import presentation
 from quillspan.functions.numbers import millis
 from quillspan.functions.presentation import FILLER_REASON, LOUD_REASON, REASONS
-from quillspan.functions.spans import box_iou
+from quillspan.functions.spans import box_iou, word_iou
 from quillspan.functions.text import STOPWORDS, clock_label, head_and_tail
 from quillspan.operators import boundaries, selection, series
 from quillspan.plans.transcripts import ms
-from quillspan.sources.adapters import ENERGY_SQL, FRAME_S, energy, table, words
+from quillspan.sources import media
+from quillspan.sources.adapters import ENERGY_SQL, FRAME_S, WORDS_SQL, energy, table, word_lists, words
 
 LEAST_S, MOST_S = 10.0, 20.0
 #: A proposal every so many words, of so many words.
 EVERY, LONG = 20, 30
+#: A silence of a second in every four.
+QUIET_EVERY, QUIET_FROM = 4, 1.7
 
 
-def refined_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts with a silence of a second in every four."""
     t = boundaries.transcripts(words(spark, sf_dir))
-    none = F.expr("cast(array() as array<struct<start_s: double, end_s: double>>)")
+    each = F.sequence(F.lit(0), F.floor(F.element_at("ends", -1) / QUIET_EVERY).cast("int"))
+    quiet = F.transform(each, lambda k: F.struct((k * float(QUIET_EVERY) + QUIET_FROM).alias("start_s"), (k * float(QUIET_EVERY) + QUIET_FROM + 1).alias("end_s")))
+    return t.withColumn("silences", quiet)
+
+
+def _proposed(t: DataFrame) -> DataFrame:
+    each = F.explode(F.sequence(F.lit(0), F.size("stops") - 1, F.lit(EVERY))).alias("first")
+    return t.select("doc_id", each).select("doc_id", F.col("first").alias("id"), "first", (F.col("first") + LONG).alias("last"), F.lit(0.5).alias("prior"))
+
+
+def refined_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals of thirty words, one every twenty, with their boundaries."""
+    t = _transcripts(spark, sf_dir)
+    good, _ = boundaries.normalised(t, _proposed(t), LEAST_S, MOST_S)
+    return ms(good.select("doc_id", F.col("id").alias("asked"), "first", "last", "start_s", "end_s"), "start_s", "end_s")
+
+
+def boundary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many proposals of a document got boundaries."""
+    t = _transcripts(spark, sf_dir)
+    return boundaries.normalised(t, _proposed(t), LEAST_S, MOST_S)[1]
+
 
-    def offers(a):
-        clip = lambda k: boundaries.refine(k, k + LONG, a["starts"], a["ends"], a["stops"], none, LEAST_S, MOST_S)
-        return F.transform(F.sequence(F.lit(0), F.size(a["stops"]) - 1, F.lit(EVERY)), lambda k: F.struct(k.alias("asked"), clip(k).alias("c")))
+def proposal_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's proposals with the next one: ids, and how much of their words they share."""
+    n = word_lists(spark, sf_dir).select("doc_id", (F.size("tokens") - 1).alias("top"))
+    each = n.select("doc_id", "top", F.explode(F.sequence(F.lit(0), "top", F.lit(EVERY))).alias("a"))
+    b, c = F.least(F.col("a") + LONG, "top"), F.col("a") + F.col("a") % 37
+    d = c + F.col("a") % 23
+    return each.select("doc_id", boundaries.candidate_id(F.col("a"), b).alias("id"), boundaries.candidate_id(c, d).alias("other"), millis(word_iou(F.col("a"), b, c, d)).alias("iou_1e3"))
 
-    each = t.select("doc_id", F.explode(boundaries.bound(offers)).alias("o")).filter("o.c is not null")
-    return ms(each.select("doc_id", "o.asked", "o.c.*"), "start_s", "end_s")
+
+def trimmed_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of two to four sentences of ten words, one edge or both moved by a sentence."""
+    t = _transcripts(spark, sf_dir).filter("size(stops) >= 10").withColumn("n", F.floor(F.size("stops") / 10).cast("int"))
+    sentences = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct((k * 10).alias("first"), (k * 10 + 9).alias("last")))
+    each = t.withColumn("s", sentences).select("doc_id", "starts", "ends", "silences", "n", "s", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(5))).alias("k"))
+    end = F.least(F.col("k") + F.col("k") % 4, F.col("n") - 1)
+    at = boundaries.trimmed(F.col("s"), F.col("k"), end, F.col("k") % 3 - 1, F.col("k") % 2 * 2 - 1, F.col("starts"), F.col("ends"), F.col("silences"))
+    return ms(each.select("doc_id", "k", at.alias("c")).select("doc_id", "k", "c.*"), "start_s", "end_s")
+
+
+def grey_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as pictures of one colour a value."""
+    colour = lambda v, k: ((F.abs(v) * 1000).cast("int") * (k + 1)) % 256
+    pixels = F.transform(F.col("embedding"), lambda v: F.struct(colour(v, 0).alias("r"), colour(v, 1).alias("g"), colour(v, 2).alias("b")))
+    grey = F.aggregate(media.luma(pixels), F.lit(0), lambda s, x: s + x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", grey.cast("long").alias("grey"))
 
 
 def fallback_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +145,54 @@ def speaker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ms(series.speaker_turns(mouths, length), "start_s", "end_s")
 
 
+_MS = "CAST(floor(({0}) * 1000 + 0.5) AS BIGINT)"
+_START = f"""greatest(0, CASE WHEN qs IS NULL THEN {{0}} - 0.25::DOUBLE ELSE greatest(least(qs + 0.04::DOUBLE, qs + 1), least(qs + 1 - 0.12::DOUBLE, {{0}})) END)"""
+_FINISH = f"""CASE WHEN qe IS NULL THEN {{0}} + 0.35::DOUBLE ELSE greatest({{0}}, least(qe + 0.28::DOUBLE, greatest(qe + 1 - 0.04::DOUBLE, qe))) END"""
+#: Silences' starts as rows, and a join with the one in reach of a start (by its end) or of an end (by its start).
+_QUIET = f"""quiet AS (SELECT doc_id, k * {QUIET_EVERY} + {QUIET_FROM}::DOUBLE AS q FROM (SELECT doc_id, CAST(floor(max(end_s) / {QUIET_EVERY}) AS BIGINT) AS top FROM words GROUP BY doc_id), unnest(range(0, top + 1)) AS t(k))"""
+_REFINED = rf"""{WORDS_SQL}, {_QUIET}, w AS MATERIALIZED (SELECT *, regexp_matches(trim(text), '[.!?…।]+["''”’)\]]*$') AS stop FROM words),
+  p AS (SELECT doc_id, idx AS asked, max_idx, idx + {LONG} AS past FROM (SELECT doc_id, idx, max(idx) OVER (PARTITION BY doc_id) AS max_idx FROM w) WHERE idx % {EVERY} = 0),
+  a AS (SELECT p.doc_id, asked, max_idx, past, CASE WHEN asked <= 0 THEN 0 ELSE coalesce(arg_min(w.idx + 1, (abs(w.idx + 1 - asked), w.idx)), asked) END AS a
+    FROM p LEFT JOIN (SELECT doc_id, idx, stop FROM w UNION ALL SELECT doc_id, -1, true FROM w WHERE idx = 0) w ON w.doc_id = p.doc_id AND w.idx + 1 BETWEEN asked - 12 AND asked + 12 AND w.idx + 1 <= max_idx AND w.stop GROUP BY p.doc_id, asked, max_idx, past),
+  b AS (SELECT a.doc_id, asked, max_idx, a, CASE WHEN past >= max_idx THEN max_idx ELSE coalesce(arg_min(w.idx, (abs(w.idx - past), -w.idx)), past) END AS b
+    FROM a LEFT JOIN w ON w.doc_id = a.doc_id AND w.idx BETWEEN past - 12 AND past + 12 AND (w.stop OR w.idx = max_idx) GROUP BY a.doc_id, asked, max_idx, a, past),
+  l AS (SELECT b.*, s.start_s AS s0, count(*) FILTER (WHERE w.end_s <= s.start_s + {MOST_S}::DOUBLE) + a - 1 AS lim
+    FROM b JOIN w s ON s.doc_id = b.doc_id AND s.idx = b.a JOIN w ON w.doc_id = b.doc_id AND w.idx BETWEEN b.a AND b.a + 400 GROUP BY b.doc_id, asked, max_idx, a, b, s.start_s),
+  c AS (SELECT l.doc_id, asked, a, b, s0, lim, CASE WHEN b > lim THEN coalesce(max(w.idx) FILTER (WHERE w.stop AND w.idx > a AND w.idx <= lim), CASE WHEN lim > a THEN lim END) ELSE b END AS e
+    FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND w.idx BETWEEN a AND lim WHERE b > a GROUP BY l.doc_id, asked, a, b, s0, lim),
+  d AS (SELECT c.doc_id, asked, a, s0, e, CASE WHEN any_value(x.end_s) - s0 < {LEAST_S}::DOUBLE
+      THEN coalesce(min(w.idx) FILTER (WHERE w.stop AND w.end_s - s0 >= {LEAST_S}::DOUBLE), max(w.idx) FILTER (WHERE w.stop), e) ELSE e END AS f
+    FROM c JOIN w x ON x.doc_id = c.doc_id AND x.idx = e LEFT JOIN w ON w.doc_id = c.doc_id AND w.idx > e AND w.idx <= lim GROUP BY c.doc_id, asked, a, s0, e),
+  g AS (SELECT d.doc_id, asked, a, f, s0, w.end_s AS e0 FROM d JOIN w ON w.doc_id = d.doc_id AND w.idx = f WHERE w.end_s - s0 BETWEEN {LEAST_S}::DOUBLE AND {MOST_S}::DOUBLE),
+  h AS (SELECT g.*, x.q AS qs, y.q AS qe FROM g LEFT JOIN quiet x ON x.doc_id = g.doc_id AND abs(x.q + 1 - s0) <= 0.75::DOUBLE LEFT JOIN quiet y ON y.doc_id = g.doc_id AND abs(y.q - e0) <= 0.75::DOUBLE),
+  refined AS (SELECT doc_id, asked, a AS first, f AS last, s, least(e, s + {MOST_S}::DOUBLE) AS e FROM (SELECT *, {_START.format('s0')} AS s, {_FINISH.format('e0')} AS e FROM h))"""
+
 QUERIES = {
-    "refined_clips": (refined_clips, None),
+    "refined_clips": (refined_clips, f"WITH {_REFINED} SELECT doc_id, CAST(asked AS INT) AS asked, CAST(first AS INT) AS first, CAST(last AS INT) AS last, {_MS.format('s')} AS start_ms, {_MS.format('e')} AS end_ms FROM refined"),
+    "boundary_report": (
+        boundary_report,
+        f"WITH {_REFINED} SELECT p.doc_id, count(*) AS proposed, count(*) - count(first) AS no_boundary, count(first) AS refined FROM p LEFT JOIN refined r ON r.doc_id = p.doc_id AND r.asked = p.asked GROUP BY p.doc_id",
+    ),
+    "proposal_overlaps": (
+        proposal_overlaps,
+        f"""WITH {WORDS_SQL}, p AS (SELECT doc_id, idx AS a, least(idx + {LONG}, n - 1) AS b, idx + idx % 37 AS c, idx + idx % 37 + idx % 23 AS d FROM tw WHERE idx % {EVERY} = 0),
+        x AS (SELECT *, greatest(0, least(b, d) - greatest(a, c) + 1) AS x FROM p)
+        SELECT doc_id, 'c' || a || '_' || b AS id, 'c' || c || '_' || d AS other, {_MS.format('x / (b - a + 1 + d - c + 1 - x)')} AS iou_1e3 FROM x""",
+    ),
+    "trimmed_clips": (
+        trimmed_clips,
+        f"""WITH {WORDS_SQL}, {_QUIET}, t AS (SELECT doc_id, n // 10 AS n FROM tw WHERE idx = 0 AND n >= 10),
+        k AS (SELECT doc_id, k, n, least(k + k % 4, n - 1) AS l, greatest(0, k + k % 3 - 1) AS a0, greatest(0, least(n - 1, least(k + k % 4, n - 1) + k % 2 * 2 - 1)) AS b0 FROM t, unnest(range(0, n, 5)) AS u(k)),
+        m AS (SELECT doc_id, k, CASE WHEN least(a0, n - 1) <= b0 THEN least(a0, n - 1) ELSE k END AS a, CASE WHEN least(a0, n - 1) <= b0 THEN b0 ELSE l END AS b FROM k),
+        g AS (SELECT m.*, x.start_s AS s0, y.end_s AS e0 FROM m JOIN words x ON x.doc_id = m.doc_id AND x.idx = a * 10 JOIN words y ON y.doc_id = m.doc_id AND y.idx = b * 10 + 9),
+        h AS (SELECT g.*, x.q AS qs, y.q AS qe FROM g LEFT JOIN quiet x ON x.doc_id = g.doc_id AND abs(x.q + 1 - s0) <= 0.75::DOUBLE LEFT JOIN quiet y ON y.doc_id = g.doc_id AND abs(y.q - e0) <= 0.75::DOUBLE)
+        SELECT doc_id, CAST(k AS INT) AS k, CAST(a AS INT) AS first, CAST(b AS INT) AS last, {_MS.format(_START.format('s0'))} AS start_ms, {_MS.format(_FINISH.format('e0'))} AS end_ms FROM h""",
+    ),
+    "grey_pictures": (
+        grey_pictures,
+        """SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda v: (CAST(trunc(abs(v) * 1000) AS INT) % 256 * 3 + CAST(trunc(abs(v) * 1000) AS INT) * 2 % 256 * 6 + CAST(trunc(abs(v) * 1000) AS INT) * 3 % 256) // 10)) AS BIGINT) AS grey
+        FROM embeddings""",
+    ),
     "fallback_windows": (fallback_windows, None),
     "tagged_turns": (tagged_turns, "SELECT conv_id, turn, '[t' || turn || '] ' || text AS line FROM conversations"),
     "abridged_documents": (
