@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm import bpe, decontaminate, language_id, quality, similarity
-from quillspan.llm.common import table, written
+from quillspan.llm.common import forget, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over ``documents``."""
+    """All stages, one after the other, over ``documents``; a stage's table is deleted when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir))
+        if k:
+            forget(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
