@@ -2,14 +2,15 @@
 
 A page becomes a small DOM. Elements that are never part of an article (menus, forms, scripts, notices,
 adverts, comments of readers; by tag, role, or a whole token of class or id) leave the tree first. One that
-holds a ``main`` or an ``article`` stays, but comments and asides only if the page has no other ``article``. For every other node the
+holds a ``main`` or an ``article`` stays, but asides and related links only if the page has no other ``article``, and readers' comments only if it has no
+other text. These rules alone take out all that is not the article on the given pages; density then decides on what they do not know. For every other node the
 composite density is characters per tag, adjusted by how much of it is links; the density sum of a node
 is the sum over its children that are blocks. From the node with the largest sum, the smallest density on its path to
 the body is the threshold; in every node under the body that reaches it, the subtree with the largest sum
 is content, and all of them are the text. As the density of a node without links grows with its size, nodes
 are also compared as if they had the size of the body, so a short section is not below a long one of the
 same make. What lies between content of one parent stays unless it is mostly links, and headings stay with
-what follows. Tags like ``article`` have no say in the choice.
+what follows.
 
 All blocks of the text are returned in page order: character references decoded, white space in
 a block turned into one blank, blocks joined by a newline.
@@ -77,6 +78,8 @@ DROPPED_NAMES = re.compile(rf"{_BEFORE}{_NAME}(?:[-_]{_NAME})*{_AFTER}", re.I)
 #: Of these, what has articles of others: readers' comments and links to more.
 CARDS = frozenset("aside noscript template".split())
 CARD_NAMES = re.compile(r"(?:^|[-_])(?:comments?|disqus|replies|respond|related|recommended)(?:$|[-_])", re.I)
+#: Comments of readers: they leave with the articles in them, unless the page has no other text.
+COMMENT_NAMES = re.compile(r"(?:^|[-_])(?:comments?|disqus|replies|respond)(?:$|[-_])", re.I)
 MAIN = ("article", "main")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 #: An element that would leave but for the article in it.
@@ -95,7 +98,7 @@ class Node:
 
 
 def dropped(tag: str, attrs: str, inside_article: bool) -> int:
-    """0: stays; 1: leaves, unless it holds an article; 2: leaves, unless it holds the only ones."""
+    """0: stays; 1: leaves, unless it holds an article; 2: leaves, unless it holds the only ones; 3: leaves, unless it holds the only text."""
     if tag in DROPPED or tag == "header" and not inside_article:
         return 1 + (tag in CARDS)
     if not attrs or tag in ("html", "body", *MAIN):
@@ -105,6 +108,8 @@ def dropped(tag: str, attrs: str, inside_article: bool) -> int:
         named.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names = [n for n in (*named.get("class", "").split(), *named.get("id", "").split()) if DROPPED_NAMES.fullmatch(n)]
     role = named.get("role", "").lower().split()[:1]
+    if any(COMMENT_NAMES.search(n) for n in names):
+        return 3
     if role == ["complementary"] or any(CARD_NAMES.search(n) for n in names):
         return 2
     return int(bool(names or role and role[0] in DROPPED_ROLES))
@@ -184,7 +189,13 @@ def without_dropped(root: Node) -> Node:
     for n in nodes:
         if n.leaves and n.holds >= n.leaves:
             n.leaves = KEPT
-    cards = [n for n in nodes if n.leaves > 0 and n.holds]
+    todo, plain = [root], False  # whether there is text outside of what leaves
+    while todo and not plain:
+        n = todo.pop()
+        plain = any(isinstance(c, str) and c.strip() for c in n.items)
+        todo.extend(c for c in n.items if isinstance(c, Node) and c.leaves <= 0)
+    may = lambda n: n.leaves > 0 and n.holds and not (n.leaves == 3 and plain)
+    cards = [n for n in nodes if may(n)]
     while cards:
         outside, todo = False, [root]
         while todo and not outside:
@@ -197,7 +208,7 @@ def without_dropped(root: Node) -> Node:
         for n in nodes:
             if n.parent in seen:
                 seen.add(n)
-            elif n.leaves > 0 and n.holds:
+            elif may(n):
                 seen.add(n)
                 n.leaves = KEPT
         cards = [n for n in cards if n.leaves > 0]

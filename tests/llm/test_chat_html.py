@@ -122,3 +122,13 @@ def test_all_sections_of_a_page_without_article():
     assert loose.strip() in html_text.main_text(f"<body>{loose}{''.join(flat)}</body>")
     bold = "A start in plain words and <b>bold <i>one</i> <i>two</i> <i>three</i></b> with an end"
     assert html_text.main_text(f"<body><div><p>{bold}</p></div></body>") == "A start in plain words and bold one two three with an end"
+
+
+def test_comments_with_the_only_article_leave():
+    from quillspan.llm.html_text import main_text
+
+    comments = '<div class="post-comments"><article>A reader says something</article></div>'
+    story = "<div><p>The text of the story, long enough to be one.</p><p>And more of it.</p></div>"
+    assert main_text(f"<body>{comments}{story}</body>") == main_text(f"<body>{story}{comments}</body>") == "The text of the story, long enough to be one.\nAnd more of it."
+    assert main_text(f"<body><nav>Menu</nav>{comments}</body>") == "A reader says something"  # no other text
+    assert main_text(f'<body><div id="respond"><main>{story}</main></div></body>').startswith("The text")
