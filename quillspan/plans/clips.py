@@ -76,7 +76,7 @@ def grey_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fallback_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = boundaries.filler_windows(boundaries.transcripts(words(spark, sf_dir)), LEAST_S, MOST_S)
+    w = boundaries.filler_windows(_transcripts(spark, sf_dir), LEAST_S, MOST_S)
     return ms(w.withColumn("score_1e4", F.floor(F.col("score") * 10_000 + 0.5).cast("long")).drop("score"), "start_s", "end_s")
 
 
@@ -150,9 +150,9 @@ _START = f"""greatest(0, CASE WHEN qs IS NULL THEN {{0}} - 0.25::DOUBLE ELSE gre
 _FINISH = f"""CASE WHEN qe IS NULL THEN {{0}} + 0.35::DOUBLE ELSE greatest({{0}}, least(qe + 0.28::DOUBLE, greatest(qe + 1 - 0.04::DOUBLE, qe))) END"""
 #: Silences' starts as rows, and a join with the one in reach of a start (by its end) or of an end (by its start).
 _QUIET = f"""quiet AS (SELECT doc_id, k * {QUIET_EVERY} + {QUIET_FROM}::DOUBLE AS q FROM (SELECT doc_id, CAST(floor(max(end_s) / {QUIET_EVERY}) AS BIGINT) AS top FROM words GROUP BY doc_id), unnest(range(0, top + 1)) AS t(k))"""
-_REFINED = rf"""{WORDS_SQL}, {_QUIET}, w AS MATERIALIZED (SELECT *, regexp_matches(trim(text), '[.!?…।]+["''”’)\]]*$') AS stop FROM words),
-  p AS (SELECT doc_id, idx AS asked, max_idx, idx + {LONG} AS past FROM (SELECT doc_id, idx, max(idx) OVER (PARTITION BY doc_id) AS max_idx FROM w) WHERE idx % {EVERY} = 0),
-  a AS (SELECT p.doc_id, asked, max_idx, past, CASE WHEN asked <= 0 THEN 0 ELSE coalesce(arg_min(w.idx + 1, (abs(w.idx + 1 - asked), w.idx)), asked) END AS a
+_WORDS = rf"""{WORDS_SQL}, {_QUIET}, w AS MATERIALIZED (SELECT *, regexp_matches(trim(text), '[.!?…।]+["''”’)\]]*$') AS stop FROM words)"""
+#: Boundaries of proposals p (doc_id, asked, max_idx, past).
+_REFINE = rf"""a AS (SELECT p.doc_id, asked, max_idx, past, CASE WHEN asked <= 0 THEN 0 ELSE coalesce(arg_min(w.idx + 1, (abs(w.idx + 1 - asked), w.idx)), asked) END AS a
     FROM p LEFT JOIN (SELECT doc_id, idx, stop FROM w UNION ALL SELECT doc_id, -1, true FROM w WHERE idx = 0) w ON w.doc_id = p.doc_id AND w.idx + 1 BETWEEN asked - 12 AND asked + 12 AND w.idx + 1 <= max_idx AND w.stop GROUP BY p.doc_id, asked, max_idx, past),
   b AS (SELECT a.doc_id, asked, max_idx, a, CASE WHEN past >= max_idx THEN max_idx ELSE coalesce(arg_min(w.idx, (abs(w.idx - past), -w.idx)), past) END AS b
     FROM a LEFT JOIN w ON w.doc_id = a.doc_id AND w.idx BETWEEN past - 12 AND past + 12 AND (w.stop OR w.idx = max_idx) GROUP BY a.doc_id, asked, max_idx, a, past),
@@ -166,6 +166,26 @@ _REFINED = rf"""{WORDS_SQL}, {_QUIET}, w AS MATERIALIZED (SELECT *, regexp_match
   g AS (SELECT d.doc_id, asked, a, f, s0, w.end_s AS e0 FROM d JOIN w ON w.doc_id = d.doc_id AND w.idx = f WHERE w.end_s - s0 BETWEEN {LEAST_S}::DOUBLE AND {MOST_S}::DOUBLE),
   h AS (SELECT g.*, x.q AS qs, y.q AS qe FROM g LEFT JOIN quiet x ON x.doc_id = g.doc_id AND abs(x.q + 1 - s0) <= 0.75::DOUBLE LEFT JOIN quiet y ON y.doc_id = g.doc_id AND abs(y.q - e0) <= 0.75::DOUBLE),
   refined AS (SELECT doc_id, asked, a AS first, f AS last, s, least(e, s + {MOST_S}::DOUBLE) AS e FROM (SELECT *, {_START.format('s0')} AS s, {_FINISH.format('e0')} AS e FROM h))"""
+_REFINED = f"""{_WORDS}, p AS (SELECT doc_id, idx AS asked, max_idx, idx + {LONG} AS past FROM (SELECT doc_id, idx, max(idx) OVER (PARTITION BY doc_id) AS max_idx FROM w) WHERE idx % {EVERY} = 0),
+  {_REFINE}"""
+#: Filler windows ask for the words that begin within the target from each sentence's first word on.
+_TARGET = min(MOST_S, max(LEAST_S * 1.5, (LEAST_S + MOST_S) / 3))
+_FILLER = f"""{_WORDS}, open AS (SELECT doc_id, idx, start_s, max_idx FROM (SELECT *, max(idx) OVER (PARTITION BY doc_id) AS max_idx, lag(stop) OVER (PARTITION BY doc_id ORDER BY idx) AS before FROM w) WHERE idx = 0 OR before),
+  p AS (SELECT o.doc_id, o.idx AS asked, max_idx, greatest(o.idx + 1, o.idx - 1 + count(*) FILTER (WHERE v.start_s <= o.start_s + {_TARGET}::DOUBLE)) AS past
+    FROM open o JOIN w v ON v.doc_id = o.doc_id AND v.idx BETWEEN o.idx AND o.idx + 400 GROUP BY o.doc_id, o.idx, max_idx, o.start_s),
+  {_REFINE},
+  found AS MATERIALIZED (SELECT r.*, o.start_s AS open_s, row_number() OVER (PARTITION BY r.doc_id ORDER BY asked) AS k FROM refined r JOIN open o ON o.doc_id = r.doc_id AND o.idx = r.asked),
+  taken AS (
+    SELECT doc_id, 0 AS k, -1.0::DOUBLE AS upto, false AS took FROM found WHERE k = 1
+    UNION ALL
+    SELECT t.doc_id, f.k, CASE WHEN f.open_s >= upto AND f.s >= upto THEN f.e ELSE upto END, f.open_s >= upto AND f.s >= upto FROM taken t JOIN found f ON f.doc_id = t.doc_id AND f.k = t.k + 1),
+  clip AS (SELECT f.*, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.k) - 1 AS win, greatest(0.001::DOUBLE, f.e - f.s) AS len FROM found f JOIN taken t ON t.doc_id = f.doc_id AND t.k = f.k AND t.took),
+  hush AS (SELECT c.doc_id, win, sum(greatest(0, least(c.e, q + 1) - greatest(c.s, q))) AS silent FROM clip c JOIN quiet ON quiet.doc_id = c.doc_id AND q < c.e AND q + 1 > c.s GROUP BY ALL),
+  said AS (SELECT c.doc_id, win, string_agg(text, ' ' ORDER BY idx) AS t FROM clip c JOIN w ON w.doc_id = c.doc_id AND idx BETWEEN c.first AND c.last GROUP BY ALL),
+  rated AS (SELECT c.*, t, floor((last - first + 1) / len * 1000 + 0.5) / 1000 AS density, floor(coalesce(silent, 0) / len * 1000 + 0.5) / 1000 AS silence
+    FROM clip c JOIN said USING (doc_id, win) LEFT JOIN hush USING (doc_id, win)),
+  scored AS (SELECT *, 0.15::DOUBLE + 0.12::DOUBLE * least(1.0::DOUBLE, density / 3) + CASE WHEN contains(t, '?') THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN contains(t, '!') THEN 0.05::DOUBLE ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[0-9]') THEN 0.04::DOUBLE ELSE 0 END - 0.1::DOUBLE * least(1.0::DOUBLE, silence * 2) AS score FROM rated)"""
 
 QUERIES = {
     "refined_clips": (refined_clips, f"WITH {_REFINED} SELECT doc_id, CAST(asked AS INT) AS asked, CAST(first AS INT) AS first, CAST(last AS INT) AS last, {_MS.format('s')} AS start_ms, {_MS.format('e')} AS end_ms FROM refined"),
@@ -193,7 +213,11 @@ QUERIES = {
         """SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda v: (CAST(trunc(abs(v) * 1000) AS INT) % 256 * 3 + CAST(trunc(abs(v) * 1000) AS INT) * 2 % 256 * 6 + CAST(trunc(abs(v) * 1000) AS INT) * 3 % 256) // 10)) AS BIGINT) AS grey
         FROM embeddings""",
     ),
-    "fallback_windows": (fallback_windows, None),
+    "fallback_windows": (
+        fallback_windows,
+        f"""WITH RECURSIVE {_FILLER} SELECT doc_id, CAST(win AS INT) AS win, CAST(first AS INT) AS first, CAST(last AS INT) AS last, {_MS.format('s')} AS start_ms, {_MS.format('e')} AS end_ms,
+          CAST(floor(floor(greatest(0, least(0.45::DOUBLE, score)) * 10000 + 0.5) / 10000 * 10000 + 0.5) AS BIGINT) AS score_1e4 FROM scored""",
+    ),
     "tagged_turns": (tagged_turns, "SELECT conv_id, turn, '[t' || turn || '] ' || text AS line FROM conversations"),
     "abridged_documents": (
         abridged_documents,
