@@ -44,8 +44,8 @@ SHINGLE, PERCENT = 3, 85
 #: Minima of a signature, chunks it is cut into, and the distance up to which no pair is lost (one error in some chunk).
 MINIMA, CHUNKS = 64, 14
 DISTANCE = 2 * CHUNKS - 1
-#: Rarest shingles that a pair across classes must share, where sizes leave room for so many.
-MORE = 4
+#: Shingles before one that tell whether a pair has been listed there.
+BEFORE = 3
 #: Shingles hashed at once, so that the 64 rows stay in a core's cache.
 SLICE = 1024
 
@@ -108,13 +108,17 @@ def _similar_size(a: str, b: str) -> Column:
     return F.expr(f"100L * least({a}, {b}) >= {PERCENT}L * greatest({a}, {b})")
 
 
+def _distance(x: str, y: str) -> Column:
+    """In how many minima two signatures differ."""
+    return F.expr(f"size(filter(zip_with({x}, {y}, (a, b) -> a != b), d -> d))")
+
+
 def _near(pairs: DataFrame, named: DataFrame) -> DataFrame:
     """(a, b, na, nb, distance) of the (a, b) pairs whose signatures are within the distance."""
     side = lambda x: named.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig_{x}"))
-    apart = F.expr("size(filter(zip_with(sig_a, sig_b, (x, y) -> x != y), d -> d))")
     return (
         pairs.join(side("a"), "a").join(side("b"), "b").filter(_similar_size("na", "nb"))
-        .select("a", "b", "na", "nb", apart.alias("distance")).filter(F.col("distance") <= DISTANCE)
+        .select("a", "b", "na", "nb", _distance("sig_a", "sig_b").alias("distance")).filter(F.col("distance") <= DISTANCE)
     )
 
 
@@ -148,9 +152,9 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rarest(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(token, fp, n, root, pos) of the sets of mixed keys: shingles that sets of other classes have, too, the rarest first.
+    """(token, fp, n, root, pos, before) of the sets of mixed keys: shingles that sets of other classes have, too, the rarest first.
 
-    A set's own shingles, which no other class has, come before them in the order and need no rows. Two sets that link have one in common
+    ``before``: up to three shingles that come right before it in the set's order. A set's own shingles, which no other class has, come before them in the order and need no rows. Two sets that link have one in common
     among the first so many of each; a set with too many of its own has no rows at all.
     """
     each = tokens.join(rows.select("fp", "root", "n").distinct(), "fp").select("fp", "root", "n", F.explode("tokens").alias("token"))
@@ -158,35 +162,35 @@ def _rarest(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     ordered = each.join(several.select("token", "sets"), "token").groupBy("fp", "n", "root").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("s"))
     own = F.col("n") - F.size("s")
     first = F.col("n") - F.expr(f"cast(ceil({PERCENT} * n / 100) as int)") + 1 - own
-    return ordered.filter(first > 0).select("fp", "n", "root", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "t")).select(
-        F.col("t.token").alias("token"), "fp", "n", "root", (F.col("own") + F.col("at")).alias("pos")
-    )
+    cut = ordered.filter(first > 0).select("fp", "n", "root", own.alias("own"), F.transform(F.slice("s", F.lit(1), F.greatest(F.lit(0), first)), lambda t: t["token"]).alias("s"))
+    before = F.slice("s", F.greatest(F.lit(1), F.col("at") + 1 - BEFORE), F.least(F.col("at"), F.lit(BEFORE)))
+    return cut.select("fp", "n", "root", "own", "s", F.posexplode("s").alias("at", "token")).select("token", "fp", "n", "root", (F.col("own") + F.col("at")).alias("pos"), before.alias("before"))
 
 
-def _crossed(rarest: DataFrame) -> DataFrame:
-    """Distinct (a, b) across classes: sets that share some of their rarest shingles early enough for the overlap of a link.
+def _crossed(rarest: DataFrame, named: DataFrame) -> DataFrame:
+    """Distinct (a, b, na, nb) across classes, within the distance: sets that share one of their rarest shingles early enough for the overlap of a link.
 
-    Sets meet in bands of size, so a hot shingle is dealt by band; within a class nothing is paired.
+    Sets meet in bands of size, so a hot shingle is dealt by band; within a class nothing is paired. A pair that shares a shingle right before this
+    one has been listed there, and the first one that it shares always lists it.
     """
     classes = rarest.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("c", "root")).alias("major"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
-    rows = rarest.join(classes.filter("classes > 1").select("token", "major"), "token").withColumn("band", band)
+    rows = rarest.join(classes.filter("classes > 1").select("token", "major"), "token").withColumn("band", band).join(named.select("fp", "sig"), "fp")
     minor = rows.filter("root != major").select(
-        "token", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.col("pos").alias("pos_x"),
-        F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"),
-    )
-    # Of a linked pair, the first shingles up to the overlap it needs and a few more have at least as many in common as there are more.
+        "token", *(F.col(c).alias(f"{c}_x") for c in ("fp", "n", "root", "pos", "before", "sig")), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band")
+    )
     need = F.expr(f"cast(ceil({PERCENT} * (cast(n as long) + n_x) / {100 + PERCENT}) as int)")
-    more = F.least(F.lit(MORE), need - F.expr(f"cast(ceil({PERCENT} * cast(greatest(n, n_x) as long) / 100) as int)") + 1)
     crossed = minor.join(rows, ["token", "band"]).filter(
         (F.col("root_x") != F.col("root"))
         & ((F.col("root") == F.col("major")) | (F.col("fp_x") < F.col("fp")))
         & _similar_size("n", "n_x")
-        & (F.col("pos") < F.col("n") - need + more)
-        & (F.col("pos_x") < F.col("n_x") - need + more)
+        & (F.col("pos") <= F.col("n") - need)
+        & (F.col("pos_x") <= F.col("n_x") - need)
+        & ~F.arrays_overlap("before", "before_x")
+        & (_distance("sig", "sig_x") <= DISTANCE)
     )
-    counted = crossed.groupBy(*_ordered("fp_x", "fp"), more.alias("more")).agg(F.count("*").alias("c"))
-    return counted.filter("c >= more").select("a", "b")
+    smaller = lambda x, y: F.expr(f"if(fp_x < fp, {x}, {y})")
+    return crossed.select(*_ordered("fp_x", "fp"), smaller("n_x", "n").alias("na"), smaller("n", "n_x").alias("nb")).distinct()
 
 
 def classed(docs: DataFrame) -> DataFrame:
@@ -219,7 +223,7 @@ def classed(docs: DataFrame) -> DataFrame:
     links = _verified(likely, tokens)
     rows = written(_mixed(shared, components(links)))
     rarest = written(_rarest(rows, tokens))
-    exact = written(_near(_crossed(rarest), named))
+    exact = written(_crossed(rarest, named))
     last = _verified(exact, tokens)
     roots = components(links.unionByName(last))
 
