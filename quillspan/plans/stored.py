@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.functions.numbers import millis
+from quillspan.functions.numbers import let, millis
 from quillspan.sources import recognition, stages, store
 from quillspan.sources.adapters import WORDS_SQL, table, word_lists
 
@@ -17,21 +17,21 @@ RESULT_WORDS, NONE_OF, BLANK_OF = 12, 5, 17
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as replies: results of twelve words and a second alternative that says otherwise; every fifth result is empty."""
-    n = F.size("tokens")
-    starts = F.sequence(F.lit(0), F.floor((n - 1) / RESULT_WORDS).cast("int"))
-
     def word(w, at):
         begin = F.when(at > 0, at * 400)
         return F.struct(F.when(at % BLANK_OF == BLANK_OF - 1, "  ").otherwise(F.concat(F.lit(" "), w)).alias("word"), begin.alias("start_time"), (at * 400 + 300).alias("end_time"))
 
-    def result(r):
-        said = F.slice("tokens", r * RESULT_WORDS + 1, F.lit(RESULT_WORDS))
+    def result(tokens, r):
+        said = F.slice(tokens, r * RESULT_WORDS + 1, F.lit(RESULT_WORDS))
         first = F.struct(F.concat(F.lit("\n "), F.array_join(said, " "), F.lit("  ")).alias("transcript"), F.transform(said, lambda w, i: word(w, r * RESULT_WORDS + i)).alias("words"))
         other = F.struct(F.lit("something else").alias("transcript"), F.transform(F.slice(said, 1, 1), lambda w: word(F.lit("else"), F.lit(1))).alias("words"))
         return F.struct(F.when(r % NONE_OF == NONE_OF - 2, F.slice(F.array(first, other), 1, 0)).otherwise(F.array(first, other)).alias("alternatives"))
 
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    made = word_lists(spark, sf_dir).select("doc_id", F.to_json(F.struct(F.transform(starts, result).alias("results"))).alias("reply"))
+    # The tokens are bound once a row; a lambda over a column would split the text again for each result.
+    starts = lambda tokens: F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / RESULT_WORDS).cast("int"))
+    results = let(F.col("tokens"), lambda tokens: F.transform(starts(tokens), lambda r: result(tokens, r)))
+    made = word_lists(spark, sf_dir).select("doc_id", F.to_json(F.struct(results.alias("results"))).alias("reply"))
     # Documents without words are replies without results.
     return docs.join(made, "doc_id", "left").withColumn("reply", F.coalesce("reply", F.lit("{}")))
 
