@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.numbers import half_up, millis, ten, unit
+from quillspan.functions.numbers import half_up, let, millis, ten, unit
 from quillspan.functions.spans import crop_size
 from quillspan.functions.text import content_words, jaccard, slug
 from quillspan.operators import layout, replies, routing, series
@@ -130,16 +130,18 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sse_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as streamed completions of nine words an event, with unreadable events, usage, an end mark and more after it, put together again."""
     d = word_lists(spark, sf_dir)
-    starts = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / EVENT_WORDS).cast("int"))
-    said = lambda k: F.array_join(F.slice("tokens", k * EVENT_WORDS + 1, F.lit(EVENT_WORDS)), " ")
+    said = lambda tokens, k: F.array_join(F.slice(tokens, k * EVENT_WORDS + 1, F.lit(EVENT_WORDS)), " ")
+    starts = lambda tokens: F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / EVENT_WORDS).cast("int"))
     quoted = lambda text: F.regexp_extract(F.to_json(F.struct(text.alias("c"))), r"(?s)^\{\"c\":(.*)\}$", 1)
     content = lambda text: F.concat(F.lit('data: {"choices": [{"delta": {"content": '), quoted(text), F.lit("}}]}\r\n"))
-    event = lambda k: F.concat(F.when(k % 4 == 2, "data: {broken\n: a remark\n").otherwise(""), content(said(k)))
+    event = lambda tokens, k: F.concat(F.when(k % 4 == 2, "data: {broken\n: a remark\n").otherwise(""), content(said(tokens, k)))
     usage = F.concat(
         F.lit('data: {"choices": [{"delta": {}, "finish_reason": "'), F.when(F.col("doc_id") % 3 == 0, "length").otherwise("stop"),
         F.lit('"}], "usage": {"prompt_tokens": '), F.size("tokens").cast("string"), F.lit(', "completion_tokens": 7}}\n'),
     )
-    body = F.concat(F.array_join(F.transform(starts, event), ""), usage, F.lit("data: [DONE]\n"), content(F.lit("too late")), F.lit("data: open"))
+    # The tokens are bound once a row; a lambda over a column would split the text again for each event.
+    events = let(F.col("tokens"), lambda tokens: F.transform(starts(tokens), lambda k: event(tokens, k)))
+    body = F.concat(F.array_join(events, ""), usage, F.lit("data: [DONE]\n"), content(F.lit("too late")), F.lit("data: open"))
     chunks = d.select("doc_id", body.alias("s")).select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / CHUNK).cast("int"))).alias("seq"))
     lines = wire.event_lines(chunks.select("doc_id", "seq", F.expr(f"substring(s, seq * {CHUNK} + 1, {CHUNK})").alias("body")), "doc_id", complete=True)
     found = wire.deltas(wire.completion_events(lines, "doc_id"), "doc_id")
