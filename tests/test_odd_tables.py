@@ -26,3 +26,9 @@ def test_grey_values_are_cut_off_after_a_product_of_floats(spark, tmp_path):
     v = np.float32(0.21)
     assert int(float(v) * 1000) == 209 and int(v * np.float32(1000)) == 210
     agree(spark, tmp_path, "grey_pictures", embeddings={"vec_id": [1], "embedding": pa.array([[v, -v]], pa.list_(pa.float32())), "label": [0]})
+
+
+def test_a_first_turn_without_content_has_no_likeness(spark, tmp_path):
+    c = {"conv_id": [1, 1, 2, 2], "turn": [0, 1, 0, 1], "role": ["user", "assistant"] * 2, "text": ["the", "hello world", None, ""]}
+    got = agree(spark, tmp_path, "turn_likeness", conversations=c)
+    assert sorted(got, key=lambda r: (r[0], r[2])) == [(1, None, 0), (1, 0, 1), (2, None, 0), (2, 0, 1)]
