@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.numbers import count_upto, let
+
 
 def _in_buckets(df: DataFrame, start: str, end: str, width: float, name: str) -> DataFrame:
     first, last = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
@@ -94,6 +96,14 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str, v
     return seen.filter("_side = 1").drop("_v", "_side")
 
 
+def places(starts: Column, points: Column) -> Column:
+    """``points`` (an array of structs with ``t``) with the place of the last of the rising ``starts`` at or before them, -1 before the first.
+
+    ``as_of`` for a key whose marks lie in one row: binary searches, nothing is shuffled.
+    """
+    return let(starts, lambda s: F.transform(points, lambda p: p.withField("place", count_upto(s, p["t"]) - 1)))
+
+
 def nearest(
     points: DataFrame, spans: DataFrame, keys: list[str], row: str, t: str, edge: str, radius: float, order: str
 ) -> DataFrame:

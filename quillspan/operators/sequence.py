@@ -136,13 +136,53 @@ def caption_groups(words: DataFrame, most: int, gap_s: float = GAP_S) -> DataFra
     )
 
 
+def caption_list(tokens: Column, starts: Column, ends: Column, most: int, gap_s: float = GAP_S) -> Column:
+    """The groups of ``caption_groups`` as an array of (first, last, start_s, end_s, hold_s, text), from the arrays of one transcript.
+
+    Hard breaks are found first, each run is cut every ``most`` words: linear, and nothing is shuffled for it.
+    """
+
+    def firsts(t: Column) -> Column:
+        n = F.size(t["tokens"])
+        after = lambda k: (F.get(t["starts"], k) - F.get(t["ends"], k - 1) > gap_s) | ends_sentence(F.get(t["tokens"], k - 1))
+        breaks = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.coalesce(after(k), F.lit(True)))
+        cut = lambda b: F.flatten(F.transform(b, lambda h, k: F.sequence(h, F.coalesce(F.get(b, k + 1), n) - 1, F.lit(most))))
+        return let(let(breaks, cut), lambda g: groups(t, g, n))
+
+    def groups(t: Column, g: Column, n: Column) -> Column:
+        def group(first: Column, last: Column) -> Column:
+            end, after = F.get(t["ends"], last), F.get(t["starts"], last + 1)
+            return F.struct(
+                first.alias("first"), last.alias("last"), F.get(t["starts"], first).alias("start_s"), end.alias("end_s"),
+                F.greatest(end, F.least(after, end + HOLD_S)).alias("hold_s"), F.array_join(F.slice(t["tokens"], first + 1, last - first + 1), " ").alias("text"),
+            )
+
+        return F.transform(g, lambda first, k: let(F.coalesce(F.get(g, k + 1), n) - 1, lambda last: group(first, last)))
+
+    return let(F.struct(tokens.alias("tokens"), starts.alias("starts"), ends.alias("ends")), firsts)
+
+
+def captions(lists: DataFrame, most: int) -> DataFrame:
+    """``caption_groups`` of transcripts that are rows: doc_id, tokens, starts, ends (of words in order)."""
+    # Outer, as no list is empty: for an inner one Spark would add a filter on the list's size and make it twice.
+    each = lists.select("doc_id", F.posexplode_outer(caption_list(F.col("tokens"), F.col("starts"), F.col("ends"), most)).alias("grp", "g"))
+    return each.select("doc_id", "grp", "g.first", "g.start_s", "g.end_s", "g.hold_s", "g.text")
+
+
+def _cue(grp: Column, start_s: Column, end_s: Column, text: Column) -> Column:
+    times = F.concat(clock_srt(millis(start_s)), F.lit(" --> "), clock_srt(millis(end_s)))
+    return F.concat_ws("\n", (grp + 1).cast("string"), times, text, F.lit(""))
+
+
 def srt(words: DataFrame, most: int = 8) -> DataFrame:
     """doc_id and its captions as one SRT text."""
-    cue = F.concat_ws(
-        "\n", (F.col("grp") + 1).cast("string"),
-        F.concat(clock_srt(millis(F.col("start_s"))), F.lit(" --> "), clock_srt(millis(F.col("end_s")))),
-        "text", F.lit(""),
-    )
-    cues = caption_groups(words, most).select("doc_id", "grp", cue.alias("cue"))
+    cues = caption_groups(words, most).select("doc_id", "grp", _cue(F.col("grp"), F.col("start_s"), F.col("end_s"), F.col("text")).alias("cue"))
     ordered = F.array_sort(F.collect_list(F.struct("grp", "cue")))
     return cues.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["cue"]), "\n").alias("srt"))
+
+
+def srt_of(lists: DataFrame, most: int = 8) -> DataFrame:
+    """``srt`` of transcripts that are rows."""
+    groups = caption_list(F.col("tokens"), F.col("starts"), F.col("ends"), most)
+    cues = F.transform(groups, lambda g, k: _cue(k, g["start_s"], g["end_s"], g["text"]))
+    return lists.select("doc_id", F.array_join(cues, "\n").alias("srt"))

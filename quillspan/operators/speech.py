@@ -65,6 +65,12 @@ def estimated_words(rows: DataFrame) -> DataFrame:
     return timed.withColumn("end_s", F.lead("start_s").over(w.orderBy("idx"))).filter("idx < _n").drop("_n")
 
 
+def owns(chunk_start: Column, chunk_end: Column, is_last: Column) -> Column:
+    """Whether the middle of a word (start_s, end_s) lies in the chunk, or after it if it is the last."""
+    mid = (F.col("start_s") + F.col("end_s")) / 2
+    return (mid >= chunk_start) & ((mid < chunk_end) | is_last)
+
+
 def owned(words: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """Words heard in padded chunks (key, chunk, start_s, end_s), each kept only by the chunk its middle lies in.
 
@@ -72,8 +78,7 @@ def owned(words: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """
     last = chunks.groupBy(key).agg(F.max("chunk").alias("_last"))
     bounds = chunks.join(last, key)
-    mid = (F.col("start_s") + F.col("end_s")) / 2
-    inside = (mid >= F.col("chunk_start")) & ((mid < F.col("chunk_end")) | (F.col("chunk") == F.col("_last")))
+    inside = owns(F.col("chunk_start"), F.col("chunk_end"), F.col("chunk") == F.col("_last"))
     return words.join(bounds, [key, "chunk"]).filter(inside).drop("chunk_start", "chunk_end", "_last")
 
 

@@ -1,10 +1,15 @@
 """Queries against their SQL on small tables with odd rows, and plans that must not move words between machines."""
 
+from itertools import accumulate
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
+from quillspan.functions import numbers
 from quillspan.plans import registry
 from tests.test_queries import rows_of
 
@@ -32,3 +37,25 @@ def test_a_first_turn_without_content_has_no_likeness(spark, tmp_path):
     c = {"conv_id": [1, 1, 2, 2], "turn": [0, 1, 0, 1], "role": ["user", "assistant"] * 2, "text": ["the", "hello world", None, ""]}
     got = agree(spark, tmp_path, "turn_likeness", conversations=c)
     assert sorted(got, key=lambda r: (r[0], r[2])) == [(1, None, 0), (1, 0, 1), (2, None, 0), (2, 0, 1)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["word_timeline", "word_at_time", "caption_groups", "caption_at", "segment_now", "vtt_lines", "srt_lines", "chunk_words"])
+def test_words_and_captions_are_not_shuffled_and_texts_are_split_once(spark, name):
+    plan = plan_of(registry.QUERIES[name](spark, SF))
+    assert "Exchange" not in plan and plan.count("split(") == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1000, 2081])
+def test_running_values_over_blocks(spark, n):
+    row = spark.range(1).select(F.sequence(F.lit(1), F.lit(n)).alias("a") if n else F.expr("cast(array() as array<int>)").alias("a"))
+    sums = row.select(numbers.running(F.transform("a", lambda x: x * 7 % 11), lambda a, b: a + b, "bigint").alias("s")).first().s
+    most = row.select(numbers.running(F.transform("a", lambda x: x * 7 % 11), F.greatest, "int").alias("s")).first().s
+    values = [x * 7 % 11 for x in range(1, n + 1)]
+    assert sums == list(accumulate(values)) and most == list(accumulate(values, max))
