@@ -66,6 +66,20 @@ def fit_end(start: Column, end: Column, starts: Column, ends: Column, stops: Col
     return let(count_upto(ends, F.get(starts, start) + most_s) - 1, with_limit)
 
 
+def by_edges(silences: Column) -> Column:
+    """Silences in order of their starts and of their ends, for searches by either edge: a struct (start_s, end_s) of (keys, spans), and whether both orders are the same."""
+
+    def by(edge: str) -> Column:
+        order = F.array_sort(F.transform(silences, lambda s, k: F.struct(s[edge].alias("at"), k.alias("k"), s["start_s"].alias("start_s"), s["end_s"].alias("end_s"))))
+        return let(order, lambda o: F.struct(F.transform(o, lambda s: s["at"]).alias("keys"), o.alias("spans"))).alias(edge)
+
+    def both(s: Column, e: Column) -> Column:
+        places = lambda side: F.transform(side["spans"], lambda x: x["k"])
+        return F.struct(s.alias("start_s"), e.alias("end_s"), (places(s) == places(e)).alias("same_order"))
+
+    return let(F.struct(by("start_s"), by("end_s")), lambda q: both(q["start_s"], q["end_s"]))
+
+
 def _nearest(silences: Column, edge: str, t: Column) -> Column:
     """The silence whose edge is nearest within reach; of equals the last in the list."""
     near = F.filter(silences, lambda s: F.abs(s[edge] - t) <= RADIUS_S)
@@ -73,24 +87,41 @@ def _nearest(silences: Column, edge: str, t: Column) -> Column:
     return F.array_max(ranked)
 
 
-def align_start(t: Column, silences: Column) -> Column:
+def _nearest_of(quiet: Column, edge: str, t: Column) -> Column:
+    """As ``_nearest``, of silences ``by_edges``: the one whose edge is nearest within reach; of equals the last in the list.
+
+    Only those around the place of ``t`` are looked at, so a transcript's boundaries take linear time in its silences.
+    """
+    keys, spans = quiet[edge]["keys"], quiet[edge]["spans"]
+    # A hair more than the reach, as sums round; the filter decides.
+    window = let(count_upto(keys, t - RADIUS_S - 0.001), lambda a: F.slice(spans, a + 1, F.greatest(F.lit(0), count_upto(keys, t + RADIUS_S + 0.001) - a)))
+    near = F.filter(window, lambda s: F.abs(s[edge] - t) <= RADIUS_S)
+    return F.array_max(F.transform(near, lambda s: F.struct((-F.abs(s[edge] - t)).alias("near"), s["k"].alias("k"), s["start_s"].alias("start_s"), s["end_s"].alias("end_s"))))
+
+
+def align_start(t: Column, silences: Column, nearest=_nearest) -> Column:
     def with_silence(s: Column) -> Column:
         kept = F.greatest(F.least(s["start_s"] + MARGIN_S, s["end_s"]), F.least(s["end_s"] - SILENCE_LEAD_S, t))
         return F.greatest(F.lit(0.0), F.when(s.isNull(), t - LEAD_S).otherwise(kept))
 
-    return let(_nearest(silences, "end_s", t), with_silence)
+    return let(nearest(silences, "end_s", t), with_silence)
 
 
-def align_end(t: Column, silences: Column) -> Column:
+def align_end(t: Column, silences: Column, nearest=_nearest) -> Column:
     def with_silence(s: Column) -> Column:
         kept = F.greatest(t, F.least(s["start_s"] + SILENCE_TAIL_S, F.greatest(s["end_s"] - MARGIN_S, s["start_s"])))
         return F.when(s.isNull(), t + TAIL_S).otherwise(kept)
 
-    return let(_nearest(silences, "start_s", t), with_silence)
+    return let(nearest(silences, "start_s", t), with_silence)
 
 
 def refine(first: Column, last: Column, starts: Column, ends: Column, stops: Column, silences: Column, least_s: float, most_s: float) -> Column:
     """A struct (first, last, start_s, end_s) for a proposed word range, or null where no fit is possible."""
+    return let(by_edges(silences), lambda quiet: refined(first, last, starts, ends, stops, quiet, least_s, most_s))
+
+
+def refined(first: Column, last: Column, starts: Column, ends: Column, stops: Column, quiet: Column, least_s: float, most_s: float) -> Column:
+    """``refine`` with silences ``by_edges``, which are sorted once for all ranges of a transcript."""
     top = F.size(stops) - 1
 
     def snapped(p: Column) -> Column:
@@ -98,7 +129,7 @@ def refine(first: Column, last: Column, starts: Column, ends: Column, stops: Col
         return F.when(p["b"] > p["a"], let(e, lambda x: F.when(x.isNotNull(), placed(p["a"], x))))
 
     def placed(a: Column, b: Column) -> Column:
-        s, e = align_start(F.get(starts, a), silences), align_end(F.get(ends, b), silences)
+        s, e = align_start(F.get(starts, a), quiet, _nearest_of), align_end(F.get(ends, b), quiet, _nearest_of)
         return let(s, lambda s0: F.struct(a.alias("first"), b.alias("last"), s0.alias("start_s"), F.least(e, s0 + most_s).alias("end_s")))
 
     begin = clamp(first, F.lit(0), top)
@@ -117,12 +148,25 @@ def bound(then) -> Column:
     return let(F.struct("starts", "ends", "stops"), then)
 
 
+def transcripts_of(lists: DataFrame) -> DataFrame:
+    """``transcripts`` of rows that are whole: doc_id, tokens, starts, ends. Narrow."""
+    return lists.select("doc_id", "tokens", "starts", "ends", F.transform("tokens", ends_sentence).alias("stops"))
+
+
 def silence_in(silences: Column, a: Column, b: Column) -> Column:
     """Seconds of a span that are silent."""
     each = F.transform(silences, lambda s: F.greatest(F.lit(0.0), F.least(b, s["end_s"]) - F.greatest(a, s["start_s"])))
     return F.aggregate(each, F.lit(0.0), lambda t, x: t + x)
 
 
+def silence_of(quiet: Column, a: Column, b: Column) -> Column:
+    """``silence_in`` of silences ``by_edges``: those that begin before the span's end and, if both orders are the same, end after its start."""
+    starts = quiet["start_s"]
+    begun = count_upto(starts["keys"], b)
+    over = F.when(quiet["same_order"], count_upto(quiet["end_s"]["keys"], a)).otherwise(0)
+    return let(F.struct(begun.alias("n"), over.alias("a")), lambda w: silence_in(F.slice(starts["spans"], w["a"] + 1, F.greatest(F.lit(0), w["n"] - w["a"])), a, b))
+
+
 def filler_windows(rows: DataFrame, least_s: float, most_s: float) -> DataFrame:
     """Sentence-bounded windows one after the other, with a plain score: doc_id, win, first, last, start_s, end_s, score.
 
@@ -137,13 +181,13 @@ def filler_windows(rows: DataFrame, least_s: float, most_s: float) -> DataFrame:
     def windows(t: Column) -> Column:
         def window(k: Column) -> Column:
             guess = F.greatest(k + 1, count_upto(t["starts"], F.get(t["starts"], k) + target) - 1)
-            at = lambda last: refine(k, last, t["starts"], t["ends"], t["stops"], t["silences"], least_s, most_s)
+            at = lambda last: refined(k, last, t["starts"], t["ends"], t["stops"], t["quiet"], least_s, most_s)
             return let(let(guess, at), lambda c: F.struct(F.get(t["starts"], k).alias("open_s"), c.alias("clip")))
 
         opens = F.filter(F.sequence(F.lit(0), F.size(t["stops"]) - 1), lambda k: (k == 0) | F.coalesce(F.get(t["stops"], k - 1), F.lit(False)))
         return F.filter(F.transform(opens, window), lambda x: x["clip"].isNotNull())
 
-    found = let(F.struct("starts", "ends", "stops", "silences"), windows)
+    found = let(F.struct("starts", "ends", "stops", by_edges(F.col("silences")).alias("quiet")), windows)
     kept0 = F.struct(F.lit(-1.0).alias("upto"), F.slice("found", F.lit(1), F.lit(0)).alias("out"))
 
     def step(s: Column, c: Column) -> Column:
@@ -153,12 +197,19 @@ def filler_windows(rows: DataFrame, least_s: float, most_s: float) -> DataFrame:
         return F.when(free, F.struct(clip["end_s"].alias("upto"), F.array_append(s["out"], c).alias("out"))).otherwise(s)
 
     taken = rows.withColumn("found", found).withColumn("taken", F.aggregate("found", kept0, step, lambda s: s["out"]))
-    each = taken.select("doc_id", "tokens", "silences", F.posexplode("taken").alias("win", "c")).select("doc_id", "tokens", "silences", "win", "c.clip.*")
-    text = F.array_join(F.slice("tokens", F.col("first") + 1, F.col("last") - F.col("first") + 1), " ")
+
+    # Text and silence are looked up in the transcript's row, so that no window carries a copy of its arrays.
+    def described(t: Column, c: Column) -> Column:
+        clip = c["clip"]
+        text = F.array_join(F.slice(t["tokens"], clip["first"] + 1, clip["last"] - clip["first"] + 1), " ")
+        return F.struct(clip.alias("clip"), text.alias("text"), silence_of(t["quiet"], clip["start_s"], clip["end_s"]).alias("silent"))
+
+    full = let(F.struct("tokens", by_edges(F.col("silences")).alias("quiet")), lambda t: F.transform("taken", lambda c: described(t, c)))
+    # Outer, as a filter on the list's size would make it once more.
+    each = taken.select("doc_id", F.posexplode_outer(full).alias("win", "c")).filter("win is not null").select("doc_id", "win", "c.clip.*", "c.text", "c.silent")
     length = F.greatest(F.lit(0.001), F.col("end_s") - F.col("start_s"))
     density = half_up((F.col("last") - F.col("first") + 1) / length, 3)
-    quiet = half_up(silence_in(F.col("silences"), F.col("start_s"), F.col("end_s")) / length, 3)
-    return each.select("doc_id", "win", "first", "last", "start_s", "end_s", filler_score(density, quiet, text).alias("score"))
+    return each.select("doc_id", "win", "first", "last", "start_s", "end_s", filler_score(density, half_up(F.col("silent") / length, 3), F.col("text")).alias("score"))
 
 
 def normalised(transcripts: DataFrame, proposals: DataFrame, least_s: float, most_s: float) -> tuple[DataFrame, DataFrame]:
@@ -168,19 +219,23 @@ def normalised(transcripts: DataFrame, proposals: DataFrame, least_s: float, mos
     """
     none = F.expr("cast(array() as array<struct<start_s: double, end_s: double>>)")
     quiet = F.coalesce("silences", none) if "silences" in transcripts.columns else none
-    lists = proposals.groupBy("doc_id").agg(F.collect_list(F.struct("id", "first", "last", "prior")).alias("_p"))
-    rows = transcripts.withColumn("silences", quiet).join(lists, "doc_id")
+    lists = proposals.groupBy("doc_id").agg(F.collect_list(F.struct("id", "first", "last", "prior")).alias("proposals"))
+    return normalised_rows(transcripts.withColumn("silences", quiet).join(lists, "doc_id"), least_s, most_s)
+
+
+def normalised_rows(rows: DataFrame, least_s: float, most_s: float) -> tuple[DataFrame, DataFrame]:
+    """``normalised`` of transcripts (one row a document) that have silences and their ``proposals``, an array of (id, first, last, prior). Narrow."""
 
     def offers(t: Column) -> Column:
-        clip = lambda p: refine(p["first"], p["last"], t["starts"], t["ends"], t["stops"], t["silences"], least_s, most_s)
-        return F.transform("_p", lambda p: F.struct(p.alias("p"), F.when(p["last"] > p["first"], clip(p)).alias("c")))
-
-    each = rows.select("doc_id", F.explode(let(F.struct("starts", "ends", "stops", "silences"), offers)).alias("o"))
-    report = each.groupBy("doc_id").agg(
-        F.count("*").alias("proposed"), F.count_if(F.col("o.c").isNull()).alias("no_boundary"), F.count_if(F.col("o.c").isNotNull()).alias("refined")
-    )
-    good = each.filter("o.c is not null").select("doc_id", F.col("o.p.id").alias("id"), F.col("o.p.prior").alias("prior"), "o.c.*")
-    return good, report
+        clip = lambda p: refined(p["first"], p["last"], t["starts"], t["ends"], t["stops"], t["quiet"], least_s, most_s)
+        return F.transform("proposals", lambda p: F.struct(p.alias("p"), F.when(p["last"] > p["first"], clip(p)).alias("c")))
+
+    found = rows.select("doc_id", let(F.struct("starts", "ends", "stops", by_edges(F.col("silences")).alias("quiet")), offers).alias("offers"))
+    n = lambda test: F.aggregate(F.transform("offers", lambda o: test(o["c"]).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    report = found.select("doc_id", F.size("offers").cast("long").alias("proposed"), n(lambda c: c.isNull()).alias("no_boundary"), n(lambda c: c.isNotNull()).alias("refined"))
+    # Outer, as a filter on the list's size would make it once more.
+    good = found.select("doc_id", F.explode_outer("offers").alias("o")).filter("o.c is not null")
+    return good.select("doc_id", F.col("o.p.id").alias("id"), F.col("o.p.prior").alias("prior"), "o.c.*"), report
 
 
 def candidate_id(first: Column, last: Column) -> Column:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import numbers
+from quillspan.operators import boundaries
 from quillspan.plans import registry
 from tests.test_queries import rows_of
 
@@ -59,3 +60,21 @@ def test_running_values_over_blocks(spark, n):
     most = row.select(numbers.running(F.transform("a", lambda x: x * 7 % 11), F.greatest, "int").alias("s")).first().s
     values = [x * 7 % 11 for x in range(1, n + 1)]
     assert sums == list(accumulate(values)) and most == list(accumulate(values, max))
+
+
+@pytest.mark.parametrize("name", ["fallback_windows", "refined_clips", "boundary_report"])
+def test_boundaries_are_found_in_the_transcripts_row(spark, name):
+    plan = plan_of(registry.QUERIES[name](spark, SF))
+    assert "Exchange" not in plan and plan.count("split(") == 1
+
+
+def test_silences_in_any_order_are_found_by_their_edges(spark):
+    quiet = [(4.0, 5.0), (1.0, 2.0), (1.5, 1.8), (8.0, 8.5), (4.0, 5.0)]
+    row = spark.createDataFrame([(quiet,)], "q array<struct<start_s: double, end_s: double>>")
+    for t in (0.9, 1.9, 4.6, 5.2, 8.1, 20.0):
+        for edge in ("start_s", "end_s"):
+            near, of = boundaries._nearest(F.col("q"), edge, F.lit(t)), boundaries._nearest_of(boundaries.by_edges(F.col("q")), edge, F.lit(t))
+            got = row.select(near.alias("a"), of.alias("b")).first()
+            assert got.a == got.b
+        both = row.select(boundaries.silence_in(F.col("q"), F.lit(1.2), F.lit(t)).alias("a"), boundaries.silence_of(boundaries.by_edges(F.col("q")), F.lit(1.2), F.lit(t)).alias("b")).first()
+        assert both.a == pytest.approx(both.b)
