@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.numbers import clamp
+from quillspan.functions.numbers import clamp, count_upto, let
 from quillspan.operators import intervals
 
 # How far a still shot is pushed in, the least length for it, where it is pushed to, the least length of a word.
@@ -40,6 +40,35 @@ def pieces(clips: DataFrame, layers: dict[str, DataFrame], keys: list[str]) -> D
     return cut.select(*keys, place.alias("piece"), F.col("_t").alias("start_s"), F.col("_next").alias("end_s"), *(F.col(f"{n}.v").alias(n) for n in layers))
 
 
+def clip_layers(clips: Column, layers: dict[str, Column]) -> Column:
+    """An array of clips (clip, start_s, end_s) with the spans of every layer that may touch each; nothing is shuffled for it.
+
+    ``layers``: name to an array of (start_s, end_s, value) of the whole, by rising start and without overlaps.
+    """
+
+    def near(layer: Column, c: Column) -> Column:
+        first = F.greatest(F.lit(0), count_upto(layer["keys"], c["start_s"]) - 1)
+        return let(first, lambda a: F.slice(layer["spans"], a + 1, F.greatest(F.lit(0), count_upto(layer["keys"], c["end_s"]) - a)))
+
+    keyed = lambda x: let(x, lambda s: F.struct(F.transform(s, lambda y: y["start_s"]).alias("keys"), s.alias("spans")))
+    bound = F.struct(*(keyed(x).alias(n) for n, x in layers.items()))
+    return let(bound, lambda all_: F.transform(clips, lambda c: F.struct(c["clip"], c["start_s"], c["end_s"], *(near(all_[n], c).alias(n) for n in layers))))
+
+
+def pieces_of(start: Column, end: Column, layers: dict[str, Column]) -> Column:
+    """``pieces`` of a clip whose spans lie in its row: an array of (start_s, end_s and a value for each layer) in order."""
+
+    def cut(all_: Column) -> Column:
+        spans = {n: F.filter(all_[n], lambda x: x["end_s"] > x["start_s"]) for n in layers}
+        inner = lambda s, edge: F.filter(F.transform(s, lambda x: x[edge]), lambda t: (t > start) & (t < end))
+        borders = F.array_sort(F.array_distinct(F.concat(F.array(start, end), *(inner(s, edge) for s in spans.values() for edge in ("start_s", "end_s")))))
+        at = lambda s, t: F.get(F.filter(s, lambda x: (x["start_s"] <= t) & (t < x["end_s"])), F.lit(0))["value"]
+        piece = lambda b, t, k: F.struct(t.alias("start_s"), F.get(b, k + 1).alias("end_s"), *(at(s, t).alias(n) for n, s in spans.items()))
+        return let(borders, lambda b: F.filter(F.transform(b, lambda t, k: piece(b, t, k)), lambda p: p["end_s"].isNotNull()))
+
+    return let(F.struct(*(x.alias(n) for n, x in layers.items())), cut)
+
+
 def in_clips(spans: DataFrame, clips: DataFrame, key: str, clip: str, width: float) -> DataFrame:
     """Spans (key, start_s, end_s, value) of a whole as a layer of its clips (key, clip, start_s, end_s), which may overlap."""
     bounds = clips.select(key, clip, F.col("start_s").alias("_from"), F.col("end_s").alias("_to"))
@@ -54,6 +83,18 @@ def spoken(words: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return held.select(key, "start_s", F.coalesce("_after", "hold_s").alias("end_s"), value)
 
 
+def spoken_of(groups: Column, starts: Column, ends: Column) -> Column:
+    """``spoken`` of a transcript in one row, from its caption groups (first, last, hold_s): an array of (start_s, end_s, value)."""
+
+    def lit(t: Column, g: Column, idx: Column) -> Column:
+        begin = F.get(t["starts"], idx)
+        value = F.struct(idx.alias("idx"), begin.alias("from_s"), F.get(t["ends"], idx).alias("to_s"))
+        return F.struct(begin.alias("start_s"), F.when(idx < g["last"], F.get(t["starts"], idx + 1)).otherwise(g["hold_s"]).alias("end_s"), value.alias("value"))
+
+    of = lambda t, g: F.transform(F.sequence(g["first"], g["last"]), lambda idx: lit(t, g, idx))
+    return let(F.struct(starts.alias("starts"), ends.alias("ends")), lambda t: F.flatten(F.transform(groups, lambda g: of(t, g))))
+
+
 def zoom(t: Column, start: Column, end: Column, frames: Column) -> Column:
     """The scale of a crop at ``t``: still shots of four seconds and more are pushed in by up to 6 %; ``frames``: key frames of the shot."""
     still = (F.coalesce(frames, F.lit(0)) <= 1) & (end - start >= PUNCH_IN_MIN_S)

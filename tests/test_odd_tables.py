@@ -78,3 +78,8 @@ def test_silences_in_any_order_are_found_by_their_edges(spark):
             assert got.a == got.b
         both = row.select(boundaries.silence_in(F.col("q"), F.lit(1.2), F.lit(t)).alias("a"), boundaries.silence_of(boundaries.by_edges(F.col("q")), F.lit(1.2), F.lit(t)).alias("b")).first()
         assert both.a == pytest.approx(both.b)
+
+
+def test_render_plans_are_not_shuffled(spark):
+    plan = plan_of(registry.QUERIES["render_plan"](spark, SF))
+    assert "Exchange" not in plan and plan.count("split(") == 1
