@@ -83,3 +83,8 @@ def test_silences_in_any_order_are_found_by_their_edges(spark):
 def test_render_plans_are_not_shuffled(spark):
     plan = plan_of(registry.QUERIES["render_plan"](spark, SF))
     assert "Exchange" not in plan and plan.count("split(") == 1
+
+
+def test_streamed_bodies_are_made_once(spark):
+    plan = plan_of(registry.QUERIES["sse_deltas"](spark, SF))
+    assert plan.count("FileScan") == 1 and "Join" not in plan
