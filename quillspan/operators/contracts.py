@@ -31,7 +31,8 @@ MOST_TAGS = 8
 def entries(replies: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """The items of a reply's list: keys, pos, item (null where the item is no object) and the item as a variant, for the kinds of its fields."""
     read = replies.select(*keys, parsed(F.col("text"), names).alias("_p"))
-    each = read.select(*keys, F.posexplode("_p.items").alias("pos", "json"))
+    # Outer and a filter after it: for an inner one Spark adds a filter on the list's size, which parses every reply twice.
+    each = read.select(*keys, F.posexplode_outer("_p.items").alias("pos", "json")).filter("pos is not null")
     return each.select(*keys, "pos", F.when(F.col("json").startswith("{"), F.from_json("json", ITEM)).alias("item"), F.try_parse_json("json").alias("variant"))
 
 
@@ -164,7 +165,7 @@ def discovery(replies: DataFrame, sentences: DataFrame | None, keys: list[str],
     """
     names = ["candidates", "clips", "moments"]
     read = replies.withColumn("_p", parsed(F.col("text"), names))
-    each = read.select(*[c for c in replies.columns if c != "text"], F.posexplode("_p.items").alias("pos", "json"))
+    each = read.select(*[c for c in replies.columns if c != "text"], F.posexplode_outer("_p.items").alias("pos", "json")).filter("pos is not null")
     item = F.when(F.col("json").startswith("{"), F.from_json("json", ITEM))
     each = each.withColumn("item", item)
     if sentences is None:
