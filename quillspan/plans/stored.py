@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.numbers import let, millis
+from quillspan.functions.text import tokens as tokens_of
 from quillspan.sources import recognition, stages, store
-from quillspan.sources.adapters import WORDS_SQL, table, word_lists
+from quillspan.sources.adapters import WORDS_SQL, table
 
 #: Words of a result, and of how many results one has no alternative, of how many words one is blank.
 RESULT_WORDS, NONE_OF, BLANK_OF = 12, 5, 17
@@ -27,13 +28,12 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         other = F.struct(F.lit("something else").alias("transcript"), F.transform(F.slice(said, 1, 1), lambda w: word(F.lit("else"), F.lit(1))).alias("words"))
         return F.struct(F.when(r % NONE_OF == NONE_OF - 2, F.slice(F.array(first, other), 1, 0)).otherwise(F.array(first, other)).alias("alternatives"))
 
-    docs = table(spark, sf_dir, "documents").select("doc_id")
     # The tokens are bound once a row; a lambda over a column would split the text again for each result.
     starts = lambda tokens: F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / RESULT_WORDS).cast("int"))
     results = let(F.col("tokens"), lambda tokens: F.transform(starts(tokens), lambda r: result(tokens, r)))
-    made = word_lists(spark, sf_dir).select("doc_id", F.to_json(F.struct(results.alias("results"))).alias("reply"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens_of(F.col("text")).alias("tokens"))
     # Documents without words are replies without results.
-    return docs.join(made, "doc_id", "left").withColumn("reply", F.coalesce("reply", F.lit("{}")))
+    return docs.select("doc_id", F.when(F.size("tokens") > 0, F.to_json(F.struct(results.alias("results")))).otherwise("{}").alias("reply"))
 
 
 def speech_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,4 +48,5 @@ def recognised(replies: DataFrame, keys: list[str], reply: str = "reply") -> Dat
 
 def recognised_words(replies: DataFrame, keys: list[str], reply: str = "reply") -> DataFrame:
     """One row a word: keys, idx (its place in the reply), result, text, start_s, end_s."""
-    return recognised(replies, keys, reply).select(*keys, F.posexplode("words").alias("idx", "w")).select(*keys, "idx", "w.*")
+    # Outer and a filter after it: for an inner one Spark adds a filter on the list's size, which reads the reply twice.
+    return recognised(replies, keys, reply).select(*keys, F.posexplode_outer("words").alias("idx", "w")).filter("idx is not null").select(*keys, "idx", "w.*")

@@ -93,3 +93,8 @@ def test_streamed_bodies_are_made_once(spark):
 def test_replies_are_parsed_once(spark):
     rows = spark.range(5).select("id", F.col("id").cast("string").alias("text"))
     assert plan_of(contracts.entries(rows, ["id"], ["scores"])).count("ArrowEvalPython") == 1
+
+
+def test_speech_replies_are_made_and_read_once(spark):
+    plan = plan_of(registry.QUERIES["speech_replies"](spark, SF))
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and plan.count("from_json(") == 1
