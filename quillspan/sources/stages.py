@@ -50,11 +50,13 @@ def done(spark: SparkSession, home: str, stage: str | None = None) -> DataFrame:
     return last.filter("not _l.removed").select("job_id", "stage", "_l.fingerprint", "_l.run")
 
 
-def artifact(spark: SparkSession, home: str, stage: str) -> DataFrame:
-    """A stage's rows of all jobs that have it done."""
+def artifact(spark: SparkSession, home: str, stage: str, jobs: DataFrame | None = None) -> DataFrame:
+    """A stage's rows of all jobs that have it done, or of those among ``jobs`` (job_id): one semi-join of the rows either way."""
     rows = spark.read.option("basePath", f"{home}/{stage}").parquet(*(f"{home}/{stage}/run={n}" for n in _runs(spark, f"{home}/{stage}")))
     rows = rows.withColumn("run", F.col("run").cast("long"))
-    return rows.join(done(spark, home, stage).select("job_id", "run"), ["job_id", "run"], "left_semi").drop("run")
+    live = done(spark, home, stage).select("job_id", "run")
+    live = live if jobs is None else live.join(jobs, "job_id", "left_semi")
+    return rows.join(live, ["job_id", "run"], "left_semi").drop("run")
 
 
 def fingerprints(inputs: DataFrame) -> DataFrame:
@@ -72,16 +74,16 @@ def run(inputs: DataFrame, stages: list[Stage], home: str) -> DataFrame:
     A job is done again from the first stage on if its rows change, and from a stage on if that stage's version does.
     """
     spark = inputs.sparkSession
-    prints, before = fingerprints(inputs), inputs
+    prints, of = fingerprints(inputs), lambda jobs: inputs.join(jobs, "job_id", "left_semi")
     for stage in stages:
         prints = prints.select("job_id", F.sha2(F.concat_ws("|", F.lit(stage.name), F.lit(stage.version), "fingerprint"), 256).alias("fingerprint"))
         left = prints.join(done(spark, home, stage.name).select("job_id", "fingerprint"), ["job_id", "fingerprint"], "left_anti")
         if not left.isEmpty():
             n = _next(spark, home, *(s.name for s in stages))
-            stage.make(before.join(left.select("job_id"), "job_id", "left_semi")).write.parquet(f"{home}/{stage.name}/run={n}")
+            stage.make(of(left.select("job_id"))).write.parquet(f"{home}/{stage.name}/run={n}")
             left.select("job_id", F.lit(stage.name).alias("stage"), "fingerprint", F.lit(False).alias("removed")).write.parquet(f"{home}/manifest/run={n}")
-        before = artifact(spark, home, stage.name)
-    return before.join(prints.select("job_id"), "job_id", "left_semi")
+        of = lambda jobs, name=stage.name: artifact(spark, home, name, jobs)
+    return of(prints.select("job_id"))
 
 
 def remove(spark: SparkSession, home: str, prefix: str) -> None:

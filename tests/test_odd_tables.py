@@ -98,3 +98,13 @@ def test_replies_are_parsed_once(spark):
 def test_speech_replies_are_made_and_read_once(spark):
     plan = plan_of(registry.QUERIES["speech_replies"](spark, SF))
     assert plan.count("FileScan") == 1 and "Exchange" not in plan and plan.count("from_json(") == 1
+
+
+def test_a_stage_reads_the_rows_of_some_jobs_by_one_join(spark, tmp_path):
+    from quillspan.sources import stages
+
+    home = str(tmp_path / "home")
+    jobs = spark.createDataFrame([("a", "x"), ("b", "y")], "job_id string, text string")
+    stages.run(jobs, [stages.Stage("s", lambda rows: rows)], home)
+    some = stages.artifact(spark, home, "s", jobs.filter("job_id = 'b'").select("job_id"))
+    assert [(r.job_id, r.text) for r in some.collect()] == [("b", "y")]
