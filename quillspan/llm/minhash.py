@@ -15,7 +15,9 @@ allowed errors are enumerated as the keys that leave out one of its minima: 64 k
    pairs give classes.
 4. Exact pairs: keys whose sets are still in several classes give the sets that may have links across classes. Pairs of them are listed where they
    share one of the shingles that fewest of these sets have, as near the front of both sets' orders as the overlap of a link
-   needs; so copies with much of their own are not paired with their whole group. Within a class nothing is paired.
+   needs; so copies with much of their own are not paired with their whole group. Within a class nothing is paired. Each set also has a
+   word of parities: the sets of a pair differ in at least as many shingles as their words differ in bits, and a pair that
+   differs in more than a link allows is no row. So near copies that do not link are compared, but not listed.
 5. Every pair within the distance is verified on its full sets; components go by rounds of star contraction.
 
 Texts never shuffle. 64-bit hashes stand for shingles and sets: two different ones collide with a chance of about 5e-20.
@@ -46,13 +48,15 @@ MINIMA, CHUNKS = 64, 14
 DISTANCE = 2 * CHUNKS - 1
 #: Shingles before one that tell whether a pair has been listed there.
 BEFORE = 3
+#: Bits of a set's word of parities, as longs of 64 (128 bytes).
+LONGS = 16
 #: Shingles hashed at once, so that the 64 rows stay in a core's cache.
 SLICE = 1024
 
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"seed %d" % k) for k in range(MINIMA)], np.uint64)[:, None]
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(b"multiplier %d" % k) | 1 for k in range(MINIMA)], np.uint64)[:, None]
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("sig", pa.list_(pa.int16()))])
-_TOKENS = pa.schema([("fp", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+_TOKENS = pa.schema([("fp", pa.int64()), ("tokens", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -70,6 +74,12 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return least.astype(np.uint16).view(np.int16)
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Of each of ``64 * LONGS`` cells, whether an odd number of a set's shingles lies in it."""
+    cells = tokens.view(np.uint64) % np.uint64(64 * LONGS)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=64 * LONGS).astype(np.uint8) & 1).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprint and size of each row, and the signature where the task has not given it yet."""
     given: set[int] = set()
@@ -92,7 +102,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s for s in map(shingles, batch.column("text").to_pylist()) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([similarity.fingerprint(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=_TOKENS)
+        columns = ([similarity.fingerprint(s) for s in sets], sets, list(map(parity, sets)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TOKENS.types, strict=True)], schema=_TOKENS)
 
 
 def _keys() -> Column:
@@ -113,6 +124,11 @@ def _distance(x: str, y: str) -> Column:
     return F.expr(f"size(filter(zip_with({x}, {y}, (a, b) -> a != b), d -> d))")
 
 
+def _least_difference(x: str, y: str) -> Column:
+    """In how many shingles two sets differ at the least, by their words of parities."""
+    return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(1, LONGS)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+
+
 def _near(pairs: DataFrame, named: DataFrame) -> DataFrame:
     """(a, b, na, nb, distance) of the (a, b) pairs whose signatures are within the distance."""
     side = lambda x: named.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig_{x}"))
@@ -167,17 +183,19 @@ def _rarest(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     return cut.select("fp", "n", "root", "own", "s", F.posexplode("s").alias("at", "token")).select("token", "fp", "n", "root", (F.col("own") + F.col("at")).alias("pos"), before.alias("before"))
 
 
-def _crossed(rarest: DataFrame, named: DataFrame) -> DataFrame:
-    """Distinct (a, b, na, nb) across classes, within the distance: sets that share one of their rarest shingles early enough for the overlap of a link.
+def _crossed(rarest: DataFrame, named: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Distinct (a, b, na, nb) across classes, within the distance: sets that share one of their rarest shingles early enough for the overlap of a link,
+    and whose parities leave room for it.
 
     Sets meet in bands of size, so a hot shingle is dealt by band; within a class nothing is paired. A pair that shares a shingle right before this
     one has been listed there, and the first one that it shares always lists it.
     """
     classes = rarest.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("c", "root")).alias("major"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
-    rows = rarest.join(classes.filter("classes > 1").select("token", "major"), "token").withColumn("band", band).join(named.select("fp", "sig"), "fp")
+    rows = rarest.join(classes.filter("classes > 1").select("token", "major"), "token").withColumn("band", band)
+    rows = rows.join(named.select("fp", "sig").join(tokens.select("fp", "parity"), "fp"), "fp")
     minor = rows.filter("root != major").select(
-        "token", *(F.col(c).alias(f"{c}_x") for c in ("fp", "n", "root", "pos", "before", "sig")), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band")
+        "token", *(F.col(c).alias(f"{c}_x") for c in ("fp", "n", "root", "pos", "before", "sig", "parity")), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band")
     )
     need = F.expr(f"cast(ceil({PERCENT} * (cast(n as long) + n_x) / {100 + PERCENT}) as int)")
     crossed = minor.join(rows, ["token", "band"]).filter(
@@ -186,6 +204,7 @@ def _crossed(rarest: DataFrame, named: DataFrame) -> DataFrame:
         & _similar_size("n", "n_x")
         & (F.col("pos") <= F.col("n") - need)
         & (F.col("pos_x") <= F.col("n_x") - need)
+        & (_least_difference("parity", "parity_x") <= F.col("n") + F.col("n_x") - 2 * need)
         & ~F.arrays_overlap("before", "before_x")
         & (_distance("sig", "sig_x") <= DISTANCE)
     )
@@ -211,10 +230,11 @@ def classed(docs: DataFrame) -> DataFrame:
 
     # Full sets of what shares a key, cut from the texts once.
     sought = written(named.select("fp", "doc").join(typical, "fp", "left_semi"))
-    tokens = texts.join(small_side(sought.filter("doc is not null").select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").select("text").mapInArrow(_tokens, "fp long, tokens array<long>")
+    kind = "fp long, tokens array<long>, parity array<long>"
+    tokens = texts.join(small_side(sought.filter("doc is not null").select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").select("text").mapInArrow(_tokens, kind)
     nameless = sought.filter("doc is null").select("fp")
     if not nameless.isEmpty():  # sets of rows without an id are found by their fingerprints
-        without = texts.filter("doc_id is null").select("text").mapInArrow(_tokens, "fp long, tokens array<long>")
+        without = texts.filter("doc_id is null").select("text").mapInArrow(_tokens, kind)
         tokens = tokens.unionByName(without.join(small_side(nameless), "fp", "left_semi").dropDuplicates(["fp"]))
     tokens = written(tokens)
 
@@ -223,7 +243,7 @@ def classed(docs: DataFrame) -> DataFrame:
     links = _verified(likely, tokens)
     rows = written(_mixed(shared, components(links)))
     rarest = written(_rarest(rows, tokens))
-    exact = written(_crossed(rarest, named))
+    exact = written(_crossed(rarest, named, tokens))
     last = _verified(exact, tokens)
     roots = components(links.unionByName(last))
 

@@ -298,6 +298,38 @@ def test_minima_differ_as_often_as_sets_do():
     assert abs(np.mean(apart) / minhash.MINIMA - 0.15) < 0.015 and max(apart) <= minhash.DISTANCE
 
 
+def test_near_copies_that_do_not_link_are_not_listed(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for doc in range(160):  # up to four words exchanged link with the base, more do not
+        words = list(base)
+        for at in rng.choice(len(base), rng.integers(1, 7), replace=False):
+            words[at] = f"x{rng.integers(50)}"
+        rows.append((doc, " ".join(words)))
+    listed, verified = [], minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, tokens: (listed.append([(r.a, r.b) for r in pairs.collect()]), verified(pairs, tokens))[1])
+    out = minhash.classed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, out.collect()), key=repr) == expected_components(rows)
+    sets = {minhash.similarity.fingerprint(s): set(s.tolist()) for s in (minhash.shingles(t) for _, t in rows)}
+    alike = [100 * len(sets[a] & sets[b]) // len(sets[a] | sets[b]) for a, b in listed[1]]
+    assert len(rows) > len(alike) and min(alike, default=100) >= 78, (len(alike), min(alike))
+
+
+def test_parities_never_differ_more_than_sets_do(spark):
+    rng = np.random.default_rng(8)
+    rows, apart = [], []
+    for n in (1, 3, 40, 400, 5000):
+        for _ in range(6):
+            tokens = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+            x, y = tokens[: rng.integers(1, len(tokens) + 1)], tokens[rng.integers(len(tokens)) :]
+            rows.append((len(rows), minhash.parity(x).tolist(), minhash.parity(y).tolist()))
+            apart.append(len(np.setxor1d(x, y)))
+    bound = spark.createDataFrame(rows, "k int, x array<long>, y array<long>").select("k", minhash._least_difference("x", "y").alias("d")).collect()
+    assert all(r.d <= apart[r.k] and (r.d - apart[r.k]) % 2 == 0 for r in bound)
+    assert any(r.d > 0.9 * apart[r.k] > 30 for r in bound)
+
+
 def test_results_keep_their_columns(odd):
     assert [f.dataType.simpleString() for f in minhash.classed(odd).schema] == ["bigint", "bigint", "bigint", "boolean"]
     assert dict(periodic.query(odd).dtypes)["exponent_milli"] == "bigint"
