@@ -10,7 +10,7 @@ ten bits for each doubling of the number of languages, from a fixed seed.
 
 Fitting: every language with a labelled row is learned, from about ``ROWS`` labelled texts in all and ``LEAST`` of each
 language at the least, picked by a hash of doc_id. Whole texts of any length count; their profiles are computed in the tasks, and only those
-(16 KB each) reach the driver. Predicting: whole texts of all rows, with no shuffle.
+(16 KB each, compressed to 3 or so) reach the driver. Predicting: whole texts of all rows, with no shuffle.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is any text where no
 language could be learned; with one language learned every other text is that one; of equal losses the language that comes first by
@@ -21,6 +21,7 @@ judged each for itself; very long texts are profiled in slices; other columns pl
 from __future__ import annotations
 
 import itertools
+import zlib
 
 import numpy as np
 import regex
@@ -74,31 +75,39 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
+def _centred(rows: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The profiles less their mean, and the mean."""
+    c = np.empty((len(rows), 1 << BITS), dtype=np.float32)
+    for k, (_, p) in enumerate(rows):
+        c[k] = np.frombuffer(zlib.decompress(p), np.float32)
+    mean = c.mean(0)
+    c -= mean
+    return c, mean
+
+
 def fit(rows: list[tuple[str, bytes]]) -> dict | None:
-    """From (language, profile) rows: languages, code, weights of the bits' classifiers and of the bits."""
+    """From (language, compressed profile) rows: languages, code, weights of the bits' classifiers and of the bits."""
     names = sorted({y for y, _ in rows})
     if not names:
         return None
     if len(names) == 1:
         return {"names": names}
-    c = np.empty((len(rows), 1 << BITS), dtype=np.float32)  # the one large array: 32 MB for 2000 rows
-    for k, (_, p) in enumerate(rows):
-        c[k] = np.frombuffer(p, np.float32)
     place = {y: k for k, y in enumerate(names)}
     code = codewords(len(names))
     side = code[[place[y] for y, _ in rows]].astype(np.float32)
     # Ridge classifiers of all bits at once, in the dual; the same system gives leave-one-out margins.
-    mean = c.mean(0)
-    c -= mean
-    rows.clear()  # the profiles are in the array now
+    # The one large array (32 MB for 2000 rows) is made again for the weights, so that it isn't held beside the inversion.
+    c, mean = _centred(rows)
     kernel = c @ c.T
-    kernel[np.diag_indices(len(c))] += 0.5
+    del c
+    kernel[np.diag_indices(len(kernel))] += 0.5
     inverse = np.linalg.inv(kernel)
     del kernel
     centre = side.mean(0)
     alpha = inverse @ (side - centre)
-    weights = c.T @ alpha
     left_out = side - alpha / np.diag(inverse)[:, None]
+    del inverse
+    weights = _centred(rows)[0].T @ alpha
     right = (np.sign(left_out) == side).mean(0)
     trust = np.log(np.clip(right, 0.5 + 1e-3, 1 - 1e-3) / (1 - np.clip(right, 0.5 + 1e-3, 1 - 1e-3)))
     return {
@@ -129,7 +138,7 @@ def predict(model: dict | None, texts: list[str | None]) -> tuple[list[str], lis
 
 
 def _profiles():
-    return lambda texts: [[profile(t).astype(np.float32).tobytes() for t in texts]]
+    return lambda texts: [[zlib.compress(profile(t).astype(np.float32).tobytes(), 1) for t in texts]]
 
 
 def fit_from(docs: DataFrame) -> dict | None:

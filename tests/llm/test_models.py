@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -133,3 +134,18 @@ def test_densities_by_hand():
             assert n.density == pytest.approx(want)
         assert n.total == pytest.approx(sum(c.density for c in n.items if isinstance(c, html_text.Node) and c.block))
     assert html_text.main_text(page).split("\n") == ["Some words and a link here", "More words without any"]
+
+
+def test_the_profiles_are_not_held_beside_the_inversion():
+    rng = random.Random(5)
+    letters = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
+    text = lambda y: " ".join("".join(rng.choices(letters[y], k=rng.randint(2, 9))) for _ in range(60))
+    labels = [rng.choice(list(letters)) for _ in range(language_id.ROWS)]
+    rows = list(zip(labels, language_id._profiles()([text(y) for y in labels])[0], strict=True))
+    assert sum(len(p) for _, p in rows) < (8 << 20)
+    tracemalloc.start()
+    model = language_id.fit(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 << 20
+    assert all(language_id.predict(model, [text(y)])[0] == [y] for y in letters)
