@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.numbers import count_upto, let, running
 from quillspan.operators import intervals
 
 # Least speech that counts, overlap of two halves, a range that is never split.
@@ -15,54 +16,67 @@ TOLERATED = 0.34
 SPANS = "array<struct<start_s: double, end_s: double>>"
 
 
-def speech_spans(rows: DataFrame) -> DataFrame:
-    """doc_id, start_s, end_s, upto_s (speech before it), total_s: what lies between the silences of each row; the whole span if hardly anything does.
+def speech_of(start: Column, end: Column, silences: Column) -> Column:
+    """What lies between the silences of a row, as a struct: starts, ends, uptos (speech before each), total; the whole span if hardly anything does.
 
-    ``rows``: doc_id, start_s, end_s, silences. Silences become rows, and running maxima and sums over a document's rows give the gaps between
-    them, so the work is linear in their number.
+    Running maxima and sums over the sorted silences give the gaps between them, so the work is that of the sort.
     """
-    ends = rows.select("doc_id", F.col("start_s").alias("_from"), F.col("end_s").alias("_to"), F.explode_outer("silences").alias("q"))
-    inside = (F.col("q.end_s") > F.col("_from")) & (F.col("q.start_s") < F.col("_to"))
-    quiet = ends.filter(inside).select("doc_id", "_from", "_to", F.col("q.start_s").alias("_at"), F.col("q.end_s").alias("_until"))
-    # A silence of no length at the end closes the last gap.
-    closed = quiet.unionByName(rows.select("doc_id", F.col("start_s").alias("_from"), F.col("end_s").alias("_to"), F.col("end_s").alias("_at"), F.col("end_s").alias("_until")))
-    w = Window.partitionBy("doc_id").orderBy("_at", "_until")
-    begun = F.greatest("_from", F.coalesce(F.max("_until").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_from"))
-    gaps = closed.select("doc_id", "_from", "_to", begun.alias("start_s"), F.least("_at", "_to").alias("end_s"))
-    length = F.when(F.col("end_s") > F.col("start_s"), F.col("end_s") - F.col("start_s")).otherwise(0.0)
-    by_start = Window.partitionBy("doc_id").orderBy("start_s", "end_s")
-    summed = gaps.withColumn("total_s", F.sum(length).over(Window.partitionBy("doc_id"))).withColumn("upto_s", F.sum(length).over(by_start) - length)
-    hardly = F.col("total_s") <= LEAST_SPEECH_S
-    whole = summed.withColumn("_first", F.row_number().over(by_start) == 1).filter(F.when(hardly, F.col("_first")).otherwise(F.col("end_s") > F.col("start_s")))
-    pick = lambda c, other: F.when(hardly, other).otherwise(F.col(c)).alias(c)
-    return whole.select("doc_id", pick("start_s", F.col("_from")), pick("end_s", F.col("_to")), pick("upto_s", F.lit(0.0)), pick("total_s", F.col("_to") - F.col("_from")))
+
+    def whole() -> Column:
+        return F.struct(F.array(start).alias("starts"), F.array(end).alias("ends"), F.array(F.lit(0.0)).alias("uptos"), (end - start).alias("total"))
+
+    def summed(gaps: Column) -> Column:
+        length = lambda g: g["b"] - g["a"]
+        some = lambda upto: F.struct(
+            F.transform(gaps, lambda g: g["a"]).alias("starts"), F.transform(gaps, lambda g: g["b"]).alias("ends"),
+            F.transform(gaps, lambda g, k: F.get(upto, k) - length(g)).alias("uptos"), F.get(upto, F.size(upto) - 1).alias("total"),
+        )
+        pick = lambda upto: F.when(F.get(upto, F.size(upto) - 1) > LEAST_SPEECH_S, some(upto)).otherwise(whole())
+        return let(running(F.transform(gaps, length), lambda a, b: a + b, "double"), pick)
+
+    def gaps_of(quiet: Column) -> Column:
+        # A silence of no length at the end closes the last gap.
+        at = lambda k: F.coalesce(F.get(quiet, k)["start_s"], end)
+        between = lambda until: F.transform(
+            F.sequence(F.lit(0), F.size(quiet)), lambda k: F.struct(F.greatest(start, F.coalesce(F.get(until, k - 1), start)).alias("a"), F.least(at(k), end).alias("b"))
+        )
+        spoken = lambda until: F.filter(between(until), lambda g: g["b"] > g["a"])
+        return let(let(running(F.transform(quiet, lambda q: q["end_s"]), F.greatest, "double"), spoken), summed)
+
+    inside = F.filter(F.coalesce(silences, F.expr(f"cast(array() as {SPANS})")), lambda q: (q["end_s"] > start) & (q["start_s"] < end))
+    return let(F.array_sort(F.transform(inside, lambda q: F.struct(q["start_s"].alias("start_s"), q["end_s"].alias("end_s")))), gaps_of)
 
 
 def estimated_words(rows: DataFrame) -> DataFrame:
     """doc_id, idx, text, start_s, end_s: tokens spread over the speech of a span by their length, leaving out its silences.
 
-    ``rows``: doc_id (unique), tokens, start_s, end_s, silences. Words and spans of speech are rows of one relation, ordered by how much speech comes before
-    them, so a word's span is the last one before it; no word carries more than its own. An offset on a border belongs
-    to the earlier span. A word ends where the next begins.
+    ``rows``: doc_id, tokens, start_s, end_s, silences. Times are made in the row, each word's span of speech found by a binary search, and nothing
+    is shuffled. An offset on a border belongs to the earlier span. A word ends where the next begins.
     """
-    usable = rows.filter((F.col("end_s") > F.col("start_s")) & (F.size("tokens") > 0))
-    spans = speech_spans(usable)
-    totals = spans.groupBy("doc_id").agg(F.first("total_s").alias("_total"))
-    # One word more, of no weight, marks the end of the last.
-    each = usable.select("doc_id", F.size("tokens").alias("_n"), F.posexplode(F.array_append("tokens", F.lit(""))).alias("idx", "text"))
-    w = Window.partitionBy("doc_id")
-    weight = F.when(F.col("idx") < F.col("_n"), F.greatest(F.lit(1), F.length("text")) + 1).otherwise(0)
-    acc = F.sum(weight).over(w.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    placed = each.select("doc_id", "_n", "idx", "text", ((acc - weight) / F.sum(weight).over(w)).alias("_share"))
-    words = intervals.with_row_of(placed, totals, ["doc_id"]).select("doc_id", "_n", "idx", "text", (F.col("_share") * F.col("_total")).alias("_off"))
-    # The first span comes before every word; others come after the words on their border.
-    first = F.col("upto_s") == F.min("upto_s").over(w)
-    marks = spans.select("doc_id", F.when(first, -1.0).otherwise(F.col("upto_s")).alias("_off"), F.struct("upto_s", "start_s", "end_s").alias("_span"))
-    by_offset = w.orderBy("_off", F.col("_span").isNotNull(), "idx")
-    seen = words.unionByName(marks, allowMissingColumns=True).withColumn("_in", F.last("_span", ignorenulls=True).over(by_offset.rowsBetween(Window.unboundedPreceding, 0)))
-    at = F.least("_in.end_s", F.col("_in.start_s") + F.col("_off") - F.col("_in.upto_s"))
-    timed = seen.filter("_span is null").select("doc_id", "_n", "idx", "text", at.alias("start_s"))
-    return timed.withColumn("end_s", F.lead("start_s").over(w.orderBy("idx"))).filter("idx < _n").drop("_n")
+
+    def spread(r: Column) -> Column:
+        weights = F.transform(r["tokens"], lambda t: F.greatest(F.lit(1), F.length(t)) + 1)
+
+        def placed(p: Column) -> Column:
+            speech, upto = p["speech"], p["upto"]
+
+            def at(k: Column) -> Column:
+                def spoken(off: Column) -> Column:
+                    span = lambda j: F.least(F.get(speech["ends"], j), F.get(speech["starts"], j) + off - F.get(speech["uptos"], j))
+                    return let(F.greatest(F.lit(0), count_upto(speech["uptos"], off, below=True) - 1), span)
+
+                return let(F.coalesce(F.get(upto, k - 1), F.lit(0)) / F.get(upto, F.size(upto) - 1) * speech["total"], spoken)
+
+            # One edge more marks the end of the last word.
+            edges = F.transform(F.sequence(F.lit(0), F.size(upto)), at)
+            return let(edges, lambda e: F.transform(r["tokens"], lambda t, k: F.struct(t.alias("text"), F.get(e, k).alias("start_s"), F.get(e, k + 1).alias("end_s"))))
+
+        parts = F.struct(speech_of(r["start_s"], r["end_s"], r["silences"]).alias("speech"), running(weights, lambda a, b: a + b, "bigint").alias("upto"))
+        # Rows without words or time leave after the explode: a filter on the tokens would make them twice.
+        return F.when((r["end_s"] > r["start_s"]) & (F.size(r["tokens"]) > 0), let(parts, placed))
+
+    each = rows.select("doc_id", let(F.struct("tokens", "start_s", "end_s", "silences"), spread).alias("_w"))
+    return each.select("doc_id", F.posexplode_outer("_w").alias("idx", "w")).filter("idx is not null").select("doc_id", "idx", "w.text", "w.start_s", "w.end_s")
 
 
 def owns(chunk_start: Column, chunk_end: Column, is_last: Column) -> Column:

@@ -219,6 +219,16 @@ def test_words_around_silences(spark):
     assert got == {k: by_hand(*rest) for k, *rest in rows if k < 4}
 
 
+def test_estimated_words_shuffle_nothing_and_bear_odd_silences(spark):
+    odd = [(6.0, 7.0), (1.0, 3.0), (2.0, 5.0), (6.0, 6.5)]  # unsorted, overlapping, one inside another
+    rows = [(1, ["a", "b", "c", "d"], 0.0, 10.0, odd), (1, ["x", "y"], 0.0, 4.0, None), (2, None, 0.0, 1.0, []), (None, ["z"], 5.0, 6.0, [(0.0, 5.0), (6.0, 9.0)])]
+    out = speech.estimated_words(spark.createDataFrame(rows, f"doc_id int, tokens array<string>, start_s double, end_s double, silences {speech.SPANS}"))
+    got = sorted(((r.doc_id or 0, r.text, r.start_s, r.end_s) for r in out.collect()), key=lambda r: r[1])
+    assert got == [(1, "a", 0.0, pytest.approx(5.25)), (1, "b", pytest.approx(5.25), pytest.approx(7.5)), (1, "c", pytest.approx(7.5), pytest.approx(8.75)),
+                   (1, "d", pytest.approx(8.75), 10.0), (1, "x", 0.0, 2.0), (1, "y", 2.0, 4.0), (0, "z", 5.0, 6.0)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_split_ranges_cover_every_word_once(spark):
     df = spark.createDataFrame([(1, 0.0, 230.0, 4000.0), (2, 5.0, 12.0, 1e9), (3, 0.0, 100.0, 1.0)], "k int, start_s double, end_s double, bytes_per_s double")
     parts = speech.split_ranges(df, 200_000).collect()
