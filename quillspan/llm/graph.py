@@ -40,16 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen, few = mark, 2 * mark[0] <= SMALL
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        stars, used = _stars(both, few)
-        large = stars.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        stars, more = _stars(large, few)
-        small = stars.select("u", "v", "m")
-        after = written(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v")))
-            .filter("u != v")
-            .distinct()
-        )
+        stars, used = _stars(state.selectExpr("stack(2, u, v, v, u) as (u, v)"), few)
+        # One row a pair at most, so repeats only count where the rows are shuffled again.
+        large = stars.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars, more = _stars(large if few else large.distinct(), few)
+        after = written(stars.selectExpr("stack(2, v, m, u, m) as (u, v)").filter("u != v").distinct())
         forget(state, *used, *more)
         state = after

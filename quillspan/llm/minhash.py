@@ -241,11 +241,12 @@ def classed(docs: DataFrame) -> DataFrame:
     hubs = shared.groupBy("key").agg(F.max_by("fp", F.struct("typical", "fp")).alias("hub"))
     likely = written(_offers(shared, hubs, named))
     links = _verified(likely, tokens)
-    rows = written(_mixed(shared, components(links)))
+    roots_1 = components(links)
+    rows = written(_mixed(shared, roots_1))
     rarest = written(_rarest(rows, tokens))
     exact = written(_crossed(rarest, named, tokens))
     last = _verified(exact, tokens)
-    roots = components(links.unionByName(last))
+    roots = components(roots_1.toDF("a", "b").unionByName(last))
 
     # From sets to documents; sides of joins are tables, small or split by AQE where one is hot.
     nodes = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())

@@ -204,7 +204,7 @@ def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, hint, nulls:
     ``nulls``: there are null doc_ids. The table of pairs is deleted.
     """
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sought = named.join(nodes, "fp", "left_semi")
+    sought = written(named.join(nodes, "fp", "left_semi"))
     ids = sought.filter("doc is not null").select(F.col("doc").alias("doc_id"))
     chosen = texts.join(small_side(ids), "doc_id", "left_semi")
     # Written without a shuffle; a repeated doc_id may give a set's parts twice, which the maximum evens out.
@@ -223,30 +223,29 @@ def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, hint, nulls:
     once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("both").alias("both"))
     total = once.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
     links = written(total.filter(F.expr(f"100L * both >= {PERCENT}L * (na + nb - both)")).select("a", "b"))
-    forget(parts, pairs)
+    forget(sought, parts, pairs)
     return links
 
 
 def _offers(shared: DataFrame) -> DataFrame:
-    """(fp, n, kind, other): of each shingle the set with fewest rarer shingles before it, and the next smaller set."""
+    """(fp, n, kind, other): of each shingle the set with fewest rarer shingles before it, and the next smaller set; other has fp and n."""
     by_size = Window.partitionBy("token").orderBy("n", "fp")
-    first = F.min(F.struct("pos", "fp")).over(Window.partitionBy("token"))["fp"]
-    seen = shared.select("fp", "n", first.alias("hub"), F.lag("fp").over(by_size).alias("next"))
-    return seen.select("fp", "n", F.expr("stack(2, 0, hub, 1, next) as (kind, other)")).filter("other != fp")
+    first = F.min(F.struct("pos", "fp", "n")).over(Window.partitionBy("token"))
+    hub = F.struct(first["fp"].alias("fp"), first["n"].alias("n"))
+    seen = shared.select("fp", "n", hub.alias("hub"), F.lag(F.struct("fp", "n")).over(by_size).alias("next"))
+    return seen.select("fp", "n", F.expr("stack(2, 0, hub, 1, next) as (kind, other)")).filter("other.fp != fp")
 
 
-def _likely(offers: DataFrame, sizes: DataFrame) -> DataFrame:
+def _likely(offers: DataFrame) -> DataFrame:
     """(a, b, na, nb): of each kind, the set that most of a set's shingles offer, if enough of them do."""
     best = (
         offers.groupBy("fp", "n", "kind", "other").agg(F.count("*").alias("c")).filter("50 * c >= n")
-        .groupBy("fp", "kind").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
-    )
-    return (
-        best.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-        .join(sizes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-        .filter(_similar_size("na", "nb"))
+        .groupBy("fp", "n", "kind").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
     )
+    smaller = lambda x, y: F.expr(f"if(fp < other.fp, {x}, {y})")
+    return best.filter(_similar_size("n", "other.n")).select(
+        smaller("fp", "other.fp").alias("a"), smaller("other.fp", "fp").alias("b"), smaller("n", "other.n").alias("na"), smaller("other.n", "n").alias("nb")
+    ).distinct()
 
 
 def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -286,10 +285,10 @@ def _classed(docs: DataFrame) -> DataFrame:
         ).dropDuplicates(["token", "fp"])
     )
 
-    sizes = sets.filter("fp is not null").groupBy("fp").agg(F.first("n").alias("n"))
-    likely = written(_likely(_offers(shared), sizes))
+    likely = written(_likely(_offers(shared)))
     linked_1 = _verified(texts, named, likely, hint, nulls)
-    rows = written(_mixed(shared, components(linked_1)))
+    roots_1 = components(linked_1)
+    rows = written(_mixed(shared, roots_1))
     forget(shared)
 
     # Exact pairs across the classes found so far.
@@ -314,7 +313,7 @@ def _classed(docs: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("c"))
     exact = counted.filter("c >= more").drop("c", "more")
     linked_2 = _verified(texts, named, written(exact), hint, nulls)
-    roots = components(linked_1.unionByName(linked_2))
+    roots = components(roots_1.toDF("a", "b").unionByName(linked_2))
 
     # From sets to documents. Both sides of every join on a set or a class are tables, small or split by AQE where one is hot.
     nodes = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())

@@ -130,3 +130,32 @@ def test_pipeline_on_the_smallest_tables(spark):
     last = corpus_pipeline.run(spark, sf)
     assert last.count() == docs.count() and "n_tokens" in last.columns
     assert last.filter(F.col("n_tokens").isNull()).count() == 0
+
+
+def tasks_of(spark, work):
+    """Tasks of all stages that ``work`` runs, with no shuffle partition merged away."""
+    name, tracker, merge = "counted-" + str(random.random()), spark.sparkContext.statusTracker(), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+        stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+        return sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    finally:
+        spark.conf.unset(merge)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_round_of_components_shuffles_little(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)], "a long, b long").coalesce(1)
+    found = {}
+    shuffles = tasks_of(spark, lambda: found.update((r.node, r.root) for r in components(edges).collect())) / 4
+    assert found == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 140)}
+    assert shuffles < 70  # 109.5 when each half of a round removed its repeats and read its pairs twice
+
+
+def test_likely_pairs_join_nothing(spark):
+    rows = [(t, f, n, p) for t in range(3) for f, n, p in ((7, 10, 0), (3, 9, 1), (5, 4, 2))]
+    likely = similarity._likely(similarity._offers(spark.createDataFrame(rows, "token long, fp long, n int, pos int")))
+    assert "Join" not in likely._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, likely.collect())) == [(3, 7, 9, 10)]
