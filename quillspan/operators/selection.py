@@ -82,16 +82,19 @@ def _merged_in_rounds(spans: DataFrame, keys: list[str], width_s: float) -> Data
     return kept.select(*keys, "id", "start_s", "end_s", prior.alias("prior"), (more + 1).cast("int").alias("proposals"))
 
 
-def merge_duplicates(spans: DataFrame, keys: list[str], most: int | None = None, width_s: float = 600.0) -> DataFrame:
+def merge_duplicates(spans: DataFrame, keys: list[str], most: int | None = None, width_s: float = 600.0, also: tuple[str, ...] = ()) -> DataFrame:
     """Collapses spans with an IoU above 0.4, strongest first; agreement raises the prior step by step.
 
     ``spans``: keys, island, id, start_s, end_s, prior. Returns keys, id, start_s, end_s, prior, proposals. Islands are folded in one row each;
-    those of over ``most`` spans, if given, go by rounds (``dominance``), in buckets of ``width_s`` seconds.
+    those of over ``most`` spans, if given, go by rounds (``dominance``), in buckets of ``width_s`` seconds. ``also``: further columns
+    of the span that stays, which come with it, so that nothing has to be joined to it.
     """
     if most is not None:
         small, large = _by_size(spans, keys, most)
-        return merge_duplicates(small, keys).unionByName(_merged_in_rounds(large, keys, width_s))
-    row = F.struct((-F.col("prior")).alias("order"), "start_s", "id", "end_s", "prior", F.lit(1).alias("proposals"))
+        rounds = _merged_in_rounds(large, keys, width_s)
+        rounds = rounds.join(large.select(*keys, "id", *also), [*keys, "id"]) if also else rounds
+        return merge_duplicates(small, keys, also=also).unionByName(rounds)
+    row = F.struct((-F.col("prior")).alias("order"), "start_s", "id", "end_s", "prior", F.lit(1).alias("proposals"), *also)
     groups = spans.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     none = F.slice("rows", F.lit(1), F.lit(0))
 
@@ -106,6 +109,7 @@ def merge_duplicates(spans: DataFrame, keys: list[str], most: int | None = None,
                 F.struct(
                     k["order"].alias("order"), k["start_s"].alias("start_s"), k["id"].alias("id"), k["end_s"].alias("end_s"),
                     F.least(F.lit(1.0), F.greatest(k["prior"], c["prior"]) + bonus(k)).alias("prior"), n(k).alias("proposals"),
+                    *(k[x].alias(x) for x in also),
                 ),
             ).otherwise(k),
         )
@@ -113,21 +117,22 @@ def merge_duplicates(spans: DataFrame, keys: list[str], most: int | None = None,
         return let(F.get(F.filter(kept, same), F.lit(0))["id"], merge)
 
     kept = groups.select(*keys, F.explode(F.aggregate("rows", none, step)).alias("k"))
-    return kept.select(*keys, "k.id", "k.start_s", "k.end_s", "k.prior", "k.proposals")
+    return kept.select(*keys, "k.id", "k.start_s", "k.end_s", "k.prior", "k.proposals", *(f"k.{x}" for x in also))
 
 
-def without_overlaps(spans: DataFrame, keys: list[str], limit: float = MAX_OVERLAP, most: int | None = None, width_s: float = 600.0) -> DataFrame:
+def without_overlaps(spans: DataFrame, keys: list[str], limit: float = MAX_OVERLAP, most: int | None = None, width_s: float = 600.0, also: tuple[str, ...] = ()) -> DataFrame:
     """Greedy by score (ties: start, id): a span goes if a kept one covers more than ``limit`` of the shorter.
 
-    Islands of over ``most`` spans, if given, go by rounds, as in ``merge_duplicates``.
+    Islands of over ``most`` spans, if given, go by rounds, and ``also`` names further columns to return, as in ``merge_duplicates``.
     """
     if most is not None:
         small, large = _by_size(spans, keys, most)
         ranked = large.select(*keys, "id", "start_s", "end_s", "score", F.struct((-F.col("score")).alias("order"), "start_s", "id").alias("rank"))
         over = lambda a, b, c, d: overlap_of_shorter(a, b, c, d) > limit
         gone = dominance.dropped(store.cut(dominance.conflicts(ranked, keys, over, width_s)), keys)
-        return without_overlaps(small, keys, limit).unionByName(ranked.join(gone, [*keys, "id"], "left_anti").select(*keys, "id", "start_s", "end_s", "score"))
-    row = F.struct((-F.col("score")).alias("order"), "start_s", "id", "end_s")
+        rounds = large.join(gone, [*keys, "id"], "left_anti").select(*keys, "id", "start_s", "end_s", "score", *also)
+        return without_overlaps(small, keys, limit, also=also).unionByName(rounds)
+    row = F.struct((-F.col("score")).alias("order"), "start_s", "id", "end_s", *also)
     groups = spans.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
     def step(kept: Column, c: Column) -> Column:
@@ -135,7 +140,7 @@ def without_overlaps(spans: DataFrame, keys: list[str], limit: float = MAX_OVERL
         return F.when(hit, kept).otherwise(F.array_append(kept, c))
 
     kept = groups.select(*keys, F.explode(F.aggregate("rows", F.slice("rows", F.lit(1), F.lit(0)), step)).alias("k"))
-    return kept.select(*keys, "k.id", "k.start_s", "k.end_s", (-F.col("k.order")).alias("score"))
+    return kept.select(*keys, "k.id", "k.start_s", "k.end_s", (-F.col("k.order")).alias("score"), *(f"k.{x}" for x in also))
 
 
 def shortlist(spans: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -238,9 +243,9 @@ def exactly(pool: DataFrame, filler: DataFrame, keys: list[str], n: int) -> Data
     """``n`` picks a key wherever there is room: keys with fewer from the pool choose again among pool and filler.
 
     ``filler``: columns as ``pool``; filler that overlaps a key's picks at all is no help and leaves before. Keys without a pool
-    count as short.
+    count as short. The first picks are written (``store.cut``), as they are read five times.
     """
-    picks = select(pool, keys, n)
+    picks = store.cut(select(pool, keys, n))
     counts = picks.groupBy(*keys).agg(F.count("*").alias("_n"), F.collect_list(F.struct("start_s", "end_s")).alias("_taken"))
     full = counts.filter(F.col("_n") >= n).select(*keys)
     free = ~F.exists("_taken", lambda p: (p["start_s"] < F.col("end_s")) & (F.col("start_s") < p["end_s"]))

@@ -142,10 +142,9 @@ def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged, greedy finalists, as a pool for selection; of every third user only the four best, so filler is needed."""
-    c = _candidates(spark, sf_dir)
-    merged = selection.merge_duplicates(c, ["user_id"]).join(c.select("user_id", "id", "kind", "island"), ["user_id", "id"])
-    finalists = selection.shortlist(selection.without_overlaps(merged.withColumn("score", F.col("prior")), ["user_id"]), ["user_id"], SHORTLIST)
-    pool = finalists.filter("user_id % 3 != 0 or place <= 4").join(merged.select("user_id", "id", "kind", "proposals"), ["user_id", "id"])
+    merged = selection.merge_duplicates(_candidates(spark, sf_dir), ["user_id"], also=("kind", "island")).withColumn("score", F.col("prior"))
+    finalists = selection.shortlist(selection.without_overlaps(merged, ["user_id"], also=("kind", "proposals")), ["user_id"], SHORTLIST)
+    pool = finalists.filter("user_id % 3 != 0 or place <= 4")
     return pool.select(
         "user_id", "id", "start_s", "end_s", F.col("score").alias("quality"), F.when(F.col("proposals") > 1, "triaged").otherwise("discovered").alias("tier"), "kind",
         F.array("kind", F.concat(F.lit("w"), (F.col("id") % 4).cast("string")), F.concat(F.lit("v"), (F.col("id") % 3).cast("string"))).alias("words"),

@@ -299,3 +299,14 @@ def test_trimming_and_normalising(spark):
     assert tuple(report.first()) == (1, 3, 2, 1) and [(r["first"], r["last"]) for r in good.filter("id = 1").collect()] == [(0, 23)]
     avoid = boundaries.transcripts(words).withColumn("avoid", F.expr("array(named_struct('start_s', 0.0D, 'end_s', 5.0D))"))
     assert all(r.start_s >= 5.0 for r in boundaries.filler_windows(avoid, 2.0, 6.0).collect())
+
+
+def test_pool_and_picks_are_made_once(spark):
+    from quillspan.plans import moments
+
+    pool = moments._pool(spark, "/root/testdata/sf0.001")
+    assert "Join" not in pool._jdf.queryExecution().optimizedPlan().toString()
+    rows = pool.withColumn("user_id", F.col("user_id") % 2).filter("id % 7 = 0")
+    filled = selection.exactly(rows, rows.filter("false"), ["user_id"], 3)
+    # Of the first picks a table is left; only the second choice is still to be made.
+    assert filled._jdf.queryExecution().optimizedPlan().toString().count("array_max") == 1
