@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillspan.functions.numbers import clamp, count_upto, let
+from quillspan.functions.numbers import clamp
 from quillspan.operators import intervals
+from quillspan.session import importable
 
 # How far a still shot is pushed in, the least length for it, where it is pushed to, the least length of a word.
 PUNCH_IN, PUNCH_IN_MIN_S, PUNCH_UP, LEAST_WORD_S = 0.06, 4.0, 0.4, 0.05
 #: Height of a line to its size.
 LINE = 1.18
+#: Spans and clips of rows that are cut at once.
+SPANS = 100_000
 
 
 def pieces(clips: DataFrame, layers: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -40,33 +49,89 @@ def pieces(clips: DataFrame, layers: dict[str, DataFrame], keys: list[str]) -> D
     return cut.select(*keys, place.alias("piece"), F.col("_t").alias("start_s"), F.col("_next").alias("end_s"), *(F.col(f"{n}.v").alias(n) for n in layers))
 
 
-def clip_layers(clips: Column, layers: dict[str, Column]) -> Column:
-    """An array of clips (clip, start_s, end_s) with the spans of every layer that may touch each; nothing is shuffled for it.
-
-    ``layers``: name to an array of (start_s, end_s, value) of the whole, by rising start and without overlaps.
-    """
-
-    def near(layer: Column, c: Column) -> Column:
-        first = F.greatest(F.lit(0), count_upto(layer["keys"], c["start_s"]) - 1)
-        return let(first, lambda a: F.slice(layer["spans"], a + 1, F.greatest(F.lit(0), count_upto(layer["keys"], c["end_s"]) - a)))
-
-    keyed = lambda x: let(x, lambda s: F.struct(F.transform(s, lambda y: y["start_s"]).alias("keys"), s.alias("spans")))
-    bound = F.struct(*(keyed(x).alias(n) for n, x in layers.items()))
-    return let(bound, lambda all_: F.transform(clips, lambda c: F.struct(c["clip"], c["start_s"], c["end_s"], *(near(all_[n], c).alias(n) for n in layers))))
+def layer(starts: Column, ends: Column, values: Column) -> Column:
+    """A layer of ``pieces_of``: spans of one row by rising start and without overlaps, as three arrays of one length."""
+    return F.struct(starts.alias("starts"), ends.alias("ends"), values.alias("values"))
 
 
-def pieces_of(start: Column, end: Column, layers: dict[str, Column]) -> Column:
-    """``pieces`` of a clip whose spans lie in its row: an array of (start_s, end_s and a value for each layer) in order."""
+def pieces_of(rows: DataFrame, keys: list[str], clips: Column, layers: dict[str, Column]) -> DataFrame:
+    """``pieces`` of clips whose layers lie in their row, which may hold many clips: keys, clip, piece, start_s, end_s and a column for every layer.
 
-    def cut(all_: Column) -> Column:
-        spans = {n: F.filter(all_[n], lambda x: x["end_s"] > x["start_s"]) for n in layers}
-        inner = lambda s, edge: F.filter(F.transform(s, lambda x: x[edge]), lambda t: (t > start) & (t < end))
-        borders = F.array_sort(F.array_distinct(F.concat(F.array(start, end), *(inner(s, edge) for s in spans.values() for edge in ("start_s", "end_s")))))
-        at = lambda s, t: F.get(F.filter(s, lambda x: (x["start_s"] <= t) & (t < x["end_s"])), F.lit(0))["value"]
-        piece = lambda b, t, k: F.struct(t.alias("start_s"), F.get(b, k + 1).alias("end_s"), *(at(s, t).alias(n) for n, s in spans.items()))
-        return let(borders, lambda b: F.filter(F.transform(b, lambda t, k: piece(b, t, k)), lambda p: p["end_s"].isNotNull()))
-
-    return let(F.struct(*(x.alias(n) for n, x in layers.items())), cut)
+    ``clips``: an array of (clip, start_s, end_s), which may overlap. ``layers``: name to ``layer``. Nothing is shuffled; Arrow batches are cut
+    by binary searches, some thousands of spans at a time, so memory grows with a batch of rows and not with its pieces.
+    """
+    importable(rows.sparkSession)
+    held = rows.select(*keys, clips.alias("_clips"), *(x.alias(n) for n, x in layers.items()))
+    kinds = {f.name: f.dataType for f in held.schema}
+    schema = StructType([f for f in held.schema if f.name in keys]).add("clip", kinds["_clips"].elementType["clip"].dataType)
+    schema = schema.add("piece", "integer").add("start_s", "double").add("end_s", "double")
+    names = list(layers)
+    for n in names:
+        schema = schema.add(n, kinds[n]["values"].dataType.elementType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = sum(_sizes(batch.column(n).field("starts")) for n in names) + _sizes(batch.column("_clips"))
+            part = np.cumsum(spans) // SPANS
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+            for first, upto in pairwise(edges):
+                yield _cut(batch.slice(first, upto - first), keys, names)
+
+    return held.mapInArrow(run, schema)
+
+
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of every value, and the values."""
+    return np.repeat(np.arange(len(lists)), _sizes(lists)), lists.flatten()
+
+
+def _within(of: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """(of, t) as keys in that order: complex numbers are sorted by their real part first, and hold the times as they are."""
+    keys = np.empty(len(t), np.complex128)
+    keys.real, keys.imag = of, t
+    return keys
+
+
+def _cut(batch: pa.RecordBatch, keys: list[str], names: list[str]) -> pa.RecordBatch:
+    """The pieces of a batch's clips, in order."""
+    row, clips = _flat(batch.column("_clips"))
+    starts, ends = (clips.field(f).to_numpy(zero_copy_only=False) for f in ("start_s", "end_s"))
+    every = np.arange(len(clips))
+    layers, borders = {}, [(every, starts), (every, ends)]
+    for n in names:
+        of, s = _flat(batch.column(n).field("starts"))
+        s, e = s.to_numpy(zero_copy_only=False), batch.column(n).field("ends").flatten().to_numpy(zero_copy_only=False)
+        long = np.flatnonzero(e > s)
+        layers[n] = of, s, e, long = of[long], s[long], e[long], long
+        # An end at which the next span begins is a border already.
+        last = np.append((of[1:] != of[:-1]) | (s[1:] != e[:-1]), True)[: len(of)]
+        for own, t in ((of, s), (of[last], e[last])):
+            at = _within(own, t)
+            first, upto = np.searchsorted(at, _within(row, starts), "right"), np.searchsorted(at, _within(row, ends), "left")
+            size = np.maximum(upto - first, 0)
+            borders.append((np.repeat(every, size), t[np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)]))
+    clip, t = (np.concatenate(x) for x in zip(*borders, strict=True))
+    order = np.lexsort((t, clip))
+    clip, t = clip[order], t[order]
+    new = np.append(True, (clip[1:] != clip[:-1]) | (t[1:] != t[:-1]))[: len(t)]
+    clip, t = clip[new], t[new]
+    piece = np.arange(len(clip)) - np.searchsorted(clip, clip)
+    cut = np.flatnonzero(clip[1:] == clip[:-1])
+    clip, piece, start, end = clip[cut], piece[cut], t[cut], t[cut + 1]
+    out = [*(batch.column(k).take(pa.array(row[clip])) for k in keys), clips.field("clip").take(pa.array(clip)), pa.array(piece, pa.int32()), pa.array(start), pa.array(end)]
+    sought = _within(row[clip], start)
+    for n, (of, s, e, long) in layers.items():
+        at = np.searchsorted(_within(of, s), sought, "right") - 1
+        on = at >= 0
+        on[on] = (of[at[on]] == row[clip][on]) & (start[on] < e[at[on]])
+        place = np.zeros(len(at), np.int64)
+        place[on] = long[at[on]]
+        out.append(batch.column(n).field("values").flatten().take(pa.array(place, mask=~on)))
+    return pa.RecordBatch.from_arrays(out, names=[*keys, "clip", "piece", "start_s", "end_s", *names])
 
 
 def in_clips(spans: DataFrame, clips: DataFrame, key: str, clip: str, width: float) -> DataFrame:
@@ -84,15 +149,10 @@ def spoken(words: DataFrame, groups: DataFrame, key: str) -> DataFrame:
 
 
 def spoken_of(groups: Column, starts: Column, ends: Column) -> Column:
-    """``spoken`` of a transcript in one row, from its caption groups (first, last, hold_s): an array of (start_s, end_s, value)."""
-
-    def lit(t: Column, g: Column, idx: Column) -> Column:
-        begin = F.get(t["starts"], idx)
-        value = F.struct(idx.alias("idx"), begin.alias("from_s"), F.get(t["ends"], idx).alias("to_s"))
-        return F.struct(begin.alias("start_s"), F.when(idx < g["last"], F.get(t["starts"], idx + 1)).otherwise(g["hold_s"]).alias("end_s"), value.alias("value"))
-
-    of = lambda t, g: F.transform(F.sequence(g["first"], g["last"]), lambda idx: lit(t, g, idx))
-    return let(F.struct(starts.alias("starts"), ends.alias("ends")), lambda t: F.flatten(F.transform(groups, lambda g: of(t, g))))
+    """``spoken`` of a transcript in one row, from its caption groups (first, last, hold_s), as a ``layer``."""
+    until = F.flatten(F.transform(groups, lambda g: F.concat(F.slice(starts, g["first"] + 2, g["last"] - g["first"]), F.array(g["hold_s"]))))
+    each = F.arrays_zip(F.sequence(F.lit(0), F.size(starts) - 1).alias("idx"), starts.alias("from_s"), ends.alias("to_s"))
+    return layer(starts, until, each)
 
 
 def zoom(t: Column, start: Column, end: Column, frames: Column) -> Column:

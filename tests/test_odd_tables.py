@@ -85,6 +85,17 @@ def test_render_plans_are_not_shuffled(spark):
     assert "Exchange" not in plan and plan.count("split(") == 1
 
 
+def test_pieces_are_cut_once_for_a_batch_of_documents(spark):
+    plan = plan_of(registry.QUERIES["render_plan"](spark, SF))
+    assert plan.count("MapInArrow") == 1 and "array_sort(" not in plan and "explode" not in plan
+
+
+def test_render_plans_of_odd_texts(spark, tmp_path):
+    texts = [None, "", " \t\n", "one", "a. b! c? d", "x " * 400, " ".join(f"w{k}{'.' * (k % 9 == 0)}" for k in range(900)), "…" * 5 + " " + "y" * 3000]
+    agree(spark, tmp_path, "render_plan", documents={"doc_id": list(range(len(texts))), "text": texts})
+    assert {r.doc_id for r in registry.QUERIES["render_plan"](spark, str(tmp_path)).select("doc_id").collect()} == {3, 4, 5, 6, 7}
+
+
 def test_streamed_bodies_are_made_once(spark):
     plan = plan_of(registry.QUERIES["sse_deltas"](spark, SF))
     assert plan.count("FileScan") == 1 and "Join" not in plan

@@ -41,6 +41,43 @@ def test_pieces_of_nothing(spark):
     assert render.pieces(none, {"a": none.withColumn("value", F.lit(1))}, ["clip"]).collect() == []
 
 
+def test_layers_in_rows_are_cut_as_layers_in_tables(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(render, "SPANS", 40)
+    rows, clips, layers = [], [], {"a": [], "b": []}
+    for key in range(30):
+        own = {"a": [], "b": []}
+        for name, spans in own.items():
+            t = -2.0
+            while t < 14 and key % 7:
+                e = t + rng.choice([0.0, 0.1, 0.5, 1.0, 3.0])
+                if rng.random() < 0.7:
+                    spans.append((t, e, f"{name}{len(spans)}"))
+                t = e + rng.choice([0.0, 0.0, 0.5]) + (0.5 if e == t else 0.0)
+        mine = [(c, c * 3.0, c * 3.0 + rng.choice([2.0, 3.0, 7.5])) for c in range(key % 4)]
+        rows.append((f"k{key}", mine, own["a"], None if key == 5 else own["b"]))
+        clips += [(f"k{key}", *c) for c in mine]
+        for name in layers:
+            layers[name] += [(f"k{key}", c[0], *x) for c in mine for x in own[name] if not (name == "b" and key == 5)]
+    kind = "array<struct<start_s: double, end_s: double, value: string>>"
+    table = spark.createDataFrame(rows, f"key string, clips array<struct<clip: int, start_s: double, end_s: double>>, a {kind}, b {kind}").coalesce(1)
+    part = lambda n, f: F.transform(n, lambda x: x[f])
+    got = render.pieces_of(table, ["key"], F.col("clips"), {n: render.layer(part(n, "start_s"), part(n, "end_s"), part(n, "value")) for n in layers})
+    of = lambda rows, kind: spark.createDataFrame(rows, f"key string, clip int, start_s double, end_s double{kind}")
+    want = render.pieces(of(clips, ""), {n: of(r, ", value string") for n, r in layers.items()}, ["key", "clip"])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_a_long_clip_takes_time_in_proportion(spark):
+    n = 60_000
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k * 0.5)
+    words = render.layer(at, F.transform(at, lambda t: t + 0.25), F.sequence(F.lit(0), F.lit(n - 1)))
+    clips = F.array(F.struct(F.lit(0).alias("clip"), F.lit(0.0).alias("start_s"), F.lit(n * 0.5).alias("end_s")))
+    got = render.pieces_of(spark.range(1), ["id"], clips, {"word": words}).agg(F.count(F.lit(1)), F.count("word"), F.sum(F.col("end_s") - F.col("start_s"))).first()
+    assert tuple(got) == (2 * n, n, n * 0.5)
+
+
 @pytest.mark.parametrize(("t", "frames", "length", "want"), [(0.0, 0, 10.0, 1.0), (5.0, 1, 10.0, 0.97), (20.0, None, 10.0, 0.94), (5.0, 2, 10.0, 1.0), (2.0, 0, 3.9, 1.0)])
 def test_zoom_by_hand(spark, t, frames, length, want):
     scale = render.zoom(F.lit(t), F.lit(0.0), F.lit(length), F.lit(frames).cast("int"))
