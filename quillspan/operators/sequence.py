@@ -136,10 +136,10 @@ def caption_groups(words: DataFrame, most: int, gap_s: float = GAP_S) -> DataFra
     )
 
 
-def caption_list(tokens: Column, starts: Column, ends: Column, most: int, gap_s: float = GAP_S) -> Column:
+def caption_list(tokens: Column, starts: Column, ends: Column, most: int, gap_s: float = GAP_S, texts: bool = True) -> Column:
     """The groups of ``caption_groups`` as an array of (first, last, start_s, end_s, hold_s, text), from the arrays of one transcript.
 
-    Hard breaks are found first, each run is cut every ``most`` words: linear, and nothing is shuffled for it.
+    Hard breaks are found first, each run is cut every ``most`` words: linear, and nothing is shuffled for it. Without ``texts`` there is no text.
     """
 
     def firsts(t: Column) -> Column:
@@ -152,9 +152,10 @@ def caption_list(tokens: Column, starts: Column, ends: Column, most: int, gap_s:
     def groups(t: Column, g: Column, n: Column) -> Column:
         def group(first: Column, last: Column) -> Column:
             end, after = F.get(t["ends"], last), F.get(t["starts"], last + 1)
+            text = [F.array_join(F.slice(t["tokens"], first + 1, last - first + 1), " ").alias("text")] if texts else []
             return F.struct(
                 first.alias("first"), last.alias("last"), F.get(t["starts"], first).alias("start_s"), end.alias("end_s"),
-                F.greatest(end, F.least(after, end + HOLD_S)).alias("hold_s"), F.array_join(F.slice(t["tokens"], first + 1, last - first + 1), " ").alias("text"),
+                F.greatest(end, F.least(after, end + HOLD_S)).alias("hold_s"), *text,
             )
 
         return F.transform(g, lambda first, k: let(F.coalesce(F.get(g, k + 1), n) - 1, lambda last: group(first, last)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import numbers
 from quillspan.operators import boundaries, contracts
 from quillspan.plans import registry
+from quillspan.sources import adapters
 from tests.test_queries import rows_of
 
 
@@ -90,6 +91,15 @@ def test_pieces_are_cut_once_for_a_batch_of_documents(spark):
     assert plan.count("MapInArrow") == 1 and "array_sort(" not in plan and "explode" not in plan
 
 
+def test_render_plans_make_no_texts_of_captions(spark):
+    assert "array_join(" not in plan_of(registry.QUERIES["render_plan"](spark, SF))
+
+
+def test_words_begin_where_the_one_before_ends(spark):
+    rows = adapters.timed(spark, SF).collect()
+    assert all(r.starts == [0.0, *r.ends[:-1]] and len(r.tokens) == len(r.starts) for r in rows)
+
+
 def test_render_plans_of_odd_texts(spark, tmp_path):
     texts = [None, "", " \t\n", "one", "a. b! c? d", "x " * 400, " ".join(f"w{k}{'.' * (k % 9 == 0)}" for k in range(900)), "…" * 5 + " " + "y" * 3000]
     agree(spark, tmp_path, "render_plan", documents={"doc_id": list(range(len(texts))), "text": texts})
